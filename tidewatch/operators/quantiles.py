@@ -1,0 +1,181 @@
+"""Percentiles of huge numeric columns per group, with a bounded error, from states that combine.
+
+Deterministic collapsing of buffers. A state holds sorted buffers of up to k values, a buffer of level l standing for 2^l
+rows a value. Two full buffers of one level collapse into one of the next: their sorted union, of which every second value
+is kept, beginning with the first and with the second in turns. Each collapse of level l moves a rank by at most 2^l; the
+levels form a tree, so n rows make at most n/k collapses of weight 1, n/2k of weight 2, and so on, and a state carries
+the sum of these moves as its exact error bound. Nothing is random: the same rows in the same buffers give the same state.
+
+States are rows (group columns, n, error, least, most, buffers: levels and values). They are made where the rows lie, before any
+shuffle, so a hot group leaves a task as one small state; states of days, servers or partitions merge in any order.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator, Sequence
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+BUFFER = 512
+STATE = "n bigint, error bigint, least double, most double, levels array<int>, buffers array<array<double>>"
+COLUMNS = ["n", "error", "least", "most", "levels", "buffers"]
+
+
+class Sketch:
+    """The state of one group."""
+
+    __slots__ = ("error", "full", "k", "least", "most", "n", "open", "turn")
+
+    def __init__(self, k: int = BUFFER):
+        self.k, self.n, self.error, self.least, self.most = k, 0, 0, float("inf"), float("-inf")
+        self.full: dict[int, list[np.ndarray]] = {}  # level -> full buffers, one at most between calls
+        self.open: dict[int, np.ndarray] = {}  # level -> values short of a buffer
+        self.turn: dict[int, int] = {}
+
+    def add(self, values: np.ndarray, level: int = 0) -> None:
+        """Add values that stand for 2^level rows each; finite ones only."""
+        if not len(values):
+            return
+        rest = np.concatenate([self.open[level], values]) if level in self.open else np.asarray(values, dtype=float)
+        whole = len(rest) // self.k * self.k
+        self.open[level] = rest[whole:]
+        for at in range(0, whole, self.k):
+            self._push(np.sort(rest[at : at + self.k]), level)
+
+    def update(self, values: np.ndarray) -> None:
+        if len(values):
+            self.n += len(values)
+            self.least, self.most = min(self.least, float(values.min())), max(self.most, float(values.max()))
+            self.add(values)
+
+    def _push(self, buffer: np.ndarray, level: int) -> None:
+        while self.full.get(level):
+            other = self.full[level].pop()
+            turn = self.turn[level] = 1 - self.turn.get(level, 1)
+            buffer = np.sort(np.concatenate([other, buffer]), kind="stable")[turn::2]
+            self.error += 1 << level
+            level += 1
+        self.full.setdefault(level, []).append(buffer)
+
+    def merge(self, n: int, error: int, least: float, most: float, levels, buffers) -> None:
+        self.n, self.error = self.n + int(n), self.error + int(error)
+        self.least, self.most = min(self.least, least), max(self.most, most)
+        for level, values in zip(levels, buffers, strict=True):
+            values = np.asarray(values, dtype=float)
+            self._push(values, int(level)) if len(values) == self.k else self.add(values, int(level))
+
+    def parts(self) -> tuple[list[int], list[np.ndarray]]:
+        found = [(x, b) for x, all_ in self.full.items() for b in all_] + [(x, np.sort(b)) for x, b in self.open.items() if len(b)]
+        found.sort(key=lambda p: p[0])
+        return [x for x, _ in found], [b for _, b in found]
+
+    def row(self) -> tuple:
+        levels, buffers = self.parts()
+        return self.n, self.error, self.least, self.most, levels, buffers
+
+    def quantiles(self, ps: Sequence[float]) -> list[float]:
+        """For each p the value whose rank is nearest to p of the rows, off by at most error ranks."""
+        levels, buffers = self.parts()
+        if not buffers:
+            return [float("nan")] * len(ps)
+        values = np.concatenate(buffers)
+        weights = np.repeat([1 << x for x in levels], [len(b) for b in buffers])
+        order = np.argsort(values, kind="stable")
+        values, upto = values[order], np.cumsum(weights[order])
+        return [float(values[min(np.searchsorted(upto, p * upto[-1], side="left"), len(values) - 1)]) for p in ps]
+
+
+def _frame(sketches: dict, groups: Sequence[str]) -> pd.DataFrame:
+    rows = [(*(key if isinstance(key, tuple) else (key,)), *s.row()) for key, s in sketches.items()]
+    return pd.DataFrame(rows, columns=[*groups, *COLUMNS])
+
+
+def _schema(df: DataFrame, groups: Sequence[str]) -> str:
+    kinds = dict(df.dtypes)
+    return ", ".join([*(f"`{g}` {kinds[g]}" for g in groups), STATE])
+
+
+def states(df: DataFrame, groups: Sequence[str], value: str, k: int = BUFFER) -> DataFrame:
+    """States of value by groups, one a group and task, made before any shuffle. Null, NaN and infinite values count as none.
+
+    Groups with a null part are groups of their own kind, as in groupBy. Memory of a task: its groups times their buffers,
+    k values for each doubling of a group's rows beyond k, no more values than rows.
+    """
+    groups = list(groups)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        made: dict = {}
+        for batch in batches:
+            batch = batch[np.isfinite(batch["_value"].astype(float))]
+            if batch.empty:
+                continue
+            for key, part in batch.groupby(groups, sort=False, dropna=False)["_value"]:
+                key = tuple(None if pd.isna(x) else x for x in key)
+                made.setdefault(key, Sketch(k)).update(part.to_numpy(dtype=float))
+        yield _frame(made, groups)
+
+    rows = df.select(*groups, F.col(value).cast("double").alias("_value")).where("_value is not null and not isnan(_value)")
+    return rows.mapInPandas(run, _schema(df, groups))
+
+
+def merged(found: DataFrame, groups: Sequence[str], fan_in: int = 64, k: int = BUFFER) -> DataFrame:
+    """States by groups (a subset of the states' columns), merged as a tree: fan_in branches for each group first, then these.
+
+    A task sees a group's states one batch at a time and keeps one state, so many states of a hot group fit.
+    """
+    groups = list(groups)
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = Sketch(k)
+        for batch in batches:
+            for row in batch[COLUMNS].itertuples(index=False):
+                total.merge(*row)
+        yield _frame({tuple(key[: len(groups)]): total}, groups)
+
+    def per_group(key, pdf):
+        return next(run(key, iter([pdf])))
+
+    schema = _schema(found, groups)
+    branch = found.withColumn("_branch", F.pmod(F.xxhash64("n", "least", "most", "levels", "error"), F.lit(fan_in)))
+    several = branch.groupBy(*groups, "_branch").applyInPandas(per_group, schema)
+    return several.groupBy(*groups).applyInPandas(per_group, schema)
+
+
+def quantiles(found: DataFrame, groups: Sequence[str], ps: dict[str, float]) -> DataFrame:
+    """(groups, n, error, and for p of each name: name, name_low, name_high) of merged states, one a group.
+
+    The value's rank is off by at most error (plus the weight of one value); low and high are the values at the ranks by
+    that much lower and higher, so the exact percentile lies between them.
+    """
+    groups = list(groups)
+    kinds = dict(found.dtypes)
+    names = [x for name in ps for x in (name, f"{name}_low", f"{name}_high")]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for row in batch.itertuples(index=False):
+                key, state = row[: len(groups)], row[len(groups) :]
+                s = Sketch()
+                s.merge(*state)
+                slack = (s.error + (1 << max([0, *map(int, state[4])])) + 1) / max(s.n, 1) if s.error else 1 / max(s.n, 1)
+                wanted = [min(1.0, max(0.0, p + d)) for p in ps.values() for d in (0.0, -slack, slack)]
+                out.append((*key, s.n, s.error, *s.quantiles(wanted)))
+            yield pd.DataFrame(out, columns=[*groups, "n", "error", *names])
+
+    schema = ", ".join([*(f"`{g}` {kinds[g]}" for g in groups), "n bigint, error bigint", *(f"`{x}` double" for x in names)])
+    return found.select(*groups, *COLUMNS).mapInPandas(run, schema)
+
+
+def exceeds(rows: DataFrame, groups: Sequence[str], value: str, p: float, limit: float) -> DataFrame:
+    """(groups) whose exact percentile p (linear between neighbours) exceeds limit, by counts and neighbours of limit alone:
+    a check whose state is four numbers a group, for groups whose bounds leave it open."""
+    v, over = F.col(value), F.col(value) > limit
+    counts = rows.groupBy(*groups).agg(F.count(v).alias("n"), F.count_if(~over).alias("c"), F.max(F.when(~over, v)).alias("below"), F.min(F.when(over, v)).alias("above"))
+    at = (F.col("n") - 1) * F.lit(p)
+    low = F.floor(at)
+    between = F.col("below") + (F.col("above") - F.col("below")) * (at - low)
+    return counts.where((low >= F.col("c")) | ((low + 1 == F.col("c")) & (between > limit))).select(*groups)

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions.instants import with_instant
 from tidewatch.functions.keys import store_key, target_key
-from tidewatch.operators import coverage
+from tidewatch.operators import coverage, quantiles
+from tidewatch.operators.compaction import compact, copy_pairs
 from tidewatch.operators.eager_aggregate import Measure, eager_join_aggregate, hot_keys, once, roll_up
+from tidewatch.session import written
 from tidewatch.sources.tables import table
 
 HOT_SHARE = 0.02
@@ -97,7 +99,49 @@ def p3_periods(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("server", "store_id", _seconds("period_start").alias("period_start_s"), _seconds("period_end").alias("period_end_s"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_key_results, p1_rollup, p2_found, p2_instants, p3_found, p3_periods)}
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    done = compact(table(spark, folder, "log_files").select("file_id", "content"), "file_id", "content")
+    return copy_pairs(done.members)
+
+
+def p4_records(spark: SparkSession, folder: str) -> DataFrame:
+    """The consolidated records with the file each was kept from."""
+    return compact(table(spark, folder, "log_files").select("file_id", "content"), "file_id", "content").records
+
+
+LIMITS = {50: (0.5, 3_600.0), 95: (0.95, 21_600.0)}
+LEAST_DURATIONS = 20
+
+
+def _durations(spark: SparkSession, folder: str) -> DataFrame:
+    """(store_id, server, day, duration_s) of usable durations, each span_id once."""
+    rows = table(spark, folder, "outage_spans").where("store_duration_s > 0 and store_duration_s < 604800")
+    rows = rows.select("span_id", "server", store_key(F.col("store_id")).alias("store_id"), F.to_date("store_last_disconnect").alias("day"), F.col("store_duration_s").alias("duration_s"))
+    return rows.where("store_id is not null").dropDuplicates(["span_id"]).drop("span_id")
+
+
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    """From the merged states; a store whose bounds lie on both sides of the limit is settled by an exact check."""
+    rows = _durations(spark, folder)
+    states = quantiles.merged(quantiles.states(rows, ["store_id"], "duration_s"), ["store_id"])
+    found = written(quantiles.quantiles(states, ["store_id"], {f"p{pct}": p for pct, (p, _) in LIMITS.items()}).where(F.col("n") >= LEAST_DURATIONS), "percentiles")
+    out = None
+    for pct, (p, limit) in LIMITS.items():
+        sure = found.where(F.col(f"p{pct}_low") > limit).select("store_id")
+        open_ = found.where((F.col(f"p{pct}_low") <= limit) & (F.col(f"p{pct}_high") > limit)).select("store_id")
+        settled = quantiles.exceeds(rows.join(open_, "store_id", "left_semi"), ["store_id"], "duration_s", p, limit)
+        both = sure.unionByName(settled).select("store_id", F.lit(pct).alias("pct"))
+        out = both if out is None else out.unionByName(both)
+    return out
+
+
+def p6_percentiles(spark: SparkSession, folder: str) -> DataFrame:
+    """Percentiles by store and server from the states of single days, with their error in ranks."""
+    days = quantiles.states(_durations(spark, folder), ["store_id", "server", "day"], "duration_s")
+    return quantiles.quantiles(quantiles.merged(days, ["store_id", "server"]), ["store_id", "server"], {"p50": 0.5, "p95": 0.95})
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_key_results, p1_rollup, p2_found, p2_instants, p3_found, p3_periods, p4_found, p4_records, p6_found, p6_percentiles)}
 
 _STORE = "lpad(nullif(regexp_extract({0}, '(?:^|[^0-9])([0-9]{{4,5}})(?:$|[^0-9])', 1), ''), 5, '0')"
 _CTES = f"""
@@ -113,7 +157,19 @@ i AS (SELECT DISTINCT server, {_STORE.format('store_id')} AS store_id, epoch_us(
 v AS (SELECT * FROM i WHERE server IS NOT NULL AND store_id IS NOT NULL AND s IS NOT NULL AND e > s),
 b AS (SELECT *, max(e) OVER (PARTITION BY server, store_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p FROM v)"""
 
+_FILES = """
+f AS (SELECT file_id, min(list_filter(regexp_split_to_array(regexp_replace(content, '^\ufeff', ''), '\\r\\n|\\n|\\r'), lambda x: regexp_matches(x, '\\S'))) AS r
+  FROM log_files WHERE content IS NOT NULL GROUP BY file_id),
+g AS (SELECT file_id, r, min(file_id) OVER (PARTITION BY r) AS kept FROM f WHERE len(r) > 0)"""
+
+_DURATIONS = f"""
+u AS (SELECT span_id, min({_STORE.format('store_id')}) AS store_id, min(store_duration_s) AS v FROM outage_spans WHERE store_duration_s > 0 AND store_duration_s < 604800 GROUP BY span_id),
+q AS (SELECT store_id, quantile_cont(v, 0.5) AS p50, quantile_cont(v, 0.95) AS p95 FROM u WHERE store_id IS NOT NULL GROUP BY store_id HAVING count(*) >= 20)"""
+
 SQL = {
+    "p6_found": f"WITH {_DURATIONS} SELECT store_id, 50 AS pct FROM q WHERE p50 > 3600 UNION ALL SELECT store_id, 95 FROM q WHERE p95 > 21600",
+    "p4_found": f"WITH {_FILES} SELECT a.file_id AS file_a, b.file_id AS file_b FROM g a JOIN g b ON a.r = b.r AND a.file_id < b.file_id",
+    "p4_records": f"WITH {_FILES} SELECT file_id, CAST(unnest(range(len(r))) AS INTEGER) AS seq, unnest(r) AS record FROM g WHERE file_id = kept",
     "p1_found": f"""WITH {_CTES}
 SELECT 'store_disconnects' AS field, key AS hot_key FROM dn WHERE n >= 0.02 * (SELECT sum(n) FROM dn)
 UNION ALL SELECT 'target', key FROM rn WHERE n >= 0.02 * (SELECT sum(n) FROM rn)""",
