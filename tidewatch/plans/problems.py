@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions.instants import with_instant
 from tidewatch.functions.keys import store_key, target_key
-from tidewatch.operators import coverage, quantiles
+from tidewatch.operators import coverage, log_entries, quantiles
 from tidewatch.operators.compaction import compact, copy_pairs
 from tidewatch.operators.eager_aggregate import Measure, eager_join_aggregate, hot_keys, once, roll_up
 from tidewatch.session import written
@@ -109,6 +109,15 @@ def p4_records(spark: SparkSession, folder: str) -> DataFrame:
     return compact(table(spark, folder, "log_files").select("file_id", "content"), "file_id", "content").records
 
 
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    found = log_entries.entries(table(spark, folder, "log_lines"))
+    return found.where("level in ('error', 'fatal') and store_id is not null").select("server", "file", "first_line", "last_line", "store_id")
+
+
+def p5_entries(spark: SparkSession, folder: str) -> DataFrame:
+    return log_entries.entries(table(spark, folder, "log_lines"))
+
+
 LIMITS = {50: (0.5, 3_600.0), 95: (0.95, 21_600.0)}
 LEAST_DURATIONS = 20
 
@@ -141,7 +150,7 @@ def p6_percentiles(spark: SparkSession, folder: str) -> DataFrame:
     return quantiles.quantiles(quantiles.merged(days, ["store_id", "server"]), ["store_id", "server"], {"p50": 0.5, "p95": 0.95})
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_key_results, p1_rollup, p2_found, p2_instants, p3_found, p3_periods, p4_found, p4_records, p6_found, p6_percentiles)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_key_results, p1_rollup, p2_found, p2_instants, p3_found, p3_periods, p4_found, p4_records, p5_found, p5_entries, p6_found, p6_percentiles)}
 
 _STORE = "lpad(nullif(regexp_extract({0}, '(?:^|[^0-9])([0-9]{{4,5}})(?:$|[^0-9])', 1), ''), 5, '0')"
 _CTES = f"""
