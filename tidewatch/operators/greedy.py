@@ -14,26 +14,23 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewatch.operators.sticky import sliced_lag
 
-def sessions(df: DataFrame, keys: Sequence[str], at: str, tie: str, width: int, slices: int | None = None) -> DataFrame:
-    """df with `session`, the start of its run of rows no two neighbours of which are more than width apart.
 
-    Without keys the rows are compared within time slices of slices*width, and runs are joined over the slices' edges, so
-    that the order over all rows isn't one task's.
+def sessions(df: DataFrame, keys: Sequence[str], at: str, tie: str, width: int, slices: int = 512) -> DataFrame:
+    """df with `session`, the start of its run of rows no two neighbours of which are more than width apart, by keys or over all.
+
+    Rows are compared within time slices of slices*width and runs carried over their edges: no key's order, nor that over
+    all rows, is one task's.
     """
-    if keys:
-        order = Window.partitionBy(*keys).orderBy(at, tie)
-        starts = df.withColumn("_new", F.when(F.col(at) - F.lag(at).over(order) <= width, None).otherwise(F.col(at)))
-        return starts.withColumn("session", F.last("_new", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
-    span = width * (slices or 512)
-    sliced = df.withColumn("_slice", F.floor(F.col(at) / span))
-    order = Window.partitionBy("_slice").orderBy(at, tie)
-    edges = sliced.groupBy("_slice").agg(F.min(at).alias("_first"), F.max(at).alias("_last"))
-    edges = edges.select("_slice", F.lag("_last").over(Window.partitionBy().orderBy("_slice")).alias("_prior"))
-    marked = sliced.join(edges, "_slice").withColumn("_new", F.when(F.col(at) - F.coalesce(F.lag(at).over(order), F.col("_prior")) <= width, None).otherwise(F.col(at)))
-    within = marked.withColumn("session", F.last("_new", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    last = within.groupBy("_slice").agg(F.max("session").alias("_s")).select("_slice", F.max("_s").over(Window.partitionBy().orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)).alias("_carried"))
-    return within.join(last, "_slice").withColumn("session", F.coalesce("session", "_carried")).drop("_slice", "_new", "_prior", "_carried")
+    span = width * slices
+    before = sliced_lag(df, keys, at, tie, {"_at": at}, span)
+    marked = before.withColumn("_new", F.when(F.col(at) - F.col("_at") <= width, None).otherwise(F.col(at))).withColumn("_slice", F.floor(F.col(at) / span))
+    order = Window.partitionBy(*keys, "_slice").orderBy(at, tie).rowsBetween(Window.unboundedPreceding, 0)
+    within = marked.withColumn("session", F.max("_new").over(order))
+    earlier = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    last = marked.groupBy(*keys, "_slice").agg(F.max("_new").alias("_n")).select(*keys, "_slice", F.max("_n").over(earlier).alias("_carried"))
+    return within.join(last, [*keys, "_slice"]).withColumn("session", F.coalesce("session", "_carried")).drop("_slice", "_new", "_at", "_carried")
 
 
 def bursts(df: DataFrame, key: str, at: str, width: int, least: int) -> DataFrame:
@@ -51,7 +48,7 @@ def bursts(df: DataFrame, key: str, at: str, width: int, least: int) -> DataFram
                 i += 1
         return pd.DataFrame(out, columns=[key, "start", "end", "count"])
 
-    found = sessions(df.select(key, at, F.lit(0).alias("_tie")), [key], at, "_tie", width)
+    found = sessions(df.select(key, at, F.monotonically_increasing_id().alias("_tie")), [key], at, "_tie", width)
     return found.groupBy(key, "session").applyInPandas(scan, f"{key} string, start bigint, end bigint, count bigint")
 
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-WEEK_S = 604_800
+from tidewatch.operators.sticky import sliced_lag
+
+DAY_S, WEEK_S = 86_400, 604_800
 BUCKETS = (("<1m", 60), ("1-5m", 300), ("5-15m", 900), ("15-60m", 3_600), ("1-4h", 14_400))
 
 
@@ -14,8 +16,8 @@ def pairs(rows: DataFrame, key: str = "store_id", at: str = "sec", tie: str = "e
 
     Of disconnects and reconnects only, a reconnect right after a disconnect is the closing one.
     """
-    order = Window.partitionBy(key).orderBy(at, tie)
-    seen = rows.where("kind is not null").select(key, at, tie, "kind", F.lag("kind").over(order).alias("_k"), F.lag(at).over(order).alias("down"))
+    kinds = rows.where("kind is not null").select(key, at, tie, "kind")
+    seen = sliced_lag(kinds, [key], at, tie, {"_k": "kind", "down": at}, DAY_S)
     closed = seen.where("kind = 'reconnect' and _k = 'disconnect'").select(key, "down", F.col(at).alias("up"), (F.col(at) - F.col("down")).alias("duration"))
     return closed.where((F.col("duration") > 0) & (F.col("duration") < WEEK_S))
 

@@ -23,3 +23,21 @@ def carry_forward(df: DataFrame, file: str, order: str, columns: Sequence[str],
     before = seen.groupBy(file, "_b").agg(*[F.max(c).alias(c) for c in columns]).select(file, "_b", *[F.max(c).over(earlier).alias(f"_{c}") for c in columns])
     running = seen.select(*kept, "_b", *[F.max(c).over(within).alias(c) for c in columns]).join(before, [file, "_b"])
     return running.select(*kept, *[F.coalesce(F.col(c)["v"], F.col(f"_{c}")["v"]).alias(c) for c in columns])
+
+
+def sliced_lag(df: DataFrame, keys: Sequence[str], at: str, tie: str, columns: dict[str, str], width: int) -> DataFrame:
+    """df with columns (new name -> old) of the row before, by keys in the order of (at, tie); null in a key's first row.
+
+    A key's rows are compared within time slices of width; the last row of the slice before is carried over the edge. So
+    neither a key with a third of all rows nor, without keys, the whole table is sorted by one task.
+    """
+    if tie == at or not columns:
+        raise ValueError("an order needs a tie-break and columns")
+    sliced = df.withColumn("_slice", F.floor(F.col(at) / width))
+    row = F.struct(*[F.col(old).alias(new) for new, old in columns.items()])
+    by_key = Window.partitionBy(*keys).orderBy("_slice")
+    last = sliced.groupBy(*keys, "_slice").agg(F.max_by(row, F.struct(at, tie)).alias("_r")).select(*keys, "_slice", F.lag("_r").over(by_key).alias("_carried"))
+    within = F.lag(row).over(Window.partitionBy(*keys, "_slice").orderBy(at, tie))
+    joined = sliced.withColumn("_before", within).join(last, [*keys, "_slice"])
+    joined = joined.withColumn("_before", F.coalesce("_before", "_carried"))
+    return joined.select(*df.columns, *[F.col("_before")[new].alias(new) for new in columns])

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.operators import greedy, outages
 from tidewatch.operators.parse import dominant
+from tidewatch.operators.sticky import sliced_lag
 from tidewatch.sources.incidents import INCIDENTS, hour_of, incidents
 
 def _n():
@@ -114,8 +115,8 @@ def outage_buckets(spark, folder):
 
 
 def interarrival_features(spark, folder):
-    order = Window.partitionBy("store_id").orderBy("sec", "event_id")
-    gap = incidents(spark, folder).withColumn("gap", F.col("sec") - F.lag("sec").over(order))
+    before = sliced_lag(incidents(spark, folder).select("store_id", "sec", "event_id"), ["store_id"], "sec", "event_id", {"before": "sec"}, 86_400)
+    gap = before.withColumn("gap", F.col("sec") - F.col("before"))
     return gap.where("gap is not null").groupBy("store_id").agg(F.round(F.avg("gap"), 6).alias("mean_gap"), F.min("gap").alias("least_gap"), F.round(F.avg((F.col("gap") < 3600).cast("int")), 6).alias("burst_score"))
 
 
