@@ -87,10 +87,10 @@ def _boundaries(m: _Measured, cells: Sequence[int] | None) -> tuple[np.ndarray,
     at = np.array(sorted(found), dtype=np.int64)
     tokens = m.upto[np.searchsorted(m.chars, at, side="left")]
     for k in np.flatnonzero(np.diff(m.upto) > 16).tolist():
-        exact = dict(m.inside(k))
+        inner = m.inside(k)
+        chars, upto = np.array([c for c, _ in inner] + [m.chars[k + 1]]), np.array([t for _, t in inner] + [m.upto[k + 1]])
         low, high = np.searchsorted(at, [m.chars[k] + 1, m.chars[k + 1]])
-        for i in range(low, high):
-            tokens[i] = exact.get(int(at[i]), tokens[i])
+        tokens[low:high] = upto[np.searchsorted(chars, at[low:high], side="left")]
     return at, tokens, np.array([found[c] for c in at.tolist()], dtype=np.int64)
 
 
