@@ -124,24 +124,22 @@ def states(df: DataFrame, groups: Sequence[str], value: str, k: int = BUFFER) ->
 def merged(found: DataFrame, groups: Sequence[str], fan_in: int = 64, k: int = BUFFER) -> DataFrame:
     """States by groups (a subset of the states' columns), merged as a tree: fan_in branches for each group first, then these.
 
-    A task sees a group's states one batch at a time and keeps one state, so many states of a hot group fit.
+    A task streams through its states and keeps one for each of its groups, so the many states of a hot group fit.
     """
     groups = list(groups)
 
-    def run(key: tuple, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = Sketch(k)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        made: dict = {}
         for batch in batches:
-            for row in batch[COLUMNS].itertuples(index=False):
-                total.merge(*row)
-        yield _frame({tuple(key[: len(groups)]): total}, groups)
-
-    def per_group(key, pdf):
-        return next(run(key, iter([pdf])))
+            for row in batch.itertuples(index=False):
+                key = tuple(None if not isinstance(x, str) and pd.isna(x) else x for x in row[: len(groups)])
+                made.setdefault(key, Sketch(k)).merge(*row[len(groups) :])
+        yield _frame(made, groups)
 
-    schema = _schema(found, groups)
-    branch = found.withColumn("_branch", F.pmod(F.xxhash64("n", "least", "most", "levels", "error"), F.lit(fan_in)))
-    several = branch.groupBy(*groups, "_branch").applyInPandas(per_group, schema)
-    return several.groupBy(*groups).applyInPandas(per_group, schema)
+    schema, tasks = _schema(found, groups), int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    branch = F.pmod(F.xxhash64("n", "least", "most", "levels", "error"), F.lit(fan_in))
+    several = found.withColumn("_branch", branch).repartition(tasks, *groups, "_branch").select(*groups, *COLUMNS).mapInPandas(run, schema)
+    return several.repartition(tasks, *groups).mapInPandas(run, schema)
 
 
 def quantiles(found: DataFrame, groups: Sequence[str], ps: dict[str, float]) -> DataFrame:
