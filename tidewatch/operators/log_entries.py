@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from tidewatch.functions.classify import error_category
 from tidewatch.functions.instants import with_instant
 from tidewatch.functions.keys import store_in_line
+from tidewatch.session import written
 
 DEPTH, SIMILAR, BLOCK = 3, 0.5, 20_000
 HEAD = 8  # the tokens among which an instant and a level count as in front of the message
@@ -53,13 +54,16 @@ def _glued(line: Column) -> Column:
     return F.regexp_replace(text, r"^(\[?\d{4}-\d{2}-\d{2}) (\d{2}:\d{2}:\d{2})", f"$1{_GLUE}$2")
 
 
-def _masked(glued: Column) -> Column:
-    """Variables as <T> (instant), <L> (level), <P> (priority) and <*> (anything with a digit); tokens stay where they are."""
+def _timed(glued: Column) -> Column:
+    """Instants as <T> and a priority as <P>; tokens stay where they are."""
     text = F.regexp_replace(glued, r"^<\d{1,3}>(?= )", "<P>")
-    text = F.regexp_replace(text, "|".join((_ISO, _CLF, _SYSLOG, _EPOCH, _CLOCK)), "<T>")
-    text = F.regexp_replace(text, r"\[[TDINWECF]\]", "[<L>]")
-    text = F.regexp_replace(text, _LEVEL, "<L>")
-    return F.regexp_replace(text, r"[\w.]*\d[\w.]*", "<*>")
+    return F.regexp_replace(text, "|".join((_ISO, _CLF, _SYSLOG, _EPOCH, _CLOCK)), "<T>")
+
+
+def _masked(timed: Column) -> Column:
+    """Levels as <L> and anything with a digit as <*>, of lines with an instant; others begin no entry and are null."""
+    rest = F.regexp_replace(F.regexp_replace(timed, r"\[[TDINWECF]\]", "[<L>]"), _LEVEL, "<L>")
+    return F.when(timed.contains("<T>"), F.regexp_replace(rest, r"[\w.]*\d[\w.]*", "<*>"))
 
 
 _COMPONENT_KEY = re.compile(r'^[{\[]?"?(?:component|logger|comp|module|source)"?[:=]')
@@ -137,19 +141,23 @@ def _leaf(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def template_map(lines: DataFrame) -> DataFrame:
-    """Of the masked lines (glued, masked, low, high) those that begin entries, with their template and its positions."""
-    counted = lines.where("masked like '%<T>%'").groupBy("low", "high", "masked").agg(F.count(F.lit(1)).alias("n"))
+    """Of the masked lines (masked, low, high) those that begin entries, with their template and its positions."""
+    counted = lines.where("masked is not null").groupBy("low", "high", "masked").agg(F.count(F.lit(1)).alias("n"))
     tokens = F.split("masked", " ")
     routed = counted.withColumn("_n", F.size(tokens)).withColumn("_lead", F.array_join(F.slice(tokens, 1, DEPTH), " "))
     return routed.groupBy("_n", "_lead").applyInPandas(lambda pdf: _leaf(pdf), _MAP)
 
 
 def masked_lines(lines: DataFrame) -> DataFrame:
-    """server, file, line_no, line with glued, masked and the masked line's digest in two halves; each (file, line_no) once."""
+    """server, file, line_no, line, each (file, line_no) once, with masked and its digest in two halves, null for lines without
+    an instant. Written once: masking costs more than reading it again."""
     one = lines.where("file is not null and line_no is not null").groupBy("file", "line_no").agg(F.min("server").alias("server"), F.min("line").alias("line"))
-    text = one.withColumn("line", F.coalesce("line", F.lit(""))).withColumn("glued", _glued(F.col("line")))
-    text = text.withColumn("masked", _masked(F.col("glued")))
-    return text.withColumn("low", F.xxhash64("masked")).withColumn("high", F.xxhash64(F.lit(7), "masked"))
+    # explode: each step takes the last one's text as it is instead of making it again
+    step = one.withColumn("line", F.coalesce("line", F.lit(""))).select("*", F.explode(F.array(_glued(F.col("line")))).alias("_g"))
+    step = step.select("server", "file", "line_no", "line", F.explode(F.array(_timed(F.col("_g")))).alias("_t"))
+    step = step.select("server", "file", "line_no", "line", F.explode(F.array(_masked(F.col("_t")))).alias("masked"))
+    low, high = F.xxhash64("masked"), F.xxhash64(F.lit(7), "masked")
+    return written(step.select("*", *[F.when(F.col("masked").isNotNull(), x).alias(n) for n, x in (("low", low), ("high", high))]), "masked")
 
 
 def entries(lines: DataFrame) -> DataFrame:
@@ -163,10 +171,12 @@ def entries(lines: DataFrame) -> DataFrame:
     """
     text = masked_lines(lines)
     heads = template_map(text)
-    stripped = F.regexp_replace("glued", r"(?U)^\s+|\s+$", "")
-    star = stripped.startswith("*")
-    found = text.join(heads, ["low", "high"], "left")
-    found = found.select("server", "file", "line_no", "line", "glued", "at_time", "at_level", "at_component", "at_message", star.alias("star"), (stripped == "").alias("blank"), F.expr(f"line_no div {BLOCK}").alias("block"))
+    star, blank = F.col("line").rlike(r"(?U)^[﻿\s]*\*"), ~F.col("line").rlike(r"(?U)[^﻿\s]")
+    cols = ["server", "file", "line_no", "line", star.alias("star"), blank.alias("blank"), F.expr(f"line_no div {BLOCK}").alias("block")]
+    places = ["at_time", "at_level", "at_component", "at_message"]
+    # lines without an instant, perhaps most, don't go through the join
+    found = text.where("low is not null").join(heads, ["low", "high"], "left").select(*cols, *places)
+    found = found.unionByName(text.where("low is null").select(*cols, *[F.lit(None).cast("int").alias(p) for p in places]))
     code = F.when(F.col("star"), F.col("line_no") * 2).when(F.col("at_time").isNotNull(), F.col("line_no") * 2 + 1)
     day = F.when(F.col("star"), F.regexp_extract("line", r"[Dd]ate (\d{4}-\d{2}-\d{2})", 1))
     zone = F.when(F.col("star"), F.regexp_extract("line", r"Zone=(\S+)", 1))
@@ -182,6 +192,7 @@ def entries(lines: DataFrame) -> DataFrame:
     owned = running.select("*", owner.alias("_o"), F.coalesce("_d.said", "_db.said").alias("log_day"), F.coalesce("_z.said", "_zb.said").alias("log_zone")).where("_o % 2 = 1 and not star")
     owned = owned.withColumn("first_line", F.expr("_o div 2"))
     is_head = F.col("line_no") == F.col("first_line")
+    owned = owned.select("*", F.explode(F.array(F.when(is_head, _glued(F.col("line"))))).alias("glued"))
     tokens = F.split("glued", " ")
     token = lambda c: F.get(tokens, F.col(c))
     fields = owned.select(
