@@ -30,7 +30,9 @@ TEXTS = [
 def test_same_ids(theirs):
     e = bpe.Encoder()
     rnd = random.Random(1)
-    more = ["".join(rnd.choice("ab =-_zé\n0") for _ in range(rnd.randint(1, 150))) for _ in range(400)]
+    more = ["a\x1cb \x1d\x1e \x85 \xa0x\u2028\n\u3000", "a\n é\nb \nc\n\nd\r\n…e\nf"]
+    more += ["".join(rnd.choice(["ab ", "\n", "x9", " ", "\r\n", "é", "…\n", "\x1f", "'s", "_-"]) for _ in range(rnd.randint(1, 120))) for _ in range(600)]
+    more += ["".join(rnd.choice("ab =-_zé\n0") for _ in range(rnd.randint(1, 150))) for _ in range(400)]
     for t in TEXTS + more:
         assert e.encode(t) == theirs.encode_ordinary(t)
     assert e.encode(None) == []

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
+from contextlib import contextmanager
 from itertools import chain
 
 import numpy as np
@@ -11,7 +13,7 @@ from pyspark.sql import DataFrame
 
 from tidewatch.llm.bpe import VOCABULARY, encoder
 
-TEXTS_AT_ONCE = 128
+TEXTS_AT_ONCE = 512
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -20,6 +22,16 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.slice(at, TEXTS_AT_ONCE)
 
 
+@contextmanager
+def _uncollected() -> Iterator[None]:
+    """Without Python's cycle collector, which finds nothing among millions of strings and lists of numbers, but looks."""
+    gc.disable()
+    try:
+        yield
+    finally:
+        gc.enable()
+
+
 def token_ids(df: DataFrame, key: str, text: str, vocabulary: str = VOCABULARY) -> DataFrame:
     """(key, ids array<int>): one row for each row of df, the ids without special tokens. A null and an empty text have the
     empty list; so has no other text. Whole texts are encoded; strings that look like special tokens are ordinary text.
@@ -28,11 +40,12 @@ def token_ids(df: DataFrame, key: str, text: str, vocabulary: str = VOCABULARY)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(vocabulary)
         for batch in _chunks(batches):
-            found = e.words(batch.column(1).to_pylist())
-            of = e.known.__getitem__
-            each = [list(chain.from_iterable(map(of, w))) for w in found]
-            ends = np.cumsum([0, *map(len, each)], dtype=np.int32)
-            flat = np.fromiter(chain.from_iterable(each), dtype=np.int32, count=int(ends[-1]))
+            with _uncollected():
+                found = e.words(batch.column(1).to_pylist())
+                of = e.known.__getitem__
+                each = [list(chain.from_iterable(map(of, w))) for w in found]
+                ends = np.cumsum([0, *map(len, each)], dtype=np.int32)
+                flat = np.fromiter(chain.from_iterable(each), dtype=np.int32, count=int(ends[-1]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=[key, "ids"])
 
     return df.select(key, text).mapInArrow(run, f"`{key}` {dict(df.dtypes)[key]}, ids array<int>")
@@ -45,9 +58,11 @@ def token_counts(df: DataFrame, text: str, keep: list[str], vocabulary: str = VO
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(vocabulary)
         for batch in _chunks(batches):
-            found = e.words(batch.column(batch.num_columns - 1).to_pylist())
-            known = e.known
-            counts = [sum([len(known[w]) for w in words]) for words in found]
+            with _uncollected():
+                found = e.words(batch.column(batch.num_columns - 1).to_pylist())
+                length = {w: len(e.known[w]) for w in set(chain.from_iterable(found))}.__getitem__
+                of = e.known.__getitem__
+                counts = [sum(map(len, map(of, words))) for words in found]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(counts, pa.int64())], names=[*keep, "n_tokens"])
 
     schema = ", ".join([*(f"`{k}` {kinds[k]}" for k in keep), "n_tokens bigint"])

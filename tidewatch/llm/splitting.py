@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame
 
 from tidewatch.llm.bpe import VOCABULARY, Encoder, encoder
 
+TEXTS_AT_ONCE = 128
+
 LIMIT, OVERLAP = 2_048, 128
 NEAR = 0.25  # of a piece's length: how far from its target a boundary may lie
 CELL, PARAGRAPH, LINE, SENTENCE, WORD, ANY = 5, 4, 3, 2, 1, 0
@@ -27,9 +29,8 @@ _NATURAL = ((PARAGRAPH, re.compile(r"(?:\r?\n[ \t]*){2,}")), (LINE, re.compile(r
 class _Measured:
     """A text's words with running sums of characters and tokens."""
 
-    def __init__(self, text: str, e: Encoder):
+    def __init__(self, text: str, e: Encoder, words: list[str]):
         self.text = text
-        words = e.words([text])[0]
         self.tokens = [e.known[w] for w in words]
         self.chars = np.fromiter(accumulate(map(len, words), initial=0), dtype=np.int64, count=len(words) + 1)
         self.upto = np.fromiter(accumulate(map(len, self.tokens), initial=0), dtype=np.int64, count=len(words) + 1)
@@ -117,13 +118,13 @@ def _cuts(m: _Measured, n: int, limit: int, overlap: int, at: np.ndarray, tokens
     return cuts
 
 
-def split_text(text: str | None, cells: Sequence[int] | None = None, limit: int = LIMIT, overlap: int = OVERLAP, e: Encoder | None = None) -> list[tuple[int, int, int]]:
+def split_text(text: str | None, cells: Sequence[int] | None = None, limit: int = LIMIT, overlap: int = OVERLAP, e: Encoder | None = None, words: list[str] | None = None) -> list[tuple[int, int, int]]:
     """(start, end, tokens) of each piece, in characters. A text of at most limit tokens is one piece, so are null and empty ones
     (0, 0, 0). Each further piece begins `overlap` tokens of the text before the cut (more where a character spans tokens)."""
     if not text:
         return [(0, 0, 0)]
     e = e or encoder()
-    m = _Measured(text, e)
+    m = _Measured(text, e, e.words([text])[0] if words is None else words)
     if m.total <= limit:
         return [(0, len(text), m.total)]
     at, tokens, strength = _boundaries(m, cells)
@@ -149,16 +150,21 @@ def pieces(df: DataFrame, key: str, text: str, cells: str | None, limit: int = L
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         e = encoder(vocabulary)
-        for batch in batches:
+        for at, batch in ((at, b) for b in batches for at in range(0, len(b), TEXTS_AT_ONCE)):
             out = []
-            for row in batch.itertuples(index=False):
-                body = row[1] if isinstance(row[1], str) else None
-                starts = row[2] if cells and row[2] is not None else None
-                if body and not with_text and len(body.encode("utf-8")) <= limit:
+            some = batch.iloc[at : at + TEXTS_AT_ONCE]
+            bodies = [x if isinstance(x, str) else None for x in some[text]]
+            short = [not with_text and x is not None and (len(x) <= limit and len(x.encode("utf-8")) <= limit) for x in bodies]
+            words = e.words([None if s else x for x, s in zip(bodies, short, strict=True)])  # learnt together
+            marks = some[cells] if cells else [None] * len(some)
+            for name, body, plain, found_words, starts in zip(some[key], bodies, short, words, marks, strict=True):
+                if plain:
                     found = [(0, len(body), None)]
                 else:
-                    found = split_text(body, None if starts is None else list(starts), limit, overlap, e)
-                out.extend((row[0], k, len(found), a, b, t, body[a:b] if with_text and body is not None else None) for k, (a, b, t) in enumerate(found))
+                    # a later text may have made the encoder begin anew
+                    known = all(w in e.known for w in found_words)
+                    found = split_text(body, None if starts is None else list(starts), limit, overlap, e, found_words if known else None)
+                out.extend((name, k, len(found), a, b, t, body[a:b] if with_text and body is not None else None) for k, (a, b, t) in enumerate(found))
             made = pd.DataFrame(out, columns=[key, "piece_no", "n_pieces", "start_char", "end_char", "n_tokens", "piece"])
             yield made.astype({"n_tokens": "Int64"})
 
