@@ -1,6 +1,7 @@
 """The battery on lines and on health rows."""
 
 from tidewatch import analysis
+from tidewatch.session import clear_written, written
 
 
 def test_battery_on_lines(spark):
@@ -27,3 +28,8 @@ def test_health(spark):
     df = spark.createDataFrame(rows, "source_entity string, event_timestamp string, health_event string, machine string")
     got = analysis.incidents_from_health(df).collect()
     assert [(r.store_id, str(r.ts)) for r in got] == [("02291", "2025-02-03 10:00:00")]
+
+
+def test_written_tables_are_cleared(spark):
+    t = written(spark.range(5).toDF("n"), "t")
+    assert t.count() == 5 and clear_written(spark) >= 1 and clear_written(spark) == 0

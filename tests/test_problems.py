@@ -1,7 +1,9 @@
 """The core operators on small cases: nulls, empty tables, ties, repeated rows, clashing names, and brute force."""
 
 import random
-from datetime import datetime, timezone
+import re
+from datetime import datetime, timedelta, timezone
+from zoneinfo import ZoneInfo
 
 import pytest
 from pyspark.sql import functions as F
@@ -12,6 +14,7 @@ from tidewatch.operators import coverage, quantiles
 from tidewatch.operators.compaction import compact, copy_pairs
 from tidewatch.operators.eager_aggregate import Measure, eager_join_aggregate, hot_keys, once
 from tidewatch.operators.log_entries import entries
+from tidewatch.plans import problems
 
 
 def rows(df):
@@ -138,3 +141,47 @@ def test_quantiles(spark):
     exact = usable.groupBy("g").agg(F.percentile("v", 0.95).alias("q")).where("q > 940").select("g")
     assert rows(quantiles.exceeds(usable, ["g"], "v", 0.95, 940.0)) == rows(exact)
     assert quantiles.states(df.limit(0), ["g"], "v").count() == 0
+
+
+def _brute_instant(text, zone):
+    """By the standard library: None for no or no single instant. Only the forms of the test tables."""
+    own = {"PST": -8, "PDT": -7, "MST": -7, "CST": -6, "CDT": -5, "EST": -5, "EDT": -4, "GMT": 0, "UTC": 0, "CET": 1, "CEST": 2, "BST": 1, "IST": 5.5}
+    text = (text or "").strip()
+
+    def local(naive, name):
+        if name is None:
+            return None
+        both = {naive.replace(tzinfo=ZoneInfo(name), fold=f).astimezone(timezone.utc) for f in (0, 1)}
+        fits = {x for x in both if x.astimezone(ZoneInfo(name)).replace(tzinfo=None) == naive}
+        return fits.pop() if len(fits) == 1 else None
+
+    if re.fullmatch(r"\d{10}|\d{13}", text):
+        return datetime.fromtimestamp(0, timezone.utc) + timedelta(milliseconds=int(text) * (1000 if len(text) == 10 else 1))
+    if re.fullmatch(r"\d{5}\.\d+", text):
+        return local(datetime(1899, 12, 30) + timedelta(milliseconds=round(float(text) * 86_400_000)), zone)
+    for form in ("%Y-%m-%dT%H:%M:%S.%f%z", "%Y-%m-%dT%H:%M:%S,%f%z", "%Y%m%dT%H%M%S%z", "%a, %d %b %Y %H:%M:%S %z", "%Y-%m-%dT%H:%M:%S%z", "%Y-%m-%d %H:%M:%S%z"):
+        try:
+            return datetime.strptime(text, form).astimezone(timezone.utc)
+        except ValueError:
+            pass
+    head, _, tail = text.rpartition(" ")
+    for t, form in ((head, "%Y-%m-%dT%H:%M:%S.%f"), (head, "%d-%b-%Y %H:%M:%S"), (text, "%Y-%m-%d %H:%M:%S"), (text, "%m/%d/%Y %I:%M:%S %p"), (text, "%d.%m.%Y %H:%M:%S")):
+        try:
+            naive = datetime.strptime(t, form)
+        except ValueError:
+            continue
+        if t is text:
+            return local(naive, zone)
+        return (naive - timedelta(hours=own[tail])).replace(tzinfo=timezone.utc) if tail in own else local(naive, tail)
+    return None
+
+
+@pytest.mark.parametrize(("name", "column", "key"), [("conn_events", "timestamp_raw", "event_id"), ("health_events", "event_timestamp", "health_id")])
+def test_instants_of_a_table(spark, name, column, key):
+    folder = "/root/testdata/sf0.001"
+    zones = {r.machine: r.tz_name for r in spark.read.parquet(f"{folder}/machines.parquet").collect()}
+    find = problems.conn_instants if name == "conn_events" else problems.health_instants
+    for r in find(spark, folder).collect():
+        want = _brute_instant(r[column], zones.get(r.machine))
+        got = None if r.instant_us is None else datetime.fromtimestamp(0, timezone.utc) + timedelta(microseconds=r.instant_us)
+        assert got == want, (r[column], r.machine)

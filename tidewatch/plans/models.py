@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidewatch.operators import features, learning, outliers, parse, series
-from tidewatch.plans.lines import _events
+from tidewatch.plans.lines import _PARSED, _events
 from tidewatch.plans.rollups import INC
 from tidewatch.sources.incidents import hour_of, incidents
 from tidewatch.sources.profile import analyzer_for, profile_files
@@ -234,4 +234,11 @@ q AS (SELECT cause, round(v / sum(v) OVER (), 6) AS probability FROM p) SELECT *
     "dataset_profile": """WITH f AS (SELECT DISTINCT ON (file_id) * FROM log_files ORDER BY file_id) SELECT server, CAST(sum(n_bytes) AS BIGINT) AS total_size_bytes, count(*) + count(DISTINCT container) AS total_files, count(*) FILTER (path LIKE '%.log') AS log_files,
 count(DISTINCT regexp_replace(container, '!/.*$', '')) AS zip_files, count(DISTINCT CASE WHEN contains(container, '!/') THEN container END) AS nested_zip_files, count(*) FILTER (content IS NULL) AS unreadable FROM f GROUP BY 1""",
 }
+_MSG = f"{_PARSED}, ms AS (SELECT left(t, 300) AS message, category, severity FROM e WHERE category IS NOT NULL)"
+SQL["tfidf_terms"] = f"WITH {_MSG}, w AS (SELECT rowid_, unnest(list_distinct(list_filter(regexp_split_to_array(lower(message), '[^a-z0-9_]+'), lambda x: x <> ''))) AS term FROM (SELECT *, row_number() OVER () AS rowid_ FROM ms)) SELECT term, count(*) AS documents FROM w GROUP BY 1 HAVING count(*) >= 2"
+SQL["eval_prf"] = f"""WITH {_MSG}, b AS (SELECT * FROM ms WHERE severity IS NOT NULL), u AS (SELECT severity, category AS said FROM b GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY severity ORDER BY count(*) DESC, category) = 1),
+j AS (SELECT category, said FROM b JOIN u USING (severity)), t AS (SELECT category AS label, count(*) AS support, count(*) FILTER (category = said) AS hit FROM j GROUP BY 1), pr AS (SELECT said AS label, count(*) AS said FROM j GROUP BY 1),
+m AS (SELECT label, support, coalesce(hit / nullif(said, 0), 0.0) AS precision, hit / support AS recall FROM t LEFT JOIN pr USING (label))
+SELECT label, round(precision, 6) AS precision, round(recall, 6) AS recall, round(coalesce(2 * precision * recall / nullif(precision + recall, 0), 0.0), 6) AS f1, support FROM m"""
+SQL["analyzer_choice"] = "SELECT * FROM (VALUES " + ", ".join(f"({a}::DOUBLE, {b}::INTEGER, {c}::DOUBLE, {d}::DOUBLE, '{e}')" for a, b, c, d, e in ((0.5, 100, 1.0, 8.0, "full"), (3.0, 600, 6.0, 32.0, "full"), (3.0, 600, 9.0, 1.0, "streaming"), (12.0, 900, 20.0, 64.0, "streaming"), (1.0, 20_000, 3.0, 64.0, "streaming"), (60.0, 10, 60.0, 64.0, "streaming"), (0.5, 100, 20.0, 4.0, "streaming"))) + ") v(size_gb, files, unpacked_gb, memory_gb, choice)"
 SQL["high_risk_stores"] = f"SELECT * FROM ({SQL['failure_probability']}) WHERE probability > 0.6 ORDER BY probability DESC, store_id LIMIT 15"

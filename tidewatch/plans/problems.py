@@ -175,7 +175,19 @@ _DURATIONS = f"""
 u AS (SELECT span_id, min({_STORE.format('store_id')}) AS store_id, min(store_duration_s) AS v FROM outage_spans WHERE store_duration_s > 0 AND store_duration_s < 604800 GROUP BY span_id),
 q AS (SELECT store_id, quantile_cont(v, 0.5) AS p50, quantile_cont(v, 0.95) AS p95 FROM u WHERE store_id IS NOT NULL GROUP BY store_id HAVING count(*) >= 20)"""
 
+_HEADS = {  # each program's first line, with its level
+    r"^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\S* \S+ \((\w+)\) ": "lower({x})", r'^\{"time": [^,]+, "level": "(\w+)"': "lower({x})", r"^ts=\S+ lvl=(\w+)": "lower({x})", r"^\d\d:\d\d:\d\d,\d+ \| (\w+) *\|": "lower({x})",
+    r"^<(\d+)>[A-Z][a-z]{2} +\d+ \d\d:": "CASE WHEN CAST({x} AS INTEGER) % 8 < 4 THEN 'error' ELSE 'less' END", r"^\[\d\d/[A-Z][a-z]{2}/\d{4}:\S+ \S+ \[\w+\] \[(\w)\]": "CASE WHEN {x} IN ('E', 'F', 'C') THEN 'error' ELSE 'less' END",
+}
+_ENTRIES = rf"""
+l AS (SELECT file, line_no, min(server) AS server, regexp_replace(coalesce(min(line), ''), '^{chr(0xFEFF)}|\r+$', '', 'g') AS t FROM log_lines GROUP BY file, line_no),
+h AS (SELECT *, regexp_matches(t, '^\s*\*') AS star, CASE {' '.join(f"WHEN regexp_matches(t, '{k}') THEN " + v.replace("{x}", f"regexp_extract(t, '{k}', 1)") for k, v in _HEADS.items())} END AS lv,
+  nullif(regexp_extract(t, '(?:^|[^A-Za-z])[Ss]tore(?:Id)?["''\s_:=-]{{0,6}}([0-9]{{4,5}})(?:[^0-9]|$)', 1), '') AS st FROM l),
+o AS (SELECT *, max(CASE WHEN star THEN line_no * 2 WHEN lv IS NOT NULL THEN line_no * 2 + 1 END) OVER (PARTITION BY file ORDER BY line_no ROWS UNBOUNDED PRECEDING) AS c FROM h),
+en AS (SELECT file, c // 2 AS first_line, min(server) AS server, max(line_no) FILTER (regexp_matches(t, '\S')) AS last_line, lpad(arg_min(st, line_no) FILTER (st IS NOT NULL), 5, '0') AS store_id, max(CASE WHEN line_no = c // 2 THEN lv END) AS lv FROM o WHERE c % 2 = 1 GROUP BY file, c)"""
+
 SQL = {
+    "p5_found": f"WITH {_ENTRIES} SELECT server, file, first_line, last_line, store_id FROM en WHERE lv IN ('error', 'err', 'fatal', 'critical', 'crit') AND store_id IS NOT NULL",
     "p6_found": f"WITH {_DURATIONS} SELECT store_id, 50 AS pct FROM q WHERE p50 > 3600 UNION ALL SELECT store_id, 95 FROM q WHERE p95 > 21600",
     "p4_found": f"WITH {_FILES} SELECT a.file_id AS file_a, b.file_id AS file_b FROM g a JOIN g b ON a.r = b.r AND a.file_id < b.file_id",
     "p4_records": f"WITH {_FILES} SELECT file_id, CAST(unnest(range(len(r))) AS INTEGER) AS seq, unnest(r) AS record FROM g WHERE file_id = kept",

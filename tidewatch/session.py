@@ -39,9 +39,22 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+_WRITTEN: list[str] = []
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """Write df once to the shared folder and return the table read back: a cut of the lineage that outlives executors."""
     spark = df.sparkSession
     path = fresh_path(spark, label)
+    _WRITTEN.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def clear_written(spark: SparkSession) -> int:
+    """Delete the tables that `written` has made in this process; to be called when their results are no longer used."""
+    configuration, n = spark._jsc.hadoopConfiguration(), 0
+    while _WRITTEN:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        n += bool(path.getFileSystem(configuration).delete(path, True))
+    return n
