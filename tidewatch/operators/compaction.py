@@ -25,7 +25,7 @@ class ChecksumError(RuntimeError):
 
 @dataclass(frozen=True)
 class Compacted:
-    """A committed consolidation: the records (file_id, seq, record) and the members (file_id, kept_file_id, n_records) of classes of copies."""
+    """A committed consolidation: the records (file_id, seq, record) and the members (file_id, kept_file_id) of classes of copies."""
 
     path: str
     records: DataFrame
@@ -46,9 +46,12 @@ def multiset_checksum(df: DataFrame) -> tuple:
     return tuple(None if x is None else str(x) for x in row)
 
 
-def file_classes(files: DataFrame, file_id: str, content: str) -> DataFrame:
-    """(file_id, records, n_records, kept_file_id): one row per readable file with a record. Files of equal records in equal
-    order have the same kept_file_id, the least of theirs; no file meets another, only their 256-bit digests do."""
+def file_classes(files: DataFrame, file_id: str, content: str) -> tuple[DataFrame, DataFrame]:
+    """Two tables of the readable files with a record: (file_id, digest, kept_file_id), one row each, and (file_id, records, digest).
+
+    Files of equal records in equal order have the same kept_file_id, the least of theirs; no file meets another, only their
+    256-bit digests do. Of a file_id with differing contents the least digest counts.
+    """
     one = files.select(F.col(file_id).alias("file_id"), records_of(F.col(content)).alias("records")).where("file_id is not null and size(records) > 0")
     one = one.withColumn("digest", F.sha2(F.concat_ws("\n", "records"), 256))
     ids = one.groupBy("file_id").agg(F.min("digest").alias("digest"))

@@ -32,13 +32,13 @@ def zscores(df: DataFrame, key: str, features: Sequence[str], limit: float = 3.0
 def spread_scores(df: DataFrame, key: str, features: Sequence[str]) -> DataFrame:
     """(key, score): 0.4 for a |z| over 3, 0.3 by the share of features beyond 1.5 quartile ranges, 0.3 by the share with a
     modified z over 3.5 (features whose median deviation is 0 count none)."""
-    q = df.agg(*[F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"q_{c}") for c in features])
-    t = df.join(F.broadcast(q))  # one row
-    mad = t.agg(*[F.percentile(F.abs(F.col(c) - F.col(f"q_{c}")[1]), 0.5).alias(f"m_{c}") for c in features])
-    t = t.join(F.broadcast(mad))  # one row
+    q = df.agg(F.struct(*[F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(c) for c in features]).alias("q"))
+    t = df.withColumn("_q", q.scalar())
+    mad = t.agg(F.struct(*[F.percentile(F.abs(F.col(c) - F.col(f"_q.{c}")[1]), 0.5).alias(c) for c in features]).alias("m"))
+    t = t.withColumn("_m", mad.scalar())
     n, total = len(features), F.lit(0.0)
     for c in features:
-        x, lo, mid, hi, m = F.col(c), F.col(f"q_{c}")[0], F.col(f"q_{c}")[1], F.col(f"q_{c}")[2], F.col(f"m_{c}")
+        x, lo, mid, hi, m = F.col(c), F.col(f"_q.{c}")[0], F.col(f"_q.{c}")[1], F.col(f"_q.{c}")[2], F.col(f"_m.{c}")
         total = total + F.when((x < lo - 1.5 * (hi - lo)) | (x > hi + 1.5 * (hi - lo)), 0.3 / n).otherwise(0.0)
         total = total + F.when((m > 0) & (F.abs(0.6745 * (x - mid)) > 3.5 * m), 0.3 / n).otherwise(0.0)
     t = t.select(key, total.alias("_s"))
@@ -74,7 +74,7 @@ def _score_all(df: DataFrame, key: str, features: Sequence[str], mean, sd, score
 def _top(df: DataFrame, key: str, share: float) -> DataFrame:
     """Flags the share of rows with the greatest scores."""
     cut = df.agg(F.percentile("score", 1 - share).alias("_cut"))
-    return df.join(F.broadcast(cut)).select(key, F.round("score", 9).alias("score"), (F.col("score") > F.col("_cut")).alias("flag"))  # one row
+    return df.select(key, F.round("score", 9).alias("score"), (F.col("score") > cut.scalar()).alias("flag"))
 
 
 def _distances(x: np.ndarray, ref: np.ndarray) -> np.ndarray:

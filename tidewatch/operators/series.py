@@ -120,9 +120,9 @@ def analog_forecast(s: DataFrame, horizon: int = 24, width: int = 24) -> DataFra
     t = s.withColumn("_n", F.count(F.lit(1)).over(_every()))
     n = t.agg(F.max("_n").alias("n"))
     last = t.where(F.col("idx") >= F.col("_n") - width).agg(F.transform(F.sort_array(F.collect_list(F.struct("idx", "x"))), lambda p: p["x"]).alias("last"))
-    seqs = windows(s.join(F.broadcast(n)).where(F.col("idx") < F.col("n") - width).drop("n"), width)
+    seqs = windows(s.where(F.col("idx") < n.scalar() - width), width)
     mean = lambda a: F.aggregate(a, F.lit(0.0), lambda x, y: x + y) / width
-    c = seqs.join(F.broadcast(last)).select("idx", "seq", "last", mean(F.col("seq")).alias("ms"), mean(F.col("last")).alias("ml"))
+    c = seqs.withColumn("last", last.scalar()).select("idx", "seq", "last", mean(F.col("seq")).alias("ms"), mean(F.col("last")).alias("ml"))
     dev = lambda a, m: F.transform(a, lambda x: x - m)
     c = c.select("idx", dev(F.col("seq"), F.col("ms")).alias("a"), dev(F.col("last"), F.col("ml")).alias("b"))
     sq = lambda a: F.sqrt(F.aggregate(a, F.lit(0.0), lambda x, y: x + y * y) / width)
@@ -137,10 +137,10 @@ def analog_forecast(s: DataFrame, horizon: int = 24, width: int = 24) -> DataFra
 
 def outliers(s: DataFrame, z: float = 2.5, k: float = 1.5) -> DataFrame:
     """(idx, hour, x, method): hours beyond z standard deviations or k quartile ranges; Z-score+IQR for both."""
-    facts = s.agg(F.avg("x").alias("m"), F.stddev_pop("x").alias("sd"), F.percentile("x", F.array(F.lit(0.25), F.lit(0.75))).alias("q"))
-    t = s.join(F.broadcast(facts))  # one row
-    by_z = (F.col("sd") > 0) & (F.abs(F.col("x") - F.col("m")) > z * F.col("sd"))
-    low, high = F.col("q")[0], F.col("q")[1]
+    facts = s.agg(F.struct(F.avg("x").alias("m"), F.stddev_pop("x").alias("sd"), F.percentile("x", F.array(F.lit(0.25), F.lit(0.75))).alias("q")).alias("f"))
+    t = s.withColumn("_f", facts.scalar())
+    mean, sd, low, high = F.col("_f.m"), F.col("_f.sd"), F.col("_f.q")[0], F.col("_f.q")[1]
+    by_z = (sd > 0) & (F.abs(F.col("x") - mean) > z * sd)
     by_q = (F.col("x") < low - k * (high - low)) | (F.col("x") > high + k * (high - low))
     t = t.withColumn("method", F.when(by_z & by_q, "Z-score+IQR").when(by_z, "Z-score").when(by_q, "IQR"))
     return t.where("method is not null").select("idx", "hour", "x", "method")
