@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions.instants import with_instant
 from tidewatch.functions.keys import store_in_line, store_key, target_key
-from tidewatch.operators import coverage, quantiles
+from tidewatch.operators import compaction, coverage, quantiles
 from tidewatch.operators.compaction import compact, copy_pairs
 from tidewatch.operators.eager_aggregate import Measure, eager_join_aggregate, hot_keys, once
 from tidewatch.operators.log_entries import entries
@@ -106,6 +106,21 @@ def test_compaction(spark):
     assert compact(df.limit(0), "file_id", "content").records.count() == 0
 
 
+def test_nothing_is_committed_on_a_wrong_checksum(spark, tmp_path, monkeypatch):
+    df = spark.createDataFrame([(1, "a\nb")], "file_id bigint, content string")
+    monkeypatch.setattr(compaction, "multiset_checksum", lambda _: ("1", "0", "0", "0"))
+    with pytest.raises(compaction.ChecksumError):
+        compact(df, "file_id", "content", f"file://{tmp_path}/out")
+    assert not (tmp_path / "out").exists()
+
+
+def test_checksum_tells_multisets_apart(spark):
+    a = spark.createDataFrame([(1, "a"), (1, "a"), (2, "b")], "i int, t string")
+    assert compaction.multiset_checksum(a) == compaction.multiset_checksum(a.repartition(3).orderBy("t"))
+    for other in ([(1, "a"), (2, "b")], [(1, "a"), (2, "b"), (2, "b")], [(1, "b"), (1, "a"), (2, "a")], []):
+        assert compaction.multiset_checksum(a) != compaction.multiset_checksum(spark.createDataFrame(other, "i int, t string"))
+
+
 def test_entries(spark):
     log = [
         "* Log date 2025-10-03", "* x Zone=America/Phoenix", "loose line", "2025-10-03T20:00:11.1-07:00 Core (Error) lost", "  (was serving Store_2291)", "", "* mark", "Store 9999 after mark",

@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewatch.session import written
+
 REFERENCE, SVM_REFERENCE = 5_000, 2_000
 
 
@@ -180,6 +182,7 @@ def one_class_svm(df: DataFrame, key: str, features: Sequence[str], nu: float =
 
 def ensemble(df: DataFrame, key: str, features: Sequence[str]) -> DataFrame:
     """(key, iforest, lof, dbscan, zscore, votes, label): label -1 for at least two of the four votes, else 1; 1 for all below 10 rows."""
+    df = written(df.select(key, *features), "features")
     parts = {"iforest": isolation_forest(df, key, features), "lof": local_outlier_factor(df, key, features), "dbscan": dbscan_noise(df, key, features), "zscore": zscores(df, key, features)}
     out = df.select(key)
     for name, p in parts.items():
@@ -191,6 +194,7 @@ def ensemble(df: DataFrame, key: str, features: Sequence[str]) -> DataFrame:
 def weighted_ensemble(df: DataFrame, key: str, features: Sequence[str]) -> DataFrame:
     """(key, weight, label, confidence): five methods, weighted; -1 from two fifths of the total weight."""
     weights = {"iforest": 1.5, "lof": 1.2, "svm": 1.0, "dbscan": 0.8, "spread": 1.0}
+    df = written(df.select(key, *features), "features")
     flags = {
         "iforest": isolation_forest(df, key, features), "lof": local_outlier_factor(df, key, features), "svm": one_class_svm(df, key, features),
         "dbscan": dbscan_noise(df, key, features, least=3), "spread": spread_scores(df, key, features).withColumn("flag", F.col("score") > 0.5),
