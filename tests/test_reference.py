@@ -1,16 +1,19 @@
 """Reference operators: hand-checked fixtures, sources, streaming, and the queries against SQL on a small scale."""
 
 import io
+import random
 import zipfile
 from pathlib import Path
 
 import duckdb
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from tidewatch.functions.classify import error_category, reasons, severity
 from tidewatch.operators import greedy, outages, parse, series
+from tidewatch.operators.sticky import carry_forward, sliced_lag
 from tidewatch.sources.logs import lines_of, read_logs, sheet_rows
 from tidewatch.sources.sinks import as_json, bars, report
 from tidewatch.streaming import incidents as streaming
@@ -18,6 +21,31 @@ from tidewatch.streaming import incidents as streaming
 DATA = Path("/root/testdata/sf0.001")
 
 
+def test_sliced_orders_equal_plain_windows(spark):
+    rnd = random.Random(8)
+    data = [(rnd.choice(["hot"] * 6 + ["a", "b"]), rnd.randint(0, 400), i, rnd.choice(["x", "y", None])) for i in range(500)]
+    df = spark.createDataFrame(data, "k string, at bigint, id bigint, v string")
+    w = Window.partitionBy("k").orderBy("at", "id")
+    plain = df.withColumn("va", F.lag("v").over(w)).withColumn("vb", F.lag("at").over(w))
+    assert sorted(map(str, sliced_lag(df, ["k"], "at", "id", {"va": "v", "vb": "at"}, 7).collect())) == sorted(map(str, plain.collect()))
+    every = df.withColumn("vb", F.lag("at").over(Window.partitionBy().orderBy("at", "id")))
+    assert sorted(map(str, sliced_lag(df, [], "at", "id", {"vb": "at"}, 7).collect())) == sorted(map(str, every.collect()))
+    last = df.select("k", "at", "id", F.last("v", ignorenulls=True).over(Window.partitionBy("k").orderBy("id").rowsBetween(Window.unboundedPreceding, 0)).alias("v"))
+    got = carry_forward(df, "k", "id", ["v"], block=11).select("k", "at", "id", "v")
+    assert sorted(map(str, got.collect())) == sorted(map(str, last.collect()))
+    assert sliced_lag(df.limit(0), ["k"], "at", "id", {"vb": "at"}, 7).count() == 0 and carry_forward(df.limit(0), "k", "id", ["v"]).count() == 0
+
+
+def test_sessions_equal_plain_windows(spark):
+    rnd = random.Random(6)
+    df = spark.createDataFrame([(rnd.choice("ab"), rnd.randint(0, 3000), i) for i in range(200)], "k string, at bigint, id bigint")
+    for keys in (["k"], []):
+        w = Window.partitionBy(*keys).orderBy("at", "id")
+        new = F.when(F.col("at") - F.lag("at").over(w) <= 20, None).otherwise(F.col("at"))
+        plain = df.withColumn("n", new).withColumn("session", F.max("n").over(w)).select("id", "session")
+        assert sorted(map(str, greedy.sessions(df, keys, "at", "id", 20, slices=2).select("id", "session").collect())) == sorted(map(str, plain.collect()))
+
+
 def test_outage_pairs(spark):
     marks = [(0, "disconnect"), (10, "disconnect"), (40, "reconnect"), (50, "reconnect"), (60, "disconnect"), (60, "reconnect"), (100, "disconnect")]
     df = spark.createDataFrame([("a", t, i, k) for i, (t, k) in enumerate(marks)] + [("b", 0, 0, "disconnect"), ("b", 604800, 1, "reconnect")], "store_id string, sec bigint, event_id bigint, kind string")
@@ -101,7 +129,7 @@ def test_streaming(spark, tmp_path):
     assert sum(r.n for r in spark.table("hours").collect()) >= 2
 
 
-FAST = ["p1_found", "p3_found", "p4_found", "p6_found", "top_stores_excl_max", "sticky_context", "reason_totals", "outage_stats_store", "cusum_scores", "forecast24", "cascades", "bursts", "cofailure_pairs", "dbscan_noise", "feature_corr", "machine_health"]
+FAST = ["p1_found", "p2_found", "p2_instants", "p3_found", "p5_found", "p4_found", "p6_found", "top_stores_excl_max", "sticky_context", "reason_totals", "outage_stats_store", "cusum_scores", "forecast24", "cascades", "bursts", "cofailure_pairs", "dbscan_noise", "feature_corr", "machine_health"]
 
 
 @pytest.mark.parametrize("name", FAST)

@@ -26,6 +26,16 @@ def clusters(df: DataFrame, key: str, features: Sequence[str], per: int = 50, mo
     return Pipeline(stages=stages).fit(df).transform(df).drop("_raw", "_v")
 
 
+def silhouette(df: DataFrame, features: Sequence[str], cluster: str = "cluster") -> float:
+    """The mean silhouette by squared distance of standardised features, over all rows; NaN for fewer than two clusters."""
+    from pyspark.ml.evaluation import ClusteringEvaluator
+
+    if df.select(cluster).distinct().count() < 2:
+        return float("nan")
+    stages = [VectorAssembler(inputCols=list(features), outputCol="_raw"), StandardScaler(inputCol="_raw", outputCol="_v", withMean=True)]
+    return ClusteringEvaluator(featuresCol="_v", predictionCol=cluster).evaluate(Pipeline(stages=stages).fit(df).transform(df))
+
+
 def importance(df: DataFrame, features: Sequence[str], label: str, trees: int = 100, depth: int = 10) -> DataFrame:
     """(feature, importance) of a random forest for the numeric label; the features in order of importance."""
     data = VectorAssembler(inputCols=list(features), outputCol="_v").transform(df.withColumn(label, F.col(label).cast("double")))

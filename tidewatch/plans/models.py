@@ -91,6 +91,12 @@ def cluster_profiles(spark, folder):
     return learning.clusters(f, "store_id", cols, per=20).groupBy("cluster").agg(F.count("*").alias("stores"), F.sum("failures").alias("failures"), *[F.round(F.avg(c), 6).alias(f"mean_{c}") for c in cols[1:]])
 
 
+def cluster_silhouette(spark, folder):
+    """One row: how well the stores' clusters are apart."""
+    f = learning.clusters(_eight(spark, folder), "store_id", features.EIGHT)
+    return spark.createDataFrame([(f.select("cluster").distinct().count(), learning.silhouette(f, features.EIGHT))], "clusters bigint, silhouette double")
+
+
 def rf_importance(spark, folder):
     f, cols = _health(spark, folder)
     labelled = f.withColumn("label", (F.col("failures") > 14).cast("int"))
@@ -194,7 +200,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         store_features8, store_features15, health_features8, zscore_outliers, iqr_mad_scores, minmax_scores, dbscan_noise, iforest_votes, lof_votes, ocsvm_votes, ensemble_votes, weighted_ensemble, feature_corr,
-        kmeans_stores, cluster_profiles, rf_importance, risk_classifier, recurring_patterns, granger_r2, tfidf_terms, tfidf_norms, svd_components, mlp_labels, eval_prf, failure_probability, high_risk_stores,
+        kmeans_stores, cluster_profiles, cluster_silhouette, rf_importance, risk_classifier, recurring_patterns, granger_r2, tfidf_terms, tfidf_norms, svd_components, mlp_labels, eval_prf, failure_probability, high_risk_stores,
         machine_health, root_cause_posterior, dataset_profile, analyzer_choice,
     )
 }

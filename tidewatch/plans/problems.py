@@ -186,7 +186,31 @@ h AS (SELECT *, regexp_matches(t, '^\s*\*') AS star, CASE {' '.join(f"WHEN regex
 o AS (SELECT *, max(CASE WHEN star THEN line_no * 2 WHEN lv IS NOT NULL THEN line_no * 2 + 1 END) OVER (PARTITION BY file ORDER BY line_no ROWS UNBOUNDED PRECEDING) AS c FROM h),
 en AS (SELECT file, c // 2 AS first_line, min(server) AS server, max(line_no) FILTER (regexp_matches(t, '\S')) AS last_line, lpad(arg_min(st, line_no) FILTER (st IS NOT NULL), 5, '0') AS store_id, max(CASE WHEN line_no = c // 2 THEN lv END) AS lv FROM o WHERE c % 2 = 1 GROUP BY file, c)"""
 
+
+def _instants_sql(name: str, table_name: str, text: str, keep: str) -> str:
+    """CTEs ending in {name}(keep, us): the instants of a table by DuckDB's own parser and zones."""
+    wall = lambda shift: f"epoch_us(timezone(z, make_timestamptz(w + {shift})))"
+    stated = {"CET": 60, "CEST": 120, "MST": -420, "MDT": -360, "PST": -480, "PDT": -420, "EST": -300, "EDT": -240, "CDT": -300}
+    cases = " ".join(f"WHEN zn = '{k}' THEN {v}" for k, v in stated.items())
+    return rf"""{name}0 AS (SELECT DISTINCT {keep}, trim(t.{text}) AS t, m.tz_name AS own FROM {table_name} t LEFT JOIN machines m USING (machine)),
+{name}1 AS (SELECT *, trim(regexp_extract(t, '(Z|[+-]\d{{2}}:?\d{{2}}| [A-Z]{{3,4}}| [A-Za-z]+/[A-Za-z_]+)$', 1)) AS zn FROM {name}0),
+{name}2 AS (SELECT *, regexp_replace(trim(left(t, length(t) - length(zn))), '([0-9]),([0-9])', '\1.\2') AS b FROM {name}1),
+{name}3 AS (SELECT *, CASE WHEN regexp_full_match(t, '\d{{5}}\.\d+') THEN (CAST(round(CAST(t AS DOUBLE) * 86400000) AS BIGINT) - 2209161600000) * 1000
+ ELSE epoch_us(try_strptime(b, ['%Y-%m-%dT%H:%M:%S.%f', '%Y-%m-%dT%H:%M:%S', '%Y-%m-%d %H:%M:%S', '%Y%m%dT%H%M%S', '%m/%d/%Y %I:%M:%S %p', '%d.%m.%Y %H:%M:%S', '%d-%b-%Y %H:%M:%S', '%a, %d %b %Y %H:%M:%S'])) END AS w,
+ CASE WHEN zn IN ('Z', 'UTC', 'GMT') THEN 0 {cases} WHEN zn = 'CST' AND own LIKE 'America/%' THEN -360 WHEN zn = 'IST' AND own = 'Asia/Kolkata' THEN 330 WHEN zn = 'BST' AND own LIKE 'Europe/%' THEN 60
+ WHEN regexp_matches(zn, '^[+-]') THEN (CASE WHEN zn[1] = '-' THEN -1 ELSE 1 END) * (CAST(zn[2:3] AS INTEGER) * 60 + CAST(right(zn, 2) AS INTEGER)) END AS off,
+ CASE WHEN zn = '' THEN own WHEN contains(zn, '/') THEN zn END AS z, CASE WHEN regexp_full_match(t, '\d{{10}}') THEN CAST(t AS BIGINT) * 1000000 WHEN regexp_full_match(t, '\d{{13}}') THEN CAST(t AS BIGINT) * 1000 END AS e FROM {name}2),
+{name}4 AS (SELECT *, w - ({wall(-86_400_000_000)} - (w - 86400000000)) AS c1, w - ({wall(86_400_000_000)} - (w + 86400000000)) AS c2 FROM {name}3),
+{name}5 AS (SELECT *, epoch_us(timezone(z, make_timestamptz(c1))) = w AS ok1, epoch_us(timezone(z, make_timestamptz(c2))) = w AS ok2 FROM {name}4),
+{name} AS (SELECT {keep}, coalesce(e, w - CAST(off AS BIGINT) * 60000000, CASE WHEN c1 = c2 AND ok1 THEN c1 WHEN c1 <> c2 AND ok1 AND NOT ok2 THEN c1 WHEN c1 <> c2 AND ok2 AND NOT ok1 THEN c2 END) AS us FROM {name}5)"""
+
+
+_CONN, _HEALTH = _instants_sql("ci", "conn_events", "timestamp_raw", "event_id, server, kind, store_id"), _instants_sql("hi", "health_events", "event_timestamp", "health_id, server, health_event, source_entity")
+
 SQL = {
+    "p2_instants": f"WITH {_CONN} SELECT event_id, min(us) AS instant_us, strftime(make_timestamp(min(us)), '%Y-%m-%dT%H:%M:%S.%fZ') AS instant_utc FROM ci GROUP BY event_id",
+    "p2_found": f"""WITH {_CONN}, {_HEALTH} SELECT DISTINCT health_id, event_id FROM hi JOIN ci ON hi.server = ci.server AND {_STORE.format('hi.source_entity')} = {_STORE.format('ci.store_id')}
+AND floor(hi.us / 1000000) = floor(ci.us / 1000000) WHERE health_event = 'Connection failed' AND kind = 'disconnect'""",
     "p5_found": f"WITH {_ENTRIES} SELECT server, file, first_line, last_line, store_id FROM en WHERE lv IN ('error', 'err', 'fatal', 'critical', 'crit') AND store_id IS NOT NULL",
     "p6_found": f"WITH {_DURATIONS} SELECT store_id, 50 AS pct FROM q WHERE p50 > 3600 UNION ALL SELECT store_id, 95 FROM q WHERE p95 > 21600",
     "p4_found": f"WITH {_FILES} SELECT a.file_id AS file_a, b.file_id AS file_b FROM g a JOIN g b ON a.r = b.r AND a.file_id < b.file_id",
