@@ -1,8 +1,9 @@
 """Outlier votes over feature rows.
 
-z-scores, quartiles and median deviations are aggregates. Isolation forest, LOF, DBSCAN noise and one-class SVM are fitted on
-a reference of at most REFERENCE rows (SVM_REFERENCE for the SVM), the least by hash of the id, which is all rows up to that
-number; every row is then scored where it lies against the fitted model.
+z-scores, quartiles and median deviations are aggregates. LOF and DBSCAN noise compare every row with every other, and an isolation
+forest draws its samples from all rows: the driver holds the standardised rows (8 bytes a feature) and tasks take blocks of
+distances. Only the one-class SVM is fitted on a reference, of at most SVM_REFERENCE rows, the least by hash of the id, which
+is all rows up to that number; every row is then scored where it lies against the fitted model.
 """
 
 from __future__ import annotations
@@ -17,7 +18,9 @@ from pyspark.sql import functions as F
 
 from tidewatch.session import written
 
-REFERENCE, SVM_REFERENCE = 5_000, 2_000
+SVM_REFERENCE = 2_000
+#: Distances that a task holds at once, and those it computes in all.
+BLOCK, PER_TASK = 2_000_000, 50_000_000
 
 
 def zscores(df: DataFrame, key: str, features: Sequence[str], limit: float = 3.0) -> DataFrame:
@@ -53,12 +56,13 @@ def min_max(df: DataFrame, key: str, column: str) -> DataFrame:
     return df.select(key, F.when(high > low, F.round((F.col(column) - low) / (high - low), 6)).otherwise(0.0).alias("scaled"))
 
 
-def _scaled_reference(df: DataFrame, key: str, features: Sequence[str], most: int) -> tuple[list, np.ndarray, np.ndarray, np.ndarray]:
-    """Ids and standardised rows of the reference, and the means and deviations of all rows."""
+def _scaled_reference(df: DataFrame, key: str, features: Sequence[str], most: int | None = None) -> tuple[list, np.ndarray, np.ndarray, np.ndarray]:
+    """Ids and standardised rows of the `most` first by hash, or of all, and the means and deviations of all rows."""
     facts = df.agg(*[F.avg(c) for c in features], *[F.stddev_pop(c) for c in features]).first()
     mean = np.array([x or 0.0 for x in facts[: len(features)]])
     sd = np.array([x or 1.0 for x in facts[len(features) :]])
-    rows = df.select(key, *features).orderBy(F.xxhash64(key), key).limit(most).toPandas()  # at most REFERENCE rows
+    rows = df.select(key, *features).orderBy(F.xxhash64(key), key)
+    rows = (rows if most is None else rows.limit(most)).toPandas()
     return rows[key].tolist(), (rows[list(features)].to_numpy(float) - mean) / sd, mean, sd
 
 
@@ -79,6 +83,38 @@ def _top(df: DataFrame, key: str, share: float) -> DataFrame:
     return df.select(key, F.round("score", 9).alias("score"), (F.col("score") > cut.scalar()).alias("flag"))
 
 
+def _over_blocks(df: DataFrame, x: np.ndarray, block: Callable[[np.ndarray, np.ndarray], np.ndarray], to: np.ndarray | None = None) -> np.ndarray:
+    """block(distances to all rows of `to`, the rows' numbers), a value a row of x, in the order of x."""
+    to = x if to is None else to
+    size = max(1, BLOCK // max(len(to), 1))
+    tasks = min(len(x), max(1, len(x) * len(to) // PER_TASK))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            every = b["id"].to_numpy()
+            for i in range(0, len(every), size):
+                rows = every[i : i + size]
+                yield pd.DataFrame({"id": rows, "value": block(_exact_distances(x[rows], to), rows)})
+
+    got = df.sparkSession.range(0, len(x), 1, tasks).mapInPandas(run, "id bigint, value double").toPandas()
+    return got.sort_values("id")["value"].to_numpy(float)
+
+
+def _exact_distances(x: np.ndarray, to: np.ndarray) -> np.ndarray:
+    """By differences, so that equal rows are 0 apart and a distance is the same in any block."""
+    out = np.zeros((len(x), len(to)))
+    for c in range(x.shape[1]):
+        d = x[:, c, None] - to[None, :, c]
+        d *= d
+        out += d
+    return np.sqrt(out, out=out)
+
+
+def _with_values(df: DataFrame, key: str, ids: list, values: np.ndarray) -> DataFrame:
+    pdf = pd.DataFrame({key: pd.Series(ids, dtype=object), "score": values})
+    return df.sparkSession.createDataFrame(pdf, f"{key} {dict(df.dtypes)[key]}, score double")
+
+
 def _distances(x: np.ndarray, ref: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum((x**2).sum(1)[:, None] + (ref**2).sum(1)[None] - 2 * x @ ref.T, 0))
 
@@ -104,7 +140,7 @@ def _depths(tree, x: np.ndarray) -> np.ndarray:
 
 
 def isolation_forest(df: DataFrame, key: str, features: Sequence[str], trees: int = 100, sample: int = 256, share: float = 0.1, seed: int = 42) -> DataFrame:
-    ids, ref, mean, sd = _scaled_reference(df, key, features, REFERENCE)
+    ids, ref, mean, sd = _scaled_reference(df, key, features)
     if not ids:
         return df.select(key, F.lit(0.0).alias("score"), F.lit(False).alias("flag"))
     rng, m = np.random.default_rng(seed), min(sample, len(ref))
@@ -114,43 +150,41 @@ def isolation_forest(df: DataFrame, key: str, features: Sequence[str], trees: in
 
 
 def local_outlier_factor(df: DataFrame, key: str, features: Sequence[str], neighbours: int = 20, share: float = 0.1) -> DataFrame:
-    ids, ref, mean, sd = _scaled_reference(df, key, features, REFERENCE)
+    """(key, score, flag): the factor by the `neighbours` nearest of all other rows; of rows equally far the first by hash count."""
+    ids, x, _, _ = _scaled_reference(df, key, features)
     if len(ids) < 2:
         return df.select(key, F.lit(0.0).alias("score"), F.lit(False).alias("flag"))
     k = min(neighbours, len(ids) - 1)
-    d = _distances(ref, ref)
-    np.fill_diagonal(d, np.inf)
-    near = np.argsort(d, axis=1, kind="stable")[:, :k]
-    kth = np.take_along_axis(d, near, 1)[:, -1]
-    density = 1 / (np.maximum(kth[near], np.take_along_axis(d, near, 1)).mean(1) + 1e-10)
-    at = {x: i for i, x in enumerate(ids)}
 
-    def score(x: np.ndarray, names: list) -> np.ndarray:
-        e = _distances(x, ref)
-        for i, name in enumerate(names):
-            if name in at:
-                e[i, at[name]] = np.inf
-        n = np.argsort(e, axis=1, kind="stable")[:, :k]
-        own = 1 / (np.maximum(kth[n], np.take_along_axis(e, n, 1)).mean(1) + 1e-10)
-        return density[n].mean(1) / own
+    def others(d: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        d[np.arange(len(rows)), rows] = np.inf
+        return d
 
-    return _top(_score_all(df, key, features, mean, sd, score), key, share)
+    def near(d: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        last = kth[rows, None]
+        less, tied = d < last, d == last
+        return less | (tied & (np.cumsum(tied, axis=1) <= k - less.sum(1)[:, None]))
+
+    kth = _over_blocks(df, x, lambda d, rows: np.partition(others(d, rows), k - 1, axis=1)[:, k - 1])
+    reach = _over_blocks(df, x, lambda d, rows: np.where(near(others(d, rows), rows), np.maximum(kth[None], d), 0).sum(1) / k)
+    density = 1 / (reach + 1e-10)
+    around = _over_blocks(df, x, lambda d, rows: np.where(near(others(d, rows), rows), density[None], 0).sum(1) / k)
+    return _top(_with_values(df, key, ids, around / density), key, share)
 
 
 def dbscan_noise(df: DataFrame, key: str, features: Sequence[str], least: int = 3, nth: int = 5, at: float = 0.9) -> DataFrame:
-    """(key, flag): rows that are neither core (at least `least` rows within eps, itself counted) nor within eps of a core row.
+    """(key, flag): rows that are neither core (at least `least` of all rows within eps, itself counted) nor within eps of a core row.
     eps is the percentile `at` of the distances to the nth nearest row, itself counted."""
-    ids, ref, mean, sd = _scaled_reference(df, key, features, REFERENCE)
+    ids, x, _, _ = _scaled_reference(df, key, features)
     if not ids:
         return df.select(key, F.lit(False).alias("flag"))
-    d = np.round(_distances(ref, ref), 6)
-    eps = float(np.percentile(np.sort(d, axis=1)[:, min(nth, len(ids)) - 1], at * 100))
-    core = ref[(d <= eps).sum(1) >= least]
-
-    def score(x: np.ndarray, _: list) -> np.ndarray:
-        return np.ones(len(x)) if not len(core) else (np.round(_distances(x, core), 6).min(1) > eps).astype(float)
-
-    return _score_all(df, key, features, mean, sd, score).select(key, (F.col("score") > 0).alias("flag"))
+    k = min(nth, len(ids))
+    eps = float(np.percentile(_over_blocks(df, x, lambda d, _: np.partition(np.round(d, 6), k - 1, axis=1)[:, k - 1]), at * 100))
+    core = _over_blocks(df, x, lambda d, _: (np.round(d, 6) <= eps).sum(1)) >= least
+    noise = ~core
+    if core.any() and noise.any():
+        noise[noise] = _over_blocks(df, x[noise], lambda d, _: (np.round(d, 6) > eps).all(1), x[core]) > 0
+    return _with_values(df, key, ids, noise.astype(float)).select(key, (F.col("score") > 0).alias("flag"))
 
 
 def one_class_svm(df: DataFrame, key: str, features: Sequence[str], nu: float = 0.1, steps: int = 3_000) -> DataFrame:
