@@ -1,9 +1,16 @@
 """That operators do the whole job where a part once did: brute force over more rows than a former cap."""
 
+import duckdb
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
+from tidewatch import analysis
 from tidewatch.operators import outliers
 
+DATA = "/root/testdata/sf0.1"
+
 
 def brute(x):
     return np.array([np.sqrt(((x - r) ** 2).sum(1)) for r in x])
@@ -29,3 +36,23 @@ def test_neighbours_are_of_all_rows(spark):
     got = outliers.local_outlier_factor(df, "k", ["a", "b"]).orderBy("k").collect()
     assert np.allclose([g.score for g in got], density[near].mean(1) / density, atol=1e-6)
     assert sum(g.flag for g in got) == 541
+
+
+def test_co_failures_of_small_stores(spark):
+    rows = [(1_000_000 + 9_000 * s + 700_000 * k, f"{10_000 + s}", "disconnect") for s in range(120) for k in range(5)]
+    rows += [(77_000_000, "99998", "disconnect"), (77_000_060, "99999", "disconnect")]
+    inc = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "event_id bigint, sec bigint, store_id string, kind string")
+    for c in ("server", "fed_group", "machine", "category", "ip", "ts", "delay"):
+        inc = inc.withColumn(c, F.timestamp_seconds("sec").cast("timestamp_ntz") if c == "ts" else F.lit(None).cast("int" if c == "delay" else "string"))
+    got = analysis.analyze(inc)["co_failures"].where("b = '99999'").collect()
+    assert [tuple(r) for r in got] == [("99998", "99999", 1, 1.0)]
+
+
+@pytest.mark.parametrize("name", ["cofailure_pairs_all", "cofailure_same_machine_all"])
+def test_pairs_of_all_stores_against_sql(spark, name):
+    con = duckdb.connect()
+    con.execute("set timezone='UTC'")
+    con.execute(f"create view events as select * from read_parquet('{DATA}/events.parquet')")
+    df = entry.queries()[name](spark, DATA)
+    want = con.execute(f"select {', '.join(df.columns)} from ({entry.oracle_sql()[name]})").fetchall()
+    assert want and sorted(map(tuple, df.collect())) == sorted(want)

@@ -75,9 +75,7 @@ def analyze(incidents: DataFrame, windows: dict | None = None) -> dict[str, Data
     eight = features.store_features8(known, short=60)
     cascades = greedy.cascades(down, "sec", w["cascade_s"], w["cascade_stores"])
     n = F.count(F.lit(1)).alias("n")
-    # pairs are of the 100 stores with most disconnects
-    top = down.groupBy("store_id").agg(n).orderBy(F.desc("n"), "store_id").limit(100).select("store_id")
-    busiest = down.join(F.broadcast(top), "store_id", "left_semi").withColumn("minute", F.floor(F.col("sec") / 60).cast("bigint"))
+    minutes = down.withColumn("minute", F.floor(F.col("sec") / 60).cast("bigint"))
     return {
         "categories": incidents.groupBy("category").agg(n), "hour_categories": incidents.groupBy(hour_of().alias("hour"), "category").agg(n), "subtypes": incidents.groupBy("subtype").agg(n).where("subtype is not null") if "subtype" in incidents.columns else incidents.groupBy("category").agg(n).limit(0),
         "stores": store_table(incidents), "top_stores": page(store_table(incidents), size=20), "machines": incidents.groupBy("machine").agg(n, F.countDistinct("store_id").alias("stores")), "ips": incidents.where("ip is not null").groupBy("ip").agg(n, F.countDistinct("store_id").alias("stores")).orderBy(F.desc("n"), "ip").limit(15),
@@ -85,7 +83,7 @@ def analyze(incidents: DataFrame, windows: dict | None = None) -> dict[str, Data
         "timeline": incidents.where("kind is not null").groupBy(hour_of().alias("hour")).agg(F.count_if(F.col("kind") == "disconnect").alias("disconnects"), F.count_if(F.col("kind") == "reconnect").alias("reconnects"), F.countDistinct("store_id").alias("stores")),
         "decomposition": series.decompose(hours), "forecast": series.forecast(hours), "change_points": series.change_points(hours), "periodicity": series.periodicity(hours), "trend": series.half_trend(hours), "hour_outliers": series.outliers(hours),
         "bursts": greedy.bursts(down, "store_id", "sec", w["burst_s"], w["burst_rows"]), "cascades": cascades, "propagation": greedy.propagation(cascades),
-        "co_failures": greedy.co_failures(busiest, "store_id", "minute", w["near_minutes"]), "features": eight, "zscores": outliers.zscores(eight, "store_id", features.EIGHT), "spread": outliers.spread_scores(eight, "store_id", features.EIGHT),
+        "co_failures": greedy.co_failures(minutes, "store_id", "minute", w["near_minutes"]), "features": eight, "zscores": outliers.zscores(eight, "store_id", features.EIGHT), "spread": outliers.spread_scores(eight, "store_id", features.EIGHT),
     }
 
 

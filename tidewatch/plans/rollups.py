@@ -139,13 +139,25 @@ def cofailure_pairs(spark, folder):
     return greedy.co_failures(down.join(F.broadcast(top), "store_id", "left_semi").withColumn("slot", F.floor(F.col("sec") / 3600).cast("bigint")), "store_id", "slot", 2, 0.3)
 
 
-def cofailure_same_machine(spark, folder):
-    pairs = cofailure_pairs(spark, folder)
+def cofailure_pairs_all(spark, folder):
+    """Pairs of all stores, with minutes within five."""
+    return greedy.co_failures(_down(spark, folder).withColumn("minute", F.floor(F.col("sec") / 60).cast("bigint")), "store_id", "minute")
+
+
+def _same_machine(pairs, spark, folder):
     machine = incidents(spark, folder).groupBy("store_id").agg(F.min("machine").alias("machine"))
     side = lambda s: machine.select(F.col("store_id").alias(s), F.col("machine").alias(f"machine_{s}"))
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "shared", (F.col("machine_a") == F.col("machine_b")).alias("same_machine"))
 
 
+def cofailure_same_machine(spark, folder):
+    return _same_machine(cofailure_pairs(spark, folder), spark, folder)
+
+
+def cofailure_same_machine_all(spark, folder):
+    return _same_machine(cofailure_pairs_all(spark, folder), spark, folder)
+
+
 def _pages(spark, folder):
     return _down(spark, folder).groupBy("store_id", "server", "fed_group").agg(F.count(F.lit(1)).alias("disconnects"))
 
@@ -171,7 +183,7 @@ QUERIES = {
     for f in (
         top_stores_excl_max, category_totals_pct, hour_category, hour_of_day_peak, store_summary, machine_summary, ip_summary_top15, timeline_hourly, timeline_daily, elevated_hours, day_hour_heat, fed_group_rollup,
         server_rollup_total, fed_by_server_pivot, outage_pairs, outage_stats_store, outage_stats_overall, outage_buckets, interarrival_features, bursts, cascades, cascade_propagation, cofailure_pairs,
-        cofailure_same_machine, stores_page, store_lookup, export_rows,
+        cofailure_same_machine, cofailure_pairs_all, cofailure_same_machine_all, stores_page, store_lookup, export_rows,
     )
 }
 
@@ -188,6 +200,10 @@ cs AS (SELECT start, "end", stores, events, machines, dominant, machines = 1 AND
 _CO = f"""{INC}, top AS (SELECT store_id FROM down GROUP BY 1 ORDER BY count(*) DESC, store_id LIMIT 100), m AS (SELECT DISTINCT store_id AS k, {_H} AS m FROM down WHERE store_id IN (SELECT store_id FROM top)),
 nn AS (SELECT k, count(*) AS n FROM m GROUP BY 1), met AS (SELECT a.k AS a, b.k AS b, count(DISTINCT a.m) AS shared FROM m a JOIN m b ON a.k < b.k AND b.m BETWEEN a.m - 2 AND a.m + 2 GROUP BY 1, 2),
 co AS (SELECT a, b, shared, round(shared / least(x.n, y.n), 6) AS overlap FROM met JOIN nn x ON x.k = a JOIN nn y ON y.k = b WHERE round(shared / least(x.n, y.n), 6) > 0.3)"""
+_CO_ALL = f"""{INC}, m AS (SELECT DISTINCT store_id AS k, CAST(floor(sec / 60) AS BIGINT) AS m FROM down), nn AS (SELECT k, count(*) AS n FROM m GROUP BY 1),
+near AS (SELECT k, m, unnest(range(m - 5, m + 6)) AS at FROM m), met AS (SELECT a.k AS a, b.k AS b, count(DISTINCT a.m) AS shared FROM near a JOIN m b ON a.at = b.m AND a.k < b.k GROUP BY 1, 2),
+co AS (SELECT a, b, shared, round(shared / least(x.n, y.n), 6) AS overlap FROM met JOIN nn x ON x.k = a JOIN nn y ON y.k = b WHERE round(shared / least(x.n, y.n), 6) > 0.3)"""
+_MACHINES = "mc AS (SELECT store_id, min(machine) AS machine FROM inc GROUP BY 1) SELECT a, b, shared, x.machine = y.machine AS same_machine FROM co JOIN mc x ON x.store_id = a JOIN mc y ON y.store_id = b"
 _PER = "pg AS (SELECT store_id, server, fed_group, count(*) AS disconnects FROM down GROUP BY 1, 2, 3)"
 
 SQL = {
@@ -220,6 +236,8 @@ SELECT store_id, start, "end", count FROM g JOIN q USING (store_id, i)""",
     "cascade_propagation": f"WITH RECURSIVE {_CASCADE} SELECT count(*) AS cascades, round(avg(stores), 6) AS avg_stores, max(stores) AS max_stores, count(*) FILTER (is_server_wide) AS server_wide FROM cs",
     "cofailure_pairs": f"WITH {_CO} SELECT * FROM co",
     "cofailure_same_machine": f"WITH {_CO}, mc AS (SELECT store_id, min(machine) AS machine FROM inc GROUP BY 1) SELECT a, b, shared, x.machine = y.machine AS same_machine FROM co JOIN mc x ON x.store_id = a JOIN mc y ON y.store_id = b",
+    "cofailure_pairs_all": f"WITH {_CO_ALL} SELECT * FROM co",
+    "cofailure_same_machine_all": f"WITH {_CO_ALL}, {_MACHINES}",
     "stores_page": f"WITH {INC}, {_PER}, f AS (SELECT * FROM pg WHERE server = 'MS10001' AND disconnects >= 2) SELECT *, CAST(ceil(count(*) OVER () / 10.0) AS BIGINT) AS pages FROM f ORDER BY disconnects DESC, store_id LIMIT 10 OFFSET 10",
     "store_lookup": f"WITH {INC}, {_PER} SELECT * FROM pg WHERE store_id = '00007'",
     "export_rows": f"WITH {_PAIRS}, {_PER}, l AS (SELECT store_id, CAST(max(duration) AS DOUBLE) AS d FROM op GROUP BY 1) SELECT store_id, server, fed_group, disconnects, {_TEXT.format('d')} AS longest FROM pg LEFT JOIN l USING (store_id)",
