@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from tidewatch import analysis
-from tidewatch.operators import outliers
+from tidewatch.operators import learning, outliers
+from tidewatch.plans import models
 
 DATA = "/root/testdata/sf0.1"
 
@@ -56,3 +57,21 @@ def test_pairs_of_all_stores_against_sql(spark, name):
     df = entry.queries()[name](spark, DATA)
     want = con.execute(f"select {', '.join(df.columns)} from ({entry.oracle_sql()[name]})").fetchall()
     assert want and sorted(map(tuple, df.collect())) == sorted(want)
+
+
+def _logs(tmp_path, spark, texts):
+    rows = [("s", "f", i, f"2024-01-04T21:{i % 60:02d}:15.123-08:00 Federation (Error) Store {10_000 + i} {t}") for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "server string, file string, line_no bigint, line string").write.parquet(str(tmp_path / "log_lines.parquet"))
+    return str(tmp_path)
+
+
+def test_text_features_are_not_cut(spark, tmp_path):
+    words = [f"w{chr(97 + i // 26)}{chr(97 + i % 26)}x" for i in range(400)]
+    folder = _logs(tmp_path, spark, [f"connection attempt failed {words[i]} {words[(i * 7 + 3) % 400]}" for i in range(400)] + [f"SocketException {words[i]}" for i in range(400)])
+    values = [r.singular_value for r in models.svd_components(spark, folder).orderBy("component").collect()]
+    assert len(values) == 50 and values == sorted(values, reverse=True) and values[-1] > 0
+    f, terms = learning.text_features(models._messages(spark, folder), "message")
+    a = np.array([r.tfidf.toArray() for r in f.select("tfidf").collect()])
+    assert len(terms) > 200 and np.allclose(values, np.linalg.svd(a, compute_uv=False)[:50], atol=1e-5)
+    got = models.mlp_labels(spark, folder).collect()
+    assert len(got) == 800 and {r.predicted for r in got} == {r.category for r in got}

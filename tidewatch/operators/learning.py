@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import MultilayerPerceptronClassifier, RandomForestClassifier
 from pyspark.ml.clustering import KMeans
@@ -71,16 +72,35 @@ def term_frequencies(df: DataFrame, text: str) -> DataFrame:
     return df.select(F.explode(words).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("documents"))
 
 
-def components(df: DataFrame, vector: str, k: int = 10) -> DataFrame:
-    """(component, singular_value) of the k leading ones."""
-    from pyspark.mllib.linalg import Vectors
+def principal_axes(df: DataFrame, vector: str, k: int = 50) -> tuple[np.ndarray, np.ndarray]:
+    """The up to k leading singular values, fewer than rows and columns, and their axes, one a column; from one pass over the rows."""
     from pyspark.mllib.linalg.distributed import RowMatrix
+    from pyspark.mllib.util import MLUtils
 
-    rows = df.select(vector_to_array(vector).alias("a")).rdd.map(lambda r: Vectors.dense(r.a))
-    s = RowMatrix(rows).computeSVD(k).s
+    rows = MLUtils.convertVectorColumnsFromML(df.select(vector), vector).rdd.map(lambda r: r[0])
+    matrix = RowMatrix(rows)
+    squares, axes = np.linalg.eigh(matrix.computeGramianMatrix().toArray())  # columns squared, 8 MB for 1,000 terms
+    k = max(1, min(k, len(squares) - 1, matrix.numRows() - 1))
+    squares, axes = squares[::-1][:k], axes[:, ::-1][:, :k]
+    signs = np.sign(axes[np.abs(axes).argmax(0), np.arange(k)])
+    return np.sqrt(np.maximum(squares, 0)), axes * signs
+
+
+def components(df: DataFrame, vector: str, k: int = 50) -> DataFrame:
+    """(component, singular_value) of the leading ones, up to k."""
+    s, _ = principal_axes(df, vector, k)
     return df.sparkSession.createDataFrame([(i, round(float(x), 6)) for i, x in enumerate(s)], "component int, singular_value double")
 
 
+def reduced(df: DataFrame, vector: str, k: int = 50) -> tuple[DataFrame, int]:
+    """df with its vectors on the up to k leading axes, and the number of these."""
+    from pyspark.ml.linalg import Vectors, VectorUDT
+
+    _, axes = principal_axes(df, vector, k)
+    project = F.udf(lambda v: Vectors.dense(v.toArray() @ axes), VectorUDT())
+    return df.withColumn(vector, project(vector)), axes.shape[1]
+
+
 def perceptron(df: DataFrame, key: str, vector: str, label: str, size: int, seed: int = SEED) -> DataFrame:
     """(key, label, predicted): a perceptron with layers of 64 and 32, trained on rows of four of five hash buckets, over all rows."""
     index = StringIndexer(inputCol=label, outputCol="_y", stringOrderType="alphabetAsc").fit(df)

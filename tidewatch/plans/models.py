@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tidewatch.operators import features, learning, outliers, parse, series
 from tidewatch.plans.lines import _PARSED, _events
 from tidewatch.plans.rollups import INC
+from tidewatch.session import written
 from tidewatch.sources.incidents import hour_of, incidents
 from tidewatch.sources.profile import analyzer_for, profile_files
 from tidewatch.sources.tables import table
@@ -137,14 +138,19 @@ def tfidf_norms(spark, folder):
     return f.select("id", F.size(F.filter(a, lambda x: x > 0)).alias("terms"), F.round(F.aggregate(a, F.lit(0.0), lambda s, x: s + x * x), 6).alias("norm"))
 
 
+def _features(spark, folder):
+    """(id, category, tfidf) of the messages, written once."""
+    f, _ = learning.text_features(written(_messages(spark, folder), "messages"), "message")
+    return written(f.select("id", "category", "tfidf"), "tfidf")
+
+
 def svd_components(spark, folder):
-    f, _ = learning.text_features(_messages(spark, folder), "message", terms=200)
-    return learning.components(f, "tfidf", 10)
+    return learning.components(_features(spark, folder), "tfidf")
 
 
 def mlp_labels(spark, folder):
-    f, words = learning.text_features(_messages(spark, folder), "message", terms=200)
-    return learning.perceptron(f, "id", "tfidf", "category", len(words))
+    f, size = learning.reduced(_features(spark, folder), "tfidf")
+    return learning.perceptron(written(f, "reduced"), "id", "tfidf", "category", size)
 
 
 def eval_prf(spark, folder):
