@@ -75,3 +75,8 @@ def test_text_features_are_not_cut(spark, tmp_path):
     assert len(terms) > 200 and np.allclose(values, np.linalg.svd(a, compute_uv=False)[:50], atol=1e-5)
     got = models.mlp_labels(spark, folder).collect()
     assert len(got) == 800 and {r.predicted for r in got} == {r.category for r in got}
+
+
+def test_terms_of_long_lines(spark, tmp_path):
+    folder = _logs(tmp_path, spark, ["connection attempt failed " + "x" * 300 + " tail"] * 3)
+    assert {r.term: r.documents for r in models.tfidf_terms(spark, folder).collect()}["tail"] == 3

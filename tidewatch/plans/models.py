@@ -122,7 +122,8 @@ def granger_r2(spark, folder):
 
 
 def _messages(spark, folder):
-    return _events(spark, folder).where("category is not null").select(F.xxhash64("file", "line_no").alias("id"), "message", "category")
+    """The whole lines; parse_lines alone shortens them."""
+    return _events(spark, folder).where("category is not null").select(F.xxhash64("file", "line_no").alias("id"), F.col("text").alias("message"), "category")
 
 
 def tfidf_terms(spark, folder):
