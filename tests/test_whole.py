@@ -80,3 +80,22 @@ def test_text_features_are_not_cut(spark, tmp_path):
 def test_terms_of_long_lines(spark, tmp_path):
     folder = _logs(tmp_path, spark, ["connection attempt failed " + "x" * 300 + " tail"] * 3)
     assert {r.term: r.documents for r in models.tfidf_terms(spark, folder).collect()}["tail"] == 3
+
+
+def test_elbow_and_shares_of_rows(spark):
+    assert outliers._elbow(np.array([1.0, 1, 1, 1, 1, 1, 1, 9])) == 9.0 and outliers._elbow(np.array([0.01, 0.01])) == 0.1
+    rng = np.random.default_rng(2)
+    x = np.vstack([rng.normal(size=(900, 2)), [[9.0, 9.0]] * 5])  # five equal rows: core for three, not for a hundredth of 905
+    df = spark.createDataFrame([(f"{i:05d}", float(a), float(b)) for i, (a, b) in enumerate(x)], "k string, a double, b double")
+    got = {r.k: r.weight for r in outliers.weighted_ensemble(df, "k", ["a", "b"]).collect()}
+    z = (x - x.mean(0)) / x.std(0)
+    d = np.round(brute(z), 6)
+    eps = outliers._elbow(np.sort(d, axis=1)[:, 9])
+    core = (d <= eps).sum(1) >= 9
+    noise = ~core & ~(d[:, core] <= eps).any(1)
+    assert noise[-5:].all() and all(got[f"{i:05d}"] >= 0.8 for i in np.flatnonzero(noise))
+    parts = {"iforest": outliers.isolation_forest(df, "k", ["a", "b"], bootstrap=True), "lof": outliers.local_outlier_factor(df, "k", ["a", "b"], 45), "svm": outliers.one_class_svm(df, "k", ["a", "b"])}
+    flags = {n: {r.k: r.flag for r in p.select("k", "flag").collect()} for n, p in parts.items()}
+    spread = {r.k: r.score > 0.5 for r in outliers.spread_scores(df, "k", ["a", "b"]).collect()}
+    for i, k in enumerate(sorted(got)):
+        assert abs(got[k] - 1.5 * flags["iforest"][k] - 1.2 * flags["lof"][k] - flags["svm"][k] - 0.8 * noise[i] - spread[k]) < 1e-6

@@ -139,12 +139,12 @@ def _depths(tree, x: np.ndarray) -> np.ndarray:
     return out
 
 
-def isolation_forest(df: DataFrame, key: str, features: Sequence[str], trees: int = 100, sample: int = 256, share: float = 0.1, seed: int = 42) -> DataFrame:
+def isolation_forest(df: DataFrame, key: str, features: Sequence[str], trees: int = 100, sample: int = 256, share: float = 0.1, seed: int = 42, bootstrap: bool = False) -> DataFrame:
     ids, ref, mean, sd = _scaled_reference(df, key, features)
     if not ids:
         return df.select(key, F.lit(0.0).alias("score"), F.lit(False).alias("flag"))
     rng, m = np.random.default_rng(seed), min(sample, len(ref))
-    forest = [_isolation_tree(ref[rng.choice(len(ref), m, replace=False)], int(np.ceil(np.log2(max(m, 2)))), rng) for _ in range(trees)]
+    forest = [_isolation_tree(ref[rng.choice(len(ref), m, replace=bootstrap)], int(np.ceil(np.log2(max(m, 2)))), rng) for _ in range(trees)]
     usual = max(1e-9, 2 * (np.log(max(m - 1, 1)) + 0.5772156649) - 2 * (m - 1) / m)
     return _top(_score_all(df, key, features, mean, sd, lambda x, _: 2 ** (-np.mean([_depths(t, x) for t in forest], axis=0) / usual)), key, share)
 
@@ -172,14 +172,24 @@ def local_outlier_factor(df: DataFrame, key: str, features: Sequence[str], neigh
     return _top(_with_values(df, key, ids, around / density), key, share)
 
 
-def dbscan_noise(df: DataFrame, key: str, features: Sequence[str], least: int = 3, nth: int = 5, at: float = 0.9) -> DataFrame:
+def _elbow(distances: np.ndarray, least: float = 0.1) -> float:
+    """The first of the sorted distances where they rise by more than the mean and a deviation of all rises."""
+    d = np.sort(distances)
+    if len(d) < 2:
+        return least
+    rise = np.gradient(d)
+    return max(float(d[np.argmax(rise > rise.mean() + rise.std())]), least)
+
+
+def dbscan_noise(df: DataFrame, key: str, features: Sequence[str], least: int = 3, nth: int = 5, at: float | None = 0.9) -> DataFrame:
     """(key, flag): rows that are neither core (at least `least` of all rows within eps, itself counted) nor within eps of a core row.
-    eps is the percentile `at` of the distances to the nth nearest row, itself counted."""
+    eps is the percentile `at` of the distances to the nth nearest row, itself counted; without `at` their elbow, 0.1 at least."""
     ids, x, _, _ = _scaled_reference(df, key, features)
     if not ids:
         return df.select(key, F.lit(False).alias("flag"))
     k = min(nth, len(ids))
-    eps = float(np.percentile(_over_blocks(df, x, lambda d, _: np.partition(np.round(d, 6), k - 1, axis=1)[:, k - 1]), at * 100))
+    nearest = _over_blocks(df, x, lambda d, _: np.partition(np.round(d, 6), k - 1, axis=1)[:, k - 1])
+    eps = _elbow(nearest) if at is None else float(np.percentile(nearest, at * 100))
     core = _over_blocks(df, x, lambda d, _: (np.round(d, 6) <= eps).sum(1)) >= least
     noise = ~core
     if core.any() and noise.any():
@@ -226,12 +236,14 @@ def ensemble(df: DataFrame, key: str, features: Sequence[str]) -> DataFrame:
 
 
 def weighted_ensemble(df: DataFrame, key: str, features: Sequence[str]) -> DataFrame:
-    """(key, weight, label, confidence): five methods, weighted; -1 from two fifths of the total weight."""
+    """(key, weight, label, confidence): five methods, weighted; -1 from two fifths of the total weight. The forest's samples are
+    drawn with replacement, LOF has a twentieth of the rows as neighbours, DBSCAN's core rows a hundredth within the elbow of the 10th distances."""
     weights = {"iforest": 1.5, "lof": 1.2, "svm": 1.0, "dbscan": 0.8, "spread": 1.0}
     df = written(df.select(key, *features), "features")
+    n = df.count()
     flags = {
-        "iforest": isolation_forest(df, key, features), "lof": local_outlier_factor(df, key, features), "svm": one_class_svm(df, key, features),
-        "dbscan": dbscan_noise(df, key, features, least=3), "spread": spread_scores(df, key, features).withColumn("flag", F.col("score") > 0.5),
+        "iforest": isolation_forest(df, key, features, bootstrap=True), "lof": local_outlier_factor(df, key, features, max(20, n // 20)), "svm": one_class_svm(df, key, features),
+        "dbscan": dbscan_noise(df, key, features, max(3, n // 100), min(10, max(n - 1, 1)), None), "spread": spread_scores(df, key, features).withColumn("flag", F.col("score") > 0.5),
     }
     out = df.select(key)
     for name, p in flags.items():
