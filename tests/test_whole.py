@@ -99,3 +99,11 @@ def test_elbow_and_shares_of_rows(spark):
     spread = {r.k: r.score > 0.5 for r in outliers.spread_scores(df, "k", ["a", "b"]).collect()}
     for i, k in enumerate(sorted(got)):
         assert abs(got[k] - 1.5 * flags["iforest"][k] - 1.2 * flags["lof"][k] - flags["svm"][k] - 0.8 * noise[i] - spread[k]) < 1e-6
+
+
+def test_all_classes_of_copies_have_members(spark, tmp_path):
+    spark.createDataFrame([(i, "a\nb") for i in range(80)] + [(80, "c"), (81, None)], "file_id bigint, content string").write.parquet(str(tmp_path / "log_files.parquet"))
+    got = sorted(map(tuple, entry.queries()["p4_members"](spark, str(tmp_path)).collect()))
+    con = duckdb.connect()
+    con.execute(f"create view log_files as select * from read_parquet('{tmp_path}/log_files.parquet/*.parquet')")
+    assert got == [(i, 0) for i in range(80)] + [(80, 80)] == sorted(con.execute(entry.oracle_sql()["p4_members"]).fetchall())

@@ -104,6 +104,12 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return copy_pairs(done.members)
 
 
+def p4_members(spark: SparkSession, folder: str) -> DataFrame:
+    """(file_id, kept_file_id): the class of each file with records, whatever its size."""
+    done = compact(table(spark, folder, "log_files").select("file_id", "content"), "file_id", "content")
+    return done.members.where("file_id is not null and kept_file_id is not null")
+
+
 def p4_records(spark: SparkSession, folder: str) -> DataFrame:
     """The consolidated records with the file each was kept from."""
     return compact(table(spark, folder, "log_files").select("file_id", "content"), "file_id", "content").records
@@ -150,7 +156,7 @@ def p6_percentiles(spark: SparkSession, folder: str) -> DataFrame:
     return quantiles.quantiles(quantiles.merged(days, ["store_id", "server"]), ["store_id", "server"], {"p50": 0.5, "p95": 0.95})
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_key_results, p1_rollup, p2_found, p2_instants, p3_found, p3_periods, p4_found, p4_records, p5_found, p5_entries, p6_found, p6_percentiles)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_key_results, p1_rollup, p2_found, p2_instants, p3_found, p3_periods, p4_found, p4_members, p4_records, p5_found, p5_entries, p6_found, p6_percentiles)}
 
 _STORE = "lpad(nullif(regexp_extract({0}, '(?:^|[^0-9])([0-9]{{4,5}})(?:$|[^0-9])', 1), ''), 5, '0')"
 _CTES = f"""
@@ -214,6 +220,7 @@ AND floor(hi.us / 1000000) = floor(ci.us / 1000000) WHERE health_event = 'Connec
     "p5_found": f"WITH {_ENTRIES} SELECT server, file, first_line, last_line, store_id FROM en WHERE lv IN ('error', 'err', 'fatal', 'critical', 'crit') AND store_id IS NOT NULL",
     "p6_found": f"WITH {_DURATIONS} SELECT store_id, 50 AS pct FROM q WHERE p50 > 3600 UNION ALL SELECT store_id, 95 FROM q WHERE p95 > 21600",
     "p4_found": f"WITH {_FILES} SELECT a.file_id AS file_a, b.file_id AS file_b FROM g a JOIN g b ON a.r = b.r AND a.file_id < b.file_id",
+    "p4_members": f"WITH {_FILES} SELECT file_id, kept AS kept_file_id FROM g",
     "p4_records": f"WITH {_FILES} SELECT file_id, CAST(unnest(range(len(r))) AS INTEGER) AS seq, unnest(r) AS record FROM g WHERE file_id = kept",
     "p1_found": f"""WITH {_CTES}
 SELECT 'store_disconnects' AS field, key AS hot_key FROM dn WHERE n >= 0.02 * (SELECT sum(n) FROM dn)
