@@ -129,10 +129,10 @@ LEAST_DURATIONS = 20
 
 
 def _durations(spark: SparkSession, folder: str) -> DataFrame:
-    """(store_id, server, day, duration_s) of usable durations, each span_id once."""
+    """(store_id, server, day, duration_s) of usable durations, each span_id once; those without one stay."""
     rows = table(spark, folder, "outage_spans").where("store_duration_s > 0 and store_duration_s < 604800")
     rows = rows.select("span_id", "server", store_key(F.col("store_id")).alias("store_id"), F.to_date("store_last_disconnect").alias("day"), F.col("store_duration_s").alias("duration_s"))
-    return rows.where("store_id is not null").dropDuplicates(["span_id"]).drop("span_id")
+    return once(rows.where("store_id is not null"), "span_id", "server", "store_id", "day", "duration_s").drop("span_id")
 
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
