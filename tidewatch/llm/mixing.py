@@ -29,7 +29,11 @@ def source_key(source: Column) -> Column:
 
 
 def _plan(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Of one mix: the virtual time at which the budget is met if documents were divisible, and the rounds each source needs."""
+    """Of one mix: the virtual time at which the budget is met if documents were divisible, and the rounds each source may need.
+
+    At a time v a source has given more than weight * v less its longest document, or all it has; where that is beyond the
+    budget for all sources together, the cut lies before v.
+    """
     has = pdf[(pdf["tokens"] > 0) & (pdf["repeats"] > 0)].copy()
     most = has["tokens"] * has["repeats"]
     budget, time = float(pdf["budget"].iloc[0]), 0.0
@@ -45,8 +49,13 @@ def _plan(pdf: pd.DataFrame) -> pd.DataFrame:
                 break
             low = end
     has["at"] = time
-    needed = (2 * time * has["weight"] / has["tokens"]).apply(lambda x: int(x) + 2)
-    has["rounds"] = pd.concat([needed, has["repeats"]], axis=1).min(axis=1)
+    surely = lambda v: float((has["weight"] * v - has["longest"]).clip(lower=0, upper=most).sum())
+    late, end = 2 * time, float(((most + has["longest"]) / has["weight"]).max()) if len(has) else 0.0
+    while 0 < late < end and surely(late) <= budget:
+        late *= 2
+    needed = (late * has["weight"] / has["tokens"]).apply(lambda x: int(x) + 2)
+    fitting = (has["budget"] // has["tokens"]) + 1  # no more can begin within the budget
+    has["rounds"] = pd.concat([needed, fitting, has["repeats"]], axis=1).min(axis=1)
     return has[["mix", "source", "weight", "budget", "tokens", "at", "rounds"]]
 
 
@@ -62,12 +71,12 @@ def choose(documents: DataFrame, targets: DataFrame, seed: int = 7, vocabulary:
     spark = documents.sparkSession
     sized = written(token_counts(documents.select("doc_id", source_key(F.col("source")).alias("source"), "text"), "text", ["doc_id", "source"], vocabulary), "sizes")
     total = sized.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("corpus"))
-    by_source = sized.where("source is not null and n_tokens > 0").groupBy("source").agg(F.sum("n_tokens").alias("tokens"))
+    by_source = sized.where("source is not null and n_tokens > 0").groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.max("n_tokens").alias("longest"))
     wanted = targets.select(F.col("mix_name").alias("mix"), F.col("source").alias("name"), source_key(F.col("source")).alias("source"), F.col("target_weight").alias("weight"), F.col("max_repeats").cast("bigint").alias("repeats"), "size_ratio")
     ratios = wanted.groupBy("mix").agg(F.max("size_ratio").alias("size_ratio"))
     wanted = wanted.where("mix is not null and source is not null and weight > 0 and not isnan(weight) and repeats > 0").groupBy("mix", "source").agg(F.min("name").alias("name"), F.max("weight").alias("weight"), F.max("repeats").alias("repeats"))
     corpus = total.first()["corpus"]  # one number
-    rows = wanted.join(ratios, "mix").join(by_source, "source", "left").withColumn("tokens", F.coalesce("tokens", F.lit(0))).withColumn("budget", F.floor(F.coalesce("size_ratio", F.lit(0.0)) * F.lit(float(corpus))))
+    rows = wanted.join(ratios, "mix").join(by_source, "source", "left").withColumn("tokens", F.coalesce("tokens", F.lit(0))).withColumn("longest", F.coalesce("longest", F.lit(0))).withColumn("budget", F.floor(F.coalesce("size_ratio", F.lit(0.0)) * F.lit(float(corpus))))
     share = F.sum("weight").over(Window.partitionBy("mix"))
     rows = written(rows.withColumn("target_share", F.col("weight") / share).drop("size_ratio"), "targets")
     plan = written(rows.groupBy("mix").applyInPandas(_plan, "mix string, source string, weight double, budget bigint, tokens bigint, at double, rounds bigint"), "plan")
