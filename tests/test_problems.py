@@ -8,6 +8,7 @@ from zoneinfo import ZoneInfo
 import pytest
 from pyspark.sql import functions as F
 
+from tidewatch import session
 from tidewatch.functions.instants import with_instant
 from tidewatch.functions.keys import store_in_line, store_key, target_key
 from tidewatch.operators import compaction, coverage, quantiles
@@ -114,6 +115,69 @@ def test_nothing_is_committed_on_a_wrong_checksum(spark, tmp_path, monkeypatch):
     assert not (tmp_path / "out").exists()
 
 
+def test_nothing_is_committed_onto_another_table(spark, tmp_path):
+    a, b = (spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "file_id bigint, content string") for texts in (["a", "b"], ["c\nd", "e"]))
+    path = f"file://{tmp_path}/out"
+    done = compact(a, "file_id", "content", path)
+    with pytest.raises(FileExistsError):
+        compact(b, "file_id", "content", path)
+    assert rows(done.records.select("record")) == [("a",), ("b",)]
+    assert sorted(x.name for x in tmp_path.iterdir()) == ["out"] and sorted(x.name for x in (tmp_path / "out").iterdir()) == ["members", "records"]
+    (tmp_path / "late.staging").mkdir()
+    (tmp_path / "late.staging" / "x").write_text("x")
+    (tmp_path / "late").mkdir()
+    with pytest.raises(FileExistsError):
+        session.move(spark, f"file://{tmp_path}/late.staging", f"file://{tmp_path}/late")
+    before = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    own = compact(b, "file_id", "content", target_bytes=1 << 20)
+    assert spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes") == before
+    assert session.exists(spark, own.path) and own.records.count() == 3
+    session.clear_written(spark)
+    assert not session.exists(spark, own.path)
+
+
+def test_a_writer_that_comes_between_is_seen(spark, tmp_path, monkeypatch):
+    """A rename onto a directory that appeared meanwhile puts the source inside of it; that isn't a commit."""
+    source, target = tmp_path / "new.staging-1", tmp_path / "new"
+    for at in (source, target):
+        at.mkdir()
+    (source / "records").write_text("mine")
+    (target / "records").write_text("another's")
+    found, at = session._hadoop(spark, f"file://{source}")
+
+    class Blind:
+        def exists(self, _):
+            return False
+
+        def rename(self, a, b):
+            source.rename(target / source.name)
+            return True
+
+        def __getattr__(self, name):
+            return getattr(found, name)
+
+    plain = session._hadoop
+    monkeypatch.setattr(session, "_hadoop", lambda s, p: (Blind() if p.endswith("staging-1") else plain(s, p)[0], plain(s, p)[1]))
+    with pytest.raises(FileExistsError):
+        session.move(spark, f"file://{source}", f"file://{target}")
+    assert (target / "records").read_text() == "another's" and not (target / source.name).exists()
+
+
+def test_a_cluster_names_the_shared_folder():
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+        conf = type("Conf", (), {"get": staticmethod(lambda name, default: default)})
+
+    with pytest.raises(RuntimeError):
+        session.shared_dir(Session())
+
+
 def test_checksum_tells_multisets_apart(spark):
     a = spark.createDataFrame([(1, "a"), (1, "a"), (2, "b")], "i int, t string")
     assert compaction.multiset_checksum(a) == compaction.multiset_checksum(a.repartition(3).orderBy("t"))

@@ -1,22 +1,25 @@
 """Consolidating far too many tiny files into a few well-sized ones, nothing lost, joined or doubled.
 
-The records of all readable files go through the adaptive REBALANCE hint: rows are shuffled, and the sizes measured at run
-time merge small output partitions and split large ones near a target size. The new files become the table only after a
-multiset checksum of what was written equals that of what was read; until then they lie under another name. A file whose
-records repeat another file's, in the same order, is a copy: it is listed with the file that is kept, not written again.
+Files are split into records and digested once, beside which a staging table keeps the records. Which files are copies (equal
+records in equal order) is decided on digests alone. The records of the kept files then go through the adaptive REBALANCE
+hint: rows are shuffled, and the sizes measured at run time merge small output partitions and split large ones near a target
+size. They become the table only after a multiset checksum of what was written equals that of what was read; until then they
+lie under another name. A copy is listed with the file that is kept, not written again.
 """
 
 from __future__ import annotations
 
 import json
+import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.session import fresh_path
+from tidewatch.session import delete, exists, fresh_path, move, session_with, temporary
 
 PAIRS_UP_TO = 64  # members of a class of copies that are expanded into all their pairs
+KEEP_BROADCAST = 1_000_000  # kept files, a bigint each, up to which their list is broadcast; counted before
 
 
 class ChecksumError(RuntimeError):
@@ -54,59 +57,72 @@ def _sums(file_id: str, records: str) -> Column:
     return F.struct(F.size(records).cast("bigint").alias("n"), xor.alias("x"), added(hashes()).alias("a"), added(hashes(F.lit(1))).alias("b"))
 
 
-def file_classes(files: DataFrame, file_id: str, content: str) -> tuple[DataFrame, DataFrame]:
-    """Two tables of the readable files with a record: (file_id, digest, n, x, a, b, kept_file_id), one row each, with the parts
-    of the checksum of the file's rows, and (file_id, records, digest).
+def read_files(files: DataFrame, file_id: str, content: str) -> DataFrame:
+    """(file_id, records, digest, n, x, a, b, row): the readable files with a record, one row each row, with a 256-bit digest of
+    the records and the parts of the checksum of its rows (file_id, seq, record). row tells redelivered rows apart."""
+    one = files.select(F.col(file_id).alias("file_id"), records_of(F.col(content)).alias("records")).where("file_id is not null and size(records) > 0")
+    digest = F.sha2(F.concat_ws("\n", "records"), 256)
+    return one.select("*", digest.alias("digest"), _sums("file_id", "records").alias("s")).select("file_id", "records", "digest", "s.*", F.monotonically_increasing_id().alias("row"))
+
+
+def file_classes(read: DataFrame) -> DataFrame:
+    """(file_id, digest, row, n, x, a, b, kept_file_id) of read_files, each file_id once.
 
     Files of equal records in equal order have the same kept_file_id, the least of theirs; no file meets another, only their
-    256-bit digests do. Of a file_id with differing contents the least digest counts.
+    digests do. Of a file_id with differing contents the least digest counts.
     """
-    one = files.select(F.col(file_id).alias("file_id"), records_of(F.col(content)).alias("records")).where("file_id is not null and size(records) > 0")
-    one = one.withColumn("digest", F.sha2(F.concat_ws("\n", "records"), 256))
-    ids = one.groupBy("file_id").agg(F.min(F.struct("digest", _sums("file_id", "records").alias("s"))).alias("m")).select("file_id", "m.digest", "m.s.*")
+    ids = read.groupBy("file_id").agg(F.min(F.struct("digest", "row", "n", "x", "a", "b")).alias("m")).select("file_id", "m.*")
     kept = ids.groupBy("digest").agg(F.min("file_id").alias("kept_file_id"))
-    return ids.join(kept, "digest"), one
-
-
-def _rename(spark: SparkSession, source: str, target: str) -> None:
-    jvm = spark._jvm
-    path = jvm.org.apache.hadoop.fs.Path(source)
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.rename(path, jvm.org.apache.hadoop.fs.Path(target)):
-        raise OSError(f"{source} can't be renamed to {target}")
+    return ids.join(kept, "digest")
 
 
 def compact(files: DataFrame, file_id: str, content: str, path: str | None = None, target_bytes: int = 128 << 20) -> Compacted:
-    """Consolidate files (one row per file) into few files of about target_bytes under path (by default in the shared folder).
+    """Consolidate files (one row per file) into few files of about target_bytes under path.
 
-    Rows with the same id count once; null contents (unreadable) and files without records leave nothing. Extra columns are
-    not looked at. An empty table gives an empty, committed result. Raises ChecksumError, leaving path untouched, if the
-    written records aren't those read.
+    Nothing may be under path yet: FileExistsError otherwise, whether it was there before or came while this ran. Without a path
+    the result lies in the shared folder and is deleted with the other temporary tables. Rows with the same id count once; null
+    contents (unreadable) and files without records leave nothing. Extra columns are not looked at. An empty table gives an
+    empty, committed result. Raises ChecksumError, leaving path untouched, if the written records aren't those read. What was
+    staged is deleted in any case.
     """
     spark = files.sparkSession
-    path = path or fresh_path(spark, "compacted")
-    staging = f"{path}.staging"
-    ids, one = file_classes(files, file_id, content)
-    ids.write.mode("overwrite").parquet(f"{staging}/classes")
-    classes = spark.read.schema(ids.schema).parquet(f"{staging}/classes")
-    keep = classes.where("file_id = kept_file_id").select("file_id", F.col("digest").alias("_digest"))
-    # one shuffle of contents, by file_id; the check of what was read needs none, it adds up the files' own parts
-    kept = one.join(keep, "file_id").where("digest = _digest").select("file_id", "records").dropDuplicates(["file_id"])
-    records = kept.select("file_id", F.posexplode("records").alias("seq", "record"))
-    size = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
-    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", str(target_bytes))
+    chosen = path is not None
+    path = (path or fresh_path(spark, "compacted")).rstrip("/")
+    if exists(spark, path):
+        raise FileExistsError(path)
+    staging = f"{path}.staging-{uuid.uuid4().hex}"
     try:
-        records.hint("rebalance").write.mode("overwrite").parquet(f"{staging}/records")
+        done = _stage(files, file_id, content, staging, target_bytes)
+        delete(spark, f"{staging}/read")
+        move(spark, staging, path)
     finally:
-        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", size)
-    written = spark.read.schema(records.schema).parquet(f"{staging}/records")
-    parts = classes.where("file_id = kept_file_id").agg(F.coalesce(F.sum("n"), F.lit(0)), F.bit_xor("x"), F.sum("a"), F.sum("b")).first()
-    read, got = tuple(None if x is None else str(x) for x in parts), multiset_checksum(written)
-    if read != got:
-        raise ChecksumError(f"read {read}, wrote {got}")
-    _rename(spark, staging, path)
-    done = lambda name, schema: spark.read.schema(schema).parquet(f"{path}/{name}")
-    return Compacted(path, done("records", records.schema), done("classes", ids.schema).select("file_id", "kept_file_id"), got)
+        delete(spark, staging)
+    if not chosen:
+        temporary(spark, path)
+    under = lambda df, name: spark.read.schema(df.schema).parquet(f"{path}/{name}")
+    return Compacted(path, under(done.records, "records"), under(done.members, "members").select("file_id", "kept_file_id"), done.checksum)
+
+
+def _stage(files: DataFrame, file_id: str, content: str, staging: str, target_bytes: int) -> Compacted:
+    """The consolidation under staging, its checksum compared."""
+    spark = files.sparkSession
+    scanned = read_files(files, file_id, content)
+    scanned.write.option("compression", "zstd").parquet(f"{staging}/read")
+    own = session_with(spark, {"spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_bytes)})
+    read = own.read.schema(scanned.schema).parquet(f"{staging}/read")
+    file_classes(read).drop("digest").write.parquet(f"{staging}/members")
+    members = own.read.parquet(f"{staging}/members")
+    kept = members.where("file_id = kept_file_id")
+    facts = kept.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0)), F.bit_xor("x"), F.sum("a"), F.sum("b")).first()
+    rows = kept.select("row")
+    some = read.select("file_id", "row", "records").join(F.broadcast(rows) if facts[0] <= KEEP_BROADCAST else rows, "row", "left_semi")
+    records = some.select("file_id", F.posexplode("records").alias("seq", "record"))
+    records.hint("rebalance").write.parquet(f"{staging}/records")
+    wrote = own.read.schema(records.schema).parquet(f"{staging}/records")
+    expected, got = tuple(None if x is None else str(x) for x in facts[1:]), multiset_checksum(wrote)
+    if expected != got:
+        raise ChecksumError(f"read {expected}, wrote {got}")
+    return Compacted(staging, wrote, members, got)
 
 
 def copy_pairs(members: DataFrame, pairs_up_to: int = PAIRS_UP_TO) -> DataFrame:
@@ -115,6 +131,7 @@ def copy_pairs(members: DataFrame, pairs_up_to: int = PAIRS_UP_TO) -> DataFrame:
     A class of at most pairs_up_to files gives all its pairs. A larger one, up to a third of all files, gives its kept file
     with each of the others: the same class in linear size, from which every pair follows.
     """
+    members = members.select("file_id", "kept_file_id")
     sizes = members.groupBy("kept_file_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     sized = members.where("file_id is not null").join(sizes, "kept_file_id")
     small, large = sized.where(F.col("n") <= pairs_up_to), sized.where((F.col("n") > pairs_up_to) & (F.col("file_id") != F.col("kept_file_id")))

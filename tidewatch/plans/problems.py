@@ -107,7 +107,7 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
 def p4_members(spark: SparkSession, folder: str) -> DataFrame:
     """(file_id, kept_file_id): the class of each file with records, whatever its size."""
     done = compact(table(spark, folder, "log_files").select("file_id", "content"), "file_id", "content")
-    return done.members.where("file_id is not null and kept_file_id is not null")
+    return done.members.select("file_id", "kept_file_id")
 
 
 def p4_records(spark: SparkSession, folder: str) -> DataFrame:
