@@ -95,6 +95,34 @@ def test_coverage(spark):
     g = coverage.gaps(df, ["k"], F.col("s"), F.col("e"), shard_us=100)
     assert rows(g) == sorted([(k, a[1], b[0]) for k, v in want.items() for a, b in zip(v, v[1:])], key=str)
     assert coverage.gaps(df.limit(0), ["k"], F.col("s"), F.col("e")).count() == 0
+    assert coverage.periods(df.limit(0), ["k"], F.col("s"), F.col("e")).count() == 0
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_coverage_of_long_intervals(spark, seed):
+    """Intervals over many shards among short ones, at shard edges too: brute force."""
+    rnd = random.Random(seed)
+    data = []
+    for _ in range(120):
+        s = rnd.choice([rnd.randint(-400, 4000), rnd.randint(-4, 40) * 100])
+        data.append((rnd.choice("aaab"), s, s + rnd.choice([1, 30, 100, 200, 250, rnd.randint(1, 900)])))
+    df = spark.createDataFrame(data, "k string, s bigint, e bigint")
+    want = {k: brute_periods([(s, e) for x, s, e in data if x == k]) for k in "ab"}
+    got = coverage.periods(df, ["k"], F.col("s"), F.col("e"), shard_us=100)
+    assert rows(got) == sorted([(k, s, e) for k, v in want.items() for s, e in v], key=str)
+    got = coverage.gaps(df, ["k"], F.col("s"), F.col("e"), shard_us=100)
+    assert rows(got) == sorted([(k, a[1], b[0]) for k, v in want.items() for a, b in zip(v, v[1:])], key=str)
+
+
+def test_centuries_are_two_rows(spark, tmp_path):
+    day = lambda n: datetime(2025, 1, 1) + timedelta(days=n)
+    spans = [("a", day(0), None, 3000 * 31_556_952.0), ("a", day(90), day(91), None), ("b", day(0), datetime(9999, 12, 31), None), ("b", day(400), day(401), 5.0), ("c", day(0), None, float("inf"))]
+    spans += [("c", day(9), None, -1e300), ("d", day(0), None, 1e300), ("e", day(0), day(1), None), ("e", day(5), day(90), None), ("e", day(40), day(41), float("nan"))]
+    df = spark.createDataFrame([(i, "S", f"Store 1{ord(k):04d}", s, e, d) for i, (k, s, e, d) in enumerate(spans)], "span_id bigint, server string, store_id string, store_last_disconnect timestamp, reconnect_at timestamp, store_duration_s double")
+    df.write.parquet(str(tmp_path / "outage_spans.parquet"))
+    assert [(r.gap_end_s - r.gap_start_s) for r in problems.p3_found(spark, str(tmp_path)).collect()] == [4 * 86_400]
+    assert problems.p3_periods(spark, str(tmp_path)).count() == 6
+    assert coverage._clipped(df, ["store_id"], F.unix_micros("store_last_disconnect"), F.unix_micros("reconnect_at"), coverage.WEEK_US).count() <= 2 * len(spans)
 
 
 def test_compaction(spark):

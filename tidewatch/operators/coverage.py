@@ -1,9 +1,11 @@
 """Continuous periods and gaps of intervals per entity, also for an entity with a third of all rows.
 
-Two levels. An interval is clipped into time shards of fixed width, so that one entity's rows spread over many groups;
-each (entity, shard) is merged on its own. What then has to meet is small: of each (entity, shard) its first start and
-last end (for gaps), or the pieces that touch a shard's boundary (for periods; at most two a shard). Times are bigint
-microseconds since 1970 UTC, intervals half open, and those that touch are continuous.
+Two levels. An interval is clipped into time shards of fixed width, so that one entity's rows spread over many groups: its
+piece in its first shard, its piece in its last, and, kept as one number on the first, the run of shards that it covers
+wholly, so that an interval of centuries is two rows like any other. Each (entity, shard) is merged on its own. What then
+has to meet is one or a few rows a shard: its first start, its last end and the runs (for gaps), or the pieces that touch a
+shard's boundary and the runs (for periods). Times are bigint microseconds since 1970 UTC, intervals half open, and those
+that touch are continuous.
 """
 
 from __future__ import annotations
@@ -14,22 +16,64 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 WEEK_US = 7 * 86_400_000_000
-LAST_US = 253_402_300_799_999_999  # the end of the year 9999, later ends are cut there
+LAST_US = 253_402_300_799_999_999  # the end of the year 9999; later ends are cut there, and starts as far before 1970
 
 
 def _clipped(df: DataFrame, keys: Sequence[str], start: Column, end: Column, shard_us: int) -> DataFrame:
-    """(keys, shard, s, e): the parts of each interval by shard; rows with a null key, start or end, or an end not after the start, have none."""
+    """(keys, shard, s, e, run): the pieces of each interval in its first and last shard; run on the first is the last of the
+    shards between them, null if there are none. Rows with a null key, start or end, or an end not after the start, have none."""
     w = F.lit(shard_us)
-    rows = df.select(*keys, start.cast("bigint").alias("_s"), end.cast("bigint").alias("_e")).dropna().withColumn("_e", F.least("_e", F.lit(LAST_US))).where("_e > _s")
+    s, e = F.greatest(start.cast("bigint"), F.lit(-LAST_US)), F.least(end.cast("bigint"), F.lit(LAST_US))
+    rows = df.select(*keys, F.when(start.isNotNull(), s).alias("_s"), F.when(end.isNotNull(), e).alias("_e")).where("_e > _s")
+    for k in keys:
+        rows = rows.where(F.col(k).isNotNull())
     first, last = (F.expr(f"({x} - pmod({x}, {shard_us})) div {shard_us}") for x in ("_s", "(_e - 1)"))
-    parts = rows.select(*keys, "_s", "_e", F.explode(F.sequence(first, last)).alias("shard"))
-    return parts.select(*keys, "shard", F.greatest("_s", F.col("shard") * w).alias("s"), F.least("_e", (F.col("shard") + 1) * w).alias("e"))
+    rows = rows.select("*", first.alias("_first"), last.alias("_last"))
+    head = F.struct(
+        F.col("_first").alias("shard"),
+        F.col("_s").alias("s"),
+        F.least("_e", (F.col("_first") + 1) * w).alias("e"),
+        F.when(F.col("_last") > F.col("_first") + 1, F.col("_last") - 1).alias("run"),
+    )
+    tail = F.struct(F.col("_last").alias("shard"), (F.col("_last") * w).alias("s"), F.col("_e").alias("e"), F.lit(None).cast("bigint").alias("run"))
+    pieces = F.when(F.col("_first") == F.col("_last"), F.array(head)).otherwise(F.array(head, tail))
+    return rows.select(*keys, F.explode(pieces).alias("_p")).select(*keys, "_p.*").where("shard is not null")
 
 
 def _local(parts: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """With `before`, the latest end among the earlier parts of the same entity and shard; null for the first."""
-    order = Window.partitionBy(*keys, "shard").orderBy("s", "e").rowsBetween(Window.unboundedPreceding, -1)
-    return parts.withColumn("before", F.max("e").over(order))
+    """parts with `before`, the latest end among the earlier parts of the same entity and shard (null for the first), and on the
+    last part of each `edge`: the shard's first start, last end and farthest run.
+
+    All that follows is taken from these rows, so that the parts are shuffled once and the table is read once. That needs all
+    uses to ask for the same columns: the condition at the end always holds, but keeps run in those that don't use it.
+    """
+    order = Window.partitionBy(*keys, "shard").orderBy("s", "e")
+    upto = order.rowsBetween(Window.unboundedPreceding, 0)
+    edge = F.struct(F.first("s").over(upto).alias("s"), F.max("e").over(upto).alias("e"), F.max("run").over(upto).alias("run"))
+    return parts.select(
+        *keys,
+        "shard",
+        "s",
+        "e",
+        F.max("e").over(order.rowsBetween(Window.unboundedPreceding, -1)).alias("before"),
+        F.when(F.lead("s").over(order).isNull(), edge).alias("edge"),
+        "run",
+    ).where("run is null or run > shard")
+
+
+def _edges(local: DataFrame, keys: Sequence[str], shard_us: int) -> DataFrame:
+    """(keys, shard, s, e, run, reach, covered), a row an entity and shard: reach is the end of what earlier shards cover, runs
+    included; covered tells whether a run of theirs covers this shard."""
+    edges = local.where("edge is not null").select(*keys, "shard", "edge.*")
+    earlier = Window.partitionBy(*keys).orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    end = F.greatest("e", (F.col("run") + 1) * F.lit(shard_us))
+    covered = F.coalesce(F.max("run").over(earlier) >= F.col("shard"), F.lit(False))
+    return edges.select("*", F.max(end).over(earlier).alias("reach"), covered.alias("covered"))
+
+
+def _outside_runs(rows: DataFrame, edges: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The rows (keys, shard, ...) whose shard no run covers."""
+    return rows.join(edges.where("covered").select(*keys, "shard"), [*keys, "shard"], "left_anti")
 
 
 def gaps(df: DataFrame, keys: Sequence[str], start: Column, end: Column, shard_us: int = WEEK_US) -> DataFrame:
@@ -37,28 +81,28 @@ def gaps(df: DataFrame, keys: Sequence[str], start: Column, end: Column, shard_u
 
     An entity of one period has none. Repeated rows change nothing. Empty input gives no rows.
     """
-    parts = _clipped(df, keys, start, end, shard_us)
-    inside = _local(parts, keys).where("s > before").select(*keys, F.col("before").alias("gap_start"), F.col("s").alias("gap_end"))
-    edges = parts.groupBy(*keys, "shard").agg(F.min("s").alias("s"), F.max("e").alias("e"))
-    stitched = edges.withColumn("before", F.lag("e").over(Window.partitionBy(*keys).orderBy("shard")))
-    across = stitched.where("s > before").select(*keys, F.col("before").alias("gap_start"), F.col("s").alias("gap_end"))
-    return inside.unionByName(across)
+    local = _local(_clipped(df, keys, start, end, shard_us), keys)
+    edges = _edges(local, keys, shard_us)
+    inside = _outside_runs(local.where("s > before").select(*keys, "shard", F.col("before").alias("gap_start"), F.col("s").alias("gap_end")), edges, keys)
+    across = edges.where("s > reach").select(*keys, F.col("reach").alias("gap_start"), F.col("s").alias("gap_end"))
+    return inside.drop("shard").unionByName(across)
 
 
 def periods(df: DataFrame, keys: Sequence[str], start: Column, end: Column, shard_us: int = WEEK_US) -> DataFrame:
-    """(keys, period_start, period_end, n_parts) in microseconds: the continuous periods of each entity.
-
-    n_parts counts the interval parts in a period (an interval over several shards counts in each).
-    """
+    """(keys, period_start, period_end) in microseconds: the continuous periods of each entity. Empty input gives no rows."""
+    w = F.lit(shard_us)
     local = _local(_clipped(df, keys, start, end, shard_us), keys)
+    edges = _edges(local, keys, shard_us)
     order = Window.partitionBy(*keys, "shard").orderBy("s", "e").rowsBetween(Window.unboundedPreceding, 0)
-    islands = local.withColumn("island", F.sum(F.when(F.col("s") <= F.col("before"), 0).otherwise(1)).over(order))
-    merged = islands.groupBy(*keys, "shard", "island").agg(F.min("s").alias("s"), F.max("e").alias("e"), F.count(F.lit(1)).alias("n_parts"))
-    w = F.lit(shard_us)
+    islands = local.select(*keys, "shard", "s", "e", F.sum(F.when(F.col("s") <= F.col("before"), 0).otherwise(1)).over(order).alias("island"))
+    merged = islands.groupBy(*keys, "shard", "island").agg(F.min("s").alias("s"), F.max("e").alias("e"))
     merged = merged.withColumn("touches", (F.col("s") == F.col("shard") * w) | (F.col("e") == (F.col("shard") + 1) * w))
-    whole = merged.where("not touches").select(*keys, F.col("s").alias("period_start"), F.col("e").alias("period_end"), "n_parts")
-    chain = Window.partitionBy(*keys).orderBy("s")
-    touching = merged.where("touches").withColumn("before", F.lag("e").over(chain))
-    touching = touching.withColumn("chain", F.sum(F.when(F.col("s") == F.col("before"), 0).otherwise(1)).over(chain.rowsBetween(Window.unboundedPreceding, 0)))
-    stitched = touching.groupBy(*keys, "chain").agg(F.min("s").alias("period_start"), F.max("e").alias("period_end"), F.sum("n_parts").alias("n_parts")).drop("chain")
-    return whole.unionByName(stitched)
+    whole = _outside_runs(merged.where("not touches").select(*keys, "shard", F.col("s").alias("period_start"), F.col("e").alias("period_end")), edges, keys)
+    runs = edges.where("run is not null").select(*keys, ((F.col("shard") + 1) * w).alias("s"), ((F.col("run") + 1) * w).alias("e"))
+    chain = Window.partitionBy(*keys).orderBy("s", "e")
+    touching = merged.where("touches").select(*keys, "s", "e").unionByName(runs)
+    touching = touching.withColumn("before", F.max("e").over(chain.rowsBetween(Window.unboundedPreceding, -1)))
+    new = F.when(F.col("s") <= F.col("before"), 0).otherwise(1)
+    touching = touching.withColumn("chain", F.sum(new).over(chain.rowsBetween(Window.unboundedPreceding, 0)))
+    stitched = touching.groupBy(*keys, "chain").agg(F.min("s").alias("period_start"), F.max("e").alias("period_end"))
+    return whole.drop("shard").unionByName(stitched.drop("chain"))

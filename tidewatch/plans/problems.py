@@ -80,9 +80,12 @@ def p2_instants(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _outages(spark: SparkSession, folder: str) -> DataFrame:
+    """(server, store_id, s, e); an end beyond the calendar's last year, also of an infinite duration, is that year's end."""
     start, back, length = F.unix_micros("store_last_disconnect"), F.unix_micros("reconnect_at"), F.col("store_duration_s")
-    lasted = F.when(~F.isnan(length) & (F.abs(length) < 1e11), F.round(length * 1e6).cast("bigint"))
-    return table(spark, folder, "outage_spans").select("server", store_key(F.col("store_id")).alias("store_id"), start.alias("s"), F.coalesce(back, start + lasted).alias("e"))
+    far = start.cast("double") + length * 1e6 >= float(coverage.LAST_US)
+    lasting = F.when(far, F.lit(coverage.LAST_US)).otherwise(start + F.round(length * 1e6).cast("bigint"))
+    end = F.coalesce(back, F.when(~F.isnan(length) & (length > 0), lasting))
+    return table(spark, folder, "outage_spans").select("server", store_key(F.col("store_id")).alias("store_id"), start.alias("s"), end.alias("e"))
 
 
 def _seconds(c: str) -> Column:
@@ -168,7 +171,8 @@ rn AS (SELECT key, count(*) AS n, sum(CASE WHEN priority = 1 THEN 1 ELSE 0 END)
 k AS (SELECT coalesce(dn.key, rn.key) AS key, coalesce(dn.n, 0) AS l, coalesce(rn.n, 0) AS r, coalesce(rn.urgent, 0) AS u FROM dn FULL JOIN rn ON dn.key = rn.key)"""
 _SPANS = f"""
 i AS (SELECT DISTINCT server, {_STORE.format('store_id')} AS store_id, epoch_us(store_last_disconnect) AS s,
-  coalesce(epoch_us(reconnect_at), epoch_us(store_last_disconnect) + CASE WHEN NOT isnan(store_duration_s) THEN CAST(round(store_duration_s * 1e6) AS BIGINT) END) AS e FROM outage_spans),
+  coalesce(epoch_us(reconnect_at), CASE WHEN isnan(store_duration_s) OR store_duration_s <= 0 THEN NULL WHEN epoch_us(store_last_disconnect) + store_duration_s * 1e6 >= {coverage.LAST_US} THEN {coverage.LAST_US}
+  ELSE epoch_us(store_last_disconnect) + CAST(round(store_duration_s * 1e6) AS BIGINT) END) AS e FROM outage_spans),
 v AS (SELECT * FROM i WHERE server IS NOT NULL AND store_id IS NOT NULL AND s IS NOT NULL AND e > s),
 b AS (SELECT *, max(e) OVER (PARTITION BY server, store_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p FROM v)"""
 
