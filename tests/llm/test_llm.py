@@ -1,12 +1,13 @@
 """Encoding, mixing and splitting against brute force and a public library."""
 
 import base64
+import hashlib
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from tidewatch.llm import bpe
+from tidewatch.llm import bpe, mixing
 from tidewatch.llm.encode import token_counts, token_ids
 from tidewatch.llm.mixing import choose, shares
 from tidewatch.llm.splitting import pieces, split_text
@@ -95,7 +96,7 @@ def test_mixing_equals_the_queue(spark):
     chosen, plan = choose(d, t)
     sizes = {r.doc_id: r.n_tokens for r in token_counts(d, "text", ["doc_id"]).collect()}
     named = {i: {"bigone": "bigone", "big_one": "bigone"}.get((s or "").lower().replace(" ", "").replace("-", ""), (s or "").lower().strip()) for i, s, _ in docs}
-    ranked = sorted(sizes, key={r.doc_id: r.h % 2**64 for r in d.select("doc_id", F.xxhash64("doc_id", F.lit(7)).alias("h")).collect()}.get)
+    ranked = sorted(sizes, key=lambda i: hashlib.md5(f"{i}:7".encode()).hexdigest())
     order = {s: [i for i in ranked if named[i] == s and sizes[i] > 0] for s in ("bigone", "rare", "mid")}
     want = _brute_mix(sizes, {"bigone": 5.0, "rare": 4.0, "mid": 1.0}, 2, int(0.5 * sum(sizes.values())), order)
     got = sorted((r.source, r.doc_id, r["round"]) for r in chosen.where("mix = 'm'").collect())
@@ -108,6 +109,48 @@ def test_mixing_equals_the_queue(spark):
     assert none.count() == 0
 
 
+def test_rounds_reach_the_budget(spark):
+    docs = spark.createDataFrame([(i, s, " a" * n) for i, (s, n) in enumerate([("A", 10_000), ("B", 10_000), ("C", 10_000), ("D", 10)])], "doc_id bigint, source string, text string")
+    targets = spark.createDataFrame([("m", s, 0.25, 1_000, 100.5 / 30_010) for s in "ABCD"], "mix_name string, source string, target_weight double, max_repeats int, size_ratio double")
+    chosen, _ = choose(docs, targets)
+    assert [(r.source, r["count"]) for r in chosen.groupBy("source").count().collect()] == [("d", 10)]
+
+
+def test_mixes_without_a_budget(spark):
+    """A mix of ratio 0, null, NaN or below 0 has no documents and its rows in the shares; the others are as they were."""
+    docs = spark.createDataFrame([(i, "ab"[i % 2], "word " * 9) for i in range(40)], "doc_id bigint, source string, text string")
+    ratios = {"none": None, "nan": float("nan"), "zero": 0.0, "less": -1.0, "some": 0.5}
+    targets = spark.createDataFrame([(m, s, 1.0, 2, x) for m, x in ratios.items() for s in "ab"], "mix_name string, source string, target_weight double, max_repeats int, size_ratio double")
+    chosen, plan = choose(docs, targets)
+    assert {r.mix for r in chosen.collect()} == {"some"} and chosen.count() == 20
+    found = shares(chosen, plan).collect()
+    assert len(found) == 10 and {(r.actual_share, r.chosen_docs, r.target_share) for r in found if r.mix != "some"} == {(0.0, 0, 0.5)}
+
+
+def test_mixing_of_given_sizes_in_narrow_ranges(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "TOKENS_A_RANGE", 3)
+    monkeypatch.setattr(mixing, "LEAST_RANGES", 2)
+    rnd = random.Random(6)
+    data = [(i, rnd.choice("aaab"), rnd.choice([0, 1, 2, 50, None])) for i in range(400)]
+    d = spark.createDataFrame(data, "doc_id bigint, source string, size int")
+    t = spark.createDataFrame([("m", "a", 2.0, 3, 0.8), ("m", "b", 5.0, 3, 0.8)], "mix_name string, source string, target_weight double, max_repeats int, size_ratio double")
+    chosen, _ = choose(d, t, size=F.col("size"))
+    sizes = {i: n or 0 for i, _, n in data}
+    ranked = sorted(sizes, key=lambda i: hashlib.md5(f"{i}:7".encode()).hexdigest())
+    order = {s: [i for i in ranked if data[i][1] == s and sizes[i]] for s in "ab"}
+    want = _brute_mix(sizes, {"a": 2.0, "b": 5.0}, 3, int(0.8 * sum(sizes.values())), order)
+    assert sorted((r.source, r.doc_id, r["round"]) for r in chosen.collect()) == sorted(want)
+
+
+def test_words_are_kept_by_size(theirs, monkeypatch):
+    monkeypatch.setattr(bpe, "CHARACTERS_KEPT", 1_000)
+    e = bpe.Encoder()
+    for n in range(60):
+        text = chr(97 + n % 26) * (300 + n)
+        assert e.encode(text) == theirs.encode_ordinary(text)
+        assert sum(map(len, e.known)) == e.characters <= 1_000
+
+
 def test_splitting(theirs):
     rnd = random.Random(2)
     words = ["alpha", "beta", "gamma\n", "delta.", "é日本", "\n\n", "  ", "0123456789"]
@@ -125,6 +168,15 @@ def test_splitting(theirs):
     assert split_text(None) == [(0, 0, 0)] and split_text("") == [(0, 0, 0)]
 
 
+def test_overlap_of_blanks(theirs):
+    """Blanks at a cut join to fewer tokens by themselves; the overlap grows until it has its tokens."""
+    text = ("word" + " " * 40 + "\n") * 400
+    got = split_text(text, None, 256, 64)
+    assert len(got) > 2
+    for p, q in zip(got, got[1:]):
+        assert len(theirs.encode_ordinary(text[q[0] : p[1]])) >= 64
+
+
 def test_cells_are_preferred():
     cell = "one two three four five six seven eight nine ten\n" * 5
     text = cell * 20
@@ -140,5 +192,5 @@ def test_pieces(spark):
     assert {r.doc_id for r in got if r.n_pieces > 1} == {1}
     assert all(r.piece == long[r.start_char : r.end_char] for r in got if r.doc_id == 1)
     light = pieces(df, "doc_id", "text", "cell_starts", with_text=False).collect()
-    assert sorted((r.doc_id, r.piece_no, r.end_char) for r in light) == sorted((r.doc_id, r.piece_no, r.end_char) for r in got)
+    assert sorted((r.doc_id, r.piece_no, r.end_char, r.n_tokens) for r in light) == sorted((r.doc_id, r.piece_no, r.end_char, r.n_tokens) for r in got)
     assert pieces(df.limit(0), "doc_id", "text", None).count() == 0

@@ -22,7 +22,7 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 # The same for texts of ASCII alone, which a plainer and faster pattern cuts.
 _BLANK = r" \t\n\r\x0b\x0c"
 ASCII_PATTERN = rf"'(?:[stmd]|re|ve|ll)| ?[A-Za-z]+| ?[0-9]+| ?[^{_BLANK}A-Za-z0-9]+|[{_BLANK}]+(?![^{_BLANK}])|[{_BLANK}]+"
-WORDS_KEPT = 300_000  # words whose ids a worker remembers; when more, it begins anew
+WORDS_KEPT, CHARACTERS_KEPT = 300_000, 8_000_000  # words whose ids a worker remembers, and characters in them; when more, it begins anew
 _OTHER = re.compile(r"[^\x00-\x7f]+").search
 _NONE = np.iinfo(np.int64).max
 _BATCHED = (8, 16, 32, 64)
@@ -44,6 +44,7 @@ class Encoder:
         self.any_words = regex.compile(pattern).findall
         self.ascii_words = re.compile(ASCII_PATTERN).findall if pattern == PATTERN else None
         self.known: dict[str, list[int]] = {}
+        self.characters = 0  # in the known words
 
     def _look_up(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The ranks (ids) of pairs; _NONE where there is none."""
@@ -199,9 +200,13 @@ class Encoder:
         """The words of texts, all of them known afterwards; none for a null or empty text."""
         found = [self.words_of(t) if t else [] for t in texts]
         new = set(chain.from_iterable(found)).difference(self.known)
-        if len(self.known) + len(new) > WORDS_KEPT and self.known:
+        size = sum(map(len, new))
+        if self.known and (len(self.known) + len(new) > WORDS_KEPT or self.characters + size > CHARACTERS_KEPT):
             self.known.clear()
+            self.characters = 0
             new = set(chain.from_iterable(found))
+            size = sum(map(len, new))
+        self.characters += size
         self.learn(new)
         return found
 

@@ -67,12 +67,15 @@ class _Measured:
         return fits[-1] if fits else int(self.chars[k])
 
     def overlapping(self, cut: int, tokens: int) -> int:
-        """Where the piece after cut begins: the overlap, encoded by itself, has the tokens (blanks at its end may join to fewer)."""
-        for more in range(16):
+        """Where the piece after cut begins: the overlap, encoded by itself, has the tokens (blanks at its end may join to fewer),
+        or is all of the text before the cut."""
+        more = 0
+        while True:
             start = self.back(cut, tokens + more)
-            if start == 0 or self.e.count(self.text[start:cut]) >= tokens:
-                break
-        return start
+            short = tokens - self.e.count(self.text[start:cut])
+            if start == 0 or short <= 0:
+                return start
+            more += short
 
 
 def _boundaries(m: _Measured, cells: Sequence[int] | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -129,13 +132,16 @@ def split_text(text: str | None, cells: Sequence[int] | None = None, limit: int
         return [(0, len(text), m.total)]
     at, tokens, strength = _boundaries(m, cells)
     n = max(2, -(-(m.total - overlap) // (limit - overlap)))
+    counted: dict[tuple[int, int], int] = {}  # pieces that came up with fewer pieces too aren't encoded again
+    begins: dict[int, int] = {}
     while n <= len(at) + 1:
         cuts = _cuts(m, n, limit, overlap, at, tokens, strength)
         if cuts is not None:
-            starts = [0, *(m.overlapping(c, overlap) for c in cuts)]
-            pieces = [(a, b, e.count(text[a:b])) for a, b in zip(starts, [*cuts, len(text)], strict=True)]
-            if all(t <= limit for _, _, t in pieces):
-                return pieces
+            begins.update((c, m.overlapping(c, overlap)) for c in cuts if c not in begins)
+            spans = list(zip([0, *(begins[c] for c in cuts)], [*cuts, len(text)], strict=True))
+            counted.update((x, e.count(text[x[0] : x[1]])) for x in spans if x not in counted)
+            if all(counted[x] <= limit for x in spans):
+                return [(*x, counted[x]) for x in spans]
         n += 1
     raise ValueError("the limit can't be kept: a single character has more tokens")
 
@@ -143,9 +149,8 @@ def split_text(text: str | None, cells: Sequence[int] | None = None, limit: int
 def pieces(df: DataFrame, key: str, text: str, cells: str | None, limit: int = LIMIT, overlap: int = OVERLAP, with_text: bool = True, vocabulary: str = VOCABULARY) -> DataFrame:
     """(key, piece_no from 0, n_pieces, start_char, end_char, n_tokens, piece): the ordered pieces of every row's text.
 
-    Whole texts are measured, each where it lies; nothing is shuffled. Null and empty texts are one empty piece. Positions
-    in `cells` outside of the text are ignored. with_text=False leaves piece null and, of texts that can't be over the
-    limit because they have no more bytes than it, n_tokens too, without encoding these.
+    Every text is encoded whole, each where it lies; nothing is shuffled. Null and empty texts are one empty piece. Positions
+    in `cells` outside of the text are ignored. with_text=False leaves piece null.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -154,19 +159,14 @@ def pieces(df: DataFrame, key: str, text: str, cells: str | None, limit: int = L
             out = []
             some = batch.iloc[at : at + TEXTS_AT_ONCE]
             bodies = [x if isinstance(x, str) else None for x in some[text]]
-            short = [not with_text and x is not None and (len(x) <= limit and len(x.encode("utf-8")) <= limit) for x in bodies]
-            words = e.words([None if s else x for x, s in zip(bodies, short, strict=True)])  # learnt together
+            words = e.words(bodies)  # learnt together
             marks = some[cells] if cells else [None] * len(some)
-            for name, body, plain, found_words, starts in zip(some[key], bodies, short, words, marks, strict=True):
-                if plain:
-                    found = [(0, len(body), None)]
-                else:
-                    # a later text may have made the encoder begin anew
-                    known = all(w in e.known for w in found_words)
-                    found = split_text(body, None if starts is None else list(starts), limit, overlap, e, found_words if known else None)
+            for name, body, found_words, starts in zip(some[key], bodies, words, marks, strict=True):
+                # a later text may have made the encoder begin anew
+                known = all(w in e.known for w in found_words)
+                found = split_text(body, None if starts is None else list(starts), limit, overlap, e, found_words if known else None)
                 out.extend((name, k, len(found), a, b, t, body[a:b] if with_text and body is not None else None) for k, (a, b, t) in enumerate(found))
-            made = pd.DataFrame(out, columns=[key, "piece_no", "n_pieces", "start_char", "end_char", "n_tokens", "piece"])
-            yield made.astype({"n_tokens": "Int64"})
+            yield pd.DataFrame(out, columns=[key, "piece_no", "n_pieces", "start_char", "end_char", "n_tokens", "piece"])
 
     schema = f"`{key}` {dict(df.dtypes)[key]}, piece_no int, n_pieces int, start_char bigint, end_char bigint, n_tokens bigint, piece string"
     return df.select(key, text, *([cells] if cells else [])).mapInPandas(run, schema)
