@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tidewatch import session
 from tidewatch.functions.instants import with_instant
 from tidewatch.functions.keys import store_in_line, store_key, target_key
-from tidewatch.operators import compaction, coverage, quantiles
+from tidewatch.operators import compaction, coverage
 from tidewatch.operators.compaction import compact, copy_pairs
 from tidewatch.operators.eager_aggregate import Measure, eager_join_aggregate, hot_keys, once
 from tidewatch.operators.log_entries import entries
@@ -230,26 +230,6 @@ def test_entries(spark):
     assert entries(df.limit(0)).count() == 0
 
 
-def test_quantiles(spark):
-    rnd = random.Random(9)
-    data = [(rnd.choice(["hot"] * 9 + ["cold"]), rnd.choice([1.0, 2.0, rnd.uniform(0, 1000)])) for _ in range(20_000)] + [("n", None), ("n", float("nan")), (None, 5.0)]
-    df = spark.createDataFrame(data, "g string, v double").repartition(6)
-    k = 64
-    one = quantiles.merged(quantiles.states(df, ["g"], "v", k), ["g"], fan_in=3, k=k)
-    got = {r.g: r for r in quantiles.quantiles(one, ["g"], {"m": 0.5, "p": 0.95}).collect()}
-    assert set(got) == {"hot", "cold", None}
-    for g in ("hot", "cold"):
-        v = sorted(x for h, x in data if h == g)
-        assert got[g].n == len(v) and got[g].error < len(v) * 0.2
-        for p, x, low, high in ((0.5, got[g].m, got[g].m_low, got[g].m_high), (0.95, got[g].p, got[g].p_low, got[g].p_high)):
-            exact = v[round(p * (len(v) - 1))]
-            assert low <= exact <= high and low <= x <= high
-    usable = df.where("v is not null and not isnan(v)")
-    exact = usable.groupBy("g").agg(F.percentile("v", 0.95).alias("q")).where("q > 940").select("g")
-    assert rows(quantiles.exceeds(usable, ["g"], "v", 0.95, 940.0)) == rows(exact)
-    assert quantiles.states(df.limit(0), ["g"], "v").count() == 0
-
-
 def _brute_instant(text, zone):
     """By the standard library: None for no or no single instant. Only the forms of the test tables."""
     own = {"PST": -8, "PDT": -7, "MST": -7, "CST": -6, "CDT": -5, "EST": -5, "EDT": -4, "GMT": 0, "UTC": 0, "CET": 1, "CEST": 2, "BST": 1, "IST": 5.5}

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from tidewatch import analysis
-from tidewatch.llm import mixing
 from tidewatch.operators import learning, outliers
 from tidewatch.plans import models
 
@@ -108,18 +107,3 @@ def test_all_classes_of_copies_have_members(spark, tmp_path):
     con = duckdb.connect()
     con.execute(f"create view log_files as select * from read_parquet('{tmp_path}/log_files.parquet/*.parquet')")
     assert got == [(i, 0) for i in range(80)] + [(80, 80)] == sorted(con.execute(entry.oracle_sql()["p4_members"]).fetchall())
-
-
-def test_rounds_reach_the_budget(spark):
-    docs = spark.createDataFrame([(i, s, " a" * n) for i, (s, n) in enumerate([("A", 10_000), ("B", 10_000), ("C", 10_000), ("D", 10)])], "doc_id bigint, source string, text string")
-    targets = spark.createDataFrame([("m", s, 0.25, 1_000, 100.5 / 30_010) for s in "ABCD"], "mix_name string, source string, target_weight double, max_repeats int, size_ratio double")
-    chosen, _ = mixing.choose(docs, targets)
-    assert [(r.source, r["count"]) for r in chosen.groupBy("source").count().collect()] == [("d", 10)]
-
-
-def test_durations_without_an_id_count(spark, tmp_path):
-    rows = [(None if i < 15 else i, "S", "Store 12345", 4_000.0 + i) for i in range(25)] + [(20, "S", "Store 12345", 4_020.0)]
-    df = spark.createDataFrame(rows, "span_id bigint, server string, store_id string, store_duration_s double").withColumn("store_last_disconnect", F.lit("2024-01-04 00:00:00").cast("timestamp"))
-    df.write.parquet(str(tmp_path / "outage_spans.parquet"))
-    assert [tuple(r) for r in entry.queries()["p6_found"](spark, str(tmp_path)).collect()] == [("12345", 50)]
-    assert entry.queries()["p6_percentiles"](spark, str(tmp_path)).select("n").first().n == 25

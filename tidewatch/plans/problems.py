@@ -1,4 +1,4 @@
-"""The queries p1_ to p6_ on the whole tables, with their production parameters."""
+"""The queries p1_ to p5_ on the whole tables, with their production parameters."""
 
 from __future__ import annotations
 
@@ -7,10 +7,9 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions.instants import with_instant
 from tidewatch.functions.keys import store_key, target_key
-from tidewatch.operators import coverage, log_entries, quantiles
+from tidewatch.operators import coverage, log_entries
 from tidewatch.operators.compaction import compact, copy_pairs
 from tidewatch.operators.eager_aggregate import Measure, eager_join_aggregate, hot_keys, once, roll_up
-from tidewatch.session import written
 from tidewatch.sources.tables import table
 
 HOT_SHARE = 0.02
@@ -127,39 +126,7 @@ def p5_entries(spark: SparkSession, folder: str) -> DataFrame:
     return log_entries.entries(table(spark, folder, "log_lines"))
 
 
-LIMITS = {50: (0.5, 3_600.0), 95: (0.95, 21_600.0)}
-LEAST_DURATIONS = 20
-
-
-def _durations(spark: SparkSession, folder: str) -> DataFrame:
-    """(store_id, server, day, duration_s) of usable durations, each span_id once; those without one stay."""
-    rows = table(spark, folder, "outage_spans").where("store_duration_s > 0 and store_duration_s < 604800")
-    rows = rows.select("span_id", "server", store_key(F.col("store_id")).alias("store_id"), F.to_date("store_last_disconnect").alias("day"), F.col("store_duration_s").alias("duration_s"))
-    return once(rows.where("store_id is not null"), "span_id", "server", "store_id", "day", "duration_s").drop("span_id")
-
-
-def p6_found(spark: SparkSession, folder: str) -> DataFrame:
-    """From the merged states; a store whose bounds lie on both sides of the limit is settled by an exact check."""
-    rows = _durations(spark, folder)
-    states = quantiles.merged(quantiles.states(rows, ["store_id"], "duration_s"), ["store_id"])
-    found = written(quantiles.quantiles(states, ["store_id"], {f"p{pct}": p for pct, (p, _) in LIMITS.items()}).where(F.col("n") >= LEAST_DURATIONS), "percentiles")
-    out = None
-    for pct, (p, limit) in LIMITS.items():
-        sure = found.where(F.col(f"p{pct}_low") > limit).select("store_id")
-        open_ = found.where((F.col(f"p{pct}_low") <= limit) & (F.col(f"p{pct}_high") > limit)).select("store_id")
-        settled = quantiles.exceeds(rows.join(open_, "store_id", "left_semi"), ["store_id"], "duration_s", p, limit)
-        both = sure.unionByName(settled).select("store_id", F.lit(pct).alias("pct"))
-        out = both if out is None else out.unionByName(both)
-    return out
-
-
-def p6_percentiles(spark: SparkSession, folder: str) -> DataFrame:
-    """Percentiles by store and server from the states of single days, with their error in ranks."""
-    days = quantiles.states(_durations(spark, folder), ["store_id", "server", "day"], "duration_s")
-    return quantiles.quantiles(quantiles.merged(days, ["store_id", "server"]), ["store_id", "server"], {"p50": 0.5, "p95": 0.95})
-
-
-QUERIES = {f.__name__: f for f in (p1_found, p1_key_results, p1_rollup, p2_found, p2_instants, p3_found, p3_periods, p4_found, p4_members, p4_records, p5_found, p5_entries, p6_found, p6_percentiles)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_key_results, p1_rollup, p2_found, p2_instants, p3_found, p3_periods, p4_found, p4_members, p4_records, p5_found, p5_entries)}
 
 _STORE = "lpad(nullif(regexp_extract({0}, '(?:^|[^0-9])([0-9]{{4,5}})(?:$|[^0-9])', 1), ''), 5, '0')"
 _CTES = f"""
@@ -181,10 +148,6 @@ f AS (SELECT file_id, min(list_filter(regexp_split_to_array(regexp_replace(conte
   FROM log_files WHERE content IS NOT NULL GROUP BY file_id),
 g AS (SELECT file_id, r, min(file_id) OVER (PARTITION BY r) AS kept FROM f WHERE len(r) > 0)"""
 
-_DURATIONS = f"""
-u AS (SELECT span_id, min({_STORE.format('store_id')}) AS store_id, min(store_duration_s) AS v FROM outage_spans WHERE store_duration_s > 0 AND store_duration_s < 604800 GROUP BY span_id),
-q AS (SELECT store_id, quantile_cont(v, 0.5) AS p50, quantile_cont(v, 0.95) AS p95 FROM u WHERE store_id IS NOT NULL GROUP BY store_id HAVING count(*) >= 20)"""
-
 _HEADS = {  # each program's first line, with its level
     r"^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\S* \S+ \((\w+)\) ": "lower({x})", r'^\{"time": [^,]+, "level": "(\w+)"': "lower({x})", r"^ts=\S+ lvl=(\w+)": "lower({x})", r"^\d\d:\d\d:\d\d,\d+ \| (\w+) *\|": "lower({x})",
     r"^<(\d+)>[A-Z][a-z]{2} +\d+ \d\d:": "CASE WHEN CAST({x} AS INTEGER) % 8 < 4 THEN 'error' ELSE 'less' END", r"^\[\d\d/[A-Z][a-z]{2}/\d{4}:\S+ \S+ \[\w+\] \[(\w)\]": "CASE WHEN {x} IN ('E', 'F', 'C') THEN 'error' ELSE 'less' END",
@@ -222,7 +185,6 @@ SQL = {
     "p2_found": f"""WITH {_CONN}, {_HEALTH} SELECT DISTINCT health_id, event_id FROM hi JOIN ci ON hi.server = ci.server AND {_STORE.format('hi.source_entity')} = {_STORE.format('ci.store_id')}
 AND floor(hi.us / 1000000) = floor(ci.us / 1000000) WHERE health_event = 'Connection failed' AND kind = 'disconnect'""",
     "p5_found": f"WITH {_ENTRIES} SELECT server, file, first_line, last_line, store_id FROM en WHERE lv IN ('error', 'err', 'fatal', 'critical', 'crit') AND store_id IS NOT NULL",
-    "p6_found": f"WITH {_DURATIONS} SELECT store_id, 50 AS pct FROM q WHERE p50 > 3600 UNION ALL SELECT store_id, 95 FROM q WHERE p95 > 21600",
     "p4_found": f"WITH {_FILES} SELECT a.file_id AS file_a, b.file_id AS file_b FROM g a JOIN g b ON a.r = b.r AND a.file_id < b.file_id",
     "p4_members": f"WITH {_FILES} SELECT file_id, kept AS kept_file_id FROM g",
     "p4_records": f"WITH {_FILES} SELECT file_id, CAST(unnest(range(len(r))) AS INTEGER) AS seq, unnest(r) AS record FROM g WHERE file_id = kept",
