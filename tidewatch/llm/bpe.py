@@ -45,6 +45,7 @@ class Encoder:
         self.ascii_words = re.compile(ASCII_PATTERN).findall if pattern == PATTERN else None
         self.known: dict[str, list[int]] = {}
         self.characters = 0  # in the known words
+        self.begun = 0  # how often the words were forgotten
 
     def _look_up(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The ranks (ids) of pairs; _NONE where there is none."""
@@ -203,7 +204,7 @@ class Encoder:
         size = sum(map(len, new))
         if self.known and (len(self.known) + len(new) > WORDS_KEPT or self.characters + size > CHARACTERS_KEPT):
             self.known.clear()
-            self.characters = 0
+            self.characters, self.begun = 0, self.begun + 1
             new = set(chain.from_iterable(found))
             size = sum(map(len, new))
         self.characters += size

@@ -23,13 +23,15 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 @contextmanager
-def _uncollected() -> Iterator[None]:
+def uncollected() -> Iterator[None]:
     """Without Python's cycle collector, which finds nothing among millions of strings and lists of numbers, but looks."""
+    was = gc.isenabled()
     gc.disable()
     try:
         yield
     finally:
-        gc.enable()
+        if was:
+            gc.enable()
 
 
 def token_ids(df: DataFrame, key: str, text: str, vocabulary: str = VOCABULARY) -> DataFrame:
@@ -40,7 +42,7 @@ def token_ids(df: DataFrame, key: str, text: str, vocabulary: str = VOCABULARY)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(vocabulary)
         for batch in _chunks(batches):
-            with _uncollected():
+            with uncollected():
                 found = e.words(batch.column(1).to_pylist())
                 of = e.known.__getitem__
                 each = [list(chain.from_iterable(map(of, w))) for w in found]
@@ -58,7 +60,7 @@ def token_counts(df: DataFrame, text: str, keep: list[str], vocabulary: str = VO
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(vocabulary)
         for batch in _chunks(batches):
-            with _uncollected():
+            with uncollected():
                 found = e.words(batch.column(batch.num_columns - 1).to_pylist())
                 length = {w: len(e.known[w]) for w in set(chain.from_iterable(found))}.__getitem__
                 of = e.known.__getitem__

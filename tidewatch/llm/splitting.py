@@ -17,6 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from tidewatch.llm.bpe import VOCABULARY, Encoder, encoder
+from tidewatch.llm.encode import uncollected
 
 TEXTS_AT_ONCE = 128
 
@@ -127,9 +128,11 @@ def split_text(text: str | None, cells: Sequence[int] | None = None, limit: int
     if not text:
         return [(0, 0, 0)]
     e = e or encoder()
-    m = _Measured(text, e, e.words([text])[0] if words is None else words)
-    if m.total <= limit:
-        return [(0, len(text), m.total)]
+    words = e.words([text])[0] if words is None else words
+    total = sum(map(len, map(e.known.__getitem__, words)))
+    if total <= limit:
+        return [(0, len(text), total)]
+    m = _Measured(text, e, words)
     at, tokens, strength = _boundaries(m, cells)
     n = max(2, -(-(m.total - overlap) // (limit - overlap)))
     counted: dict[tuple[int, int], int] = {}  # pieces that came up with fewer pieces too aren't encoded again
@@ -153,19 +156,24 @@ def pieces(df: DataFrame, key: str, text: str, cells: str | None, limit: int = L
     in `cells` outside of the text are ignored. with_text=False leaves piece null.
     """
 
+    def cut(e: Encoder, some: pd.DataFrame, out: list[tuple]) -> None:
+        bodies = [x if isinstance(x, str) else None for x in some[text]]
+        words = e.words(bodies)  # learnt together
+        marks = some[cells] if cells else [None] * len(some)
+        anew = e.begun
+        for name, body, found_words, starts in zip(some[key], bodies, words, marks, strict=True):
+            # pieces of a text before may have made the encoder begin anew
+            known = found_words if e.begun == anew else None
+            found = split_text(body, None if starts is None else list(starts), limit, overlap, e, known)
+            out.extend((name, k, len(found), a, b, t, body[a:b] if with_text and body is not None else None) for k, (a, b, t) in enumerate(found))
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         e = encoder(vocabulary)
         for at, batch in ((at, b) for b in batches for at in range(0, len(b), TEXTS_AT_ONCE)):
-            out = []
+            out: list[tuple] = []
             some = batch.iloc[at : at + TEXTS_AT_ONCE]
-            bodies = [x if isinstance(x, str) else None for x in some[text]]
-            words = e.words(bodies)  # learnt together
-            marks = some[cells] if cells else [None] * len(some)
-            for name, body, found_words, starts in zip(some[key], bodies, words, marks, strict=True):
-                # a later text may have made the encoder begin anew
-                known = all(w in e.known for w in found_words)
-                found = split_text(body, None if starts is None else list(starts), limit, overlap, e, found_words if known else None)
-                out.extend((name, k, len(found), a, b, t, body[a:b] if with_text and body is not None else None) for k, (a, b, t) in enumerate(found))
+            with uncollected():
+                cut(e, some, out)
             yield pd.DataFrame(out, columns=[key, "piece_no", "n_pieces", "start_char", "end_char", "n_tokens", "piece"])
 
     schema = f"`{key}` {dict(df.dtypes)[key]}, piece_no int, n_pieces int, start_char bigint, end_char bigint, n_tokens bigint, piece string"
