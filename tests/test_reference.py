@@ -36,14 +36,55 @@ def test_sliced_orders_equal_plain_windows(spark):
     assert sliced_lag(df.limit(0), ["k"], "at", "id", {"vb": "at"}, 7).count() == 0 and carry_forward(df.limit(0), "k", "id", ["v"]).count() == 0
 
 
-def test_sessions_equal_plain_windows(spark):
-    rnd = random.Random(6)
-    df = spark.createDataFrame([(rnd.choice("ab"), rnd.randint(0, 3000), i) for i in range(200)], "k string, at bigint, id bigint")
-    for keys in (["k"], []):
-        w = Window.partitionBy(*keys).orderBy("at", "id")
-        new = F.when(F.col("at") - F.lag("at").over(w) <= 20, None).otherwise(F.col("at"))
-        plain = df.withColumn("n", new).withColumn("session", F.max("n").over(w)).select("id", "session")
-        assert sorted(map(str, greedy.sessions(df, keys, "at", "id", 20, slices=2).select("id", "session").collect())) == sorted(map(str, plain.collect()))
+def plain_scan(rows, width, qualifies):
+    """Windows of sorted (time, store) rows, one after the other: start, end, rows, stores."""
+    out, i = [], 0
+    while i < len(rows):
+        j = next((k for k in range(i, len(rows)) if rows[k][0] > rows[i][0] + width), len(rows))
+        if qualifies(rows[i:j]):
+            out.append((rows[i][0], rows[j - 1][0], j - i, len({s for _, s in rows[i:j]})))
+            i = j
+        else:
+            i += 1
+    return out
+
+
+@pytest.mark.parametrize(("seed", "step"), [(1, 3), (2, 9), (3, 40), (4, 1)])
+def test_greedy_windows_equal_the_plain_scan(spark, monkeypatch, seed, step):
+    """Unbroken sessions over many blocks, ties, negative times: the same windows as from one scan over all rows."""
+    monkeypatch.setattr(greedy, "BLOCK", 2)
+    rnd = random.Random(seed)
+    times = [-3_000]
+    while len(times) < 900:
+        times.append(times[-1] + rnd.choice([0, 0, 1, step, 2 * step]))
+    data = sorted((t, rnd.choice("aaaabcdefg")) for t in times)
+    df = spark.createDataFrame([(i, s, "m", "x", t) for i, (t, s) in enumerate(data)], "event_id bigint, store_id string, machine string, category string, sec bigint").repartition(5)
+    got = sorted((r.start, r.end, r.events, r.stores) for r in greedy.cascades(df, "sec", 20, 4).collect())
+    assert got == plain_scan(data, 20, lambda w: len({s for _, s in w}) >= 4)
+    got = sorted((r.store_id, r.start, r.end, r["count"]) for r in greedy.bursts(df, "store_id", "sec", 20, 3).collect())
+    assert got == sorted((k, *x[:3]) for k in "abcdefg" for x in plain_scan([r for r in data if r[1] == k], 20, lambda w: len(w) >= 3))
+    assert greedy.cascades(df.limit(0), "sec", 20, 4).count() == greedy.bursts(df.limit(0), "store_id", "sec", 20, 3).count() == 0
+
+
+def test_an_unbroken_session_is_many_tasks_work(spark, monkeypatch):
+    """No run of rows that a task takes at once has more than a block's share, though no pause cuts the rows."""
+    sizes = []
+    plain = greedy._candidates
+    monkeypatch.setattr(greedy, "_candidates", lambda t, *rest: (sizes.append(len(t)), plain(t, *rest))[1])
+    pdf = [{"_block": b, "k": "hot", "sec": t} for b in range(50) for t in range(b * 320, b * 320 + 340, 2)]
+    import pandas as pd
+
+    runs = list(greedy._runs(iter([pd.DataFrame(pdf[a : a + 1_000]) for a in range(0, len(pdf), 1_000)]), ["k", "_block"]))
+    assert len(runs) == 50 and {len(r["sec"]) for r in runs} == {170}
+    for r in runs:
+        greedy._candidates(r["sec"], 160, int(r["_block"][0]) * 320, 20, lambda ends: ends - range(160) >= 5)
+    assert max(sizes) == 170
+
+
+def test_missing_values_in_cascades(spark):
+    rows = [(i, s, m, c, 10 * i) for i, (s, m, c) in enumerate([("a", None, None), (None, None, "x"), ("b", None, "x"), ("c", "m", None)])] + [(9, "d", "m", "x", None)]
+    df = spark.createDataFrame(rows, "event_id bigint, store_id string, machine string, category string, sec bigint").withColumn("start", F.lit("clash"))
+    assert [(r.start, r.end, r.stores, r.machines, r.dominant) for r in greedy.cascades(df, "sec", 100, 3).collect()] == [(0, 30, 4, 2, "None")]
 
 
 def test_outage_pairs(spark):
