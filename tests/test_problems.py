@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tidewatch import session
 from tidewatch.functions.instants import with_instant
 from tidewatch.functions.keys import store_in_line, store_key, target_key
-from tidewatch.operators import compaction, coverage
+from tidewatch.operators import compaction, coverage, log_entries
 from tidewatch.operators.compaction import compact, copy_pairs
 from tidewatch.operators.eager_aggregate import Measure, eager_join_aggregate, hot_keys, once
 from tidewatch.operators.log_entries import entries
@@ -230,6 +230,44 @@ def test_entries(spark):
     assert entries(df.limit(0)).count() == 0
 
 
+HEADS = {
+    "2024/01/04 21:06:39 ERROR Store 10001 down": (2024, 1, 4, 21, 6, 39), "01/04/2024 09:06:40 PM ERROR Store 10002 down": (2024, 1, 4, 21, 6, 40), "04.01.2024 21:06:41 ERROR Store 10003 down": (2024, 1, 4, 21, 6, 41),
+    "1704402402 ERROR Store 10004 down": (2024, 1, 4, 21, 6, 42), "[2024/01/04 21:06:43.5] [ERROR] Store 10005 down": (2024, 1, 4, 21, 6, 43), "04-Jan-2024 21:06:44 core (Error) Store 10006 down": (2024, 1, 4, 21, 6, 44),
+    "2024-01-04 21:06:45 UTC ERROR Store 10007 down": (2024, 1, 4, 21, 6, 45), "1/4/2024, 21:06:46 FATAL Store 10008 down": (2024, 1, 4, 21, 6, 46), "2024-01-04 23:06:47,250 +0200 core ERROR Store 10009 down": (2024, 1, 4, 21, 6, 47),
+}
+NO_HEADS = ["2024/01/04 maintenance ERROR Store 10011 down", "01/04/2024 ERROR Store 10012", "17044024021234567890 ERROR x", "at 2024/01/04 21:06:39 ERROR Store 10013", "2024/01/04 21:06:39 no level here", "1704402402:5 ERROR x"]
+
+
+def test_forms_of_heads(spark):
+    """Every form of an instant with a time of day begins an entry; a date alone, or an instant further on, doesn't."""
+    lines = ["above all", *HEADS, *NO_HEADS, "* mark", "behind the mark", " ", "and this"]
+    df = spark.createDataFrame([("MS1", "f/Federation_1.log", i, x) for i, x in enumerate(lines, 1)] + [("MS1", "g.log", 1, "* Zone=UTC"), ("MS1", "f/Federation_1.log", 90, "* Zone=UTC")], "server string, file string, line_no bigint, line string")
+    df = df.withColumn("line", F.when((F.col("file") != "g.log") & (F.col("line_no") == 1), "* Zone=UTC").otherwise(F.col("line"))).unionByName(spark.createDataFrame([("MS1", "f/Federation_1.log", 0, "above all")], "server string, file string, line_no bigint, line string"))
+    got = sorted(entries(df).collect(), key=lambda r: r.first_line)
+    assert [r.first_line for r in got] == list(range(2, 2 + len(HEADS)))
+    assert got[-1].last_line == 1 + len(HEADS) + len(NO_HEADS)
+    assert [r.level for r in got] == ["error"] * 7 + ["fatal", "error"] and [r.store_id for r in got] == [f"1000{i}" for i in range(1, 10)]
+    assert [datetime.fromtimestamp(r.instant_us // 1_000_000, timezone.utc).timetuple()[:6] for r in got] == list(HEADS.values())
+    assert [tuple(r) for r in log_entries.unowned(df).collect()] == [("f/Federation_1.log", 3, 0, len(lines))]
+
+
+def test_a_leaf_of_lines_that_are_all_different(spark):
+    """100,000 masked lines of free text in one leaf: all are heads, and no task merges more than LEAF of them."""
+    word = lambda k: F.translate(F.left(F.md5(F.concat(F.col("id").cast("string"), F.lit(k))), F.lit(6)), "0123456789", "ghijklmnop")
+    masked = F.concat_ws(" ", F.lit("<T> core (<L>)"), *[word(k) for k in "abcd"])
+    df = spark.range(100_000).select(masked.alias("masked")).select("*", F.xxhash64("masked").alias("low"), F.xxhash64(F.lit(7), "masked").alias("high"))
+    found = log_entries.template_map(df).select("at_time", "at_level", "at_component", "at_message")
+    assert [(*r[:4], r["count"]) for r in found.groupBy(*found.columns).count().collect()] == [(0, 2, 1, 3, 100_000)]
+
+
+def test_merging_of_templates():
+    lines = [x.split(" ") for x in ("<T> a (<L>) one two three", "<T> a (<L>) one two four", "<T> b (<L>) six seven eight", "<T> a <L> one two three", "<T> a (<L>) x: two three", "<T> a (<L>) y z w")]
+    got = [" ".join(x) for x in log_entries.merge_leaf(lines)]
+    merged = "<T> a (<L>) <*> <*> <*>"  # marks elsewhere or less than half of the tokens alike: another template
+    assert got == [merged, merged, "<T> b (<L>) six seven eight", "<T> a <L> one two three", merged, merged]
+    assert log_entries.merge_leaf([]) == []
+
+
 def _brute_instant(text, zone):
     """By the standard library: None for no or no single instant. Only the forms of the test tables."""
     own = {"PST": -8, "PDT": -7, "MST": -7, "CST": -6, "CDT": -5, "EST": -5, "EDT": -4, "GMT": 0, "UTC": 0, "CET": 1, "CEST": 2, "BST": 1, "IST": 5.5}

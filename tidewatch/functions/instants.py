@@ -26,7 +26,7 @@ _FRACTION = r"(?:[.,](?<f{n}>\d{{1,9}}))?"
 _CLOCK = r"(?<h{n}>\d{{1,2}}):(?<i{n}>\d{{2}})(?::(?<s{n}>\d{{2}})" + _FRACTION + ")?"
 _ZONE = r"(?<z{n}>Z|[+-]\d{{2}}(?::?\d{{2}})?|[A-Za-z]+(?:/[A-Za-z0-9_+-]+)*)"
 _BRANCHES = (
-    r"(?<y1>\d{{4}})-(?<m1>\d{{2}})-(?<d1>\d{{2}})[T ]" + _CLOCK + r" ?" + _ZONE + "?",
+    r"(?<y1>\d{{4}})(?<q1>[-/])(?<m1>\d{{2}})\k<q1>(?<d1>\d{{2}})[T ]" + _CLOCK + r" ?" + _ZONE + "?",
     r"(?<y2>\d{{4}})(?<m2>\d{{2}})(?<d2>\d{{2}})T(?<h2>\d{{2}})(?<i2>\d{{2}})(?:(?<s2>\d{{2}})" + _FRACTION + ")?" + _ZONE + "?",
     r"(?<m3>\d{{1,2}})/(?<d3>\d{{1,2}})/(?<y3>\d{{4}}),? " + _CLOCK + r"(?: ?(?<p3>[AaPp])\.?[Mm]\.?)?(?: " + _ZONE + ")?",
     r"(?<d4>\d{{1,2}})\.(?<m4>\d{{1,2}})\.(?<y4>\d{{4}}),? " + _CLOCK + r"(?: ?" + _ZONE + ")?",
@@ -108,7 +108,7 @@ def with_instant(df, text: str, zone: str, out: str, zones: list[str] | None = N
     zone is the column with the writer's IANA zone: texts without a zone and sheet day numbers (days since 1899-12-30,
     read to the millisecond) are its local time, and abbreviations are read in its region. A null or unknown zone leaves
     such texts without an instant, as do local times that a clock change skips or repeats, dates not in the calendar,
-    empty, blank and null texts. With slashes the month comes first, with dots the day; bare digits count seconds (9-11
+    empty, blank and null texts. With slashes the month comes first (or the year of four digits), with dots the day; bare digits count seconds (9-11
     digits), milliseconds (12-14), microseconds (15-17) or nanoseconds from 1970 UTC. Fractions are cut to microseconds.
     """
     spark = df.sparkSession

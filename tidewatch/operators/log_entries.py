@@ -3,7 +3,9 @@
 1. Variables of every line are masked: instants, levels, priorities, numbers. A line is its tokens between single blanks.
 2. The tree routes a masked line by its number of tokens and its leading DEPTH tokens to a leaf. Equal masked lines are
    counted before any shuffle. In a leaf similar ones (SIMILAR of their tokens equal) merge into a template, whose
-   differing positions are open.
+   differing positions are open. A leaf of more than LEAF of them is several, by hash, so that free text in which no two
+   lines are alike doesn't make a task that grows with its square; fields are positions in front of the message, which
+   lines of one form share in whatever leaf they are.
 3. A template's positions are mapped to fields once: where the instant, the level, the component and the message stand. A
    template with both an instant with a time of day and a level in front of its message begins an entry.
 4. Lines get their template's map by the masked line's digest; the rest is native columns.
@@ -17,6 +19,7 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -27,15 +30,21 @@ from tidewatch.functions.keys import store_in_line
 from tidewatch.session import written
 
 DEPTH, SIMILAR, BLOCK = 3, 0.5, 20_000
+LEAF = 4_096  # masked lines that a task merges at once
 HEAD = 8  # the tokens among which an instant and a level count as in front of the message
 
 _GLUE = "\x02"  # for a blank inside an instant
 # Forms of an instant with a time of day.
-_ISO = rf"\d{{4}}-\d{{2}}-\d{{2}}[T{_GLUE}]\d{{2}}:\d{{2}}:\d{{2}}(?:[.,]\d{{1,9}})?(?:Z|[+-]\d{{2}}:?\d{{2}})?"
+_AT = r"\d{1,2}:\d{2}:\d{2}(?:[.,]\d{1,9})?"
+_TAIL = rf"(?:{_GLUE}(?:[AaPp][Mm]|[+-]\d{{2}}:?\d{{2}}|UTC|GMT|Z)(?![A-Za-z]))?"
+_ISO = rf"\d{{4}}-\d{{2}}-\d{{2}}[T{_GLUE}]\d{{2}}:\d{{2}}:\d{{2}}(?:[.,]\d{{1,9}})?(?:Z|[+-]\d{{2}}:?\d{{2}})?{_TAIL}"
+_DATED = rf"(?:\d{{4}}/\d{{2}}/\d{{2}}|\d{{1,2}}[./]\d{{1,2}}[./]\d{{4}}|\d{{1,2}}-[A-Z][a-z]{{2}}-\d{{4}}),?{_GLUE}{_AT}{_TAIL}"
 _CLF = rf"\d{{2}}/[A-Z][a-z]{{2}}/\d{{4}}:\d{{2}}:\d{{2}}:\d{{2}}(?:{_GLUE}[+-]\d{{4}})?"
 _SYSLOG = rf"[A-Z][a-z]{{2}}{_GLUE}{{1,2}}\d{{1,2}}{_GLUE}\d{{2}}:\d{{2}}:\d{{2}}"
 _CLOCK = r"(?<![\d:.T])\d{2}:\d{2}:\d{2}(?:[.,]\d{1,9})?(?![\d:])"
-_EPOCH = r"(?<=\"time\": |\"ts\": |\"timestamp\": )\d{10}(?:\d{3}){0,2}(?!\d)"
+_EPOCH = r"(?:(?<=\"time\": |\"ts\": |\"timestamp\": )|^)\d{10}(?:\d{3}){0,2}(?![\d.:/-])"
+#: What a line begins with if an instant opens it, with only a priority or its key before it.
+_OPENS = r'^(?:<\d{1,3}> ?[A-Z][a-z]{2} |(?:<\d{1,3}> ?)?[\[({"]*(?:[A-Za-z_]+(?:=|": ?)"?)?\d)'
 # Names of levels, from least to gravest.
 LEVELS = {"trace": 0, "debug": 1, "info": 2, "information": 2, "notice": 2, "warn": 3, "warning": 3, "err": 4, "error": 4, "severe": 4, "crit": 5, "critical": 5, "fatal": 5, "alert": 5, "emerg": 5, "panic": 5}
 LETTERS = {"T": 0, "D": 1, "I": 2, "N": 2, "W": 3, "E": 4, "C": 5, "F": 5}
@@ -46,18 +55,20 @@ _LEVEL = r"(?i)(?<![A-Za-z0-9_.-])(?:" + "|".join(sorted(LEVELS, key=len, revers
 
 def _glued(line: Column) -> Column:
     """The line without a byte order mark and carriage return; blanks inside an instant are glue, a priority stands alone."""
-    text = F.regexp_replace(line, "^﻿|\r+$", "")
+    text = F.rtrim(F.ltrim(line, F.lit("﻿")), F.lit("\r"))
     text = F.regexp_replace(text, r"^<(\d{1,3})>", "<$1> ")
     text = F.regexp_replace(text, r"^(<\d{1,3}> )([A-Z][a-z]{2}) ( ?\d{1,2}) (\d{2}:\d{2}:\d{2}) ", f"$1$2{_GLUE}$3{_GLUE}$4 ")
-    text = F.regexp_replace(text, f"{_GLUE} ", f"{_GLUE}{_GLUE}")
+    text = F.replace(text, F.lit(f"{_GLUE} "), F.lit(f"{_GLUE}{_GLUE}"))
     text = F.regexp_replace(text, r"(\d{2}/[A-Z][a-z]{2}/\d{4}:\d{2}:\d{2}:\d{2}) ([+-]\d{4})", f"$1{_GLUE}$2")
-    return F.regexp_replace(text, r"^(\[?\d{4}-\d{2}-\d{2}) (\d{2}:\d{2}:\d{2})", f"$1{_GLUE}$2")
+    date = r"(?:\d{4}[-/]\d{2}[-/]\d{2}|\d{1,2}[./]\d{1,2}[./]\d{4}|\d{1,2}-[A-Z][a-z]{2}-\d{4}),?"
+    text = F.regexp_replace(text, rf"^(\[?{date}) (\d{{1,2}}:\d{{2}}:\d{{2}})", f"$1{_GLUE}$2")
+    return F.regexp_replace(text, rf"^(\[?{date}[T{_GLUE}]{_AT}) ([AaPp][Mm]|[+-]\d{{2}}:?\d{{2}}|UTC|GMT|Z)(?![A-Za-z])", f"$1{_GLUE}$2")
 
 
 def _timed(glued: Column) -> Column:
     """Instants as <T> and a priority as <P>; tokens stay where they are."""
     text = F.regexp_replace(glued, r"^<\d{1,3}>(?= )", "<P>")
-    return F.regexp_replace(text, "|".join((_ISO, _CLF, _SYSLOG, _EPOCH, _CLOCK)), "<T>")
+    return F.regexp_replace(text, "|".join((_ISO, _DATED, _CLF, _SYSLOG, _EPOCH, _CLOCK)), "<T>")
 
 
 def _masked(timed: Column) -> Column:
@@ -106,24 +117,35 @@ def head_of(template: Sequence[str]) -> tuple[int, int, int, int] | None:
 
 
 def merge_leaf(lines: Sequence[Sequence[str]]) -> list[list[str]]:
-    """The template of each masked line of a leaf (all of one length): the first template of which it shares SIMILAR of the
-    tokens, whose other positions open up, else itself. Marks of fields are never opened."""
-    templates: list[list[str]] = []
-    of = []
-    for tokens in lines:
-        best, best_share = None, 0.0
-        for k, template in enumerate(templates):
-            same = sum(a == b for a, b in zip(template, tokens, strict=True)) / max(len(tokens), 1)
-            marks = [(i, x) for i, x in enumerate(template[:HEAD]) if "<T>" in x or "<L>" in x or "<P>" in x] == [(i, x) for i, x in enumerate(tokens[:HEAD]) if "<T>" in x or "<L>" in x or "<P>" in x]
-            if marks and same > best_share:
-                best, best_share = k, same
-        if best is None or best_share < SIMILAR:
-            best = len(templates)
-            templates.append(list(tokens))
-        else:
-            templates[best] = [a if a == b or i < HEAD and ("<" in a or a.endswith((":", "=")) or '"' in a) else "<*>" for i, (a, b) in enumerate(zip(templates[best], tokens, strict=True))]
-        of.append(best)
-    return [templates[k] for k in of]
+    """The template of each masked line of a leaf (all of one length): of the templates with its marks (instant, level, priority) at
+    its places the one that shares most tokens with it, SIMILAR of them at least, whose other positions open up; else itself.
+    Keys of fields in front of the message are never opened."""
+    if not len(lines):
+        return []
+    code: dict[str, int] = {"<*>": 0}
+    matrix = np.array([[code.setdefault(x, len(code)) for x in tokens] for tokens in lines], dtype=np.int32)
+    kept = np.array(["<" in x or x.endswith((":", "=")) or '"' in x for x in code])
+    in_head = np.arange(matrix.shape[1]) < HEAD
+    groups: dict[tuple, list[int]] = {}
+    for row, tokens in enumerate(lines):
+        groups.setdefault(tuple((i, x) for i, x in enumerate(tokens[:HEAD]) if "<T>" in x or "<L>" in x or "<P>" in x), []).append(row)
+    found: list[np.ndarray | None] = [None] * len(lines)
+    for rows in groups.values():
+        templates, n, of = np.empty((len(rows), matrix.shape[1]), dtype=np.int32), 0, []
+        for row in rows:
+            same = (templates[:n] == matrix[row]).sum(axis=1)
+            best = int(same.argmax()) if n else 0
+            if not n or same[best] < SIMILAR * matrix.shape[1]:
+                best, n = n, n + 1
+                templates[best] = matrix[row]
+            else:
+                t = templates[best]
+                templates[best] = np.where((t == matrix[row]) | (in_head & kept[t]), t, 0)
+            of.append(best)
+        for row, k in zip(rows, of, strict=True):
+            found[row] = templates[k]
+    names = list(code)
+    return [[names[x] for x in t] for t in found]
 
 
 _MAP = "low bigint, high bigint, template string, at_time int, at_level int, at_component int, at_message int"
@@ -145,7 +167,9 @@ def template_map(lines: DataFrame) -> DataFrame:
     counted = lines.where("masked is not null").groupBy("low", "high", "masked").agg(F.count(F.lit(1)).alias("n"))
     tokens = F.split("masked", " ")
     routed = counted.withColumn("_n", F.size(tokens)).withColumn("_lead", F.array_join(F.slice(tokens, 1, DEPTH), " "))
-    return routed.groupBy("_n", "_lead").applyInPandas(lambda pdf: _leaf(pdf), _MAP)
+    leaves = routed.groupBy("_n", "_lead").agg(F.ceil(F.count(F.lit(1)) / LEAF).alias("_parts"))
+    part = F.pmod(F.xxhash64(F.lit(3), "masked"), "_parts").alias("_part")
+    return routed.join(leaves, ["_n", "_lead"]).select("*", part).groupBy("_n", "_lead", "_part").applyInPandas(lambda pdf: _leaf(pdf), _MAP)
 
 
 def masked_lines(lines: DataFrame) -> DataFrame:
@@ -153,22 +177,18 @@ def masked_lines(lines: DataFrame) -> DataFrame:
     an instant. Written once: masking costs more than reading it again."""
     one = lines.where("file is not null and line_no is not null").groupBy("file", "line_no").agg(F.min("server").alias("server"), F.min("line").alias("line"))
     # explode: each step takes the last one's text as it is instead of making it again
-    step = one.withColumn("line", F.coalesce("line", F.lit(""))).select("*", F.explode(F.array(_glued(F.col("line")))).alias("_g"))
+    step = one.withColumn("line", F.coalesce("line", F.lit("")))
+    opens = F.ltrim(F.col("line"), F.lit("﻿")).rlike(_OPENS)
+    step = step.select("*", F.explode(F.array(F.when(opens, _glued(F.col("line"))))).alias("_g"))
     step = step.select("server", "file", "line_no", "line", F.explode(F.array(_timed(F.col("_g")))).alias("_t"))
     step = step.select("server", "file", "line_no", "line", F.explode(F.array(_masked(F.col("_t")))).alias("masked"))
     low, high = F.xxhash64("masked"), F.xxhash64(F.lit(7), "masked")
     return written(step.select("*", *[F.when(F.col("masked").isNotNull(), x).alias(n) for n, x in (("low", low), ("high", high))]), "masked")
 
 
-def entries(lines: DataFrame) -> DataFrame:
-    """The entries of lines(server, file, line_no, line), one row each.
-
-    Columns: server, file, first_line, last_line, time_text, instant_us, level (trace, debug, info, warning, error or fatal),
-    component, message (of the first line), store_id (named anywhere in the entry), error_category (of the whole entry).
-    Lines without a file or number are none's; null lines are blank ones. `*` lines belong to no entry and end one; blank
-    lines at an entry's end are not in it. An instant without date takes it from the last `* Log date` line above, else
-    from the file's name; one without zone takes the file header's Zone. Repeated rows count once. An empty table gives none.
-    """
+def _assigned(lines: DataFrame) -> DataFrame:
+    """Every line once with its place in its file: `_o` is twice the number of the last line at or above it that begins an entry, and
+    one, or twice the number of the last `*` line, whichever is later; log_day and log_zone are what headers said last."""
     text = masked_lines(lines)
     heads = template_map(text)
     star, blank = F.col("line").rlike(r"(?U)^[﻿\s]*\*"), ~F.col("line").rlike(r"(?U)[^﻿\s]")
@@ -189,10 +209,29 @@ def entries(lines: DataFrame) -> DataFrame:
     carried = marked.groupBy("file", "block").agg(*[F.max(x).alias(x) for x in names]).select("file", "block", *[F.max(x).over(earlier).alias(f"{x}b") for x in names])
     running = marked.select(*[x for x in marked.columns if x not in names], *[F.max(x).over(block).alias(x) for x in names]).join(carried, ["file", "block"])
     owner = F.coalesce("_c.line_no", "_cb.line_no")
-    owned = running.select("*", owner.alias("_o"), F.coalesce("_d.said", "_db.said").alias("log_day"), F.coalesce("_z.said", "_zb.said").alias("log_zone")).where("_o % 2 = 1 and not star")
+    return running.select("*", owner.alias("_o"), F.coalesce("_d.said", "_db.said").alias("log_day"), F.coalesce("_z.said", "_zb.said").alias("log_zone"))
+
+
+def unowned(lines: DataFrame) -> DataFrame:
+    """(file, lines, first_line, last_line): the lines of a file that are in no entry though they aren't blank or `*` lines: those
+    above its first entry and between a `*` line and the next entry. Files without such lines have no row."""
+    loose = _assigned(lines).where("not star and not blank and coalesce(_o, 0) % 2 = 0")
+    return loose.groupBy("file").agg(F.count(F.lit(1)).alias("lines"), F.min("line_no").alias("first_line"), F.max("line_no").alias("last_line"))
+
+
+def entries(lines: DataFrame) -> DataFrame:
+    """The entries of lines(server, file, line_no, line), one row each.
+
+    Columns: server, file, first_line, last_line, time_text, instant_us, level (trace, debug, info, warning, error or fatal),
+    component, message (of the first line), store_id (named anywhere in the entry), error_category (of the whole entry).
+    Lines without a file or number are none's; null lines are blank ones. What is in no entry is counted by `unowned`. `*` lines belong to no entry and end one; blank
+    lines at an entry's end are not in it. An instant without date takes it from the last `* Log date` line above, else
+    from the file's name; one without zone takes the file header's Zone. Repeated rows count once. An empty table gives none.
+    """
+    owned = _assigned(lines).where("_o % 2 = 1 and not star")
     owned = owned.withColumn("first_line", F.expr("_o div 2"))
     is_head = F.col("line_no") == F.col("first_line")
-    owned = owned.select("*", F.explode(F.array(F.when(is_head, _glued(F.col("line"))))).alias("glued"))
+    owned = owned.select("*", F.explode(F.array(F.when(is_head, _glued(F.col("line"))))).alias("glued"), F.lower("line").alias("low_line"))
     tokens = F.split("glued", " ")
     token = lambda c: F.get(tokens, F.col(c))
     fields = owned.select(
@@ -201,7 +240,7 @@ def entries(lines: DataFrame) -> DataFrame:
         F.when(is_head & (F.col("at_component") >= 0), token("at_component")).alias("component_token"),
         F.when(is_head, F.array_join(F.slice(tokens, F.col("at_message") + 1, F.greatest(F.size(tokens), F.lit(1))), " ")).alias("message"),
         F.when(is_head, F.col("log_day")).alias("log_day"), F.when(is_head, F.col("log_zone")).alias("log_zone"),
-        store_in_line(F.col("line")).alias("store"), error_category(F.col("line")).alias("category"),
+        store_in_line(F.col("line")).alias("store"), error_category(F.col("line"), F.col("low_line")).alias("category"),
     )
     kept = lambda c: F.max(c).alias(c)
     at = F.when(F.col("store").isNotNull(), F.struct("line_no", "store"))

@@ -39,12 +39,12 @@ def store(text: Column) -> Column:
 
 def parsed(raw: DataFrame) -> DataFrame:
     """raw_lines with ts, store_id, ip, port, fed_group, machine, start_delay, message, category, severity and subtype."""
-    t = F.col("text")
+    t, low = F.col("text"), F.col("_low")
     ip = r"(\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}):(\d+)"
-    first = raw.select(
-        "*", timestamp(t).alias("ts"), store(t).alias("store_id"), _found(t, ip).alias("ip"), _found(t, ip, 2).alias("port"), _found(t, r"(SBUXSCRoleGroup\d+)").alias("fed_group"),
+    first = raw.withColumn("_low", F.lower(t)).select(
+        *raw.columns, timestamp(t).alias("ts"), store(t).alias("store_id"), _found(t, ip).alias("ip"), _found(t, ip, 2).alias("port"), _found(t, r"(SBUXSCRoleGroup\d+)").alias("fed_group"),
         F.when(t.startswith(HEADER), _found(t, r"MachineName=(\S+)")).alias("machine"), _found(t, r"startDelay\s*=\s*(\d+)").try_cast("int").alias("start_delay"),
-        F.left(t, F.lit(300)).alias("message"), error_category(t).alias("category"), severity(t).alias("severity"),
+        F.left(t, F.lit(300)).alias("message"), error_category(t, low).alias("category"), severity(t, low).alias("severity"),
     )
     return first.select("*", internal_subtype(t, F.col("category")).alias("subtype"))
 

@@ -126,7 +126,12 @@ def p5_entries(spark: SparkSession, folder: str) -> DataFrame:
     return log_entries.entries(table(spark, folder, "log_lines"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_key_results, p1_rollup, p2_found, p2_instants, p3_found, p3_periods, p4_found, p4_members, p4_records, p5_found, p5_entries)}
+def p5_unowned(spark: SparkSession, folder: str) -> DataFrame:
+    """Per file the lines that are in no entry."""
+    return log_entries.unowned(table(spark, folder, "log_lines"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_key_results, p1_rollup, p2_found, p2_instants, p3_found, p3_periods, p4_found, p4_members, p4_records, p5_found, p5_entries, p5_unowned)}
 
 _STORE = "lpad(nullif(regexp_extract({0}, '(?:^|[^0-9])([0-9]{{4,5}})(?:$|[^0-9])', 1), ''), 5, '0')"
 _CTES = f"""
@@ -185,6 +190,7 @@ SQL = {
     "p2_found": f"""WITH {_CONN}, {_HEALTH} SELECT DISTINCT health_id, event_id FROM hi JOIN ci ON hi.server = ci.server AND {_STORE.format('hi.source_entity')} = {_STORE.format('ci.store_id')}
 AND floor(hi.us / 1000000) = floor(ci.us / 1000000) WHERE health_event = 'Connection failed' AND kind = 'disconnect'""",
     "p5_found": f"WITH {_ENTRIES} SELECT server, file, first_line, last_line, store_id FROM en WHERE lv IN ('error', 'err', 'fatal', 'critical', 'crit') AND store_id IS NOT NULL",
+    "p5_unowned": f"WITH {_ENTRIES} SELECT file, count(*) AS lines, min(line_no) AS first_line, max(line_no) AS last_line FROM o WHERE NOT star AND regexp_matches(t, '\\S') AND coalesce(c, 0) % 2 = 0 GROUP BY file",
     "p4_found": f"WITH {_FILES} SELECT a.file_id AS file_a, b.file_id AS file_b FROM g a JOIN g b ON a.r = b.r AND a.file_id < b.file_id",
     "p4_members": f"WITH {_FILES} SELECT file_id, kept AS kept_file_id FROM g",
     "p4_records": f"WITH {_FILES} SELECT file_id, CAST(unnest(range(len(r))) AS INTEGER) AS seq, unnest(r) AS record FROM g WHERE file_id = kept",
