@@ -66,15 +66,17 @@ def _glued(line: Column) -> Column:
 
 
 def _timed(glued: Column) -> Column:
-    """Instants as <T> and a priority as <P>; tokens stay where they are."""
+    """The instant that opens the line as <T>, a priority before it as <P>; tokens stay where they are. Instants further on can't
+    begin an entry, they are masked as other numbers are."""
     text = F.regexp_replace(glued, r"^<\d{1,3}>(?= )", "<P>")
-    return F.regexp_replace(text, "|".join((_ISO, _DATED, _CLF, _SYSLOG, _EPOCH, _CLOCK)), "<T>")
+    before = r'^((?:<P> )?[\[({"]*(?:[A-Za-z_]+(?:=|": ?)"?)?)'
+    return F.regexp_replace(text, f"{before}(?:{'|'.join((_ISO, _DATED, _CLF, _SYSLOG, _EPOCH, _CLOCK))})", "$1<T>")
 
 
 def _masked(timed: Column) -> Column:
-    """Levels as <L> and anything with a digit as <*>, of lines with an instant; others begin no entry and are null."""
+    """Levels as <L> and anything with a digit as <*>, of lines that an instant opens; others begin no entry and are null."""
     rest = F.regexp_replace(F.regexp_replace(timed, r"\[[TDINWECF]\]", "[<L>]"), _LEVEL, "<L>")
-    return F.when(timed.contains("<T>"), F.regexp_replace(rest, r"[\w.]*\d[\w.]*", "<*>"))
+    return F.when(timed.contains("<T>"), F.regexp_replace(rest, r"(?<![\w.])[\w.&&[^\d]]*+\d[\w.]*+", "<*>"))
 
 
 _COMPONENT_KEY = re.compile(r'^[{\[]?"?(?:component|logger|comp|module|source)"?[:=]')
