@@ -264,7 +264,10 @@ def test_merging_of_templates():
     lines = [x.split(" ") for x in ("<T> a (<L>) one two three", "<T> a (<L>) one two four", "<T> b (<L>) six seven eight", "<T> a <L> one two three", "<T> a (<L>) x: two three", "<T> a (<L>) y z w")]
     got = [" ".join(x) for x in log_entries.merge_leaf(lines)]
     merged = "<T> a (<L>) <*> <*> <*>"  # marks elsewhere or less than half of the tokens alike: another template
-    assert got == [merged, merged, "<T> b (<L>) six seven eight", "<T> a <L> one two three", merged, merged]
+    assert got == [merged, merged, "<T> b (<L>) six seven eight", "<T> a <L> one two three", "<T> a (<L>) x: two three", merged]
+    keyed = [x.split(" ") for x in ('ts=<T> lvl=<L> comp=a msg="b c d"', "ts=<T> lvl=<L> comp=a store=<*> msg=\"b c\"", "<T> | <L> | f.c two words", "<T> | <L>  | f.c words")]
+    assert [log_entries.head_of(t) for t in log_entries.merge_leaf(keyed[:2])] == [(0, 1, 2, 3), (0, 1, 2, 4)]
+    assert [log_entries.head_of(t) for t in log_entries.merge_leaf(keyed[2:])] == [(0, 2, 4, 5), (0, 2, 5, 6)]
     assert log_entries.merge_leaf([]) == []
 
 

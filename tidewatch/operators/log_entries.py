@@ -81,6 +81,9 @@ def _masked(timed: Column) -> Column:
 
 _COMPONENT_KEY = re.compile(r'^[{\[]?"?(?:component|logger|comp|module|source)"?[:=]')
 _MESSAGE_KEY = re.compile(r'^"?(?:message|msg)"?[:=]')
+_MARK, _WORD = re.compile("<[TLP]>"), re.compile(r"[\w*]")
+_KEY = re.compile(r'[{\["]*\w+"?[:=]')
+_ONLY_A_KEY = re.compile(r'^[{\[]?"?\w+"?[:=]$')
 _TIME_KEY = re.compile(r'^[\[{("]*(?:[A-Za-z_]+=)?"?<T>')
 
 
@@ -94,7 +97,7 @@ def head_of(template: Sequence[str]) -> tuple[int, int, int, int] | None:
     if t is None or any(not re.fullmatch(r'<P>|\{?"[A-Za-z_]+":', x) for x in template[:t]):
         return None
     message = next((i for i, x in enumerate(template) if _MESSAGE_KEY.match(x)), None)
-    if message is not None and template[message].endswith(":"):
+    if message is not None and _ONLY_A_KEY.match(template[message]):
         message += 1
     end = message if message is not None else min(len(template), HEAD)
     level = 0 if template[0] == "<P>" else next((i for i in range(t + 1, end) if "<L>" in template[i]), None)
@@ -102,7 +105,7 @@ def head_of(template: Sequence[str]) -> tuple[int, int, int, int] | None:
         return None
     keyed = next((i for i in range(t + 1, end) if _COMPONENT_KEY.match(template[i])), None)
     if keyed is not None:
-        component = keyed + 1 if template[keyed].endswith(":") else keyed
+        component = keyed + 1 if _ONLY_A_KEY.match(template[keyed]) else keyed
     elif template[0] == "<P>":
         component = next((i for i in range(t + 1, end) if template[i].endswith(":")), -1)
     else:
@@ -118,9 +121,17 @@ def head_of(template: Sequence[str]) -> tuple[int, int, int, int] | None:
     return t, level, component, message
 
 
+def _form(token: str) -> str:
+    """What of a token must be alike in all lines of a template: a mark, a separator, the key of a field; nothing of a plain word."""
+    if _MARK.search(token) or not _WORD.search(token):
+        return token
+    key = _KEY.match(token)
+    return key[0] if key else "word"
+
+
 def merge_leaf(lines: Sequence[Sequence[str]]) -> list[list[str]]:
-    """The template of each masked line of a leaf (all of one length): of the templates with its marks (instant, level, priority) at
-    its places the one that shares most tokens with it, SIMILAR of them at least, whose other positions open up; else itself.
+    """The template of each masked line of a leaf (all of one length): of the templates with its marks (instant, level, priority,
+    separators and keys of fields, in front of the message) at its places the one that shares most tokens with it, SIMILAR of them at least, whose other positions open up; else itself.
     Keys of fields in front of the message are never opened."""
     if not len(lines):
         return []
@@ -130,7 +141,7 @@ def merge_leaf(lines: Sequence[Sequence[str]]) -> list[list[str]]:
     in_head = np.arange(matrix.shape[1]) < HEAD
     groups: dict[tuple, list[int]] = {}
     for row, tokens in enumerate(lines):
-        groups.setdefault(tuple((i, x) for i, x in enumerate(tokens[:HEAD]) if "<T>" in x or "<L>" in x or "<P>" in x), []).append(row)
+        groups.setdefault(tuple(map(_form, tokens[:HEAD])), []).append(row)
     found: list[np.ndarray | None] = [None] * len(lines)
     for rows in groups.values():
         templates, n, of = np.empty((len(rows), matrix.shape[1]), dtype=np.int32), 0, []

@@ -159,7 +159,7 @@ def _contains(column: str, words) -> str:
     return "(" + " OR ".join(f"contains({column}, '{w}')" for w in words) + ")"
 
 
-_CATEGORY = "CASE " + " ".join(f"WHEN {_contains('lower(t)', [w.lower() for w in ws])} THEN '{k}'" for k, ws in patterns.CATEGORIES.items()) + " END"
+CATEGORY_SQL = "CASE " + " ".join(f"WHEN {_contains('lower(t)', [w.lower() for w in ws])} THEN '{k}'" for k, ws in patterns.CATEGORIES.items()) + " END"
 _SEVERITY = "CASE " + " ".join(f"WHEN contains(lower(t), '{w}') THEN '{k}'" for k, w in patterns.SEVERITIES.items()) + " END"
 _SUBTYPE = "CASE " + " ".join(f"WHEN regexp_matches(t, '{p}') THEN '{k}'" for k, p in patterns.SUBTYPES.items()) + " END"
 _REASON_ROWS = " UNION ALL ".join(f"SELECT store_id, '{k}' AS reason FROM rs WHERE regexp_matches(t, '(?i){p}')" for k, p in patterns.REASONS.items())
@@ -168,7 +168,7 @@ _ST = r"lpad(nullif(regexp_extract(t, 'Store[\s_](\d{4,5})', 1), ''), 5, '0')"
 _RAW = r"""raw AS (SELECT * FROM (SELECT file, line_no, min(server) AS server, regexp_replace(min(line), '^[\s﻿]+|\s+$', '', 'g') AS t FROM log_lines GROUP BY file, line_no) WHERE t <> ''),
 uf AS (SELECT * FROM raw WHERE t NOT LIKE '*%' QUALIFY row_number() OVER (PARTITION BY file, t ORDER BY line_no) = 1),
 ug AS (SELECT * FROM raw WHERE t NOT LIKE '*%' QUALIFY row_number() OVER (PARTITION BY t ORDER BY file, line_no) = 1)"""
-_PARSED = rf"""{_RAW}, p0 AS (SELECT *, {_TS} AS ts, {_ST} AS store_id, {_CATEGORY} AS category, {_SEVERITY} AS severity FROM uf),
+_PARSED = rf"""{_RAW}, p0 AS (SELECT *, {_TS} AS ts, {_ST} AS store_id, {CATEGORY_SQL} AS category, {_SEVERITY} AS severity FROM uf),
 p AS (SELECT *, CASE WHEN category LIKE 'internal_error%' THEN {_SUBTYPE} END AS subtype FROM p0),
 e AS (SELECT * FROM p WHERE ts IS NOT NULL AND coalesce(category, severity) IS NOT NULL)"""
 _CONTEXT = rf"""{_RAW}, c0 AS (SELECT file, line_no, t, {_ST} AS store_id, nullif(regexp_extract(t, '(SBUXSCRoleGroup\d+)', 1), '') AS own, CASE WHEN t LIKE '*%' THEN nullif(regexp_extract(t, 'MachineName=(\S+)', 1), '') END AS m FROM raw),

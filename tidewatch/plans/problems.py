@@ -10,6 +10,7 @@ from tidewatch.functions.keys import store_key, target_key
 from tidewatch.operators import coverage, log_entries
 from tidewatch.operators.compaction import compact, copy_pairs
 from tidewatch.operators.eager_aggregate import Measure, eager_join_aggregate, hot_keys, once, roll_up
+from tidewatch.plans.lines import CATEGORY_SQL as _CATEGORY
 from tidewatch.sources.tables import table
 
 HOT_SHARE = 0.02
@@ -165,6 +166,36 @@ o AS (SELECT *, max(CASE WHEN star THEN line_no * 2 WHEN lv IS NOT NULL THEN lin
 en AS (SELECT file, c // 2 AS first_line, min(server) AS server, max(line_no) FILTER (regexp_matches(t, '\S')) AS last_line, lpad(arg_min(st, line_no) FILTER (st IS NOT NULL), 5, '0') AS store_id, max(CASE WHEN line_no = c // 2 THEN lv END) AS lv FROM o WHERE c % 2 = 1 GROUP BY file, c)"""
 
 
+_LAYOUTS = {  # each program's first line: time, level, component, message
+    "a": r"^(\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d\S*) (\S+) \((\w+)\) (.*)$",
+    "b": r'^\{"time": "?([^",]+)"?, "level": "(\w+)", "component": "(\w+)", "message": "(.*?)"?\}?$',
+    "c": r'^ts=(\S+) lvl=(\w+) comp=(\S+) (?:store=\S+ )?msg="(.*?)"?$',
+    "d": r"^(\d\d:\d\d:\d\d,\d+) \| (\w+) *\| (\S+) \| (.*)$",
+    "e": r"^<(\d+)>([A-Z][a-z]{2} +\d+ \d\d:\d\d:\d\d) \S+ ([^\[:]+)(?:\[\d+\])?: (.*)$",
+    "f": r"^\[(\d\d/[A-Z][a-z]{2}/\d{4}:\d\d:\d\d:\d\d [+-]\d{4})\] \[(\w+)\] \[(\w)\] (.*)$",
+}
+_ORDERS = {"a": "1324", "b": "1234", "c": "1234", "d": "1234", "e": "2134", "f": "1324"}
+
+
+def _field(k: int) -> str:
+    return "CASE " + " ".join(f"WHEN regexp_matches(t, '{p}') THEN regexp_extract(t, '{p}', {_ORDERS[f][k]})" for f, p in _LAYOUTS.items()) + " END"
+
+
+_RANKS = {"trace": "trace", "debug": "debug", "d": "debug", "info": "info", "i": "info", "warn": "warning", "warning": "warning", "w": "warning", "err": "error", "error": "error", "e": "error", "crit": "fatal", "critical": "fatal", "fatal": "fatal", "f": "fatal", "c": "fatal"}
+_LEVELS = "CASE WHEN try_cast(lw AS INTEGER) IS NOT NULL THEN ['fatal', 'fatal', 'fatal', 'error', 'warning', 'info', 'info', 'debug'][try_cast(lw AS INTEGER) % 8 + 1] " + " ".join(f"WHEN lower(lw) = '{k}' THEN '{v}'" for k, v in _RANKS.items()) + " END"
+_WALL = "epoch_us(timezone(log_zone, make_timestamptz(w + {0})))"
+_FIELDS = rf"""{_ENTRIES},
+x0 AS (SELECT file, line_no, t, max(CASE WHEN star AND regexp_matches(t, '[Dd]ate \d{{4}}-\d\d-\d\d') THEN [printf('%012d', line_no), regexp_extract(t, '[Dd]ate (\d{{4}}-\d\d-\d\d)', 1)] END) OVER p AS d,
+  max(CASE WHEN star AND contains(t, 'Zone=') THEN [printf('%012d', line_no), regexp_extract(t, 'Zone=(\S+)', 1)] END) OVER p AS z FROM h WINDOW p AS (PARTITION BY file ORDER BY line_no ROWS UNBOUNDED PRECEDING)),
+x1 AS (SELECT file, line_no, {_field(0)} AS tt, {_field(1)} AS lw, {_field(2)} AS component, {_field(3)} AS message, coalesce(d[2], nullif(regexp_extract(file, '\d{{4}}-\d\d-\d\d'), '')) AS log_day, z[2] AS log_zone FROM x0),
+x2 AS (SELECT *, CASE WHEN regexp_matches(tt, '^\d\d:') THEN log_day || ' ' || tt WHEN regexp_matches(tt, '^[A-Z]') THEN regexp_extract(tt, '(\d+) \d\d:', 1) || '-' || tt[1:3] || '-' || left(log_day, 4) || ' ' || right(tt, 8) ELSE tt END AS time_text FROM x1),
+x3 AS (SELECT *, epoch_us(try_strptime(replace(time_text, ',', '.'), ['%Y-%m-%d %H:%M:%S.%f', '%d-%b-%Y %H:%M:%S'])) AS w, coalesce(CASE WHEN regexp_full_match(time_text, '\d{{13}}') THEN CAST(time_text AS BIGINT) * 1000 END,
+  CASE WHEN regexp_matches(time_text, '^\d{{4}}-\d\d-\d\dT') THEN epoch_us(try_cast(time_text AS TIMESTAMPTZ)) END, epoch_us(try_strptime(time_text, '%d/%b/%Y:%H:%M:%S %z'))) AS known FROM x2),
+x4 AS (SELECT *, w - ({_WALL.format('-86400000000')} - (w - 86400000000)) AS c1, w - ({_WALL.format('86400000000')} - (w + 86400000000)) AS c2 FROM x3),
+x5 AS (SELECT *, epoch_us(timezone(log_zone, make_timestamptz(c1))) = w AS ok1, epoch_us(timezone(log_zone, make_timestamptz(c2))) = w AS ok2 FROM x4),
+ec AS (SELECT file, c // 2 AS first_line, arg_min(k, line_no) FILTER (k IS NOT NULL) AS error_category FROM (SELECT *, {_CATEGORY} AS k FROM o WHERE c % 2 = 1) GROUP BY 1, 2)"""
+
+
 def _instants_sql(name: str, table_name: str, text: str, keep: str) -> str:
     """CTEs ending in {name}(keep, us): the instants of a table by DuckDB's own parser and zones."""
     wall = lambda shift: f"epoch_us(timezone(z, make_timestamptz(w + {shift})))"
@@ -190,6 +221,8 @@ SQL = {
     "p2_found": f"""WITH {_CONN}, {_HEALTH} SELECT DISTINCT health_id, event_id FROM hi JOIN ci ON hi.server = ci.server AND {_STORE.format('hi.source_entity')} = {_STORE.format('ci.store_id')}
 AND floor(hi.us / 1000000) = floor(ci.us / 1000000) WHERE health_event = 'Connection failed' AND kind = 'disconnect'""",
     "p5_found": f"WITH {_ENTRIES} SELECT server, file, first_line, last_line, store_id FROM en WHERE lv IN ('error', 'err', 'fatal', 'critical', 'crit') AND store_id IS NOT NULL",
+    "p5_entries": f"""WITH {_FIELDS} SELECT en.server, en.file, en.first_line, last_line, time_text, coalesce(known, CASE WHEN c1 = c2 AND ok1 THEN c1 WHEN c1 <> c2 AND ok1 AND NOT ok2 THEN c1 WHEN c1 <> c2 AND ok2 AND NOT ok1 THEN c2 END) AS instant_us,
+{_LEVELS} AS level, component, message, store_id, error_category FROM en JOIN x5 ON en.file = x5.file AND x5.line_no = en.first_line JOIN ec ON ec.file = en.file AND ec.first_line = en.first_line""",
     "p5_unowned": f"WITH {_ENTRIES} SELECT file, count(*) AS lines, min(line_no) AS first_line, max(line_no) AS last_line FROM o WHERE NOT star AND regexp_matches(t, '\\S') AND coalesce(c, 0) % 2 = 0 GROUP BY file",
     "p4_found": f"WITH {_FILES} SELECT a.file_id AS file_a, b.file_id AS file_b FROM g a JOIN g b ON a.r = b.r AND a.file_id < b.file_id",
     "p4_members": f"WITH {_FILES} SELECT file_id, kept AS kept_file_id FROM g",
