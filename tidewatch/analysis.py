@@ -51,9 +51,9 @@ def incidents_from_health(health: DataFrame, zone: str = "UTC", event: str = "Co
 
 def store_table(incidents: DataFrame) -> DataFrame:
     """Per server and store: incidents, disconnects and outage lengths in seconds."""
-    d = outages.pairs(incidents.where("store_id is not null")).groupBy("store_id").agg(F.count(F.lit(1)).alias("outages"), F.max("duration").alias("longest_s"), F.avg("duration").alias("mean_s"), F.percentile_approx("duration", 0.5).alias("median_s"))
+    d = outages.pairs(incidents.where("store_id is not null"), ["server", "store_id"]).groupBy("server", "store_id").agg(F.count(F.lit(1)).alias("outages"), F.max("duration").alias("longest_s"), F.avg("duration").alias("mean_s"), F.percentile_approx("duration", 0.5).alias("median_s"))
     per = incidents.where("store_id is not null").groupBy("server", "store_id").agg(F.max("fed_group").alias("fed_group"), F.count(F.lit(1)).alias("incidents"), F.count_if(F.col("kind") == "disconnect").alias("disconnects"))
-    return per.join(d, "store_id", "left")
+    return per.join(d, ["server", "store_id"], "left")
 
 
 def page(stores: DataFrame, number: int = 1, size: int = 50, by: str = "disconnects", server: str | None = None, fed_group: str | None = None, least: int = 0, store: str | None = None) -> DataFrame:

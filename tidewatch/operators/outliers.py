@@ -25,9 +25,10 @@ BLOCK, PER_TASK = 2_000_000, 50_000_000
 
 def zscores(df: DataFrame, key: str, features: Sequence[str], limit: float = 3.0) -> DataFrame:
     """(key, max_z, flag): the greatest |z| of a row, population deviation; null, and no flag, if any feature is constant."""
-    every = Window.partitionBy()
-    z = [F.try_divide(F.abs(F.col(c) - F.avg(c).over(every)), F.stddev_pop(c).over(every)) for c in features]
-    t = df.select(key, *[x.alias(f"_z{i}") for i, x in enumerate(z)])
+    facts = df.agg(F.struct(*[F.struct(F.avg(c).alias("m"), F.stddev_pop(c).alias("sd")).alias(f"f{i}") for i, c in enumerate(features)]).alias("f"))
+    t = df.select(key, *features).withColumn("_f", facts.scalar())
+    z = [F.try_divide(F.abs(F.col(c) - F.col(f"_f.f{i}.m")), F.col(f"_f.f{i}.sd")) for i, c in enumerate(features)]
+    t = t.select(key, *[x.alias(f"_z{i}") for i, x in enumerate(z)])
     whole = reduce(lambda a, b: a & b, [F.col(f"_z{i}").isNotNull() for i in range(len(z))])
     most = F.greatest(*[F.col(f"_z{i}") for i in range(len(z))]) if len(z) > 1 else F.col("_z0")
     t = t.select(key, F.when(whole, most).alias("max_z"))
@@ -51,18 +52,23 @@ def spread_scores(df: DataFrame, key: str, features: Sequence[str]) -> DataFrame
 
 
 def min_max(df: DataFrame, key: str, column: str) -> DataFrame:
-    every = Window.partitionBy()
-    low, high = F.min(column).over(every), F.max(column).over(every)
-    return df.select(key, F.when(high > low, F.round((F.col(column) - low) / (high - low), 6)).otherwise(0.0).alias("scaled"))
+    """(key, scaled): the column between its least (0) and greatest value (1); 0 for a constant one."""
+    ends = df.agg(F.struct(F.min(column).alias("low"), F.max(column).alias("high")).alias("e"))
+    low, high = F.col("_e.low"), F.col("_e.high")
+    scaled = F.when(high > low, F.round((F.col(column) - low) / (high - low), 6)).otherwise(0.0)
+    return df.select(key, column).withColumn("_e", ends.scalar()).select(key, scaled.alias("scaled"))
 
 
-def _scaled_reference(df: DataFrame, key: str, features: Sequence[str], most: int | None = None) -> tuple[list, np.ndarray, np.ndarray, np.ndarray]:
-    """Ids and standardised rows of the `most` first by hash, or of all, and the means and deviations of all rows."""
+Scaled = tuple[list, np.ndarray, np.ndarray, np.ndarray]
+
+
+def scaled_rows(df: DataFrame, key: str, features: Sequence[str]) -> Scaled:
+    """Ids and standardised rows of all rows, in the order of the ids' hash, and the means and deviations; what the methods below
+    need, to be made once where several of them follow."""
     facts = df.agg(*[F.avg(c) for c in features], *[F.stddev_pop(c) for c in features]).first()
     mean = np.array([x or 0.0 for x in facts[: len(features)]])
     sd = np.array([x or 1.0 for x in facts[len(features) :]])
-    rows = df.select(key, *features).orderBy(F.xxhash64(key), key)
-    rows = (rows if most is None else rows.limit(most)).toPandas()
+    rows = df.select(key, *features).orderBy(F.xxhash64(key), key).toPandas()
     return rows[key].tolist(), (rows[list(features)].to_numpy(float) - mean) / sd, mean, sd
 
 
@@ -139,8 +145,9 @@ def _depths(tree, x: np.ndarray) -> np.ndarray:
     return out
 
 
-def isolation_forest(df: DataFrame, key: str, features: Sequence[str], trees: int = 100, sample: int = 256, share: float = 0.1, seed: int = 42, bootstrap: bool = False) -> DataFrame:
-    ids, ref, mean, sd = _scaled_reference(df, key, features)
+def isolation_forest(df: DataFrame, key: str, features: Sequence[str], trees: int = 100, sample: int = 256, share: float = 0.1, seed: int = 42, bootstrap: bool = False, scaled: Scaled | None = None) -> DataFrame:
+    """(key, score, flag) of an isolation forest: the shallower a row is isolated, the greater its score."""
+    ids, ref, mean, sd = scaled or scaled_rows(df, key, features)
     if not ids:
         return df.select(key, F.lit(0.0).alias("score"), F.lit(False).alias("flag"))
     rng, m = np.random.default_rng(seed), min(sample, len(ref))
@@ -149,9 +156,9 @@ def isolation_forest(df: DataFrame, key: str, features: Sequence[str], trees: in
     return _top(_score_all(df, key, features, mean, sd, lambda x, _: 2 ** (-np.mean([_depths(t, x) for t in forest], axis=0) / usual)), key, share)
 
 
-def local_outlier_factor(df: DataFrame, key: str, features: Sequence[str], neighbours: int = 20, share: float = 0.1) -> DataFrame:
+def local_outlier_factor(df: DataFrame, key: str, features: Sequence[str], neighbours: int = 20, share: float = 0.1, scaled: Scaled | None = None) -> DataFrame:
     """(key, score, flag): the factor by the `neighbours` nearest of all other rows; of rows equally far the first by hash count."""
-    ids, x, _, _ = _scaled_reference(df, key, features)
+    ids, x, _, _ = scaled or scaled_rows(df, key, features)
     if len(ids) < 2:
         return df.select(key, F.lit(0.0).alias("score"), F.lit(False).alias("flag"))
     k = min(neighbours, len(ids) - 1)
@@ -181,10 +188,10 @@ def _elbow(distances: np.ndarray, least: float = 0.1) -> float:
     return max(float(d[np.argmax(rise > rise.mean() + rise.std())]), least)
 
 
-def dbscan_noise(df: DataFrame, key: str, features: Sequence[str], least: int = 3, nth: int = 5, at: float | None = 0.9) -> DataFrame:
+def dbscan_noise(df: DataFrame, key: str, features: Sequence[str], least: int = 3, nth: int = 5, at: float | None = 0.9, scaled: Scaled | None = None) -> DataFrame:
     """(key, flag): rows that are neither core (at least `least` of all rows within eps, itself counted) nor within eps of a core row.
     eps is the percentile `at` of the distances to the nth nearest row, itself counted; without `at` their elbow, 0.1 at least."""
-    ids, x, _, _ = _scaled_reference(df, key, features)
+    ids, x, _, _ = scaled or scaled_rows(df, key, features)
     if not ids:
         return df.select(key, F.lit(False).alias("flag"))
     k = min(nth, len(ids))
@@ -197,9 +204,10 @@ def dbscan_noise(df: DataFrame, key: str, features: Sequence[str], least: int =
     return _with_values(df, key, ids, noise.astype(float)).select(key, (F.col("score") > 0).alias("flag"))
 
 
-def one_class_svm(df: DataFrame, key: str, features: Sequence[str], nu: float = 0.1, steps: int = 3_000) -> DataFrame:
+def one_class_svm(df: DataFrame, key: str, features: Sequence[str], nu: float = 0.1, steps: int = 3_000, scaled: Scaled | None = None) -> DataFrame:
     """(key, score, flag): a one-class SVM with a Gaussian kernel, its dual solved by pairwise steps; flagged below the boundary."""
-    ids, ref, mean, sd = _scaled_reference(df, key, features, SVM_REFERENCE)
+    ids, ref, mean, sd = scaled or scaled_rows(df, key, features)
+    ref = ref[:SVM_REFERENCE]
     if not ids:
         return df.select(key, F.lit(0.0).alias("score"), F.lit(False).alias("flag"))
     n, gamma = len(ref), 1 / (ref.shape[1] * max(float(ref.var()), 1e-9))
@@ -224,30 +232,58 @@ def one_class_svm(df: DataFrame, key: str, features: Sequence[str], nu: float =
     return found.select(key, F.round("score", 9).alias("score"), (F.col("score") > 1e-6).alias("flag"))
 
 
+METHODS = ("iforest", "lof", "dbscan", "zscore")
+WEIGHTS = {"iforest": 1.5, "lof": 1.2, "svm": 1.0, "dbscan": 0.8, "spread": 1.0}  # fixed values
+
+
 def ensemble(df: DataFrame, key: str, features: Sequence[str]) -> DataFrame:
     """(key, iforest, lof, dbscan, zscore, votes, label): label -1 for at least two of the four votes, else 1; 1 for all below 10 rows."""
     df = written(df.select(key, *features), "features")
-    parts = {"iforest": isolation_forest(df, key, features), "lof": local_outlier_factor(df, key, features), "dbscan": dbscan_noise(df, key, features), "zscore": zscores(df, key, features)}
+    x = scaled_rows(df, key, features)
+    parts = {
+        "iforest": isolation_forest(df, key, features, scaled=x),
+        "lof": local_outlier_factor(df, key, features, scaled=x),
+        "dbscan": dbscan_noise(df, key, features, scaled=x),
+        "zscore": zscores(df, key, features),
+    }
     out = df.select(key)
     for name, p in parts.items():
         out = out.join(p.select(key, F.col("flag").cast("int").alias(name)), key)
     votes = reduce(lambda a, b: a + b, [F.col(x) for x in parts])
-    return out.withColumn("votes", votes).withColumn("label", F.when((F.col("votes") >= 2) & (F.count(F.lit(1)).over(Window.partitionBy()) >= 10), -1).otherwise(1))
+    return out.withColumn("votes", votes).withColumn("label", F.when((F.col("votes") >= 2) & F.lit(len(x[0]) >= 10), -1).otherwise(1))
+
+
+def agreement(votes: DataFrame, methods: Sequence[str] = METHODS) -> DataFrame:
+    """(method, flagged): how many rows each method of an ensemble flagged, and the ensemble itself."""
+    sums = [F.coalesce(F.sum(m), F.lit(0)).alias(m) for m in methods] + [F.count_if(F.col("label") == -1).alias("ensemble")]
+    rows = F.array(*[F.struct(F.lit(m).alias("method"), F.col(m).cast("bigint").alias("flagged")) for m in (*methods, "ensemble")])
+    return votes.agg(*sums).select(F.explode(rows).alias("r")).select("r.*")
 
 
 def weighted_ensemble(df: DataFrame, key: str, features: Sequence[str]) -> DataFrame:
-    """(key, weight, label, confidence): five methods, weighted; -1 from two fifths of the total weight. The forest's samples are
-    drawn with replacement, LOF has a twentieth of the rows as neighbours, DBSCAN's core rows a hundredth within the elbow of the 10th distances."""
-    weights = {"iforest": 1.5, "lof": 1.2, "svm": 1.0, "dbscan": 0.8, "spread": 1.0}
+    """(key, weight, label, confidence, score): five methods, weighted; -1 from two fifths of the total weight. The forest's samples
+    are drawn with replacement, LOF has a twentieth of the rows as neighbours, DBSCAN's core rows a hundredth within the elbow of
+    the 10th distances. score is the mean over the methods of their scores between 0 and 1; DBSCAN has none and adds 0."""
     df = written(df.select(key, *features), "features")
-    n = df.count()
-    flags = {
-        "iforest": isolation_forest(df, key, features, bootstrap=True), "lof": local_outlier_factor(df, key, features, max(20, n // 20)), "svm": one_class_svm(df, key, features),
-        "dbscan": dbscan_noise(df, key, features, max(3, n // 100), min(10, max(n - 1, 1)), None), "spread": spread_scores(df, key, features).withColumn("flag", F.col("score") > 0.5),
-    }
+    x = scaled_rows(df, key, features)
+    n = len(x[0])
+    spread = spread_scores(df, key, features)
+    found = {
+        "iforest": written(isolation_forest(df, key, features, bootstrap=True, scaled=x), "iforest"),
+        "lof": local_outlier_factor(df, key, features, max(20, n // 20), scaled=x),
+        "svm": written(one_class_svm(df, key, features, scaled=x), "svm"),
+        "dbscan": dbscan_noise(df, key, features, max(3, n // 100), min(10, max(n - 1, 1)), None, scaled=x),
+        "spread": spread.withColumn("flag", F.col("score") > 0.5),
+    }
     out = df.select(key)
-    for name, p in flags.items():
-        out = out.join(p.select(key, (F.col("flag").cast("int") * weights[name]).alias(name)), key)
-    total = sum(weights.values())
-    got = reduce(lambda a, b: a + b, [F.col(x) for x in weights])
-    return out.select(key, F.round(got, 6).alias("weight"), F.when(got >= 0.4 * total, -1).otherwise(1).alias("label"), F.round(got / total, 6).alias("confidence"))
+    for name, p in found.items():
+        out = out.join(p.select(key, (F.col("flag").cast("int") * WEIGHTS[name]).alias(name)), key)
+    for name in ("iforest", "lof", "svm"):
+        out = out.join(min_max(found[name], key, "score").withColumnRenamed("scaled", f"_{name}"), key)
+    out = out.join(spread.withColumnRenamed("score", "_spread"), key)
+    total = sum(WEIGHTS.values())
+    got = reduce(lambda a, b: a + b, [F.col(x) for x in WEIGHTS])
+    score = F.round((F.col("_iforest") + F.col("_lof") + F.col("_svm") + F.col("_spread")) / len(WEIGHTS), 6)
+    return out.select(
+        key, F.round(got, 6).alias("weight"), F.when(got >= 0.4 * total, -1).otherwise(1).alias("label"), F.round(got / total, 6).alias("confidence"), score.alias("score")
+    )

@@ -37,14 +37,15 @@ def store(text: Column) -> Column:
     return F.lpad(_found(text, r"Store[\s_](\d{4,5})"), 5, "0")
 
 
-def parsed(raw: DataFrame) -> DataFrame:
-    """raw_lines with ts, store_id, ip, port, fed_group, machine, start_delay, message, category, severity and subtype."""
+def parsed(raw: DataFrame, width: int = 300) -> DataFrame:
+    """raw_lines with ts, store_id, ip, port, fed_group, machine, start_delay, message (the
+    first `width` characters), category, severity and subtype."""
     t, low = F.col("text"), F.col("_low")
     ip = r"(\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}):(\d+)"
     first = raw.withColumn("_low", F.lower(t)).select(
         *raw.columns, timestamp(t).alias("ts"), store(t).alias("store_id"), _found(t, ip).alias("ip"), _found(t, ip, 2).alias("port"), _found(t, r"(SBUXSCRoleGroup\d+)").alias("fed_group"),
         F.when(t.startswith(HEADER), _found(t, r"MachineName=(\S+)")).alias("machine"), _found(t, r"startDelay\s*=\s*(\d+)").try_cast("int").alias("start_delay"),
-        F.left(t, F.lit(300)).alias("message"), error_category(t, low).alias("category"), severity(t, low).alias("severity"),
+        F.left(t, F.lit(width)).alias("message"), error_category(t, low).alias("category"), severity(t, low).alias("severity"),
     )
     return first.select("*", internal_subtype(t, F.col("category")).alias("subtype"))
 
@@ -71,7 +72,8 @@ def flags_v1(text: Column) -> dict[str, Column]:
 def connection_kind(text: Column, broad: bool = False) -> Column:
     """disconnect, reconnect or null. The narrow rules are the default; broad ones also take any failing connection and any "connected"."""
     low = F.lower(text)
-    null_sync = low.contains("initial sync context is null")
+    # the broad rules take this phrase only as it is written, the narrow ones in any case
+    null_sync = text.contains("Initial sync context is null") if broad else low.contains("initial sync context is null")
     if broad:
         down = _has(low, "logged off", "disconnect", "offline") | (low.contains("connection") & low.contains("fail")) | null_sync
         up = ~null_sync & _has(low, "reconnect", "logon", "online", "connected", "sync complete", "primary sync")
@@ -81,14 +83,30 @@ def connection_kind(text: Column, broad: bool = False) -> Column:
     return F.when(down, "disconnect").when(up, "reconnect")
 
 
-def error_type(text: Column) -> Column:
-    """exception over warning over fatal over error; null for none."""
-    return F.when(text.contains("Exception"), "exception").when(text.contains("(Warning)"), "warning").when(text.contains("(Fatal)"), "fatal").when(text.contains("(Error)"), "error")
+def error_type(text: Column, variant: str = "v3") -> Column:
+    """warning over fatal over error, and exception over all of them (v3) or after them (v2); null for none."""
+    said = F.when(text.contains("(Warning)"), "warning").when(text.contains("(Fatal)"), "fatal").when(text.contains("(Error)"), "error")
+    exception = F.when(text.contains("Exception"), "exception")
+    return F.coalesce(exception, said) if variant == "v3" else F.coalesce(said, exception)
 
 
-def error_family(text: Column) -> Column:
+def error_family(text: Column, variant: str = "v3") -> Column:
+    """The family of an error's line by one of three sets of rules; null for none."""
     low = F.lower(text)
-    return F.when(low.contains("timeout"), "timeout").when(low.contains("connection attempt failed"), "conn_failed").when(low.contains("socket"), "socket").when(_has(low, "tls", "ssl"), "tls_ssl")
+    timeout = _has(low, "timeout", "timed out")
+    if variant == "v1":
+        failed = F.when(timeout, "connection_timeout").when(low.contains("refused"), "connection_refused").when(low.contains("failed"), "connection_failed")
+        thrown = F.when(low.contains("socket"), "socket_exception").when(_has(low, "tls", "ssl"), "tls_ssl_exception").otherwise("other_exception")
+        return F.when(low.contains("connection"), failed.otherwise("connection_issue")).when(low.contains("exception"), thrown)
+    attempt, socket, tls = low.contains("connection attempt failed"), low.contains("socket"), _has(low, "tls", "ssl")
+    if variant == "v2":
+        return F.when(timeout, "timeout").when(attempt, "conn_failed").when(socket, "socket").when(tls, "tls_ssl").when(low.contains("refused"), "refused")
+    return F.when(low.contains("timeout"), "timeout").when(attempt, "conn_failed").when(socket, "socket").when(tls, "tls_ssl")
+
+
+def endpoints(text: Column) -> Column:
+    """All ip:port pairs of a line, as texts, in their order."""
+    return F.regexp_extract_all(text, F.lit(r"(\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}:\d+)"), F.lit(1))
 
 
 def store_groups(lines: DataFrame) -> DataFrame:

@@ -91,6 +91,19 @@ def half_trend(s: DataFrame) -> DataFrame:
     return out.withColumn("trend", F.when(F.col("second") > F.col("first") * 1.2, "increasing").when(F.col("second") < F.col("first") * 0.8, "decreasing").otherwise("stable"))
 
 
+def trend_by(rows: DataFrame, keys: list[str], hour: Column) -> DataFrame:
+    """(keys, trend) as half_trend, of the hours of each key: increasing, decreasing or stable; stable for a single hour.
+
+    Rows are counted to hours before the hours of a key are put in order: a row an hour, whatever the key's rows.
+    """
+    counts = rows.groupBy(*keys, hour.alias("hour")).agg(F.count(F.lit(1)).alias("x"))
+    order = Window.partitionBy(*keys)
+    placed = counts.select(*keys, "x", (F.row_number().over(order.orderBy("hour")) - 1).alias("_i"), F.floor(F.count(F.lit(1)).over(order) / 2).alias("_half"))
+    first, second = (F.avg(F.when(c, F.col("x"))) for c in (F.col("_i") < F.col("_half"), F.col("_i") >= F.col("_half")))
+    both = placed.groupBy(*keys).agg(first.alias("_a"), second.alias("_b"))
+    return both.select(*keys, F.when(F.col("_b") > F.col("_a") * 1.2, "increasing").when(F.col("_b") < F.col("_a") * 0.8, "decreasing").otherwise("stable").alias("trend"))
+
+
 def autocorrelation(s: DataFrame, most: int = 48) -> DataFrame:
     """(lag, r) for lags 1 to most, at most half the series less one; none for a constant series."""
     t = s.withColumn("_n", F.count(F.lit(1)).over(_every())).withColumn("_v", F.var_pop("x").over(_every())).withColumn("_c", F.col("x") - F.avg("x").over(_every()))

@@ -180,7 +180,7 @@ _FLAGS = {
 }
 _NARROW = f"""CASE WHEN {_contains('lower(t)', ('initial sync context is null', 'logged off', 'disconnect', 'offline', 'connection failed', 'connection attempt failed'))} THEN 'disconnect'
 WHEN {_contains('lower(t)', ('logon', 'sync complete', 'connected successfully', 'scheduling reconnection'))} THEN 'reconnect' ELSE 'none' END"""
-_BROAD = f"""CASE WHEN {_contains('lower(t)', ('initial sync context is null', 'logged off', 'disconnect', 'offline'))} OR (contains(lower(t), 'connection') AND contains(lower(t), 'fail')) THEN 'disconnect'
+_BROAD = f"""CASE WHEN contains(t, 'Initial sync context is null') OR {_contains('lower(t)', ('logged off', 'disconnect', 'offline'))} OR (contains(lower(t), 'connection') AND contains(lower(t), 'fail')) THEN 'disconnect'
 WHEN {_contains('lower(t)', ('reconnect', 'logon', 'online', 'connected', 'sync complete', 'primary sync'))} THEN 'reconnect' ELSE 'none' END"""
 _TOP = "QUALIFY row_number() OVER (PARTITION BY {k} ORDER BY n DESC, {v}) = 1"
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidewatch.operators import features, learning, outliers, parse, series
+from tidewatch.operators import features, greedy, learning, outliers, parse, series
 from tidewatch.plans.lines import _PARSED, _events
 from tidewatch.plans.rollups import INC
 from tidewatch.session import written
@@ -78,9 +78,15 @@ def feature_corr(spark, folder):
     return one.select(rows.alias("p")).select("p.*")
 
 
+HEALTH = ["failures", "daily", "daily_var", "night_ratio", "weekend_ratio", "max_hourly", "bursts"]
+
+
 def _health(spark, folder):
-    cols = ["failures", "daily", "daily_var", "night_ratio", "weekend_ratio", "max_hourly"]
-    return features.health_features(incidents(spark, folder).where("kind = 'disconnect'")).where("failures >= 5"), cols
+    """Features of stores with at least five failures, with their bursts, which are counted first."""
+    down = incidents(spark, folder).where("kind = 'disconnect'")
+    found = greedy.bursts(down, "store_id", "sec", 86_400, 3).groupBy("store_id").agg(F.count("*").alias("bursts"))
+    rows = features.health_features(down).where("failures >= 5").join(found, "store_id", "left")
+    return rows.withColumn("bursts", F.coalesce("bursts", F.lit(0))), HEALTH
 
 
 def kmeans_stores(spark, folder):
@@ -88,8 +94,9 @@ def kmeans_stores(spark, folder):
 
 
 def cluster_profiles(spark, folder):
+    """The clusters' sizes, centers and what these look like."""
     f, cols = _health(spark, folder)
-    return learning.clusters(f, "store_id", cols, per=20).groupBy("cluster").agg(F.count("*").alias("stores"), F.sum("failures").alias("failures"), *[F.round(F.avg(c), 6).alias(f"mean_{c}") for c in cols[1:]])
+    return learning.health_profiles(learning.clusters(f, "store_id", cols, per=20), cols)
 
 
 def cluster_silhouette(spark, folder):
@@ -121,6 +128,29 @@ def granger_r2(spark, folder):
     return learning.granger(a, a.select("hour", "idx").join(b.select("hour", "x"), "hour").select("idx", "x"))
 
 
+def risk_validation(spark, folder):
+    """Accuracy and balanced accuracy of the risk forest on held-out folds."""
+    cols = ["total", "variance", "max_hourly", "min_hourly", "categories", "ips", "quick", "night_ratio", "delay_mean", "delay_std", *[f"{c}_ratio" for c in RATIOS]]
+    return learning.risk_validation(features.store_features15(incidents(spark, folder), RATIOS), "store_id", cols, "dominant")
+
+
+def ensemble_agreement(spark, folder):
+    return outliers.agreement(ensemble_votes(spark, folder))
+
+
+def top_anomalies(spark, folder):
+    """The 20 anomalous stores of the weighted ensemble, by confidence, then incidents."""
+    found = weighted_ensemble(spark, folder).where("label = -1").join(_eight(spark, folder).select("store_id", "total"), "store_id")
+    return found.orderBy(F.desc("confidence"), F.desc("total"), "store_id").limit(20)
+
+
+def eval_anomalies(spark, folder):
+    """The weighted ensemble against stores with a z-score above 2."""
+    flags = zscore_outliers(spark, folder)
+    truth = flags.select("store_id", F.when(F.col("flag"), -1).otherwise(1).alias("label"))
+    return learning.anomaly_scores(weighted_ensemble(spark, folder), truth, "store_id")
+
+
 def _messages(spark, folder):
     """The whole lines; parse_lines alone shortens them."""
     return _events(spark, folder).where("category is not null").select(F.xxhash64("file", "line_no").alias("id"), F.col("text").alias("message"), "category")
@@ -154,42 +184,26 @@ def mlp_labels(spark, folder):
     return learning.perceptron(written(f, "reduced"), "id", "tfidf", "category", size)
 
 
-def eval_prf(spark, folder):
-    """Precision and recall of the category against the severity's usual category, on all messages."""
-    e = _events(spark, folder).where("category is not null and severity is not null").select("category", "severity")
-    usual = parse.dominant(e.groupBy("severity", "category").agg(F.count("*").alias("n")), ["severity"], "category").select("severity", F.col("category").alias("said"))
-    return learning.scores(e.join(usual, "severity"), "category", "said")
-
-
-def failure_probability(spark, folder):
-    """σ(5(risk − 0.5)) of weighted, capped counts per store."""
-    f = _eight(spark, folder)
-    capped = lambda c, most, weight: F.least(F.col(c) / most, F.lit(1.0)) * weight
-    score = (capped("total", 100, 30) + capped("variance", 50, 20) + capped("categories", 5, 15) + F.when(F.col("burst_score") > 0, 20).otherwise(5) + capped("max_hourly", 10, 15)) / 100
-    return f.select("store_id", F.round(1 / (1 + F.exp(-5 * (score - 0.5))), 6).alias("probability"))
+def mlp_validation(spark, folder):
+    f, size = learning.reduced(_features(spark, folder), "tfidf")
+    return learning.perceptron_validation(f, "id", "tfidf", "category", size)
 
 
-def high_risk_stores(spark, folder):
-    return failure_probability(spark, folder).where("probability > 0.6").orderBy(F.desc("probability"), "store_id").limit(15)
+def mlp_importance(spark, folder):
+    f, size = learning.reduced(_features(spark, folder), "tfidf")
+    return learning.permutation_importance(written(f, "reduced"), "id", "tfidf", "category", size)
 
 
-def machine_health(spark, folder):
-    """max(0, 100 − min(100, 2·errors/stores + errors/1000)) with its band."""
-    per = incidents(spark, folder).where("category = 'error'").groupBy("machine").agg(F.count("*").alias("errors"), F.countDistinct("store_id").alias("stores"))
-    score = F.greatest(F.lit(0.0), 100 - F.least(F.lit(100.0), 2 * F.coalesce(F.try_divide("errors", "stores"), F.lit(0.0)) + F.col("errors") / 1000))
-    band = F.when(F.col("score") < 30, "CRITICAL").when(F.col("score") < 50, "WARNING").when(F.col("score") < 70, "FAIR").otherwise("GOOD")
-    return per.withColumn("score", F.round(score, 6)).withColumn("band", band)
+def eval_weighted(spark, folder):
+    """The weighted means of eval_prf over the categories."""
+    return learning.weighted_scores(eval_prf(spark, folder))
 
 
-def root_cause_posterior(spark, folder):
-    """Four causes' priors raised by the shares of their categories, normalised, those above a tenth."""
-    e = table(spark, folder, "conn_events").where("kind = 'disconnect'").groupBy("event_id").agg(F.min("error_category").alias("c"))
-    share = lambda *names: F.coalesce(F.try_divide(F.count_if(F.col("c").isin(*names)), F.count("c")), F.lit(0.0))
-    one = e.agg(share("connection_timeout", "host_unreachable", "socket_exception").alias("n"), share("connection_refused").alias("h"), share("tls_handshake_error", "certificate_error").alias("t"))
-    raised = {"network_issue": 0.3 * (1 + 3 * F.col("n")), "store_hardware": 0.25 * (1 + 3 * F.col("h")), "certificate_expiry": 0.1 * (1 + 5 * F.col("t")), "server_overload": F.lit(0.2)}
-    total = sum(raised.values(), F.lit(0.0))
-    rows = F.explode(F.array(*[F.struct(F.lit(k).alias("cause"), F.round(v / total, 6).alias("probability")) for k, v in raised.items()]))
-    return one.select(rows.alias("r")).select("r.*").where("probability > 0.1")
+def eval_prf(spark, folder):
+    """Precision and recall of the category against the severity's usual category, on all messages."""
+    e = _events(spark, folder).where("category is not null and severity is not null").select("category", "severity")
+    usual = parse.dominant(e.groupBy("severity", "category").agg(F.count("*").alias("n")), ["severity"], "category").select("severity", F.col("category").alias("said"))
+    return learning.scores(e.join(usual, "severity"), "category", "said")
 
 
 def dataset_profile(spark, folder):
@@ -207,8 +221,8 @@ QUERIES = {
     f.__name__: f
     for f in (
         store_features8, store_features15, health_features8, zscore_outliers, iqr_mad_scores, minmax_scores, dbscan_noise, iforest_votes, lof_votes, ocsvm_votes, ensemble_votes, weighted_ensemble, feature_corr,
-        kmeans_stores, cluster_profiles, cluster_silhouette, rf_importance, risk_classifier, recurring_patterns, granger_r2, tfidf_terms, tfidf_norms, svd_components, mlp_labels, eval_prf, failure_probability, high_risk_stores,
-        machine_health, root_cause_posterior, dataset_profile, analyzer_choice,
+        kmeans_stores, cluster_profiles, cluster_silhouette, rf_importance, risk_classifier, recurring_patterns, granger_r2, tfidf_terms, tfidf_norms, svd_components, mlp_labels, mlp_validation, mlp_importance, eval_prf, eval_weighted, risk_validation, ensemble_agreement, top_anomalies, eval_anomalies,
+        dataset_profile, analyzer_choice,
     )
 }
 
@@ -237,21 +251,15 @@ FROM l JOIN st USING (c) JOIN md USING (c) GROUP BY 1""",
     "dbscan_noise": f"""WITH {_SCALED}, nn AS (SELECT a, d, row_number() OVER (PARTITION BY a ORDER BY d) AS r FROM ds), ep AS (SELECT quantile_cont(d, 0.9) AS eps FROM nn WHERE r = 5),
 co AS (SELECT a FROM ds, ep WHERE d <= eps GROUP BY 1 HAVING count(*) >= 3) SELECT a AS store_id, count(*) FILTER (d <= eps AND b IN (SELECT a FROM co)) = 0 AS flag FROM ds, ep GROUP BY 1""",
     "feature_corr": f"WITH {_F8} " + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, coalesce(round(covar_pop({a}, {b}) / nullif(stddev_pop({a}) * stddev_pop({b}), 0), 6), 0.0) AS r FROM f" for i, a in enumerate(features.EIGHT) for b in features.EIGHT[i + 1 :]),
-    "failure_probability": f"WITH {_F8} SELECT store_id, round(1 / (1 + exp(-5 * ((least(total / 100, 1) * 30 + least(variance / 50, 1) * 20 + least(categories / 5, 1) * 15 + CASE WHEN burst_score > 0 THEN 20 ELSE 5 END + least(max_hourly / 10, 1) * 15) / 100 - 0.5))), 6) AS probability FROM f",
-    "machine_health": f"""WITH {INC}, m AS (SELECT machine, count(*) AS errors, count(DISTINCT store_id) AS stores FROM inc WHERE category = 'error' GROUP BY 1), s AS (SELECT *, round(greatest(0.0, 100 - least(100.0, 2 * errors / stores + errors / 1000)), 6) AS score FROM m)
-SELECT *, CASE WHEN score < 30 THEN 'CRITICAL' WHEN score < 50 THEN 'WARNING' WHEN score < 70 THEN 'FAIR' ELSE 'GOOD' END AS band FROM s""",
-    "root_cause_posterior": """WITH e AS (SELECT event_id, min(error_category) AS c FROM conn_events WHERE kind = 'disconnect' GROUP BY 1), o AS (SELECT count(*) FILTER (c IN ('connection_timeout', 'host_unreachable', 'socket_exception')) / count(c) AS n,
-count(*) FILTER (c = 'connection_refused') / count(c) AS h, count(*) FILTER (c IN ('tls_handshake_error', 'certificate_error')) / count(c) AS t FROM e),
-p AS (SELECT 'network_issue' AS cause, 0.3::DOUBLE * (1 + 3 * n) AS v FROM o UNION ALL SELECT 'store_hardware', 0.25::DOUBLE * (1 + 3 * h) FROM o UNION ALL SELECT 'certificate_expiry', 0.1::DOUBLE * (1 + 5 * t) FROM o UNION ALL SELECT 'server_overload', 0.2::DOUBLE FROM o),
-q AS (SELECT cause, round(v / sum(v) OVER (), 6) AS probability FROM p) SELECT * FROM q WHERE probability > 0.1""",
     "dataset_profile": """WITH f AS (SELECT DISTINCT ON (file_id) * FROM log_files ORDER BY file_id) SELECT server, CAST(sum(n_bytes) AS BIGINT) AS total_size_bytes, count(*) + count(DISTINCT container) AS total_files, count(*) FILTER (path LIKE '%.log') AS log_files,
 count(DISTINCT regexp_replace(container, '!/.*$', '')) AS zip_files, count(DISTINCT CASE WHEN contains(container, '!/') THEN container END) AS nested_zip_files, count(*) FILTER (content IS NULL) AS unreadable FROM f GROUP BY 1""",
 }
-_MSG = f"{_PARSED}, ms AS (SELECT left(t, 300) AS message, category, severity FROM e WHERE category IS NOT NULL)"
+_MSG = f"{_PARSED}, ms AS (SELECT t AS message, category, severity FROM e WHERE category IS NOT NULL)"
 SQL["tfidf_terms"] = f"WITH {_MSG}, w AS (SELECT rowid_, unnest(list_distinct(list_filter(regexp_split_to_array(lower(message), '[^a-z0-9_]+'), lambda x: x <> ''))) AS term FROM (SELECT *, row_number() OVER () AS rowid_ FROM ms)) SELECT term, count(*) AS documents FROM w GROUP BY 1 HAVING count(*) >= 2"
 SQL["eval_prf"] = f"""WITH {_MSG}, b AS (SELECT * FROM ms WHERE severity IS NOT NULL), u AS (SELECT severity, category AS said FROM b GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY severity ORDER BY count(*) DESC, category) = 1),
 j AS (SELECT category, said FROM b JOIN u USING (severity)), t AS (SELECT category AS label, count(*) AS support, count(*) FILTER (category = said) AS hit FROM j GROUP BY 1), pr AS (SELECT said AS label, count(*) AS said FROM j GROUP BY 1),
 m AS (SELECT label, support, coalesce(hit / nullif(said, 0), 0.0) AS precision, hit / support AS recall FROM t LEFT JOIN pr USING (label))
 SELECT label, round(precision, 6) AS precision, round(recall, 6) AS recall, round(coalesce(2 * precision * recall / nullif(precision + recall, 0), 0.0), 6) AS f1, support FROM m"""
 SQL["analyzer_choice"] = "SELECT * FROM (VALUES " + ", ".join(f"({a}::DOUBLE, {b}::INTEGER, {c}::DOUBLE, {d}::DOUBLE, '{e}')" for a, b, c, d, e in ((0.5, 100, 1.0, 8.0, "full"), (3.0, 600, 6.0, 32.0, "full"), (3.0, 600, 9.0, 1.0, "streaming"), (12.0, 900, 20.0, 64.0, "streaming"), (1.0, 20_000, 3.0, 64.0, "streaming"), (60.0, 10, 60.0, 64.0, "streaming"), (0.5, 100, 20.0, 4.0, "streaming"))) + ") v(size_gb, files, unpacked_gb, memory_gb, choice)"
-SQL["high_risk_stores"] = f"SELECT * FROM ({SQL['failure_probability']}) WHERE probability > 0.6 ORDER BY probability DESC, store_id LIMIT 15"
+SQL["eval_weighted"] = f"""SELECT round(sum(precision * support) / sum(support), 5) AS precision, round(sum(recall * support) / sum(support), 5) AS recall, round(sum(f1 * support) / sum(support), 5) AS f1,
+CAST(sum(support) AS BIGINT) AS rows FROM ({SQL["eval_prf"]})"""

@@ -88,9 +88,19 @@ def server_rollup_total(spark, folder):
 
 
 def fed_by_server_pivot(spark, folder):
-    servers = [f"MS{10000 + k}" for k in range(4)]
-    pivot = _down(spark, folder).groupBy("fed_group").pivot("server", servers).agg(F.count(F.lit(1)))
-    return pivot.select("fed_group", *[F.coalesce(s, F.lit(0)).alias(s) for s in servers])
+    """Disconnects by role group, a column for each server that there is; servers are few, their names are counted first."""
+    counts = _down(spark, folder).groupBy("fed_group", "server").agg(_n())
+    return pivoted(counts, "fed_group", "server", "n")
+
+
+def pivoted(counts: DataFrame, row: str, column: str, n: str) -> DataFrame:
+    """counts (row, column, n) with a column for each name in `column`, 0 where there is no row; rows without a name are left out.
+
+    The names become columns, so they must be few: servers, not stores; Spark ends with an error beyond
+    spark.sql.pivotMaxValues (10,000) of them.
+    """
+    wide = counts.where(F.col(column).isNotNull()).groupBy(row).pivot(column).agg(F.sum(n))
+    return wide.select(row, *[F.coalesce(F.col(f"`{c}`"), F.lit(0)).alias(c) for c in wide.columns if c != row])
 
 
 def outage_pairs(spark, folder):
@@ -174,8 +184,8 @@ def store_lookup(spark, folder, store: str = "7"):
 
 def export_rows(spark, folder):
     """Rows as an export writes them, with durations as texts."""
-    d = outages.pairs(incidents(spark, folder)).groupBy("store_id").agg(F.max("duration").alias("longest"))
-    return _pages(spark, folder).join(d, "store_id", "left").select("store_id", "server", "fed_group", "disconnects", outages.duration_text(F.col("longest").cast("double")).alias("longest"))
+    d = outages.pairs(incidents(spark, folder), ["server", "store_id"]).groupBy("server", "store_id").agg(F.max("duration").alias("longest"))
+    return _pages(spark, folder).join(d, ["server", "store_id"], "left").select("store_id", "server", "fed_group", "disconnects", outages.duration_text(F.col("longest").cast("double")).alias("longest"))
 
 
 QUERIES = {
