@@ -14,7 +14,9 @@ import __spark_entry__ as entry
 from tidewatch.functions.classify import error_category, reasons, severity
 from tidewatch.operators import greedy, outages, parse, series
 from tidewatch.operators.sticky import carry_forward, sliced_lag
-from tidewatch.sources.logs import lines_of, read_logs, sheet_rows
+from tidewatch.sources import logs
+from tidewatch.sources.logs import extract, lines_of, newest, read_logs, sheet_rows
+from tidewatch.sources.profile import memory_gb, profile_folder
 from tidewatch.sources.sinks import as_json, bars, report
 from tidewatch.streaming import incidents as streaming
 
@@ -143,12 +145,50 @@ def test_log_files(spark, tmp_path):
     (tmp_path / "MS10001/broken.zip").write_bytes(b"nothing")
     got = {(r.server, r.line_no, r.line) for r in read_logs(spark, str(tmp_path)).collect()}
     assert got == {("MS10001", 1, "one"), ("MS10001", 2, "two"), ("MS10001", 1, "x"), ("MS10001", 2, "y")}
-    assert lines_of(b"\xff\n") == ["�"]
+    assert list(lines_of(io.BytesIO(b"\xff\n"))) == [["�"]] and list(lines_of(io.BytesIO(b""))) == []
+    (tmp_path / "other.log").write_bytes(b"z")
+    assert read_logs(spark, str(tmp_path)).count() == 4 and read_logs(spark, str(tmp_path), only_named=False).count() == 5
+    found = {r.server: r.asDict() for r in profile_folder(spark, str(tmp_path)).collect()}
+    one = found["MS10001"]
+    assert (one["total_files"], one["log_files"], one["zip_files"], one["nested_zip_files"], one["named_files"]) == (3, 1, 2, 1, 1)
+    assert one["unpacked_bytes"] == len("﻿one\r\ntwo\r\n".encode()) + len(inner) + 2 + 7 * len(b"nothing") and found["Unknown"]["log_files"] == 1
+    assert memory_gb(spark) > 0 and {r.path.rsplit("/", 1)[1] for r in newest(spark, str(tmp_path)).collect()} == {"a.zip", "broken.zip", "Federation_a.log", "other.log"}
+    extract(spark, str(tmp_path), str(tmp_path / "out.parquet"))
+    assert spark.read.parquet(str(tmp_path / "out.parquet")).where("server = 'MS10001'").count() == 4
     sheet = '<worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><sheetData><row><c r="A1" t="s"><v>0</v></c><c r="C1"><v>4.5</v></c></row></sheetData></worksheet>'
     shared = '<sst xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><si><t>Machine</t></si></sst>'
     assert sheet_rows(_zip({"xl/worksheets/sheet1.xml": sheet, "xl/sharedStrings.xml": shared})) == [["Machine", None, "4.5"]]
 
 
+def test_numbers_of_lines_over_blocks(spark, tmp_path):
+    """A plain file is split into blocks that several tasks read; its lines keep their numbers, blank ones and a last without end too."""
+    lines = [f"line {i} " + "x" * (i % 40) if i % 17 else "" for i in range(1, 3_000)] + ["last"]
+    (tmp_path / "Federation_a.log").write_text("\n".join(lines))
+    (tmp_path / "Federation_b.log").write_bytes(b"\xef\xbb\xbfone\r\n\xff\r\n\r\n")
+    (tmp_path / "Federation_c.log").write_bytes(b"")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "9000")
+    try:
+        df = read_logs(spark, str(tmp_path))
+        got = {}
+        for r in df.collect():
+            got.setdefault(r.file.rsplit("/", 1)[1], {})[r.line_no] = r.line
+        assert df.rdd.getNumPartitions() > 1
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert got["Federation_a.log"] == dict(enumerate(lines, 1))
+    assert got["Federation_b.log"] == {1: "one", 2: "�", 3: ""} and "Federation_c.log" not in got
+
+
+def test_large_archives_are_opened_in_place(spark, tmp_path, monkeypatch):
+    (tmp_path / "MS7").mkdir()
+    (tmp_path / "MS7/a.zip").write_bytes(_zip({"Federation_x.log": "a\nb", "y.zip": _zip({"Federation_z.log": "c"})}))
+    monkeypatch.setattr(logs, "IN_MEMORY", 10)
+    monkeypatch.setattr(logs, "LINES_AT_ONCE", 1)
+    got = {(r.server, r.file, r.line_no, r.line) for r in read_logs(spark, str(tmp_path)).collect()}
+    assert got == {("MS7", "Federation_x.log", 1, "a"), ("MS7", "Federation_x.log", 2, "b"), ("MS7", "Federation_z.log", 1, "c")}
+
+
 def test_sinks(spark):
     df = spark.createDataFrame([("a", 4), ("b", 2)], "k string, n int")
     assert [r.bar for r in bars(df, "n", 4, "#").orderBy("k").collect()] == ["####", "##"]

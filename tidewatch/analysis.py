@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions.instants import with_instant
 from tidewatch.functions.keys import store_key
-from tidewatch.operators import features, greedy, outages, outliers, parse, series
+from tidewatch.operators import features, greedy, learning, outages, outliers, parse, scoring, series
 from tidewatch.operators.sticky import carry_forward
+from tidewatch.sources import sinks
 from tidewatch.sources.incidents import hour_of
 
 WINDOWS = {"burst_s": 600, "burst_rows": 5, "cascade_s": 60, "cascade_stores": 5, "near_minutes": 5}
@@ -56,15 +57,28 @@ def store_table(incidents: DataFrame) -> DataFrame:
     return per.join(d, ["server", "store_id"], "left")
 
 
-def page(stores: DataFrame, number: int = 1, size: int = 50, by: str = "disconnects", server: str | None = None, fed_group: str | None = None, least: int = 0, store: str | None = None) -> DataFrame:
-    """A page of store_table, greatest first, by any of its columns, with the usual filters."""
+def page(
+    stores: DataFrame,
+    number: int = 1,
+    size: int | None = 50,
+    by: str = "disconnects",
+    server: str | None = None,
+    fed_group: str | None = None,
+    least: int = 0,
+    store: str | None = None,
+    ascending: bool = False,
+) -> DataFrame:
+    """A page of store_table, greatest first unless ascending, by any of its columns, with the usual filters; without a size all rows."""
     rows = stores.where(F.col("disconnects") >= least)
     for column, value in (("server", server), ("fed_group", fed_group)):
         if value is not None:
             rows = rows.where(F.col(column) == value)
     if store is not None:
         rows = rows.where(F.col("store_id").contains(store))
-    return rows.orderBy(F.desc_nulls_last(by), "store_id").offset((number - 1) * size).limit(size)
+    if size is None:
+        return rows
+    order = F.asc_nulls_first(by) if ascending else F.desc_nulls_last(by)
+    return rows.orderBy(order, "store_id", "server").offset((number - 1) * size).limit(size)
 
 
 def analyze(incidents: DataFrame, windows: dict | None = None) -> dict[str, DataFrame]:
@@ -74,17 +88,94 @@ def analyze(incidents: DataFrame, windows: dict | None = None) -> dict[str, Data
     hours = series.hourly(down, hour_of())
     eight = features.store_features8(known, short=60)
     cascades = greedy.cascades(down, "sec", w["cascade_s"], w["cascade_stores"])
-    n = F.count(F.lit(1)).alias("n")
+    n, stores = F.count(F.lit(1)).alias("n"), F.countDistinct("store_id").alias("stores")
     minutes = down.withColumn("minute", F.floor(F.col("sec") / 60).cast("bigint"))
+    subtypes = incidents.groupBy("subtype").agg(n).where("subtype is not null") if "subtype" in incidents.columns else incidents.groupBy("category").agg(n).limit(0)
+    by_kind = [F.count_if(F.col("kind") == k).alias(f"{k}s") for k in ("disconnect", "reconnect")]
+    machines = incidents.where("machine is not null").select("machine", "store_id")
+    categories = incidents.groupBy("category").agg(n)
     return {
-        "categories": incidents.groupBy("category").agg(n), "hour_categories": incidents.groupBy(hour_of().alias("hour"), "category").agg(n), "subtypes": incidents.groupBy("subtype").agg(n).where("subtype is not null") if "subtype" in incidents.columns else incidents.groupBy("category").agg(n).limit(0),
-        "stores": store_table(incidents), "top_stores": page(store_table(incidents), size=20), "machines": incidents.groupBy("machine").agg(n, F.countDistinct("store_id").alias("stores")), "ips": incidents.where("ip is not null").groupBy("ip").agg(n, F.countDistinct("store_id").alias("stores")).orderBy(F.desc("n"), "ip").limit(15),
-        "fed_groups": down.groupBy("fed_group").agg(n, F.countDistinct("store_id").alias("stores")), "servers": incidents.rollup("server").agg(n), "outages": outages.pairs(known), "outage_buckets": outages.pairs(known).groupBy(outages.bucket(F.col("duration")).alias("bucket")).agg(n),
-        "timeline": incidents.where("kind is not null").groupBy(hour_of().alias("hour")).agg(F.count_if(F.col("kind") == "disconnect").alias("disconnects"), F.count_if(F.col("kind") == "reconnect").alias("reconnects"), F.countDistinct("store_id").alias("stores")),
-        "decomposition": series.decompose(hours), "forecast": series.forecast(hours), "change_points": series.change_points(hours), "periodicity": series.periodicity(hours), "trend": series.half_trend(hours), "hour_outliers": series.outliers(hours),
-        "bursts": greedy.bursts(down, "store_id", "sec", w["burst_s"], w["burst_rows"]), "cascades": cascades, "propagation": greedy.propagation(cascades),
-        "co_failures": greedy.co_failures(minutes, "store_id", "minute", w["near_minutes"]), "features": eight, "zscores": outliers.zscores(eight, "store_id", features.EIGHT), "spread": outliers.spread_scores(eight, "store_id", features.EIGHT),
-    }
+        "categories": categories,
+        "hour_categories": incidents.groupBy(hour_of().alias("hour"), "category").agg(n),
+        "subtypes": subtypes,
+        "stores": store_table(incidents),
+        "top_stores": page(store_table(incidents), size=20),
+        "store_categories": known.groupBy("store_id", "category").agg(n),
+        "machines": incidents.groupBy("machine").agg(n, stores),
+        "machine_health": scoring.machine_health(machines),
+        "root_causes": scoring.root_causes(categories, machines.groupBy("machine").agg(stores)),
+        "ips": incidents.where("ip is not null").groupBy("ip").agg(n, stores).orderBy(F.desc("n"), "ip").limit(15),
+        "fed_groups": down.groupBy("fed_group").agg(n, stores),
+        "servers": incidents.rollup("server").agg(n),
+        "outages": outages.pairs(known),
+        "outage_buckets": outages.pairs(known).groupBy(outages.bucket(F.col("duration")).alias("bucket")).agg(n),
+        "timeline": incidents.where("kind is not null").groupBy(hour_of().alias("hour")).agg(*by_kind, stores),
+        "decomposition": series.decompose(hours),
+        "forecast": series.forecast(hours),
+        "change_points": series.change_points(hours),
+        "periodicity": series.periodicity(hours),
+        "trend": series.half_trend(hours),
+        "hour_outliers": series.outliers(hours),
+        "bursts": greedy.bursts(down, "store_id", "sec", w["burst_s"], w["burst_rows"]),
+        "cascades": cascades,
+        "propagation": greedy.propagation(cascades),
+        "cascade_types": cascades.groupBy("dominant").agg(n),
+        "co_failures": greedy.co_failures(minutes, "store_id", "minute", w["near_minutes"]),
+        "features": eight,
+        "zscores": outliers.zscores(eight, "store_id", features.EIGHT),
+        "spread": outliers.spread_scores(eight, "store_id", features.EIGHT),
+    }
+
+
+def analyze_health(incidents: DataFrame, windows: dict | None = None) -> dict[str, DataFrame]:
+    """The battery over incidents of health rows: features with bursts, machines, causes, clusters, series, patterns. Clusters fit a
+    model, so they run jobs at once."""
+    w = WINDOWS | (windows or {})
+    down = incidents.where("kind = 'disconnect' and store_id is not null")
+    bursts = greedy.bursts(down, "store_id", "sec", w["burst_s"], w["burst_rows"])
+    counted = bursts.groupBy("store_id").agg(F.count(F.lit(1)).alias("bursts"))
+    rows = features.health_features(down).join(counted, "store_id", "left").withColumn("bursts", F.coalesce("bursts", F.lit(0)))
+    names = ["failures", "daily", "daily_var", "night_ratio", "weekend_ratio", "max_hourly", "bursts"]
+    clustered = learning.clusters(rows.where("failures >= 5"), "store_id", names, per=20)
+    machines = scoring.machine_health(down.where("machine is not null").select("machine", "store_id"), 100.0)
+    hours = series.hourly(down, hour_of())
+    minutes = down.withColumn("minute", F.floor(F.col("sec") / 60).cast("bigint"))
+    return {
+        "features": rows,
+        "clusters": clustered.select("store_id", "cluster"),
+        "cluster_profiles": learning.health_profiles(clustered, names),
+        "machine_health": machines,
+        "root_causes": scoring.health_root_causes(machines),
+        "bursts": bursts,
+        "co_failures": greedy.co_failures(minutes, "store_id", "minute", w["near_minutes"]),
+        "decomposition": series.decompose(hours),
+        "forecast": series.forecast(hours),
+        "change_points": series.change_points(hours),
+        "periodicity": series.periodicity(hours),
+        "hour_outliers": series.outliers(hours),
+    }
+
+
+def learn(incidents: DataFrame) -> dict[str, DataFrame]:
+    """The models over incidents, fitted at once: votes, weighted votes, their agreement, importance of features for the votes,
+    recurring days and what followed days like the last one."""
+    eight = features.store_features8(incidents.where("store_id is not null"), short=60)
+    votes = outliers.ensemble(eight, "store_id", features.EIGHT)
+    labelled = eight.join(votes.select("store_id", (F.col("label") == -1).cast("int").alias("label")), "store_id")
+    hours = series.hourly(incidents.where("kind = 'disconnect' and store_id is not null"), hour_of())
+    return {
+        "anomalies": votes,
+        "weighted": outliers.weighted_ensemble(eight, "store_id", features.EIGHT),
+        "agreement": outliers.agreement(votes),
+        "importance": learning.importance(labelled, features.EIGHT, "label"),
+        "recurring_patterns": learning.recurring_patterns(series.windows(hours)),
+        "analog_forecast": series.analog_forecast(hours),
+    }
+
+
+def report(found: dict[str, DataFrame], rows: int = 20) -> str:
+    """The first rows of every result as text, one after the other."""
+    return "\n\n".join(sinks.report(df, name.replace("_", " ").capitalize(), rows) for name, df in found.items())
 
 
 def anomalies(incidents: DataFrame) -> DataFrame:
