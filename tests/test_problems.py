@@ -58,7 +58,7 @@ INSTANTS = [
     ("2025-06-03T19:07:36.287 America/Chicago", None, datetime(2025, 6, 4, 0, 7, 36, 287000)), ("2025-06-03 10:00:00", "America/New_York", datetime(2025, 6, 3, 14)), ("2025-06-03 10:00:00", None, None),
     ("2025-03-09 02:54:07", "America/New_York", None), ("2025-11-02 01:30:00", "America/New_York", None), ("2025-11-02 01:30:00", "America/Phoenix", datetime(2025, 11, 2, 8, 30)), ("45691.5000000000", "UTC", datetime(2025, 2, 3, 12)),
     ("2025-02-30 08:15:00Z", None, None), ("2025-06-14T25:61:00Z", None, None), ("0000-00-00 00:00:00", "UTC", None), ("06:12:44", "UTC", None), ("pending", None, None), ("", None, None), ("  ", None, None), (None, None, None),
-    ("2024-02-29T00:00:00Z", None, datetime(2024, 2, 29)), ("2025-06-03T10:00:00 Mars/Olympus", None, None), ("2025-06-03 10:00:00", "No/Zone", None), ("13/03/2025 01:00:00 PM", "UTC", None), ("x" * 100_000, None, None),
+    ("2024-02-29T00:00:00Z", None, datetime(2024, 2, 29)), ("2025-06-03T10:00:00 Mars/Olympus", None, None), ("2025-06-03 10:00:00", "No/Zone", None), ("2025-06-03 10:00:00", "", None), ("2025/06/03 10:00:00", "Europe/Paris", datetime(2025, 6, 3, 8)), ("2025-06/03 10:00:00", "UTC", None), ("2025-06-03 10:00:00 A/B/C", "UTC", None), ("2025-06-03 10:00:00", " ", None), ("2025-06-03 10:00:00", "12:30", None), ("2025-06-03 10:00:00", "+05:30", datetime(2025, 6, 3, 4, 30)), ("2025-06-03 10:00:00", "Europe/Paris x", None), ("13/03/2025 01:00:00 PM", "UTC", None), ("x" * 100_000, None, None),
 ]
 
 

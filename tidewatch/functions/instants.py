@@ -7,7 +7,7 @@ assembled by integer day arithmetic in microseconds since 1970 UTC, never by a p
 
 from __future__ import annotations
 
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Minutes east of UTC that a zone abbreviation states, by the region of the machine that wrote it; "" is
@@ -49,9 +49,9 @@ def days_from_civil(y: Column, m: Column, d: Column) -> Column:
     return (shifted * 365 + era_year + F.floor((month * 153 + 2) / 5) + d - 1 - 719_468).cast("bigint")
 
 
-def known_zones(spark: SparkSession) -> list[str]:
-    """The zone names that this Spark's Java knows; other names would fail a query instead of giving no instant."""
-    return sorted(spark._jvm.java.time.ZoneId.getAvailableZoneIds())
+def _is_zone(name: Column) -> Column:
+    """Whether a text names a zone; to use another as one would fail a query instead of giving no instant."""
+    return name.rlike(r"^[A-Za-z+-]\S*$") & F.concat(F.lit("2000-01-01 00:00:00 "), name).try_cast("timestamp").isNotNull()
 
 
 def _days_in_month(y: Column, m: Column) -> Column:
@@ -75,13 +75,13 @@ def _wall_clock(us: Column, zone: Column) -> Column:
     return F.unix_micros(F.from_utc_timestamp(F.timestamp_micros(us), zone))
 
 
-def _settled(df, name: str, *values: Column):
+def _settled(df: DataFrame, name: str, *values: Column) -> DataFrame:
     """df with the array column name of values, computed once: a filter above isn't pushed below it, which would spell out
     the values in the filter, theirs in turn, and so on, an expression that doubles with every step."""
     return df.select("*", F.explode(F.array(F.array(*values))).alias(name))
 
 
-def _settled_texts(df, name: str, texts: Column):
+def _settled_texts(df: DataFrame, name: str, texts: Column) -> DataFrame:
     return df.select("*", F.explode(F.array(texts)).alias(name))
 
 
@@ -89,7 +89,7 @@ def _at(name: str, k: int) -> Column:
     return F.get(F.col(name), F.lit(k))
 
 
-def _local_to_utc(df, wall: str, zone: str, tmp: str):
+def _local_to_utc(df: DataFrame, wall: str, zone: str, tmp: str) -> DataFrame:
     """df with {tmp}_l, the one instant at which zone's clocks show wall; null where there is none (a gap) or are two (an overlap).
 
     The offsets in force a day before and a day after are the only candidates, as no zone changes twice within two days.
@@ -102,7 +102,7 @@ def _local_to_utc(df, wall: str, zone: str, tmp: str):
     return df.withColumn(f"{tmp}_l", F.when(x & ~y, a).when(y & ~x, b)).drop(f"{tmp}_u", f"{tmp}_x")
 
 
-def with_instant(df, text: str, zone: str, out: str, zones: list[str] | None = None):
+def with_instant(df: DataFrame, text: str, zone: str, out: str) -> DataFrame:
     """df with the column out, bigint microseconds since 1970 UTC, read from the column text; null where no single instant is meant.
 
     zone is the column with the writer's IANA zone: texts without a zone and sheet day numbers (days since 1899-12-30,
@@ -111,8 +111,6 @@ def with_instant(df, text: str, zone: str, out: str, zones: list[str] | None = N
     empty, blank and null texts. With slashes the month comes first (or the year of four digits), with dots the day; bare digits count seconds (9-11
     digits), milliseconds (12-14), microseconds (15-17) or nanoseconds from 1970 UTC. Fractions are cut to microseconds.
     """
-    spark = df.sparkSession
-    zones = zones or known_zones(spark)
     tmp = f"_{out}"
     parts = _settled_texts(df, f"{tmp}_c", F.split(F.regexp_replace(F.col(text), ALTERNATION, _REPLACEMENT), _SEPARATOR))
     place = {c: k for k, c in enumerate(PLACES, 1)}
@@ -139,7 +137,7 @@ def with_instant(df, text: str, zone: str, out: str, zones: list[str] | None = N
     named = F.when(z == "", own).when(z.contains("/"), z)
     parts = _settled(parts, f"{tmp}_t", F.when(c("k") != "", sheet).when(valid, wall), F.when(c("e") != "", epoch), stated.cast("bigint"))
     w, e, o = (_at(f"{tmp}_t", k) for k in range(3))
-    parts = parts.select("*", F.when(named.isin(zones), named).alias(f"{tmp}_z")).select("*", F.when(F.col(f"{tmp}_z").isNotNull() & o.isNull(), w).alias(f"{tmp}_v"))
+    parts = parts.select("*", F.when(_is_zone(named), named).alias(f"{tmp}_z")).select("*", F.when(F.col(f"{tmp}_z").isNotNull() & o.isNull(), w).alias(f"{tmp}_v"))
     parts = _local_to_utc(parts, f"{tmp}_v", f"{tmp}_z", tmp)
     instant = F.coalesce(e, w - o * 60_000_000, F.col(f"{tmp}_l"))
     return parts.withColumn(out, instant).drop(*[f"{tmp}_{x}" for x in "cntvzl"])
