@@ -12,10 +12,10 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from tidewatch.functions.classify import error_category, reasons, severity
-from tidewatch.operators import greedy, outages, parse, series
+from tidewatch.operators import greedy, learning, outages, parse, series
 from tidewatch.operators.sticky import carry_forward, sliced_lag
 from tidewatch.sources import logs
-from tidewatch.sources.logs import extract, lines_of, newest, read_logs, sheet_rows
+from tidewatch.sources.logs import extract, lines_of, newest, read_health, read_logs, sheet_rows
 from tidewatch.sources.profile import memory_gb, profile_folder
 from tidewatch.sources.sinks import as_json, bars, report
 from tidewatch.streaming import incidents as streaming
@@ -189,6 +189,29 @@ def test_large_archives_are_opened_in_place(spark, tmp_path, monkeypatch):
     assert got == {("MS7", "Federation_x.log", 1, "a"), ("MS7", "Federation_x.log", 2, "b"), ("MS7", "Federation_z.log", 1, "c")}
 
 
+def test_health_sheets(spark, tmp_path):
+    """The first sheet of a workbook, columns in any order and cells left out, and the same as CSV."""
+    cell = lambda at, text: f'<c r="{at}" t="inlineStr"><is><t>{text}</t></is></c>'
+    head = "".join(cell(f"{c}1", x) for c, x in zip("ABCDE", ["Health event", "Source entity", "Extra", "Event timestamp", "Machine"]))
+    body = cell("A2", "Connection failed") + cell("B2", "Store 2291 (vNVR)") + '<c r="D2"><v>45691.5</v></c>' + cell("E2", "M1")
+    last = cell("B3", "Directory")
+    sheet = f'<worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><sheetData><row>{head}</row><row>{body}</row><row>{last}</row></sheetData></worksheet>'
+    (tmp_path / "a.xlsx").write_bytes(_zip({"xl/worksheets/sheet1.xml": sheet}))
+    (tmp_path / "b.csv").write_text("Source entity,Event timestamp,Health event,Machine\nStore 77,2025-02-03 10:00:00,Clock skew,\n")
+    got = sorted(map(tuple, read_health(spark, str(tmp_path)).collect()), key=str)
+    assert got == sorted([("Store 2291 (vNVR)", "45691.5", "Connection failed", "M1"), ("Directory", None, None, None), ("Store 77", "2025-02-03 10:00:00", "Clock skew", None)], key=str)
+
+
+def test_recurring_patterns_and_importance(spark):
+    values = [float(10 * (h % 24 > 12) + (h // 24 % 2) * 3 * (h % 24)) for h in range(240)]
+    s = spark.createDataFrame([(i, i, x) for i, x in enumerate(values)], "idx bigint, hour bigint, x double")
+    found = learning.recurring_patterns(series.windows(s), 5).collect()
+    assert sum(r.windows for r in found) == 240 - 24 and len(found) == 5
+    rows = [(i % 7, float(i % 5), int(i % 5 > 2)) for i in range(200)]
+    got = {r.feature: r.importance for r in learning.importance(spark.createDataFrame(rows, "a int, b double, label int"), ["a", "b"], "label").collect()}
+    assert got["b"] > 0.9 and abs(sum(got.values()) - 1) < 1e-9
+
+
 def test_sinks(spark):
     df = spark.createDataFrame([("a", 4), ("b", 2)], "k string, n int")
     assert [r.bar for r in bars(df, "n", 4, "#").orderBy("k").collect()] == ["####", "##"]

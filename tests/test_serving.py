@@ -37,7 +37,9 @@ def test_service(spark, tmp_path):
     assert (len(first["data"]), first["total"], first["pages"]) == (20, 48, 3) and {r["disconnects"] for r in first["data"]} == {3}
     down = json.loads(s.call("stores", size=3, by="store_id", ascending=True, least=1, server="MS2"))
     assert {r["server"] for r in down["data"]} == {"MS2"} and [r["store_id"] for r in down["data"]] == sorted(r["store_id"] for r in down["data"])
-    assert s.stores(store="10005", fed_group="SBUXSCRoleGroup7")["total"] >= 0 and s.stores(store="nope")["pages"] == 0
+    assert s.stores(store="1000")["total"] == 20 and s.stores(store="10005", server="MS1")["total"] == 1 and s.stores(store="nope")["pages"] == 0
+    groups = {r["fed_group"] for r in s.fed_groups()}
+    assert sum(s.stores(fed_group=g)["total"] for g in groups) == 48 and s.stores(fed_group="other")["total"] == 0
     assert s.summary()["stores"] == 24 and s.summary()["disconnects"] == 144
     assert {r["server"] for r in s.servers()} == {"MS1", "MS2", None} and len(s.forecast()) == 24
     assert [r["target"] for r in s.recommendations()] == ["c", "b", "d", "a"] and [r["rec_id"] for r in s.recommendations(priority=2)] == [1]

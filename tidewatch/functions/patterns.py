@@ -54,3 +54,19 @@ REASON_KEYWORDS = (
     "connection", "respond", "tls", "socket", "refused", "network", "ssl", "handshake", "certificate", "cert", "dns", "resolution", "resolve",
     "proxy", "logged off", "sync context", "authentication", "login", "credential", "service", "503", "500", "internal", "scheduling", "reconnection",
 )
+# What is read off a line.
+STORE = r"Store[\s_](\d{4,5})"
+IP_PORT = r"(\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}):(\d+)"
+ENDPOINT = r"(\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}:\d+)"
+ROLE_GROUP = r"(SBUXSCRoleGroup\d+)"
+MACHINE = r"MachineName=(\S+)"
+START_DELAY = r"startDelay\s*=\s*(\d+)"
+# Labels of lines, case counts.
+FLAGS = {
+    "error": ("(Error)", "(error)"), "warning": ("(Warning)", "(warning)"), "exception": ("Exception", "exception"), "fatal": ("(Fatal)", "(fatal)", "Fatal", "fatal"),
+    "connection": ("connection", "disconnect", "reconnect", "logged off", "logon", "logoff"),
+}
+# Phrases of lost and regained connections, in lower case; the broad rules' and the narrow ones'.
+NULL_SYNC = "Initial sync context is null"
+LOST_BROAD, BACK_BROAD = ("logged off", "disconnect", "offline"), ("reconnect", "logon", "online", "connected", "sync complete", "primary sync")
+LOST, BACK = ("logged off", "disconnect", "offline", "connection failed", "connection attempt failed"), ("logon", "sync complete", "connected successfully", "scheduling reconnection")

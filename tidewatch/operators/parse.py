@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewatch.functions import patterns
 from tidewatch.functions.classify import error_category, internal_subtype, severity
 
 HEADER = "*"
@@ -34,17 +35,17 @@ def timestamp(text: Column) -> Column:
 
 
 def store(text: Column) -> Column:
-    return F.lpad(_found(text, r"Store[\s_](\d{4,5})"), 5, "0")
+    return F.lpad(_found(text, patterns.STORE), 5, "0")
 
 
 def parsed(raw: DataFrame, width: int = 300) -> DataFrame:
     """raw_lines with ts, store_id, ip, port, fed_group, machine, start_delay, message (the
     first `width` characters), category, severity and subtype."""
     t, low = F.col("text"), F.col("_low")
-    ip = r"(\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}):(\d+)"
+    ip = patterns.IP_PORT
     first = raw.withColumn("_low", F.lower(t)).select(
-        *raw.columns, timestamp(t).alias("ts"), store(t).alias("store_id"), _found(t, ip).alias("ip"), _found(t, ip, 2).alias("port"), _found(t, r"(SBUXSCRoleGroup\d+)").alias("fed_group"),
-        F.when(t.startswith(HEADER), _found(t, r"MachineName=(\S+)")).alias("machine"), _found(t, r"startDelay\s*=\s*(\d+)").try_cast("int").alias("start_delay"),
+        *raw.columns, timestamp(t).alias("ts"), store(t).alias("store_id"), _found(t, ip).alias("ip"), _found(t, ip, 2).alias("port"), _found(t, patterns.ROLE_GROUP).alias("fed_group"),
+        F.when(t.startswith(HEADER), _found(t, patterns.MACHINE)).alias("machine"), _found(t, patterns.START_DELAY).try_cast("int").alias("start_delay"),
         F.left(t, F.lit(width)).alias("message"), error_category(t, low).alias("category"), severity(t, low).alias("severity"),
     )
     return first.select("*", internal_subtype(t, F.col("category")).alias("subtype"))
@@ -63,23 +64,19 @@ def first_of_each(raw: DataFrame, scope: str) -> DataFrame:
 
 def flags_v1(text: Column) -> dict[str, Column]:
     """Case-sensitive labels, several of which a line may have."""
-    return {
-        "error": _has(text, "(Error)", "(error)"), "warning": _has(text, "(Warning)", "(warning)"), "exception": _has(text, "Exception", "exception"),
-        "fatal": _has(text, "(Fatal)", "(fatal)", "Fatal", "fatal"), "connection": _has(text, "connection", "disconnect", "reconnect", "logged off", "logon", "logoff"),
-    }
+    return {name: _has(text, *words) for name, words in patterns.FLAGS.items()}
 
 
 def connection_kind(text: Column, broad: bool = False) -> Column:
     """disconnect, reconnect or null. The narrow rules are the default; broad ones also take any failing connection and any "connected"."""
     low = F.lower(text)
     # the broad rules take this phrase only as it is written, the narrow ones in any case
-    null_sync = text.contains("Initial sync context is null") if broad else low.contains("initial sync context is null")
+    null_sync = text.contains(patterns.NULL_SYNC) if broad else low.contains(patterns.NULL_SYNC.lower())
     if broad:
-        down = _has(low, "logged off", "disconnect", "offline") | (low.contains("connection") & low.contains("fail")) | null_sync
-        up = ~null_sync & _has(low, "reconnect", "logon", "online", "connected", "sync complete", "primary sync")
+        down = null_sync | _has(low, *patterns.LOST_BROAD) | (low.contains("connection") & low.contains("fail"))
+        up = ~null_sync & _has(low, *patterns.BACK_BROAD)
     else:
-        down = null_sync | _has(low, "logged off", "disconnect", "offline", "connection failed", "connection attempt failed")
-        up = ~null_sync & _has(low, "logon", "sync complete", "connected successfully", "scheduling reconnection")
+        down, up = null_sync | _has(low, *patterns.LOST), ~null_sync & _has(low, *patterns.BACK)
     return F.when(down, "disconnect").when(up, "reconnect")
 
 
@@ -106,7 +103,7 @@ def error_family(text: Column, variant: str = "v3") -> Column:
 
 def endpoints(text: Column) -> Column:
     """All ip:port pairs of a line, as texts, in their order."""
-    return F.regexp_extract_all(text, F.lit(r"(\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}:\d+)"), F.lit(1))
+    return F.regexp_extract_all(text, F.lit(patterns.ENDPOINT), F.lit(1))
 
 
 def store_groups(lines: DataFrame) -> DataFrame:

@@ -100,7 +100,7 @@ def dedup_lines_global(spark, folder):
 
 def _with_context(spark, folder):
     t = F.col("text")
-    group, machine = F.nullif(F.regexp_extract(t, r"(SBUXSCRoleGroup\d+)", 1), F.lit("")), F.nullif(F.regexp_extract(t, r"MachineName=(\S+)", 1), F.lit(""))
+    group, machine = F.nullif(F.regexp_extract(t, patterns.ROLE_GROUP, 1), F.lit("")), F.nullif(F.regexp_extract(t, patterns.MACHINE, 1), F.lit(""))
     raw = _raw(spark, folder).select("file", "line_no", t, parse.store(t).alias("store_id"), group.alias("own"), group.alias("fed_group"), F.when(t.startswith("*"), machine).alias("machine"))
     return carry_forward(raw, "file", "line_no", ["fed_group", "machine"])
 

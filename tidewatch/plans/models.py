@@ -52,7 +52,7 @@ def iforest_votes(spark, folder):
 
 
 def lof_votes(spark, folder):
-    return outliers.local_outlier_factor(_eight(spark, folder), "store_id", features.EIGHT)
+    return outliers.local_outlier_factor(_eight(spark, folder), "store_id", features.EIGHT).withColumn("score", F.round("score", 6))
 
 
 def ocsvm_votes(spark, folder):
@@ -250,6 +250,10 @@ FROM l JOIN st USING (c) JOIN md USING (c) GROUP BY 1""",
     "minmax_scores": f"WITH {_F8} SELECT store_id, CASE WHEN max(total) OVER () > min(total) OVER () THEN round((total - min(total) OVER ()) / (max(total) OVER () - min(total) OVER ()), 6) ELSE 0.0 END AS scaled FROM f",
     "dbscan_noise": f"""WITH {_SCALED}, nn AS (SELECT a, d, row_number() OVER (PARTITION BY a ORDER BY d) AS r FROM ds), ep AS (SELECT quantile_cont(d, 0.9) AS eps FROM nn WHERE r = 5),
 co AS (SELECT a FROM ds, ep WHERE d <= eps GROUP BY 1 HAVING count(*) >= 3) SELECT a AS store_id, count(*) FILTER (d <= eps AND b IN (SELECT a FROM co)) = 0 AS flag FROM ds, ep GROUP BY 1""",
+    "lof_votes": f"""WITH {_LONG}, s AS (SELECT store_id, c, (x - m) / CASE WHEN sd = 0 THEN 1 ELSE sd END AS x FROM l JOIN st USING (c)), d AS (SELECT a.store_id AS a, b.store_id AS b, sqrt(sum((a.x - b.x) * (a.x - b.x))) AS d FROM s a JOIN s b ON a.c = b.c AND a.store_id <> b.store_id GROUP BY 1, 2),
+k AS (SELECT least(20, count(DISTINCT a) - 1) AS k FROM d), nb AS (SELECT a, b, d FROM d, k QUALIFY row_number() OVER (PARTITION BY a ORDER BY d, b) <= k.k), kd AS (SELECT a, max(d) AS kd FROM nb GROUP BY 1),
+de AS (SELECT nb.a, 1 / (avg(greatest(nb.d, kd.kd)) + 1e-10) AS den FROM nb JOIN kd ON kd.a = nb.b GROUP BY 1), lf AS (SELECT nb.a AS store_id, avg(o.den) / any_value(me.den) AS f FROM nb JOIN de o ON o.a = nb.b JOIN de me ON me.a = nb.a GROUP BY 1)
+SELECT store_id, round(f, 6) AS score, f > (SELECT quantile_cont(f, 0.9) FROM lf) AS flag FROM lf""",
     "feature_corr": f"WITH {_F8} " + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, coalesce(round(covar_pop({a}, {b}) / nullif(stddev_pop({a}) * stddev_pop({b}), 0), 6), 0.0) AS r FROM f" for i, a in enumerate(features.EIGHT) for b in features.EIGHT[i + 1 :]),
     "dataset_profile": """WITH f AS (SELECT DISTINCT ON (file_id) * FROM log_files ORDER BY file_id) SELECT server, CAST(sum(n_bytes) AS BIGINT) AS total_size_bytes, count(*) + count(DISTINCT container) AS total_files, count(*) FILTER (path LIKE '%.log') AS log_files,
 count(DISTINCT regexp_replace(container, '!/.*$', '')) AS zip_files, count(DISTINCT CASE WHEN contains(container, '!/') THEN container END) AS nested_zip_files, count(*) FILTER (content IS NULL) AS unreadable FROM f GROUP BY 1""",

@@ -35,7 +35,8 @@ def hourly(events: DataFrame) -> DataFrame:
 
 def outages(events: DataFrame) -> DataFrame:
     """(store_id, down, up, duration) in seconds as they close: a store's state is its open disconnect and the rows not yet
-    due, which wait until the watermark has passed them so that late ones are put in order."""
+    due, which wait until the watermark has passed them so that late ones are put in order. Lines have no order of their own in
+    a stream: of those of one second the disconnect comes first."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         down, waiting = state.get if state.exists else (None, [])
