@@ -31,6 +31,7 @@ from tidewatch.session import written
 
 DEPTH, SIMILAR, BLOCK = 3, 0.5, 20_000
 LEAF = 4_096  # masked lines that a task merges at once
+HEADS_BROADCAST = 500_000  # masked lines that begin entries, of 32 bytes each, up to which they are broadcast; counted before
 HEAD = 8  # the tokens among which an instant and a level count as in front of the message
 
 _GLUE = "\x02"  # for a blank inside an instant
@@ -186,11 +187,10 @@ def template_map(lines: DataFrame) -> DataFrame:
 
 
 def masked_lines(lines: DataFrame) -> DataFrame:
-    """server, file, line_no, line, each (file, line_no) once, with masked and its digest in two halves, null for lines without
-    an instant. Written once: masking costs more than reading it again."""
-    one = lines.where("file is not null and line_no is not null").groupBy("file", "line_no").agg(F.min("server").alias("server"), F.min("line").alias("line"))
+    """server, file, line_no, line of every row with a file and number, with masked and its digest in two halves, null for lines that
+    no instant opens. Written once: masking costs more than reading it again."""
     # explode: each step takes the last one's text as it is instead of making it again
-    step = one.withColumn("line", F.coalesce("line", F.lit("")))
+    step = lines.where("file is not null and line_no is not null").select("server", "file", "line_no", F.coalesce("line", F.lit("")).alias("line"))
     opens = F.ltrim(F.col("line"), F.lit("﻿")).rlike(_OPENS)
     step = step.select("*", F.explode(F.array(F.when(opens, _glued(F.col("line"))))).alias("_g"))
     step = step.select("server", "file", "line_no", "line", F.explode(F.array(_timed(F.col("_g")))).alias("_t"))
@@ -199,17 +199,32 @@ def masked_lines(lines: DataFrame) -> DataFrame:
     return written(step.select("*", *[F.when(F.col("masked").isNotNull(), x).alias(n) for n, x in (("low", low), ("high", high))]), "masked")
 
 
+_PLACES = ["at_time", "at_level", "at_component", "at_message"]
+
+
+def _with_places(text: DataFrame) -> DataFrame:
+    """masked_lines with the positions of their templates, null for lines that begin no entry."""
+    heads = written(template_map(text).select("low", "high", *_PLACES), "heads")
+    if heads.count() <= HEADS_BROADCAST:
+        return text.join(F.broadcast(heads), ["low", "high"], "left")
+    # lines that no instant opens, perhaps most, don't go through the shuffle, where they would all have the same key
+    found = text.where("low is not null").join(heads, ["low", "high"], "left")
+    return found.unionByName(text.where("low is null"), allowMissingColumns=True)
+
+
 def _assigned(lines: DataFrame) -> DataFrame:
     """Every line once with its place in its file: `_o` is twice the number of the last line at or above it that begins an entry, and
-    one, or twice the number of the last `*` line, whichever is later; log_day and log_zone are what headers said last."""
-    text = masked_lines(lines)
-    heads = template_map(text)
+    one, or twice the number of the last `*` line, whichever is later; log_day and log_zone are what headers said last.
+
+    Whole lines are shuffled once, by file and block: repeated rows meet there (the least line counts), and the order runs there.
+    """
+    row = F.struct("line", "server", *_PLACES).alias("_m")
+    rows = _with_places(masked_lines(lines)).select("file", F.expr(f"line_no div {BLOCK}").alias("block"), "line_no", row)
+    # said here, as the join below says it on one side only, and the two uses of these rows would be two shuffles
+    rows = rows.where("file is not null and block is not null")
+    one = rows.repartition("file", "block").groupBy("file", "block", "line_no").agg(F.min("_m").alias("_m")).select("file", "block", "line_no", "_m.*")
     star, blank = F.col("line").rlike(r"(?U)^[﻿\s]*\*"), ~F.col("line").rlike(r"(?U)[^﻿\s]")
-    cols = ["server", "file", "line_no", "line", star.alias("star"), blank.alias("blank"), F.expr(f"line_no div {BLOCK}").alias("block")]
-    places = ["at_time", "at_level", "at_component", "at_message"]
-    # lines without an instant, perhaps most, don't go through the join
-    found = text.where("low is not null").join(heads, ["low", "high"], "left").select(*cols, *places)
-    found = found.unionByName(text.where("low is null").select(*cols, *[F.lit(None).cast("int").alias(p) for p in places]))
+    found = one.select("*", star.alias("star"), blank.alias("blank"))
     code = F.when(F.col("star"), F.col("line_no") * 2).when(F.col("at_time").isNotNull(), F.col("line_no") * 2 + 1)
     day = F.when(F.col("star"), F.regexp_extract("line", r"[Dd]ate (\d{4}-\d{2}-\d{2})", 1))
     zone = F.when(F.col("star"), F.regexp_extract("line", r"Zone=(\S+)", 1))
