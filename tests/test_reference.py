@@ -233,6 +233,24 @@ def test_streaming(spark, tmp_path):
     assert sum(r.n for r in spark.table("hours").collect()) >= 2
 
 
+def test_bursts_of_a_stream(spark, tmp_path):
+    """The same bursts as in batch once the watermark has passed them, also of lines that arrive out of order."""
+    line = "2024-01-04T{:02d}:{:02d}:00.000-08:00 Federation (Error) Store {} logged off"
+    times = {"10001": [0, 1, 2, 3, 10, 11, 30, 31, 32, 33, 34, 50], "10002": [5, 6, 7, 8]}
+    rows = [(store, m) for store, minutes in times.items() for m in minutes]
+    (tmp_path / "in").mkdir()
+    for n, part in enumerate((rows[::2], rows[1::2]), 1):
+        (tmp_path / f"in/{n}.txt").write_text("\n".join(line.format(21, m, store) for store, m in part))
+    for n in (3, 4):
+        (tmp_path / f"in/{n}.txt").write_text(line.format(20 + n, 59, "10003"))
+    stream = spark.readStream.option("maxFilesPerTrigger", 1).text(str(tmp_path / "in"))
+    found = streaming.bursts(streaming.parsed_lines(stream))
+    query = found.writeStream.format("memory").queryName("bursts").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    query.awaitTermination(120)
+    got = sorted(((r.store_id, (r.end - r.start) // 60, r["count"]) for r in spark.table("bursts").collect()))
+    assert got == [("10001", 4, 5), ("10001", 10, 5)]
+
+
 FAST = ["p1_found", "p2_found", "p2_instants", "p3_found", "p5_found", "p4_found", "top_stores_excl_max", "sticky_context", "reason_totals", "outage_stats_store", "cusum_scores", "forecast24", "cascades", "bursts", "cofailure_pairs", "dbscan_noise", "feature_corr", "machine_health"]
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
@@ -61,3 +62,37 @@ def outages(events: DataFrame) -> DataFrame:
     return rows.groupBy("store_id").applyInPandasWithState(
         step, "store_id string, down bigint, up bigint, duration bigint", "down bigint, waiting array<struct<at: bigint, kind: string>>", "append", GroupStateTimeout.EventTimeTimeout
     )
+
+
+def bursts(events: DataFrame, width: int = 600, least: int = 5) -> DataFrame:
+    """(store_id, start, end, count) in seconds: windows [t, t + width] of a store with at least `least` disconnects, the earliest first,
+    without overlap, each once the watermark has passed its end. A store's state is the end of its last burst and the times not
+    yet decided, of one window's width and the allowed lateness; rows that the watermark has passed already are left out."""
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        free, waiting = state.get if state.exists else (None, [])
+        now = state.getCurrentWatermarkMs() // 1000
+        times = sorted([*waiting, *(at for b in batches for t in b["ts"] if (at := int(t.timestamp())) > now)])
+        out, i = [], 0
+        while i < len(times):
+            if free is not None and times[i] <= free:
+                i += 1
+                continue
+            if times[i] + width >= now:
+                break
+            j = bisect_right(times, times[i] + width)
+            if j - i >= least:
+                out.append((key[0], times[i], times[j - 1], j - i))
+                free, i = times[i] + width, j
+            else:
+                i += 1
+        waiting = times[i:]
+        state.update((free, waiting))
+        if waiting:
+            state.setTimeoutTimestamp(max((waiting[0] + width + 1) * 1000, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame(out, columns=["store_id", "start", "end", "count"])
+
+    rows = events.where("kind = 'disconnect' and store_id is not null").select("store_id", "ts")
+    return rows.groupBy("store_id").applyInPandasWithState(
+        step, "store_id string, start bigint, end bigint, count bigint", "free bigint, waiting array<bigint>", "append", GroupStateTimeout.EventTimeTimeout
+    )
