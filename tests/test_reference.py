@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from tidewatch.functions.classify import error_category, reasons, severity
-from tidewatch.operators import greedy, learning, outages, parse, series
+from tidewatch.operators import greedy, learning, outages, parse, series, together
 from tidewatch.operators.sticky import carry_forward, sliced_lag
 from tidewatch.sources import logs
 from tidewatch.sources.logs import extract, lines_of, newest, read_health, read_logs, sheet_rows
@@ -102,7 +102,7 @@ def test_bursts_and_cascades(spark):
     got = greedy.cascades(c, "sec", 60, 3).collect()
     assert [(r.start, r.end, r.stores) for r in got] == [(0, 60, 3)]
     pairs = spark.createDataFrame([("a", 0), ("a", 10), ("b", 3)], "k string, m bigint")
-    assert [tuple(r) for r in greedy.co_failures(pairs, "k", "m").collect()] == [("a", "b", 1, 1.0)]
+    assert [tuple(r) for r in together.co_failures(pairs, "k", "m").collect()] == [("a", "b", 1, 1.0)]
 
 
 def test_series_edges(spark):

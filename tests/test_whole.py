@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from tidewatch import analysis
-from tidewatch.operators import learning, outliers
+from tidewatch.operators import learning, outliers, together
 from tidewatch.plans import models
 
 DATA = "/root/testdata/sf0.1"
@@ -107,3 +107,27 @@ def test_all_classes_of_copies_have_members(spark, tmp_path):
     con = duckdb.connect()
     con.execute(f"create view log_files as select * from read_parquet('{tmp_path}/log_files.parquet/*.parquet')")
     assert got == [(i, 0) for i in range(80)] + [(80, 80)] == sorted(con.execute(entry.oracle_sql()["p4_members"]).fetchall())
+
+
+@pytest.mark.parametrize(("keys", "dense"), [(30, 0), (30, 10**9), (4, 100)])
+def test_co_failures_equal_all_comparisons(spark, monkeypatch, keys, dense):
+    """Many keys in one minute, minutes at the edges of slices, listed and multiplied: as from comparing every pair's minutes."""
+    monkeypatch.setattr(together, "DENSE", dense)
+    monkeypatch.setattr(together, "CELLS", 50)
+    rng = np.random.default_rng(keys)
+    rows = {(f"k{rng.integers(keys):02d}", int(t)) for t in rng.integers(-200, 200, 300)} | {(f"k{k:02d}", 39) for k in range(keys)}
+    near = {(a, b): 0 for a in {k for k, _ in rows} for b in {k for k, _ in rows} if a < b}
+    of = {k: [t for x, t in rows if x == k] for k, _ in rows}
+    for a, b in near:
+        near[a, b] = sum(any(abs(t - u) <= 3 for u in of[b]) for t in of[a])
+    want = sorted((a, b, n, round(n / min(len(of[a]), len(of[b])), 6)) for (a, b), n in near.items() if round(n / min(len(of[a]), len(of[b])), 6) > 0.3)
+    df = spark.createDataFrame([*rows, *list(rows)[:20], (None, 3), ("k00", None)], "k string, m bigint")
+    assert sorted(map(tuple, together.co_failures(df, "k", "m", near=3, width=40).collect())) == want
+    assert together.co_failures(df.limit(0), "k", "m").count() == 0
+
+
+def test_a_minute_of_all_stores_is_few_rows(spark):
+    """3,000 stores that fail in the same ten minutes: the counts of their 4.5 million pairs come from a product."""
+    store = np.repeat(np.arange(3_000), 10)
+    pair, count = together.near_counts(store, np.tile(np.arange(10) * 20, 3_000), store, np.tile(np.arange(10) * 20, 3_000), 3_000, 5)
+    assert len(pair) == 3_000 * 2_999 // 2 and set(count.tolist()) == {10}

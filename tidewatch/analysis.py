@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions.instants import with_instant
 from tidewatch.functions.keys import store_key
-from tidewatch.operators import features, greedy, learning, outages, outliers, parse, scoring, series
+from tidewatch.operators import features, greedy, learning, outages, outliers, parse, scoring, series, together
 from tidewatch.operators.sticky import carry_forward
 from tidewatch.sources import sinks
 from tidewatch.sources.incidents import hour_of
@@ -120,7 +120,7 @@ def analyze(incidents: DataFrame, windows: dict | None = None) -> dict[str, Data
         "cascades": cascades,
         "propagation": greedy.propagation(cascades),
         "cascade_types": cascades.groupBy("dominant").agg(n),
-        "co_failures": greedy.co_failures(minutes, "store_id", "minute", w["near_minutes"]),
+        "co_failures": together.co_failures(minutes, "store_id", "minute", w["near_minutes"]),
         "features": eight,
         "zscores": outliers.zscores(eight, "store_id", features.EIGHT),
         "spread": outliers.spread_scores(eight, "store_id", features.EIGHT),
@@ -147,7 +147,7 @@ def analyze_health(incidents: DataFrame, windows: dict | None = None) -> dict[st
         "machine_health": machines,
         "root_causes": scoring.health_root_causes(machines),
         "bursts": bursts,
-        "co_failures": greedy.co_failures(minutes, "store_id", "minute", w["near_minutes"]),
+        "co_failures": together.co_failures(minutes, "store_id", "minute", w["near_minutes"]),
         "decomposition": series.decompose(hours),
         "forecast": series.forecast(hours),
         "change_points": series.change_points(hours),

@@ -172,14 +172,3 @@ def cascades(df: DataFrame, at: str, width: int, least: int, server_wide: int =
 def propagation(found: DataFrame) -> DataFrame:
     """One row: cascades, their mean and greatest number of stores, and how many were server-wide."""
     return found.agg(F.count(F.lit(1)).alias("cascades"), F.round(F.avg("stores"), 6).alias("avg_stores"), F.max("stores").alias("max_stores"), F.count_if("is_server_wide").alias("server_wide"))
-
-
-def co_failures(df: DataFrame, key: str, minute: str, near: int = 5, over: float = 0.3) -> DataFrame:
-    """(a, b, shared, overlap): pairs of keys a < b with minutes of a within `near` minutes of one of b's; overlap is their number over
-    the lesser key's minutes, above `over`. Minutes are distinct before a's are widened, and meet b's by equality."""
-    m = df.select(F.col(key).alias("k"), F.col(minute).alias("m")).distinct()
-    n = m.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
-    a = m.select(F.col("k").alias("a"), F.col("m").alias("am"), F.explode(F.sequence(F.col("m") - near, F.col("m") + near)).alias("m"))
-    met = a.join(m.withColumnRenamed("k", "b"), "m").where("a < b").groupBy("a", "b").agg(F.countDistinct("am").alias("shared"))
-    sized = met.join(n.select(F.col("k").alias("a"), F.col("n").alias("na")), "a").join(n.select(F.col("k").alias("b"), F.col("n").alias("nb")), "b")
-    return sized.select("a", "b", "shared", F.round(F.col("shared") / F.least("na", "nb"), 6).alias("overlap")).where(F.col("overlap") > over)

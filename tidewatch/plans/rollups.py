@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewatch.operators import greedy, outages
+from tidewatch.operators import greedy, outages, together
 from tidewatch.operators.parse import dominant
 from tidewatch.operators.sticky import sliced_lag
 from tidewatch.sources.incidents import INCIDENTS, hour_of, incidents
@@ -146,12 +146,12 @@ def cofailure_pairs(spark, folder):
     """Pairs of the 100 stores with most disconnects, with minutes within a quarter of a day (events are sparse)."""
     down = _down(spark, folder)
     top = down.groupBy("store_id").agg(_n()).orderBy(F.desc("n"), "store_id").limit(100).select("store_id")
-    return greedy.co_failures(down.join(F.broadcast(top), "store_id", "left_semi").withColumn("slot", F.floor(F.col("sec") / 3600).cast("bigint")), "store_id", "slot", 2, 0.3)
+    return together.co_failures(down.join(F.broadcast(top), "store_id", "left_semi").withColumn("slot", F.floor(F.col("sec") / 3600).cast("bigint")), "store_id", "slot", 2, 0.3)
 
 
 def cofailure_pairs_all(spark, folder):
     """Pairs of all stores, with minutes within five."""
-    return greedy.co_failures(_down(spark, folder).withColumn("minute", F.floor(F.col("sec") / 60).cast("bigint")), "store_id", "minute")
+    return together.co_failures(_down(spark, folder).withColumn("minute", F.floor(F.col("sec") / 60).cast("bigint")), "store_id", "minute")
 
 
 def _same_machine(pairs, spark, folder):
