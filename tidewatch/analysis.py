@@ -36,7 +36,25 @@ def incidents_from_lines(lines: DataFrame, dedup: str = "file") -> DataFrame:
     typed = parse.parsed(unique).drop("fed_group", "machine").withColumn("kind", F.when(F.col("store_id").isNotNull(), parse.connection_kind(t)))
     known = typed.where("ts is not null and coalesce(category, severity, kind) is not null").join(context, ["file", "line_no"], "left")
     sec = F.unix_timestamp(F.col("ts").cast("timestamp")).cast("bigint")
-    return known.select(F.xxhash64("file", "line_no").alias("event_id"), "server", "file", "line_no", "store_id", F.coalesce("fed_group", F.lit("Unknown")).alias("fed_group"), "machine", "ts", F.coalesce("category", "severity", "kind").alias("category"), "severity", "subtype", "kind", F.col("start_delay").alias("delay"), "ip", "port", "message", sec.alias("sec"))
+    return known.select(
+        F.xxhash64("file", "line_no").alias("event_id"),
+        "server",
+        "file",
+        "line_no",
+        "store_id",
+        F.coalesce("fed_group", F.lit("Unknown")).alias("fed_group"),
+        "machine",
+        "ts",
+        F.coalesce("category", "severity", "kind").alias("category"),
+        "severity",
+        "subtype",
+        "kind",
+        F.col("start_delay").alias("delay"),
+        "ip",
+        "port",
+        "message",
+        sec.alias("sec"),
+    )
 
 
 def incidents_from_health(health: DataFrame, zone: str = "UTC", event: str = "Connection failed") -> DataFrame:
@@ -52,8 +70,17 @@ def incidents_from_health(health: DataFrame, zone: str = "UTC", event: str = "Co
 
 def store_table(incidents: DataFrame) -> DataFrame:
     """Per server and store: incidents, disconnects and outage lengths in seconds."""
-    d = outages.pairs(incidents.where("store_id is not null"), ["server", "store_id"]).groupBy("server", "store_id").agg(F.count(F.lit(1)).alias("outages"), F.max("duration").alias("longest_s"), F.avg("duration").alias("mean_s"), F.percentile_approx("duration", 0.5).alias("median_s"))
-    per = incidents.where("store_id is not null").groupBy("server", "store_id").agg(F.max("fed_group").alias("fed_group"), F.count(F.lit(1)).alias("incidents"), F.count_if(F.col("kind") == "disconnect").alias("disconnects"))
+    d = outages.pairs(incidents.where("store_id is not null"), ["server", "store_id"]).groupBy("server", "store_id").agg(
+        F.count(F.lit(1)).alias("outages"),
+        F.max("duration").alias("longest_s"),
+        F.avg("duration").alias("mean_s"),
+        F.percentile_approx("duration", 0.5).alias("median_s"),
+    )
+    per = incidents.where("store_id is not null").groupBy("server", "store_id").agg(
+        F.max("fed_group").alias("fed_group"),
+        F.count(F.lit(1)).alias("incidents"),
+        F.count_if(F.col("kind") == "disconnect").alias("disconnects"),
+    )
     return per.join(d, ["server", "store_id"], "left")
 
 

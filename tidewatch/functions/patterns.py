@@ -69,4 +69,10 @@ FLAGS = {
 # Phrases of lost and regained connections, in lower case; the broad rules' and the narrow ones'.
 NULL_SYNC = "Initial sync context is null"
 LOST_BROAD, BACK_BROAD = ("logged off", "disconnect", "offline"), ("reconnect", "logon", "online", "connected", "sync complete", "primary sync")
-LOST, BACK = ("logged off", "disconnect", "offline", "connection failed", "connection attempt failed"), ("logon", "sync complete", "connected successfully", "scheduling reconnection")
+LOST, BACK = (
+    "logged off",
+    "disconnect",
+    "offline",
+    "connection failed",
+    "connection attempt failed",
+), ("logon", "sync complete", "connected successfully", "scheduling reconnection")

@@ -62,7 +62,13 @@ def read_files(files: DataFrame, file_id: str, content: str) -> DataFrame:
     the records and the parts of the checksum of its rows (file_id, seq, record). row tells redelivered rows apart."""
     one = files.select(F.col(file_id).alias("file_id"), records_of(F.col(content)).alias("records")).where("file_id is not null and size(records) > 0")
     digest = F.sha2(F.concat_ws("\n", "records"), 256)
-    return one.select("*", digest.alias("digest"), _sums("file_id", "records").alias("s")).select("file_id", "records", "digest", "s.*", F.monotonically_increasing_id().alias("row"))
+    return one.select("*", digest.alias("digest"), _sums("file_id", "records").alias("s")).select(
+        "file_id",
+        "records",
+        "digest",
+        "s.*",
+        F.monotonically_increasing_id().alias("row"),
+    )
 
 
 def file_classes(read: DataFrame) -> DataFrame:
@@ -135,7 +141,10 @@ def copy_pairs(members: DataFrame, pairs_up_to: int = PAIRS_UP_TO) -> DataFrame:
     sizes = members.groupBy("kept_file_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     sized = members.where("file_id is not null").join(sizes, "kept_file_id")
     small, large = sized.where(F.col("n") <= pairs_up_to), sized.where((F.col("n") > pairs_up_to) & (F.col("file_id") != F.col("kept_file_id")))
-    pairs = small.select("kept_file_id", F.col("file_id").alias("file_a")).join(small.select("kept_file_id", F.col("file_id").alias("file_b")), "kept_file_id").where("file_a < file_b")
+    pairs = small.select("kept_file_id", F.col("file_id").alias("file_a")).join(
+        small.select("kept_file_id", F.col("file_id").alias("file_b")),
+        "kept_file_id",
+    ).where("file_a < file_b")
     return pairs.select("file_a", "file_b").unionByName(large.select(F.col("kept_file_id").alias("file_a"), F.col("file_id").alias("file_b")))
 
 

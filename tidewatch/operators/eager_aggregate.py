@@ -78,6 +78,9 @@ def hot_keys(states: DataFrame, key: str, sides: dict[str, str], share: float) -
     sides names for each field the column of states with the key's rows. The totals are one row a field, a proven bound,
     and hence broadcast.
     """
-    long = states.select(F.col(key).alias("hot_key"), F.explode(F.create_map(*[x for field, c in sides.items() for x in (F.lit(field), F.col(c))])).alias("field", "n")).where("n > 0")
+    long = states.select(
+        F.col(key).alias("hot_key"),
+        F.explode(F.create_map(*[x for field, c in sides.items() for x in (F.lit(field), F.col(c))])).alias("field", "n"),
+    ).where("n > 0")
     totals = long.groupBy("field").agg(F.sum("n").alias("total"))
     return long.join(F.broadcast(totals), "field").where(F.col("n") >= F.col("total") * F.lit(share)).select("field", "hot_key")

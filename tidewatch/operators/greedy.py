@@ -171,4 +171,9 @@ def cascades(df: DataFrame, at: str, width: int, least: int, server_wide: int =
 
 def propagation(found: DataFrame) -> DataFrame:
     """One row: cascades, their mean and greatest number of stores, and how many were server-wide."""
-    return found.agg(F.count(F.lit(1)).alias("cascades"), F.round(F.avg("stores"), 6).alias("avg_stores"), F.max("stores").alias("max_stores"), F.count_if("is_server_wide").alias("server_wide"))
+    return found.agg(
+        F.count(F.lit(1)).alias("cascades"),
+        F.round(F.avg("stores"), 6).alias("avg_stores"),
+        F.max("stores").alias("max_stores"),
+        F.count_if("is_server_wide").alias("server_wide"),
+    )

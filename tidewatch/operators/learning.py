@@ -55,7 +55,11 @@ def health_profiles(df: DataFrame, features: Sequence[str], cluster: str = "clus
             out = F.when(F.col(f"mean_{name}") > over, text).otherwise(out)
         return out
 
-    per = df.groupBy(cluster).agg(F.count(F.lit(1)).alias("stores"), F.sum("failures").alias("failures"), *[F.round(F.avg(c), 6).alias(f"mean_{c}") for c in features])
+    per = df.groupBy(cluster).agg(
+        F.count(F.lit(1)).alias("stores"),
+        F.sum("failures").alias("failures"),
+        *[F.round(F.avg(c), 6).alias(f"mean_{c}") for c in features],
+    )
     return per.withColumn("description", F.when(F.col("mean_failures") > 100, described(MANY)).otherwise(described(FEW)))
 
 
@@ -95,7 +99,12 @@ def risk(df: DataFrame, key: str, features: Sequence[str], label: str) -> DataFr
     data = VectorAssembler(inputCols=list(features), outputCol="_v").transform(index.transform(weighted))
     out = _forest(data).transform(data)
     names = F.array(*[F.lit(x) for x in index.labels])
-    return out.select(key, label, F.get(names, F.col("prediction").cast("int")).alias("predicted"), F.round(1 - F.array_max(vector_to_array("probability")), 6).alias("risk"))
+    return out.select(
+        key,
+        label,
+        F.get(names, F.col("prediction").cast("int")).alias("predicted"),
+        F.round(1 - F.array_max(vector_to_array("probability")), 6).alias("risk"),
+    )
 
 
 def fold_of(key: str, folds: int) -> Column:
@@ -107,7 +116,14 @@ def risk_validation(df: DataFrame, key: str, features: Sequence[str], label: str
     """(fold, rows, accuracy, balanced_accuracy) of the forest of `risk`, each fold predicted by a forest of the others;
     balanced accuracy is the mean over the labels of the share that is predicted right."""
     data = VectorAssembler(inputCols=list(features), outputCol="_v").transform(_balanced(df, label))
-    data = written(StringIndexer(inputCol=label, outputCol="_y", stringOrderType="alphabetAsc").fit(data).transform(data).select("_v", "_y", "_w", fold_of(key, folds).alias("fold")), "folds")
+    data = written(
+        StringIndexer(
+            inputCol=label,
+            outputCol="_y",
+            stringOrderType="alphabetAsc",
+        ).fit(data).transform(data).select("_v", "_y", "_w", fold_of(key, folds).alias("fold")),
+        "folds",
+    )
     out = None
     for k in range(folds):
         part = _forest(data.where(F.col("fold") != k)).transform(data.where(F.col("fold") == k)).select("fold", "_y", "prediction")
@@ -120,7 +136,12 @@ def risk_validation(df: DataFrame, key: str, features: Sequence[str], label: str
 
 def text_features(df: DataFrame, text: str, terms: int = 1_000, least: int = 2, most: float = 0.95) -> tuple[DataFrame, list[str]]:
     """df with tfidf (1- to 3-grams without stop words, normalised), and the terms in their order."""
-    stages = [RegexTokenizer(inputCol=text, outputCol="_t", pattern=r"[^\p{L}\p{N}_]+"), StopWordsRemover(inputCol="_t", outputCol="_1"), NGram(n=2, inputCol="_1", outputCol="_2"), NGram(n=3, inputCol="_1", outputCol="_3")]
+    stages = [
+        RegexTokenizer(inputCol=text, outputCol="_t", pattern=r"[^\p{L}\p{N}_]+"),
+        StopWordsRemover(inputCol="_t", outputCol="_1"),
+        NGram(n=2, inputCol="_1", outputCol="_2"),
+        NGram(n=3, inputCol="_1", outputCol="_3"),
+    ]
     grams = Pipeline(stages=stages).fit(df).transform(df).withColumn("_g", F.concat("_1", "_2", "_3"))
     count = CountVectorizer(inputCol="_g", outputCol="_c", vocabSize=terms, minDF=least, maxDF=most).fit(grams)
     counted = count.transform(grams)
@@ -185,7 +206,10 @@ def perceptron(df: DataFrame, key: str, vector: str, label: str, size: int, seed
 
 def perceptron_validation(df: DataFrame, key: str, vector: str, label: str, size: int, folds: int = 3, seed: int = SEED) -> DataFrame:
     """(fold, rows, accuracy): each fold predicted by a perceptron of the others."""
-    data = written(StringIndexer(inputCol=label, outputCol="_y", stringOrderType="alphabetAsc").fit(df).transform(df).select(vector, "_y", fold_of(key, folds).alias("fold")), "folds")
+    data = written(
+        StringIndexer(inputCol=label, outputCol="_y", stringOrderType="alphabetAsc").fit(df).transform(df).select(vector, "_y", fold_of(key, folds).alias("fold")),
+        "folds",
+    )
     labels = int(data.agg(F.max("_y")).first()[0]) + 1
     out = None
     for k in range(folds):
@@ -231,7 +255,11 @@ def granger(a: DataFrame, b: DataFrame, lags: int = 5, over: float = 0.05) -> Da
     """(r2_own, r2_both, causes): whether b's past explains a (both idx, x) beyond a's own past, by more than `over` of R²."""
     order = Window.partitionBy().orderBy("idx")
     t = a.join(b.select("idx", F.col("x").alias("y")), "idx")
-    t = t.select("x", *[F.lag("x", k).over(order).alias(f"x{k}") for k in range(1, lags + 1)], *[F.lag("y", k).over(order).alias(f"y{k}") for k in range(1, lags + 1)]).dropna()
+    t = t.select(
+        "x",
+        *[F.lag("x", k).over(order).alias(f"x{k}") for k in range(1, lags + 1)],
+        *[F.lag("y", k).over(order).alias(f"y{k}") for k in range(1, lags + 1)],
+    ).dropna()
 
     def r2(cols: list[str]) -> float:
         return LinearRegression(featuresCol="_v", labelCol="x").fit(VectorAssembler(inputCols=cols, outputCol="_v").transform(t)).summary.r2
@@ -245,10 +273,19 @@ def scores(df: DataFrame, truth: str, predicted: str) -> DataFrame:
     """(label, precision, recall, f1, support) of text labels; 0 where a denominator is 0."""
     ratio = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))
     pairs = df.groupBy(truth, predicted).agg(F.count(F.lit(1)).alias("n"))
-    t = pairs.groupBy(F.col(truth).alias("label")).agg(F.sum("n").alias("support"), F.sum(F.when(F.col(truth) == F.col(predicted), F.col("n")).otherwise(0)).alias("hit"))
+    t = pairs.groupBy(F.col(truth).alias("label")).agg(
+        F.sum("n").alias("support"),
+        F.sum(F.when(F.col(truth) == F.col(predicted), F.col("n")).otherwise(0)).alias("hit"),
+    )
     p = pairs.groupBy(F.col(predicted).alias("label")).agg(F.sum("n").alias("said"))
     m = t.join(p, "label", "left").withColumn("precision", ratio(F.col("hit"), F.col("said"))).withColumn("recall", ratio(F.col("hit"), F.col("support")))
-    return m.select("label", F.round("precision", 6).alias("precision"), F.round("recall", 6).alias("recall"), F.round(ratio(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")), 6).alias("f1"), "support")
+    return m.select(
+        "label",
+        F.round("precision", 6).alias("precision"),
+        F.round("recall", 6).alias("recall"),
+        F.round(ratio(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")), 6).alias("f1"),
+        "support",
+    )
 
 
 def weighted_scores(per_label: DataFrame) -> DataFrame:
@@ -272,5 +309,11 @@ def anomaly_scores(found: DataFrame, truth: DataFrame, key: str) -> DataFrame:
     ratio = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))
     one = one.withColumn("precision", ratio(F.col("hit"), F.col("anomalies"))).withColumn("recall", ratio(F.col("hit"), F.col("true")))
     f1 = ratio(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall"))
-    rounded = {"ratio": ratio(F.col("anomalies"), F.col("n")), "avg_confidence": F.coalesce("confidence", F.lit(0.0)), "precision": F.col("precision"), "recall": F.col("recall"), "f1": f1}
+    rounded = {
+        "ratio": ratio(F.col("anomalies"), F.col("n")),
+        "avg_confidence": F.coalesce("confidence", F.lit(0.0)),
+        "precision": F.col("precision"),
+        "recall": F.col("recall"),
+        "f1": f1,
+    }
     return one.select("anomalies", *[F.round(v, 6).alias(k) for k, v in rounded.items()])

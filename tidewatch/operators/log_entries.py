@@ -47,7 +47,24 @@ _EPOCH = r"(?:(?<=\"time\": |\"ts\": |\"timestamp\": )|^)\d{10}(?:\d{3}){0,2}(?!
 #: What a line begins with if an instant opens it, with only a priority or its key before it.
 _OPENS = r'^(?:<\d{1,3}> ?[A-Z][a-z]{2} |(?:<\d{1,3}> ?)?[\[({"]*(?:[A-Za-z_]+(?:=|": ?)"?)?\d)'
 # Names of levels, from least to gravest.
-LEVELS = {"trace": 0, "debug": 1, "info": 2, "information": 2, "notice": 2, "warn": 3, "warning": 3, "err": 4, "error": 4, "severe": 4, "crit": 5, "critical": 5, "fatal": 5, "alert": 5, "emerg": 5, "panic": 5}
+LEVELS = {
+    "trace": 0,
+    "debug": 1,
+    "info": 2,
+    "information": 2,
+    "notice": 2,
+    "warn": 3,
+    "warning": 3,
+    "err": 4,
+    "error": 4,
+    "severe": 4,
+    "crit": 5,
+    "critical": 5,
+    "fatal": 5,
+    "alert": 5,
+    "emerg": 5,
+    "panic": 5,
+}
 LETTERS = {"T": 0, "D": 1, "I": 2, "N": 2, "W": 3, "E": 4, "C": 5, "F": 5}
 NAMES = ("trace", "debug", "info", "warning", "error", "fatal")
 PRIORITIES = (5, 5, 5, 4, 3, 2, 2, 1)  # of a syslog priority's remainder by 8
@@ -234,7 +251,11 @@ def _assigned(lines: DataFrame) -> DataFrame:
     block = Window.partitionBy("file", "block").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
     earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     names = ("_c", "_d", "_z")
-    carried = marked.groupBy("file", "block").agg(*[F.max(x).alias(x) for x in names]).select("file", "block", *[F.max(x).over(earlier).alias(f"{x}b") for x in names])
+    carried = marked.groupBy("file", "block").agg(*[F.max(x).alias(x) for x in names]).select(
+        "file",
+        "block",
+        *[F.max(x).over(earlier).alias(f"{x}b") for x in names],
+    )
     running = marked.select(*[x for x in marked.columns if x not in names], *[F.max(x).over(block).alias(x) for x in names]).join(carried, ["file", "block"])
     owner = F.coalesce("_c.line_no", "_cb.line_no")
     return running.select("*", owner.alias("_o"), F.coalesce("_d.said", "_db.said").alias("log_day"), F.coalesce("_z.said", "_zb.said").alias("log_zone"))
@@ -295,8 +316,31 @@ def _typed(one: DataFrame) -> DataFrame:
     named = F.regexp_extract("file", r"(\d{4}-\d{2}-\d{2})", 1)
     day = F.coalesce(F.nullif("log_day", F.lit("")), F.nullif(named, F.lit("")))
     syslog = r"^([A-Z][a-z]{2}) +(\d{1,2}) (\d{2}:\d{2}:\d{2})$"
-    full = F.when(plain.rlike(r"^\d{2}:\d{2}:\d{2}"), F.concat_ws(" ", day, plain)).when(plain.rlike(syslog), F.concat(F.regexp_extract(plain, syslog, 2), F.lit("-"), F.regexp_extract(plain, syslog, 1), F.lit("-"), F.left(day, F.lit(4)), F.lit(" "), F.regexp_extract(plain, syslog, 3))).otherwise(plain)
+    full = F.when(plain.rlike(r"^\d{2}:\d{2}:\d{2}"), F.concat_ws(" ", day, plain)).when(
+        plain.rlike(syslog),
+        F.concat(
+            F.regexp_extract(plain, syslog, 2),
+            F.lit("-"),
+            F.regexp_extract(plain, syslog, 1),
+            F.lit("-"),
+            F.left(day, F.lit(4)),
+            F.lit(" "),
+            F.regexp_extract(plain, syslog, 3),
+        ),
+    ).otherwise(plain)
     timed = with_instant(one.withColumn("time_text", full), "time_text", "log_zone", "instant_us")
     component = F.regexp_replace(F.regexp_replace(F.regexp_replace("component_token", r'^[{\["]*(?:[A-Za-z_]+=)?"?', ""), r'[\]}",:]+$', ""), r"\[\d+\]?$", "")
     message = F.regexp_replace(F.regexp_replace(F.regexp_replace("message", _GLUE + "+", " "), r'^(?:msg|message)=', ""), r'^"(.*?)"?\}?$', "$1")
-    return timed.select("server", "file", "first_line", "last_line", "time_text", "instant_us", _level(F.col("level_token")).alias("level"), component.alias("component"), message.alias("message"), "store_id", "error_category")
+    return timed.select(
+        "server",
+        "file",
+        "first_line",
+        "last_line",
+        "time_text",
+        "instant_us",
+        _level(F.col("level_token")).alias("level"),
+        component.alias("component"),
+        message.alias("message"),
+        "store_id",
+        "error_category",
+    )

@@ -25,7 +25,10 @@ def pairs(rows: DataFrame, keys: Sequence[str] = ("store_id",), at: str = "sec",
 
 
 def duration_text(seconds: Column) -> Column:
-    return F.when(seconds < 60, F.format_string("%.1fs", seconds)).when(seconds < 3600, F.format_string("%.1fm", seconds / 60)).otherwise(F.format_string("%.1fh", seconds / 3600))
+    return F.when(seconds < 60, F.format_string("%.1fs", seconds)).when(
+        seconds < 3600,
+        F.format_string("%.1fm", seconds / 60),
+    ).otherwise(F.format_string("%.1fh", seconds / 3600))
 
 
 def bucket(seconds: Column) -> Column:

@@ -48,7 +48,10 @@ def spread_scores(df: DataFrame, key: str, features: Sequence[str]) -> DataFrame
         total = total + F.when((x < lo - 1.5 * (hi - lo)) | (x > hi + 1.5 * (hi - lo)), 0.3 / n).otherwise(0.0)
         total = total + F.when((m > 0) & (F.abs(0.6745 * (x - mid)) > 3.5 * m), 0.3 / n).otherwise(0.0)
     t = t.select(key, total.alias("_s"))
-    return zscores(df, key, features).join(t, key).select(key, F.round(F.col("_s") + F.when(F.coalesce("max_z", F.lit(0.0)) > 3, 0.4).otherwise(0.0), 6).alias("score"))
+    return zscores(df, key, features).join(t, key).select(
+        key,
+        F.round(F.col("_s") + F.when(F.coalesce("max_z", F.lit(0.0)) > 3, 0.4).otherwise(0.0), 6).alias("score"),
+    )
 
 
 def min_max(df: DataFrame, key: str, column: str) -> DataFrame:

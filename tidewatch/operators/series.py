@@ -31,7 +31,10 @@ def moving_average(s: DataFrame, size: int = PERIOD) -> DataFrame:
     half = size // 2
     order = Window.partitionBy().orderBy("idx")
     around = order.rowsBetween(-half, size - half - 1)
-    whole = s.withColumn("_n", F.count(F.lit(1)).over(_every())).withColumn("_a", F.first("x").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).withColumn("_z", F.last("x").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    whole = s.withColumn("_n", F.count(F.lit(1)).over(_every())).withColumn(
+        "_a",
+        F.first("x").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)),
+    ).withColumn("_z", F.last("x").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
     left = F.greatest(F.lit(half) - F.col("idx"), F.lit(0))
     right = F.greatest(F.col("idx") + (size - half - 1) - (F.col("_n") - 1), F.lit(0))
     trend = (F.sum("x").over(around) + left * F.col("_a") + right * F.col("_z")) / size
@@ -54,14 +57,25 @@ def forecast(s: DataFrame, horizon: int = 24, period: int = PERIOD) -> DataFrame
     A series of less than two periods gives its mean, half of it and one and a half. An empty one gives nothing.
     """
     d = decompose(s, period)
-    facts = d.agg(F.count(F.lit(1)).alias("n"), F.avg("x").alias("mean"), F.min_by("trend", "idx").alias("first"), F.max_by("trend", "idx").alias("last"), F.stddev_pop("residual").alias("sd")).where("n > 0")
+    facts = d.agg(
+        F.count(F.lit(1)).alias("n"),
+        F.avg("x").alias("mean"),
+        F.min_by("trend", "idx").alias("first"),
+        F.max_by("trend", "idx").alias("last"),
+        F.stddev_pop("residual").alias("sd"),
+    ).where("n > 0")
     season = d.groupBy((F.col("idx") % period).alias("at")).agg(F.first("seasonal").alias("seasonal"))
     steps = facts.select("*", F.explode(F.sequence(F.lit(1), F.lit(horizon))).alias("h")).withColumn("at", (F.col("n") + F.col("h") - 1) % period)
     f = steps.join(F.broadcast(season), "at", "left")  # a period's rows
     short = F.col("n") < 2 * period
     value = F.greatest(F.lit(0.0), F.col("last") + (F.col("last") - F.col("first")) / F.col("n") * F.col("h") + F.coalesce("seasonal", F.lit(0.0)))
     wide = F.lit(Z95) * F.col("sd") * F.sqrt("h")
-    return f.select(F.col("h").cast("bigint").alias("h"), F.when(short, F.col("mean")).otherwise(value).alias("value"), F.when(short, F.col("mean") * 0.5).otherwise(F.greatest(F.lit(0.0), value - wide)).alias("low"), F.when(short, F.col("mean") * 1.5).otherwise(value + wide).alias("high"))
+    return f.select(
+        F.col("h").cast("bigint").alias("h"),
+        F.when(short, F.col("mean")).otherwise(value).alias("value"),
+        F.when(short, F.col("mean") * 0.5).otherwise(F.greatest(F.lit(0.0), value - wide)).alias("low"),
+        F.when(short, F.col("mean") * 1.5).otherwise(value + wide).alias("high"),
+    )
 
 
 def cusum(s: DataFrame, drift: float = 0.5) -> DataFrame:
@@ -71,7 +85,10 @@ def cusum(s: DataFrame, drift: float = 0.5) -> DataFrame:
     upto = Window.partitionBy().orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
     t = s.withColumn("_z", z)
     # the first hour has no step before it
-    t = t.withColumn("_u", F.sum(F.when(F.col("idx") == 0, 0.0).otherwise(F.col("_z") - drift)).over(upto)).withColumn("_d", F.sum(F.when(F.col("idx") == 0, 0.0).otherwise(-F.col("_z") - drift)).over(upto))
+    t = t.withColumn("_u", F.sum(F.when(F.col("idx") == 0, 0.0).otherwise(F.col("_z") - drift)).over(upto)).withColumn(
+        "_d",
+        F.sum(F.when(F.col("idx") == 0, 0.0).otherwise(-F.col("_z") - drift)).over(upto),
+    )
     least = lambda c: F.least(F.min(c).over(upto), F.lit(0.0))
     return t.withColumn("up", F.col("_u") - least("_u")).withColumn("down", F.col("_d") - least("_d")).drop("_z", "_u", "_d")
 
@@ -79,7 +96,11 @@ def cusum(s: DataFrame, drift: float = 0.5) -> DataFrame:
 def change_points(s: DataFrame, threshold: float = 2.0, apart: int = 3, least: int = 10) -> DataFrame:
     """(idx) where a CUSUM exceeds the threshold, more than `apart` after the last one kept; none in a series shorter than least."""
     c = cusum(s).withColumn("_n", F.count(F.lit(1)).over(_every())).where((F.col("_n") >= least) & ((F.col("up") > threshold) | (F.col("down") > threshold)))
-    kept = F.aggregate(F.sort_array(F.collect_list("idx")), F.array().cast("array<bigint>"), lambda a, i: F.when((F.size(a) == 0) | (i - F.element_at(a, -1) > apart), F.concat(a, F.array(i))).otherwise(a))
+    kept = F.aggregate(
+        F.sort_array(F.collect_list("idx")),
+        F.array().cast("array<bigint>"),
+        lambda a, i: F.when((F.size(a) == 0) | (i - F.element_at(a, -1) > apart), F.concat(a, F.array(i))).otherwise(a),
+    )
     return c.agg(kept.alias("k")).select(F.explode("k").alias("idx"))
 
 
@@ -88,7 +109,10 @@ def half_trend(s: DataFrame) -> DataFrame:
     half = F.floor(F.count(F.lit(1)).over(_every()) / 2)
     t = s.withColumn("_first", F.col("idx") < half)
     out = t.agg(F.avg(F.when(F.col("_first"), F.col("x"))).alias("first"), F.avg(F.when(~F.col("_first"), F.col("x"))).alias("second"))
-    return out.withColumn("trend", F.when(F.col("second") > F.col("first") * 1.2, "increasing").when(F.col("second") < F.col("first") * 0.8, "decreasing").otherwise("stable"))
+    return out.withColumn(
+        "trend",
+        F.when(F.col("second") > F.col("first") * 1.2, "increasing").when(F.col("second") < F.col("first") * 0.8, "decreasing").otherwise("stable"),
+    )
 
 
 def trend_by(rows: DataFrame, keys: list[str], hour: Column) -> DataFrame:
@@ -101,13 +125,22 @@ def trend_by(rows: DataFrame, keys: list[str], hour: Column) -> DataFrame:
     placed = counts.select(*keys, "x", (F.row_number().over(order.orderBy("hour")) - 1).alias("_i"), F.floor(F.count(F.lit(1)).over(order) / 2).alias("_half"))
     first, second = (F.avg(F.when(c, F.col("x"))) for c in (F.col("_i") < F.col("_half"), F.col("_i") >= F.col("_half")))
     both = placed.groupBy(*keys).agg(first.alias("_a"), second.alias("_b"))
-    return both.select(*keys, F.when(F.col("_b") > F.col("_a") * 1.2, "increasing").when(F.col("_b") < F.col("_a") * 0.8, "decreasing").otherwise("stable").alias("trend"))
+    return both.select(
+        *keys,
+        F.when(F.col("_b") > F.col("_a") * 1.2, "increasing").when(F.col("_b") < F.col("_a") * 0.8, "decreasing").otherwise("stable").alias("trend"),
+    )
 
 
 def autocorrelation(s: DataFrame, most: int = 48) -> DataFrame:
     """(lag, r) for lags 1 to most, at most half the series less one; none for a constant series."""
     t = s.withColumn("_n", F.count(F.lit(1)).over(_every())).withColumn("_v", F.var_pop("x").over(_every())).withColumn("_c", F.col("x") - F.avg("x").over(_every()))
-    a = t.select("_c", "_n", "_v", F.explode(F.sequence(F.lit(1), F.lit(most))).alias("lag"), (F.col("idx") + F.col("lag")).alias("idx")).where("lag <= _n div 2 - 1 and _v > 0")
+    a = t.select(
+        "_c",
+        "_n",
+        "_v",
+        F.explode(F.sequence(F.lit(1), F.lit(most))).alias("lag"),
+        (F.col("idx") + F.col("lag")).alias("idx"),
+    ).where("lag <= _n div 2 - 1 and _v > 0")
     b = t.select("idx", F.col("_c").alias("_d"))
     return a.join(b, "idx").groupBy("lag").agg((F.sum(F.col("_c") * F.col("_d")) / F.max(F.col("_n") * F.col("_v"))).alias("r"))
 
@@ -116,7 +149,10 @@ def periodicity(s: DataFrame, least: float = 0.3, usual: int = PERIOD) -> DataFr
     """(lag, r) of the first lag that exceeds both neighbours and least, else of the usual one if it exceeds least; or no row."""
     order = Window.partitionBy().orderBy("lag")
     a = autocorrelation(s).withColumn("_b", F.lag("r").over(order)).withColumn("_a", F.lead("r").over(order))
-    peak = F.when((F.col("r") > F.col("_b")) & (F.col("r") > F.col("_a")) & (F.col("r") >= least), F.col("lag")).when((F.col("lag") == usual) & (F.col("r") > least), F.col("lag") + 1000)
+    peak = F.when(
+        (F.col("r") > F.col("_b")) & (F.col("r") > F.col("_a")) & (F.col("r") >= least),
+        F.col("lag"),
+    ).when((F.col("lag") == usual) & (F.col("r") > least), F.col("lag") + 1000)
     return a.withColumn("_k", peak).where("_k is not null").orderBy("_k").limit(1).select("lag", "r")
 
 
@@ -145,7 +181,10 @@ def analog_forecast(s: DataFrame, horizon: int = 24, width: int = 24) -> DataFra
     c = c.withColumn("w", F.col("w") / (F.sum("w").over(_every()) + 1e-10)).where("w > 0.01")
     after = c.select("w", F.explode(F.sequence(F.lit(0), F.lit(horizon - 1))).alias("h"), (F.col("idx") + width + F.col("h")).alias("idx"))
     got = after.join(s.select("idx", "x"), "idx").groupBy("h").agg(F.sum(F.col("w") * F.col("x")).alias("value"))
-    return n.select(F.explode(F.sequence(F.lit(0), F.lit(horizon - 1))).alias("h")).join(got, "h", "left").select(F.col("h").cast("bigint").alias("h"), F.coalesce("value", F.lit(0.0)).alias("value"))
+    return n.select(F.explode(F.sequence(F.lit(0), F.lit(horizon - 1))).alias("h")).join(got, "h", "left").select(
+        F.col("h").cast("bigint").alias("h"),
+        F.coalesce("value", F.lit(0.0)).alias("value"),
+    )
 
 
 def outliers(s: DataFrame, z: float = 2.5, k: float = 1.5) -> DataFrame:

@@ -17,7 +17,11 @@ def carry_forward(df: DataFrame, file: str, order: str, columns: Sequence[str],
     last values, of which there is one a block.
     """
     kept = [c for c in df.columns if c not in columns]
-    seen = df.select(*kept, F.expr(f"`{order}` div {block}").alias("_b"), *[F.when(F.col(c).isNotNull(), F.struct(F.col(order).alias("o"), F.col(c).alias("v"))).alias(c) for c in columns])
+    seen = df.select(
+        *kept,
+        F.expr(f"`{order}` div {block}").alias("_b"),
+        *[F.when(F.col(c).isNotNull(), F.struct(F.col(order).alias("o"), F.col(c).alias("v"))).alias(c) for c in columns],
+    )
     within = Window.partitionBy(file, "_b").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     earlier = Window.partitionBy(file).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     before = seen.groupBy(file, "_b").agg(*[F.max(c).alias(c) for c in columns]).select(file, "_b", *[F.max(c).over(earlier).alias(f"_{c}") for c in columns])

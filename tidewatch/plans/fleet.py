@@ -31,7 +31,12 @@ def failure_probability(spark, folder):
     """Of stores with three incidents or more: errors, spread of the hours, kinds, bursts and trend, as a probability."""
     rows = incidents(spark, folder)
     counted = rollups.bursts(spark, folder).groupBy("store_id").agg(F.count(F.lit(1)).alias("burst_count"))
-    f = features.store_features8(rows).select("store_id", F.col("total").alias("recent_errors"), F.col("variance").alias("error_variance"), F.col("categories").alias("error_types"))
+    f = features.store_features8(rows).select(
+        "store_id",
+        F.col("total").alias("recent_errors"),
+        F.col("variance").alias("error_variance"),
+        F.col("categories").alias("error_types"),
+    )
     f = f.join(series.trend_by(rows, ["store_id"], hour_of()), "store_id").join(counted, "store_id", "left")
     return scoring.failure_probability(f).select("store_id", F.round("probability", 6).alias("probability"))
 
@@ -40,7 +45,12 @@ def high_risk_stores(spark, folder):
     """The 15 riskiest of stores with ten incidents or more: quick reconnects as bursts, rising if the last hour is above the mean."""
     rows = incidents(spark, folder)
     hours = rows.groupBy("store_id", hour_of().alias("hour")).agg(F.count(F.lit(1)).alias("x"))
-    spread = hours.groupBy("store_id").agg(F.count(F.lit(1)).alias("hours"), F.var_pop("x").alias("error_variance"), F.avg("x").alias("mean"), F.max_by("x", "hour").alias("last"))
+    spread = hours.groupBy("store_id").agg(
+        F.count(F.lit(1)).alias("hours"),
+        F.var_pop("x").alias("error_variance"),
+        F.avg("x").alias("mean"),
+        F.max_by("x", "hour").alias("last"),
+    )
     per = rows.groupBy("store_id").agg(
         F.count(F.lit(1)).alias("recent_errors"), F.countDistinct("category").alias("error_types"), F.count_if(F.col("delay") < SHORT_DELAY_S).alias("burst_count")
     )
@@ -199,7 +209,9 @@ def _raw(spark, folder) -> DataFrame:
 
 def error_types_by_variant(spark, folder):
     t = F.col("text")
-    rows = _raw(spark, folder).select(F.explode(F.array(*[F.struct(F.lit(v).alias("variant"), parse.error_type(t, v).alias("error_type")) for v in ("v2", "v3")])).alias("x"))
+    rows = _raw(spark, folder).select(
+        F.explode(F.array(*[F.struct(F.lit(v).alias("variant"), parse.error_type(t, v).alias("error_type")) for v in ("v2", "v3")])).alias("x")
+    )
     return rows.select("x.*").where("error_type is not null").groupBy("variant", "error_type").agg(_n())
 
 
@@ -207,7 +219,11 @@ def error_families_by_variant(spark, folder):
     """Families of errors by the three sets of rules, each of the lines that its own rules call errors."""
     t = F.col("text")
     flags = parse.flags_v1(t)
-    is_error = {"v1": flags["error"] | flags["warning"] | flags["exception"] | flags["fatal"], "v2": parse.error_type(t, "v2").isNotNull(), "v3": parse.error_type(t).isNotNull()}
+    is_error = {
+        "v1": flags["error"] | flags["warning"] | flags["exception"] | flags["fatal"],
+        "v2": parse.error_type(t, "v2").isNotNull(),
+        "v3": parse.error_type(t).isNotNull(),
+    }
     found = F.array(*[F.struct(F.lit(v).alias("variant"), F.when(is_error[v], parse.error_family(t, v)).alias("family")) for v in is_error])
     return _raw(spark, folder).select(F.explode(found).alias("x")).select("x.*").where("family is not null").groupBy("variant", "family").agg(_n())
 

@@ -35,7 +35,20 @@ def _events(spark: SparkSession, folder: str) -> DataFrame:
 
 def parse_lines(spark, folder):
     text = F.date_format("ts", "yyyy-MM-dd HH:mm:ss")
-    return _parsed(spark, folder).select("file", "line_no", text.alias("ts"), "store_id", "ip", "port", "fed_group", "start_delay", "message", "category", "severity", "subtype")
+    return _parsed(spark, folder).select(
+        "file",
+        "line_no",
+        text.alias("ts"),
+        "store_id",
+        "ip",
+        "port",
+        "fed_group",
+        "start_delay",
+        "message",
+        "category",
+        "severity",
+        "subtype",
+    )
 
 
 def parse_invalid_ts(spark, folder):
@@ -80,18 +93,32 @@ def event_flags_v1(spark, folder):
 
 def conn_kind(spark, folder):
     t = F.col("text")
-    raw = parse.first_of_each(_raw(spark, folder), "file").select(parse.store(t).alias("store_id"), parse.connection_kind(t).alias("kind"), parse.connection_kind(t, broad=True).alias("broad_kind"))
-    return raw.where("store_id is not null").groupBy(F.coalesce("kind", F.lit("none")).alias("kind"), F.coalesce("broad_kind", F.lit("none")).alias("broad_kind")).agg(F.count("*").alias("n"))
+    raw = parse.first_of_each(_raw(spark, folder), "file").select(
+        parse.store(t).alias("store_id"),
+        parse.connection_kind(t).alias("kind"),
+        parse.connection_kind(t, broad=True).alias("broad_kind"),
+    )
+    return raw.where("store_id is not null").groupBy(
+        F.coalesce("kind", F.lit("none")).alias("kind"),
+        F.coalesce("broad_kind", F.lit("none")).alias("broad_kind"),
+    ).agg(F.count("*").alias("n"))
 
 
 def error_family(spark, folder):
     t = F.col("text")
-    raw = parse.first_of_each(_raw(spark, folder), "file").select(parse.error_type(t).alias("error_type"), F.coalesce(parse.error_family(t), F.lit("other")).alias("family"))
+    raw = parse.first_of_each(_raw(spark, folder), "file").select(
+        parse.error_type(t).alias("error_type"),
+        F.coalesce(parse.error_family(t), F.lit("other")).alias("family"),
+    )
     return raw.where("error_type is not null").groupBy("error_type", "family").agg(F.count("*").alias("n"))
 
 
 def dedup_lines_file(spark, folder):
-    return parse.first_of_each(_raw(spark, folder), "file").groupBy("file").agg(F.count("*").alias("n"), F.min("line_no").alias("first_line"), F.max("line_no").alias("last_line"))
+    return parse.first_of_each(_raw(spark, folder), "file").groupBy("file").agg(
+        F.count("*").alias("n"),
+        F.min("line_no").alias("first_line"),
+        F.max("line_no").alias("last_line"),
+    )
 
 
 def dedup_lines_global(spark, folder):
@@ -101,7 +128,15 @@ def dedup_lines_global(spark, folder):
 def _with_context(spark, folder):
     t = F.col("text")
     group, machine = F.nullif(F.regexp_extract(t, patterns.ROLE_GROUP, 1), F.lit("")), F.nullif(F.regexp_extract(t, patterns.MACHINE, 1), F.lit(""))
-    raw = _raw(spark, folder).select("file", "line_no", t, parse.store(t).alias("store_id"), group.alias("own"), group.alias("fed_group"), F.when(t.startswith("*"), machine).alias("machine"))
+    raw = _raw(spark, folder).select(
+        "file",
+        "line_no",
+        t,
+        parse.store(t).alias("store_id"),
+        group.alias("own"),
+        group.alias("fed_group"),
+        F.when(t.startswith("*"), machine).alias("machine"),
+    )
     return carry_forward(raw, "file", "line_no", ["fed_group", "machine"])
 
 

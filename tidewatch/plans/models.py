@@ -202,7 +202,11 @@ def eval_weighted(spark, folder):
 def eval_prf(spark, folder):
     """Precision and recall of the category against the severity's usual category, on all messages."""
     e = _events(spark, folder).where("category is not null and severity is not null").select("category", "severity")
-    usual = parse.dominant(e.groupBy("severity", "category").agg(F.count("*").alias("n")), ["severity"], "category").select("severity", F.col("category").alias("said"))
+    usual = parse.dominant(
+        e.groupBy("severity", "category").agg(F.count("*").alias("n")),
+        ["severity"],
+        "category",
+    ).select("severity", F.col("category").alias("said"))
     return learning.scores(e.join(usual, "severity"), "category", "said")
 
 
@@ -212,7 +216,15 @@ def dataset_profile(spark, folder):
 
 def analyzer_choice(spark, folder):
     """The reference sizes at which another way of analysing is chosen."""
-    cases = [(0.5, 100, 1.0, 8.0), (3.0, 600, 6.0, 32.0), (3.0, 600, 9.0, 1.0), (12.0, 900, 20.0, 64.0), (1.0, 20_000, 3.0, 64.0), (60.0, 10, 60.0, 64.0), (0.5, 100, 20.0, 4.0)]
+    cases = [
+        (0.5, 100, 1.0, 8.0),
+        (3.0, 600, 6.0, 32.0),
+        (3.0, 600, 9.0, 1.0),
+        (12.0, 900, 20.0, 64.0),
+        (1.0, 20_000, 3.0, 64.0),
+        (60.0, 10, 60.0, 64.0),
+        (0.5, 100, 20.0, 4.0),
+    ]
     rows = spark.createDataFrame(cases, "size_gb double, files int, unpacked_gb double, memory_gb double")
     return rows.withColumn("choice", analyzer_for(F.col("size_gb"), F.col("files"), F.col("unpacked_gb"), F.col("memory_gb")))
 
@@ -231,7 +243,9 @@ _BYH = f"bh AS (SELECT store_id, var_pop(n) AS variance, max(n) AS max_hourly, m
 _F8 = f"""{INC}, {_BYH.format(rows='inc')}, gp AS (SELECT store_id, avg(gap) AS g, min(gap) AS m, avg(CASE WHEN gap < 3600 THEN 1.0 WHEN gap IS NOT NULL THEN 0.0 END) AS b FROM (SELECT store_id, sec - lag(sec) OVER (PARTITION BY store_id ORDER BY sec, event_id) AS gap FROM inc) GROUP BY 1),
 f AS (SELECT store_id, CAST(t.total AS DOUBLE) AS total, round(variance, 6) AS variance, CAST(max_hourly AS DOUBLE) AS max_hourly, CAST(categories AS DOUBLE) AS categories, CAST(ips AS DOUBLE) AS ips, round(coalesce(g / 3600, 0.0), 6) AS mean_interval_h, CAST(coalesce(m, 0) AS DOUBLE) AS min_interval, round(coalesce(b, 0.0), 6) AS burst_score
 FROM (SELECT store_id, count(*) AS total, count(DISTINCT category) AS categories, count(DISTINCT ip) AS ips FROM inc GROUP BY 1 HAVING count(*) >= 3) t JOIN bh USING (store_id) JOIN gp USING (store_id))"""
-_LONG = f"{_F8}, l AS (" + " UNION ALL ".join(f"SELECT store_id, '{c}' AS c, {c} AS x FROM f" for c in features.EIGHT) + "), st AS (SELECT c, avg(x) AS m, stddev_pop(x) AS sd, quantile_cont(x, 0.25) AS lo, quantile_cont(x, 0.5) AS mid, quantile_cont(x, 0.75) AS hi FROM l GROUP BY 1)"
+_LONG = f"{_F8}, l AS (" + " UNION ALL ".join(
+    f"SELECT store_id, '{c}' AS c, {c} AS x FROM f" for c in features.EIGHT
+) + "), st AS (SELECT c, avg(x) AS m, stddev_pop(x) AS sd, quantile_cont(x, 0.25) AS lo, quantile_cont(x, 0.5) AS mid, quantile_cont(x, 0.75) AS hi FROM l GROUP BY 1)"
 _SCALED = f"{_LONG}, s AS (SELECT store_id, c, (x - m) / CASE WHEN sd = 0 THEN 1 ELSE sd END AS x FROM l JOIN st USING (c)), ds AS (SELECT a.store_id AS a, b.store_id AS b, round(sqrt(sum((a.x - b.x) * (a.x - b.x))), 6) AS d FROM s a JOIN s b USING (c) GROUP BY 1, 2)"
 
 SQL = {
@@ -264,6 +278,16 @@ SQL["eval_prf"] = f"""WITH {_MSG}, b AS (SELECT * FROM ms WHERE severity IS NOT
 j AS (SELECT category, said FROM b JOIN u USING (severity)), t AS (SELECT category AS label, count(*) AS support, count(*) FILTER (category = said) AS hit FROM j GROUP BY 1), pr AS (SELECT said AS label, count(*) AS said FROM j GROUP BY 1),
 m AS (SELECT label, support, coalesce(hit / nullif(said, 0), 0.0) AS precision, hit / support AS recall FROM t LEFT JOIN pr USING (label))
 SELECT label, round(precision, 6) AS precision, round(recall, 6) AS recall, round(coalesce(2 * precision * recall / nullif(precision + recall, 0), 0.0), 6) AS f1, support FROM m"""
-SQL["analyzer_choice"] = "SELECT * FROM (VALUES " + ", ".join(f"({a}::DOUBLE, {b}::INTEGER, {c}::DOUBLE, {d}::DOUBLE, '{e}')" for a, b, c, d, e in ((0.5, 100, 1.0, 8.0, "full"), (3.0, 600, 6.0, 32.0, "full"), (3.0, 600, 9.0, 1.0, "streaming"), (12.0, 900, 20.0, 64.0, "streaming"), (1.0, 20_000, 3.0, 64.0, "streaming"), (60.0, 10, 60.0, 64.0, "streaming"), (0.5, 100, 20.0, 4.0, "streaming"))) + ") v(size_gb, files, unpacked_gb, memory_gb, choice)"
+SQL["analyzer_choice"] = "SELECT * FROM (VALUES " + ", ".join(
+    f"({a}::DOUBLE, {b}::INTEGER, {c}::DOUBLE, {d}::DOUBLE, '{e}')" for a, b, c, d, e in (
+        (0.5, 100, 1.0, 8.0, "full"),
+        (3.0, 600, 6.0, 32.0, "full"),
+        (3.0, 600, 9.0, 1.0, "streaming"),
+        (12.0, 900, 20.0, 64.0, "streaming"),
+        (1.0, 20_000, 3.0, 64.0, "streaming"),
+        (60.0, 10, 60.0, 64.0, "streaming"),
+        (0.5, 100, 20.0, 4.0, "streaming"),
+    )
+) + ") v(size_gb, files, unpacked_gb, memory_gb, choice)"
 SQL["eval_weighted"] = f"""SELECT round(sum(precision * support) / sum(support), 5) AS precision, round(sum(recall * support) / sum(support), 5) AS recall, round(sum(f1 * support) / sum(support), 5) AS f1,
 CAST(sum(support) AS BIGINT) AS rows FROM ({SQL["eval_prf"]})"""

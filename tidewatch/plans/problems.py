@@ -22,7 +22,12 @@ def _disconnects_by_key(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _recommendations_by_key(spark: SparkSession, folder: str) -> DataFrame:
-    rows = table(spark, folder, "recommendations").select("rec_id", target_key(F.col("target")).alias("key"), "priority", F.round("confidence", 3).alias("confidence"))
+    rows = table(spark, folder, "recommendations").select(
+        "rec_id",
+        target_key(F.col("target")).alias("key"),
+        "priority",
+        F.round("confidence", 3).alias("confidence"),
+    )
     return once(rows, "rec_id", "key", "priority", "confidence")
 
 
@@ -65,8 +70,20 @@ def health_instants(spark: SparkSession, folder: str, rows: DataFrame | None = N
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     second = F.expr("(instant_us - pmod(instant_us, 1000000)) div 1000000").alias("second")
-    health = table(spark, folder, "health_events").where("health_event = 'Connection failed'").select("health_id", "server", store_key(F.col("source_entity")).alias("store"), "machine", "event_timestamp")
-    events = table(spark, folder, "conn_events").where("kind = 'disconnect'").select("event_id", "server", store_key(F.col("store_id")).alias("store"), "machine", "timestamp_raw")
+    health = table(spark, folder, "health_events").where("health_event = 'Connection failed'").select(
+        "health_id",
+        "server",
+        store_key(F.col("source_entity")).alias("store"),
+        "machine",
+        "event_timestamp",
+    )
+    events = table(spark, folder, "conn_events").where("kind = 'disconnect'").select(
+        "event_id",
+        "server",
+        store_key(F.col("store_id")).alias("store"),
+        "machine",
+        "timestamp_raw",
+    )
     a = health_instants(spark, folder, health).select("health_id", "server", "store", second)
     b = conn_instants(spark, folder, events).select("event_id", "server", "store", second)
     return a.dropna().join(b.dropna(), ["server", "store", "second"]).select("health_id", "event_id").distinct()
@@ -132,7 +149,23 @@ def p5_unowned(spark: SparkSession, folder: str) -> DataFrame:
     return log_entries.unowned(table(spark, folder, "log_lines"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_key_results, p1_rollup, p2_found, p2_instants, p3_found, p3_periods, p4_found, p4_members, p4_records, p5_found, p5_entries, p5_unowned)}
+QUERIES = {
+    f.__name__: f for f in (
+        p1_found,
+        p1_key_results,
+        p1_rollup,
+        p2_found,
+        p2_instants,
+        p3_found,
+        p3_periods,
+        p4_found,
+        p4_members,
+        p4_records,
+        p5_found,
+        p5_entries,
+        p5_unowned,
+    )
+}
 
 _STORE = "lpad(nullif(regexp_extract({0}, '(?:^|[^0-9])([0-9]{{4,5}})(?:$|[^0-9])', 1), ''), 5, '0')"
 _CTES = f"""
@@ -181,8 +214,27 @@ def _field(k: int) -> str:
     return "CASE " + " ".join(f"WHEN regexp_matches(t, '{p}') THEN regexp_extract(t, '{p}', {_ORDERS[f][k]})" for f, p in _LAYOUTS.items()) + " END"
 
 
-_RANKS = {"trace": "trace", "debug": "debug", "d": "debug", "info": "info", "i": "info", "warn": "warning", "warning": "warning", "w": "warning", "err": "error", "error": "error", "e": "error", "crit": "fatal", "critical": "fatal", "fatal": "fatal", "f": "fatal", "c": "fatal"}
-_LEVELS = "CASE WHEN try_cast(lw AS INTEGER) IS NOT NULL THEN ['fatal', 'fatal', 'fatal', 'error', 'warning', 'info', 'info', 'debug'][try_cast(lw AS INTEGER) % 8 + 1] " + " ".join(f"WHEN lower(lw) = '{k}' THEN '{v}'" for k, v in _RANKS.items()) + " END"
+_RANKS = {
+    "trace": "trace",
+    "debug": "debug",
+    "d": "debug",
+    "info": "info",
+    "i": "info",
+    "warn": "warning",
+    "warning": "warning",
+    "w": "warning",
+    "err": "error",
+    "error": "error",
+    "e": "error",
+    "crit": "fatal",
+    "critical": "fatal",
+    "fatal": "fatal",
+    "f": "fatal",
+    "c": "fatal",
+}
+_LEVELS = "CASE WHEN try_cast(lw AS INTEGER) IS NOT NULL THEN ['fatal', 'fatal', 'fatal', 'error', 'warning', 'info', 'info', 'debug'][try_cast(lw AS INTEGER) % 8 + 1] " + " ".join(
+    f"WHEN lower(lw) = '{k}' THEN '{v}'" for k, v in _RANKS.items()
+) + " END"
 _WALL = "epoch_us(timezone(log_zone, make_timestamptz(w + {0})))"
 _FIELDS = rf"""{_ENTRIES},
 x0 AS (SELECT file, line_no, t, max(CASE WHEN star AND regexp_matches(t, '[Dd]ate \d{{4}}-\d\d-\d\d') THEN [printf('%012d', line_no), regexp_extract(t, '[Dd]ate (\d{{4}}-\d\d-\d\d)', 1)] END) OVER p AS d,
@@ -214,7 +266,12 @@ def _instants_sql(name: str, table_name: str, text: str, keep: str) -> str:
 {name} AS (SELECT {keep}, coalesce(e, w - CAST(off AS BIGINT) * 60000000, CASE WHEN c1 = c2 AND ok1 THEN c1 WHEN c1 <> c2 AND ok1 AND NOT ok2 THEN c1 WHEN c1 <> c2 AND ok2 AND NOT ok1 THEN c2 END) AS us FROM {name}5)"""
 
 
-_CONN, _HEALTH = _instants_sql("ci", "conn_events", "timestamp_raw", "event_id, server, kind, store_id"), _instants_sql("hi", "health_events", "event_timestamp", "health_id, server, health_event, source_entity")
+_CONN, _HEALTH = _instants_sql("ci", "conn_events", "timestamp_raw", "event_id, server, kind, store_id"), _instants_sql(
+    "hi",
+    "health_events",
+    "event_timestamp",
+    "health_id, server, health_event, source_entity",
+)
 
 SQL = {
     "p2_instants": f"WITH {_CONN} SELECT event_id, min(us) AS instant_us, strftime(make_timestamp(min(us)), '%Y-%m-%dT%H:%M:%S.%fZ') AS instant_utc FROM ci GROUP BY event_id",

@@ -44,12 +44,22 @@ def store_summary(spark, folder):
     rows = incidents(spark, folder)
     by_category = rows.groupBy("store_id", "category").agg(_n())
     top = dominant(by_category, ["store_id"], "category").select("store_id", F.col("category").alias("dominant"), F.col("n").alias("dominant_n"))
-    per = rows.groupBy("store_id").agg(F.count(F.lit(1)).alias("total"), F.countDistinct("category").alias("categories"), F.countDistinct("ip").alias("ips"), F.countDistinct(hour_of()).alias("hours"), F.sum(F.col("delay").cast("bigint")).alias("delays"))
+    per = rows.groupBy("store_id").agg(
+        F.count(F.lit(1)).alias("total"),
+        F.countDistinct("category").alias("categories"),
+        F.countDistinct("ip").alias("ips"),
+        F.countDistinct(hour_of()).alias("hours"),
+        F.sum(F.col("delay").cast("bigint")).alias("delays"),
+    )
     return per.join(top, "store_id")
 
 
 def machine_summary(spark, folder):
-    return incidents(spark, folder).groupBy("machine").agg(_n(), F.countDistinct("store_id").alias("stores"), F.count_if(F.col("category") == "error").alias("errors"))
+    return incidents(spark, folder).groupBy("machine").agg(
+        _n(),
+        F.countDistinct("store_id").alias("stores"),
+        F.count_if(F.col("category") == "error").alias("errors"),
+    )
 
 
 def ip_summary_top15(spark, folder):
@@ -59,11 +69,19 @@ def ip_summary_top15(spark, folder):
 
 def timeline_hourly(spark, folder):
     rows = incidents(spark, folder).where("kind is not null")
-    return rows.groupBy(hour_of().alias("hour")).agg(F.count_if(F.col("kind") == "disconnect").alias("disconnects"), F.count_if(F.col("kind") == "reconnect").alias("reconnects"), F.countDistinct("store_id").alias("stores"))
+    return rows.groupBy(hour_of().alias("hour")).agg(
+        F.count_if(F.col("kind") == "disconnect").alias("disconnects"),
+        F.count_if(F.col("kind") == "reconnect").alias("reconnects"),
+        F.countDistinct("store_id").alias("stores"),
+    )
 
 
 def timeline_daily(spark, folder):
-    return timeline_hourly(spark, folder).groupBy(F.floor(F.col("hour") / 24).cast("bigint").alias("day")).agg(F.sum("disconnects").alias("disconnects"), F.sum("reconnects").alias("reconnects"), F.max("disconnects").alias("busiest_hour"))
+    return timeline_hourly(spark, folder).groupBy(F.floor(F.col("hour") / 24).cast("bigint").alias("day")).agg(
+        F.sum("disconnects").alias("disconnects"),
+        F.sum("reconnects").alias("reconnects"),
+        F.max("disconnects").alias("busiest_hour"),
+    )
 
 
 def elevated_hours(spark, folder):
@@ -84,7 +102,11 @@ def fed_group_rollup(spark, folder):
 
 
 def server_rollup_total(spark, folder):
-    return incidents(spark, folder).rollup("server").agg(_n(), F.count_if(F.col("kind") == "disconnect").alias("disconnects"), F.countDistinct("store_id").alias("stores")).withColumn("server", F.coalesce("server", F.lit("TOTAL")))
+    return incidents(spark, folder).rollup("server").agg(
+        _n(),
+        F.count_if(F.col("kind") == "disconnect").alias("disconnects"),
+        F.countDistinct("store_id").alias("stores"),
+    ).withColumn("server", F.coalesce("server", F.lit("TOTAL")))
 
 
 def fed_by_server_pivot(spark, folder):
@@ -109,13 +131,25 @@ def outage_pairs(spark, folder):
 
 def outage_stats_store(spark, folder):
     d = outages.pairs(incidents(spark, folder))
-    per = d.groupBy("store_id").agg(F.count(F.lit(1)).alias("outages"), F.max("duration").alias("longest"), F.round(F.avg("duration"), 6).alias("mean"), F.round(F.percentile("duration", 0.5), 6).alias("median"))
+    per = d.groupBy("store_id").agg(
+        F.count(F.lit(1)).alias("outages"),
+        F.max("duration").alias("longest"),
+        F.round(F.avg("duration"), 6).alias("mean"),
+        F.round(F.percentile("duration", 0.5), 6).alias("median"),
+    )
     return per.withColumn("longest_text", outages.duration_text(F.col("longest").cast("double")))
 
 
 def outage_stats_overall(spark, folder):
     d = outages.pairs(incidents(spark, folder))
-    return d.agg(F.count(F.lit(1)).alias("outages"), F.round(F.avg("duration"), 6).alias("mean"), F.round(F.stddev_pop("duration"), 6).alias("std"), F.min("duration").alias("shortest"), F.max("duration").alias("longest"), F.round(F.percentile("duration", 0.5), 6).alias("median"))
+    return d.agg(
+        F.count(F.lit(1)).alias("outages"),
+        F.round(F.avg("duration"), 6).alias("mean"),
+        F.round(F.stddev_pop("duration"), 6).alias("std"),
+        F.min("duration").alias("shortest"),
+        F.max("duration").alias("longest"),
+        F.round(F.percentile("duration", 0.5), 6).alias("median"),
+    )
 
 
 def outage_buckets(spark, folder):
@@ -127,7 +161,11 @@ def outage_buckets(spark, folder):
 def interarrival_features(spark, folder):
     before = sliced_lag(incidents(spark, folder).select("store_id", "sec", "event_id"), ["store_id"], "sec", "event_id", {"before": "sec"}, 86_400)
     gap = before.withColumn("gap", F.col("sec") - F.col("before"))
-    return gap.where("gap is not null").groupBy("store_id").agg(F.round(F.avg("gap"), 6).alias("mean_gap"), F.min("gap").alias("least_gap"), F.round(F.avg((F.col("gap") < 3600).cast("int")), 6).alias("burst_score"))
+    return gap.where("gap is not null").groupBy("store_id").agg(
+        F.round(F.avg("gap"), 6).alias("mean_gap"),
+        F.min("gap").alias("least_gap"),
+        F.round(F.avg((F.col("gap") < 3600).cast("int")), 6).alias("burst_score"),
+    )
 
 
 def bursts(spark, folder):
@@ -146,7 +184,13 @@ def cofailure_pairs(spark, folder):
     """Pairs of the 100 stores with most disconnects, with minutes within a quarter of a day (events are sparse)."""
     down = _down(spark, folder)
     top = down.groupBy("store_id").agg(_n()).orderBy(F.desc("n"), "store_id").limit(100).select("store_id")
-    return together.co_failures(down.join(F.broadcast(top), "store_id", "left_semi").withColumn("slot", F.floor(F.col("sec") / 3600).cast("bigint")), "store_id", "slot", 2, 0.3)
+    return together.co_failures(
+        down.join(F.broadcast(top), "store_id", "left_semi").withColumn("slot", F.floor(F.col("sec") / 3600).cast("bigint")),
+        "store_id",
+        "slot",
+        2,
+        0.3,
+    )
 
 
 def cofailure_pairs_all(spark, folder):
@@ -175,7 +219,10 @@ def _pages(spark, folder):
 def stores_page(spark, folder, page: int = 2, size: int = 10, server: str = "MS10001", least: int = 2):
     """A page of the stores of a server with at least so many disconnects, and the number of pages."""
     rows = _pages(spark, folder).where((F.col("server") == server) & (F.col("disconnects") >= least))
-    return rows.withColumn("pages", F.ceil(F.count(F.lit(1)).over(Window.partitionBy()) / size).cast("bigint")).orderBy(F.desc("disconnects"), "store_id").offset((page - 1) * size).limit(size)
+    return rows.withColumn(
+        "pages",
+        F.ceil(F.count(F.lit(1)).over(Window.partitionBy()) / size).cast("bigint"),
+    ).orderBy(F.desc("disconnects"), "store_id").offset((page - 1) * size).limit(size)
 
 
 def store_lookup(spark, folder, store: str = "7"):
@@ -185,7 +232,13 @@ def store_lookup(spark, folder, store: str = "7"):
 def export_rows(spark, folder):
     """Rows as an export writes them, with durations as texts."""
     d = outages.pairs(incidents(spark, folder), ["server", "store_id"]).groupBy("server", "store_id").agg(F.max("duration").alias("longest"))
-    return _pages(spark, folder).join(d, ["server", "store_id"], "left").select("store_id", "server", "fed_group", "disconnects", outages.duration_text(F.col("longest").cast("double")).alias("longest"))
+    return _pages(spark, folder).join(d, ["server", "store_id"], "left").select(
+        "store_id",
+        "server",
+        "fed_group",
+        "disconnects",
+        outages.duration_text(F.col("longest").cast("double")).alias("longest"),
+    )
 
 
 QUERIES = {

@@ -52,7 +52,12 @@ def periodicity(spark, folder):
 
 def seq_windows24(spark, folder):
     w = series.windows(_series(spark, folder))
-    return w.select("idx", F.aggregate("seq", F.lit(0.0), lambda a, b: a + b).alias("total"), F.array_max("seq").alias("most"), F.array_join(F.transform("seq", lambda x: x.cast("int").cast("string")), ",").alias("seq"))
+    return w.select(
+        "idx",
+        F.aggregate("seq", F.lit(0.0), lambda a, b: a + b).alias("total"),
+        F.array_max("seq").alias("most"),
+        F.array_join(F.transform("seq", lambda x: x.cast("int").cast("string")), ",").alias("seq"),
+    )
 
 
 def analog_forecast(spark, folder):
@@ -66,10 +71,29 @@ def hour_outliers(spark, folder):
 def filled_series_days(spark, folder):
     """Days of the series with hours without disconnects as 0."""
     s = series.hourly(incidents(spark, folder).where("kind = 'disconnect'"), hour_of(), gaps_as_zero=True)
-    return s.groupBy(F.floor(F.col("hour") / 24).cast("bigint").alias("day")).agg(F.count("*").alias("hours"), F.sum("x").alias("x"), F.count_if(F.col("x") == 0).alias("quiet"))
-
-
-QUERIES = {f.__name__: f for f in (moving_avg24, decompose24, forecast24, cusum_scores, change_points, trend_half, autocorr48, periodicity, seq_windows24, analog_forecast, hour_outliers, filled_series_days)}
+    return s.groupBy(F.floor(F.col("hour") / 24).cast("bigint").alias("day")).agg(
+        F.count("*").alias("hours"),
+        F.sum("x").alias("x"),
+        F.count_if(F.col("x") == 0).alias("quiet"),
+    )
+
+
+QUERIES = {
+    f.__name__: f for f in (
+        moving_avg24,
+        decompose24,
+        forecast24,
+        cusum_scores,
+        change_points,
+        trend_half,
+        autocorr48,
+        periodicity,
+        seq_windows24,
+        analog_forecast,
+        hour_outliers,
+        filled_series_days,
+    )
+}
 
 _S = f"{INC}, s AS (SELECT row_number() OVER (ORDER BY hour) - 1 AS idx, hour, x FROM (SELECT CAST(floor(sec / 3600) AS BIGINT) AS hour, CAST(count(*) AS DOUBLE) AS x FROM down GROUP BY 1))"
 _M = f"""{_S}, k AS (SELECT count(*) AS n, arg_min(x, idx) AS a, arg_max(x, idx) AS z FROM s), pad AS (SELECT s.idx, o.o, coalesce(b.x, CASE WHEN s.idx + o.o < 0 THEN k.a ELSE k.z END) AS v FROM s CROSS JOIN range(-12, 12) o(o) CROSS JOIN k LEFT JOIN s b ON b.idx = s.idx + o.o),

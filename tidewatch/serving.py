@@ -77,7 +77,11 @@ class Service:
         df = self._table("stores")
         if df is None:
             return {"stores": 0, "disconnects": 0, "longest_s": None}
-        one = df.agg(F.countDistinct("store_id").alias("stores"), F.coalesce(F.sum("disconnects"), F.lit(0)).alias("disconnects"), F.max("longest_s").alias("longest_s"))
+        one = df.agg(
+            F.countDistinct("store_id").alias("stores"),
+            F.coalesce(F.sum("disconnects"), F.lit(0)).alias("disconnects"),
+            F.max("longest_s").alias("longest_s"),
+        )
         return one.first().asDict()
 
     def store_details(self, store_id: str) -> dict:

@@ -65,7 +65,12 @@ def _server(path: Column) -> Column:
 def _plain(spark: SparkSession, path: str) -> DataFrame:
     """Lines of plain files. A block of a file is one task's, in its order; before it lie the lines of the blocks before."""
     text = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.{log,LOG}").option("lineSep", "\n").text(path)
-    found = text.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_at"), "value")
+    found = text.select(
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("_block"),
+        F.monotonically_increasing_id().alias("_at"),
+        "value",
+    )
     blocks = found.groupBy("file", "_block").agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
     earlier = Window.partitionBy("file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     blocks = blocks.select("file", "_block", "_first", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
@@ -74,7 +79,13 @@ def _plain(spark: SparkSession, path: str) -> DataFrame:
     number = F.col("_before") + F.col("_at") - F.col("_first") + 1
     line = F.regexp_replace(F.make_valid_utf8("value"), "\r$", "")
     line = F.when(number == 1, F.regexp_replace(line, "^\ufeff", "")).otherwise(line)
-    return numbered.select(_server(F.col("file")).alias("server"), "file", F.lit(None).cast("string").alias("container"), number.alias("line_no"), line.alias("line"))
+    return numbered.select(
+        _server(F.col("file")).alias("server"),
+        "file",
+        F.lit(None).cast("string").alias("container"),
+        number.alias("line_no"),
+        line.alias("line"),
+    )
 
 
 def _opened(path: str) -> IO[bytes]:
@@ -89,7 +100,15 @@ def _zipped(spark: SparkSession, path: str) -> DataFrame:
         for name, container, data in members(archive, path_):
             server, number = re.search(r"MS\d+", container or "") or re.search(r"MS\d+", name), 1
             for lines in lines_of(data):
-                yield pd.DataFrame({"server": server[0] if server else "Unknown", "file": name, "container": container, "line_no": range(number, number + len(lines)), "line": lines})
+                yield pd.DataFrame(
+                    {
+                        "server": server[0] if server else "Unknown",
+                        "file": name,
+                        "container": container,
+                        "line_no": range(number, number + len(lines)),
+                        "line": lines,
+                    }
+                )
                 number += len(lines)
 
     def small(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -144,7 +163,9 @@ def sheet_rows(data: bytes, sheet: str = "xl/worksheets/sheet1.xml") -> list[lis
     archive = zipfile.ZipFile(io.BytesIO(data))
     shared: list[str] = []
     if "xl/sharedStrings.xml" in archive.namelist():
-        shared = ["".join(t.text or "" for t in si.iter(f"{{{_NS['m']}}}t")) for si in ElementTree.fromstring(archive.read("xl/sharedStrings.xml")).findall("m:si", _NS)]
+        shared = [
+            "".join(t.text or "" for t in si.iter(f"{{{_NS['m']}}}t")) for si in ElementTree.fromstring(archive.read("xl/sharedStrings.xml")).findall("m:si", _NS)
+        ]
     rows = []
     for row in ElementTree.fromstring(archive.read(sheet)).iter(f"{{{_NS['m']}}}row"):
         cells: list[str | None] = []

@@ -15,7 +15,10 @@ from tidewatch.sources.logs import IN_MEMORY, NAME
 
 def profile_files(files: DataFrame) -> DataFrame:
     """Per server of files(file_id, server, path, container, n_bytes, content): bytes, files, logs, archives and inner archives. Each file_id once."""
-    one = files.groupBy("file_id").agg(*[F.min(c).alias(c) for c in ("server", "path", "container", "n_bytes")], F.max(F.col("content").isNotNull().cast("int")).alias("readable"))
+    one = files.groupBy("file_id").agg(
+        *[F.min(c).alias(c) for c in ("server", "path", "container", "n_bytes")],
+        F.max(F.col("content").isNotNull().cast("int")).alias("readable"),
+    )
     inner = F.when(F.col("container").contains("!/"), F.col("container"))
     return one.groupBy("server").agg(
         F.sum("n_bytes").alias("total_size_bytes"), (F.count(F.lit(1)) + F.countDistinct("container")).alias("total_files"), F.count_if(F.col("path").endswith(".log")).alias("log_files"),
@@ -43,7 +46,10 @@ def profile_folder(spark: SparkSession, path: str) -> DataFrame:
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True)
     listing = files.load(path).select("path", "length")
-    archives = files.option("pathGlobFilter", "*.{zip,ZIP}").load(path).where(F.col("length") < IN_MEMORY).select("path", "content").mapInPandas(unpacked, "path string, held bigint, inner bigint")
+    archives = files.option("pathGlobFilter", "*.{zip,ZIP}").load(path).where(F.col("length") < IN_MEMORY).select("path", "content").mapInPandas(
+        unpacked,
+        "path string, held bigint, inner bigint",
+    )
     zipped, logs = F.lower("path").endswith(".zip"), F.col("path").endswith(".log")
     server = F.coalesce(F.nullif(F.regexp_extract("path", r"(MS\d+)", 1), F.lit("")), F.lit("Unknown"))
     held = F.when(zipped, F.coalesce("held", F.col("length") * PACKED)).when(logs, F.col("length"))

@@ -19,7 +19,14 @@ def parsed_lines(lines: DataFrame, text: str = "value", late: str = "1 hour") ->
     """Events from a stream of lines: ts, store_id, category, severity, kind; lines without time, category and severity are none.
     Lines may be `late` by event time; what arrives later still is left out of the results below."""
     t = F.regexp_replace(text, "^[\\s﻿]+|\\s+$", "")
-    found = lines.select(t.alias("line"), timestamp(t).cast("timestamp").alias("ts"), store(t).alias("store_id"), error_category(t).alias("category"), severity(t).alias("severity"), connection_kind(t).alias("kind"))
+    found = lines.select(
+        t.alias("line"),
+        timestamp(t).cast("timestamp").alias("ts"),
+        store(t).alias("store_id"),
+        error_category(t).alias("category"),
+        severity(t).alias("severity"),
+        connection_kind(t).alias("kind"),
+    )
     return found.where("ts is not null and coalesce(category, severity, kind) is not null").withWatermark("ts", late)
 
 
@@ -31,7 +38,10 @@ def once(events: DataFrame) -> DataFrame:
 def hourly(events: DataFrame) -> DataFrame:
     """(hour, category, n), final once the watermark has passed the hour."""
     w = F.window("ts", "1 hour")
-    return events.groupBy(w, F.coalesce("category", F.lit("none")).alias("category")).agg(F.count(F.lit(1)).alias("n")).select(F.col("window.start").alias("hour"), "category", "n")
+    return events.groupBy(
+        w,
+        F.coalesce("category", F.lit("none")).alias("category"),
+    ).agg(F.count(F.lit(1)).alias("n")).select(F.col("window.start").alias("hour"), "category", "n")
 
 
 def outages(events: DataFrame) -> DataFrame:
