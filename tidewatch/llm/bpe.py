@@ -37,7 +37,9 @@ class Encoder:
         self.bytes_of = {v: k for k, v in self.ranks.items()}
         self.width = max(self.bytes_of) + 1
         self.symbols = np.array([self.ranks[bytes([b])] for b in range(256)], dtype=np.int64)
-        pairs = {self.ranks[t[:i]] * self.width + self.ranks[t[i:]]: v for t, v in self.ranks.items() for i in range(1, len(t)) if t[:i] in self.ranks and t[i:] in self.ranks}
+        pairs = {
+            self.ranks[t[:i]] * self.width + self.ranks[t[i:]]: v for t, v in self.ranks.items() for i in range(1, len(t)) if t[:i] in self.ranks and t[i:] in self.ranks
+        }
         self.pairs = pairs
         self.keys = np.array(sorted(pairs), dtype=np.int64)
         self.merged = np.array([pairs[k] for k in self.keys.tolist()], dtype=np.int64)

@@ -147,5 +147,12 @@ def shares(chosen: DataFrame, plan: DataFrame) -> DataFrame:
     times = chosen.groupBy("mix", "source", "doc_id").agg(F.count(F.lit(1)).alias("times"), F.sum("n_tokens").alias("tokens"))
     got = times.groupBy("mix", "source").agg(F.sum("tokens").alias("chosen_tokens"), F.count(F.lit(1)).alias("chosen_docs"), F.max("times").alias("most_times"))
     zero = [F.coalesce(x, F.lit(0)).alias(x) for x in ("chosen_tokens", "chosen_docs", "most_times")]
-    both = plan.join(got, ["mix", "source"], "left").select("mix", F.col("name").alias("source"), "target_share", F.col("repeats").alias("max_repeats"), "budget", *zero)
+    both = plan.join(got, ["mix", "source"], "left").select(
+        "mix",
+        F.col("name").alias("source"),
+        "target_share",
+        F.col("repeats").alias("max_repeats"),
+        "budget",
+        *zero,
+    )
     return both.withColumn("actual_share", F.coalesce(F.try_divide("chosen_tokens", F.sum("chosen_tokens").over(Window.partitionBy("mix"))), F.lit(0.0)))

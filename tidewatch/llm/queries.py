@@ -37,7 +37,17 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     states = quantiles.merged(quantiles.states(rows, ["store_id"], "duration_s"), ["store_id"])
     wanted = {f"p{pct}": p for pct, (p, _) in LIMITS.items()}
     found = written(quantiles.quantiles(states, ["store_id"], wanted).where(F.col("n") >= LEAST_DURATIONS), "percentiles")
-    each = F.array(*[F.struct(F.lit(pct).alias("pct"), F.lit(p).alias("p"), F.lit(limit).alias("limit"), F.col(f"p{pct}_low").alias("low"), F.col(f"p{pct}_high").alias("high")) for pct, (p, limit) in LIMITS.items()])
+    each = F.array(
+        *[
+            F.struct(
+                F.lit(pct).alias("pct"),
+                F.lit(p).alias("p"),
+                F.lit(limit).alias("limit"),
+                F.col(f"p{pct}_low").alias("low"),
+                F.col(f"p{pct}_high").alias("high"),
+            ) for pct, (p, limit) in LIMITS.items()
+        ]
+    )
     long = found.select("store_id", F.explode(each).alias("x")).select("store_id", "x.*")
     sure = long.where("low > limit").select("store_id", "pct")
     undecided = long.where("low <= limit and high > limit").select("store_id", "pct", "p", "limit")
