@@ -114,6 +114,21 @@ def test_coverage_of_long_intervals(spark, seed):
     assert rows(got) == sorted([(k, a[1], b[0]) for k, v in want.items() for a, b in zip(v, v[1:])], key=str)
 
 
+def test_keys_of_intervals_may_have_any_name(spark):
+    df = spark.createDataFrame([("a", "b", 1, 5), ("a", "b", 7, 9), ("a", "b", 7, 9), (None, "b", 1, 2), ("a", None, 1, 2)], "s string, shard string, run bigint, e bigint")
+    assert rows(coverage.gaps(df, ["s", "shard"], F.col("run"), F.col("e"))) == [("a", "b", 5, 7)]
+    assert rows(coverage.periods(df, ["s", "shard"], F.col("run"), F.col("e"))) == [("a", "b", 1, 5), ("a", "b", 7, 9)]
+    assert coverage.gaps(df, [], F.col("run"), F.col("e")).count() == 1 and coverage.periods(df, [], F.col("run"), F.col("e")).count() == 2
+    with pytest.raises(ValueError):
+        coverage.gaps(df.withColumnRenamed("s", "gap_end"), ["gap_end"], F.col("run"), F.col("e"))
+
+
+def test_instants_beside_columns_of_their_names(spark):
+    df = spark.createDataFrame([("2025-02-03 12:00:00Z", "UTC", "kept", 7)], "t string, z string, _us_c string, us int")
+    assert [tuple(r) for r in with_instant(df.drop("us"), "t", "z", "at").collect()] == [("2025-02-03 12:00:00Z", "UTC", "kept", 1738584000000000)]
+    assert with_instant(df.drop("_us_c"), "t", "z", "us").first().us == 1738584000000000
+
+
 def test_centuries_are_two_rows(spark, tmp_path):
     day = lambda n: datetime(2025, 1, 1) + timedelta(days=n)
     spans = [("a", day(0), None, 3000 * 31_556_952.0), ("a", day(90), day(91), None), ("b", day(0), datetime(9999, 12, 31), None), ("b", day(400), day(401), 5.0), ("c", day(0), None, float("inf"))]

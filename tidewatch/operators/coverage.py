@@ -76,33 +76,52 @@ def _outside_runs(rows: DataFrame, edges: DataFrame, keys: Sequence[str]) -> Dat
     return rows.join(edges.where("covered").select(*keys, "shard"), [*keys, "shard"], "left_anti")
 
 
+def _named(found: DataFrame, keys: Sequence[str], inner: Sequence[str], results: Sequence[str]) -> DataFrame:
+    return found.select(*[F.col(i).alias(k) for i, k in zip(inner, keys, strict=True)], *results)
+
+
+def _keyed(df: DataFrame, keys: Sequence[str], start: Column, end: Column, results: Sequence[str]) -> tuple[DataFrame, list[str]]:
+    """df's keys under names of our own, so that theirs may be any but the results', with start and end."""
+    if set(keys) & set(results) or len(set(keys)) < len(keys):
+        raise ValueError(f"keys need names of their own, other than {', '.join(results)}")
+    inner = [f"_k{i}" for i in range(len(keys))]
+    return df.select(*[F.col(k).alias(i) for i, k in zip(inner, keys, strict=True)], start.alias("_start"), end.alias("_end")), inner
+
+
 def gaps(df: DataFrame, keys: Sequence[str], start: Column, end: Column, shard_us: int = WEEK_US) -> DataFrame:
     """(keys, gap_start, gap_end) in microseconds: each gap between one continuous period of an entity and the next.
 
-    An entity of one period has none. Repeated rows change nothing. Empty input gives no rows.
+    An entity of one period has none. Rows with a null key, start or end, or an end not after the start, are left out; repeated
+    rows change nothing, other columns aren't looked at. Empty input gives no rows. ValueError for keys of the results' names.
     """
-    local = _local(_clipped(df, keys, start, end, shard_us), keys)
-    edges = _edges(local, keys, shard_us)
-    inside = _outside_runs(local.where("s > before").select(*keys, "shard", F.col("before").alias("gap_start"), F.col("s").alias("gap_end")), edges, keys)
-    across = edges.where("s > reach").select(*keys, F.col("reach").alias("gap_start"), F.col("s").alias("gap_end"))
-    return inside.drop("shard").unionByName(across)
+    results = ["gap_start", "gap_end"]
+    rows, inner = _keyed(df, keys, start, end, results)
+    local = _local(_clipped(rows, inner, F.col("_start"), F.col("_end"), shard_us), inner)
+    edges = _edges(local, inner, shard_us)
+    inside = local.where("s > before").select(*inner, "shard", F.col("before").alias("gap_start"), F.col("s").alias("gap_end"))
+    inside = _outside_runs(inside, edges, inner)
+    across = edges.where("s > reach").select(*inner, F.col("reach").alias("gap_start"), F.col("s").alias("gap_end"))
+    return _named(inside.drop("shard").unionByName(across), keys, inner, results)
 
 
 def periods(df: DataFrame, keys: Sequence[str], start: Column, end: Column, shard_us: int = WEEK_US) -> DataFrame:
-    """(keys, period_start, period_end) in microseconds: the continuous periods of each entity. Empty input gives no rows."""
+    """(keys, period_start, period_end) in microseconds: the continuous periods of each entity. Rows are left out as by gaps."""
+    results = ["period_start", "period_end"]
+    rows, inner = _keyed(df, keys, start, end, results)
     w = F.lit(shard_us)
-    local = _local(_clipped(df, keys, start, end, shard_us), keys)
-    edges = _edges(local, keys, shard_us)
-    order = Window.partitionBy(*keys, "shard").orderBy("s", "e").rowsBetween(Window.unboundedPreceding, 0)
-    islands = local.select(*keys, "shard", "s", "e", F.sum(F.when(F.col("s") <= F.col("before"), 0).otherwise(1)).over(order).alias("island"))
-    merged = islands.groupBy(*keys, "shard", "island").agg(F.min("s").alias("s"), F.max("e").alias("e"))
+    local = _local(_clipped(rows, inner, F.col("_start"), F.col("_end"), shard_us), inner)
+    edges = _edges(local, inner, shard_us)
+    order = Window.partitionBy(*inner, "shard").orderBy("s", "e").rowsBetween(Window.unboundedPreceding, 0)
+    islands = local.select(*inner, "shard", "s", "e", F.sum(F.when(F.col("s") <= F.col("before"), 0).otherwise(1)).over(order).alias("island"))
+    merged = islands.groupBy(*inner, "shard", "island").agg(F.min("s").alias("s"), F.max("e").alias("e"))
     merged = merged.withColumn("touches", (F.col("s") == F.col("shard") * w) | (F.col("e") == (F.col("shard") + 1) * w))
-    whole = _outside_runs(merged.where("not touches").select(*keys, "shard", F.col("s").alias("period_start"), F.col("e").alias("period_end")), edges, keys)
-    runs = edges.where("run is not null").select(*keys, ((F.col("shard") + 1) * w).alias("s"), ((F.col("run") + 1) * w).alias("e"))
-    chain = Window.partitionBy(*keys).orderBy("s", "e")
-    touching = merged.where("touches").select(*keys, "s", "e").unionByName(runs)
+    whole = merged.where("not touches").select(*inner, "shard", F.col("s").alias("period_start"), F.col("e").alias("period_end"))
+    whole = _outside_runs(whole, edges, inner)
+    runs = edges.where("run is not null").select(*inner, ((F.col("shard") + 1) * w).alias("s"), ((F.col("run") + 1) * w).alias("e"))
+    chain = Window.partitionBy(*inner).orderBy("s", "e")
+    touching = merged.where("touches").select(*inner, "s", "e").unionByName(runs)
     touching = touching.withColumn("before", F.max("e").over(chain.rowsBetween(Window.unboundedPreceding, -1)))
     new = F.when(F.col("s") <= F.col("before"), 0).otherwise(1)
     touching = touching.withColumn("chain", F.sum(new).over(chain.rowsBetween(Window.unboundedPreceding, 0)))
-    stitched = touching.groupBy(*keys, "chain").agg(F.min("s").alias("period_start"), F.max("e").alias("period_end"))
-    return whole.drop("shard").unionByName(stitched.drop("chain"))
+    stitched = touching.groupBy(*inner, "chain").agg(F.min("s").alias("period_start"), F.max("e").alias("period_end"))
+    return _named(whole.drop("shard").unionByName(stitched.drop("chain")), keys, inner, results)
