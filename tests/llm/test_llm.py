@@ -194,3 +194,20 @@ def test_pieces(spark):
     light = pieces(df, "doc_id", "text", "cell_starts", with_text=False).collect()
     assert sorted((r.doc_id, r.piece_no, r.end_char, r.n_tokens) for r in light) == sorted((r.doc_id, r.piece_no, r.end_char, r.n_tokens) for r in got)
     assert pieces(df.limit(0), "doc_id", "text", None).count() == 0
+
+
+def test_keys_of_the_results_names(spark):
+    df = spark.createDataFrame([(1, "a")], "ids int, text string")
+    with pytest.raises(ValueError):
+        token_ids(df, "ids", "text")
+    with pytest.raises(ValueError):
+        pieces(df.withColumnRenamed("ids", "piece"), "piece", "text", None)
+
+
+def test_repeated_documents(spark):
+    """Rows with one doc_id are documents of their own, in any operator."""
+    df = spark.createDataFrame([(1, "s", "a b c", None)] * 3 + [(None, "s", "d", [0, 2])], "doc_id bigint, source string, text string, cell_starts array<int>")
+    assert token_ids(df, "doc_id", "text").count() == 4 == pieces(df, "doc_id", "text", "cell_starts").count()
+    targets = spark.createDataFrame([("m", "s", 1.0, 1, 1.0)] * 2, "mix_name string, source string, target_weight double, max_repeats int, size_ratio double")
+    chosen, plan = choose(df, targets)
+    assert chosen.count() == 4 and shares(chosen, plan).first().actual_share == 1.0

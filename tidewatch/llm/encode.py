@@ -37,7 +37,10 @@ def uncollected() -> Iterator[None]:
 def token_ids(df: DataFrame, key: str, text: str, vocabulary: str = VOCABULARY) -> DataFrame:
     """(key, ids array<int>): one row for each row of df, the ids without special tokens. A null and an empty text have the
     empty list; so has no other text. Whole texts are encoded; strings that look like special tokens are ordinary text.
+    Rows with the same key stay rows of their own. ValueError for a key named ids.
     """
+    if key == "ids":
+        raise ValueError("the key needs a name other than ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(vocabulary)

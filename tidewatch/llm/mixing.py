@@ -75,7 +75,7 @@ def choose(documents: DataFrame, targets: DataFrame, seed: int = 7, vocabulary:
     aren't chosen from; the share that can't be had goes to the others in proportion. The budget of a mix is size_ratio of
     the corpus's tokens, all sources counted; nothing is chosen for a mix whose size_ratio is null, NaN or not positive, while
     its rows stay in the plan. Documents without tokens (null and empty texts) are in no mix. Rows of targets for the same mix
-    and source count once, the greatest weight. With size, a column of documents, documents count as large as it says instead
+    and source count once, the greatest weight; rows of documents with the same doc_id are documents of their own. With size, a column of documents, documents count as large as it says instead
     of by their tokens. The shuffled order is that of the MD5 of doc_id and seed.
     """
     spark = documents.sparkSession

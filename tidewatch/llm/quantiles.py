@@ -179,6 +179,8 @@ def states(df: DataFrame, groups: Sequence[str], value: str, k: int = BUFFER, er
     have several states, which `merged` puts together, so many groups, even one a row, don't fill it. An empty table has none.
     """
     groups = list(groups)
+    if {"_value", "_branch", *COLUMNS} & set(groups):
+        raise ValueError("groups need names other than the states' columns")
     k = k if error is None else buffer_for(error)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -153,8 +153,12 @@ def pieces(df: DataFrame, key: str, text: str, cells: str | None, limit: int = L
     """(key, piece_no from 0, n_pieces, start_char, end_char, n_tokens, piece): the ordered pieces of every row's text.
 
     Every text is encoded whole, each where it lies; nothing is shuffled. Null and empty texts are one empty piece. Positions
-    in `cells` outside of the text are ignored. with_text=False leaves piece null.
+    in `cells` outside of the text are ignored. with_text=False leaves piece null. Rows with the same key are split each on its
+    own. ValueError for a key of the result's names.
     """
+    names = [key, "piece_no", "n_pieces", "start_char", "end_char", "n_tokens", "piece"]
+    if len(set(names)) < len(names):
+        raise ValueError("the key needs a name other than the result's columns")
 
     def cut(e: Encoder, some: pd.DataFrame, out: list[tuple]) -> None:
         bodies = [x if isinstance(x, str) else None for x in some[text]]
@@ -174,7 +178,7 @@ def pieces(df: DataFrame, key: str, text: str, cells: str | None, limit: int = L
             some = batch.iloc[at : at + TEXTS_AT_ONCE]
             with uncollected():
                 cut(e, some, out)
-            yield pd.DataFrame(out, columns=[key, "piece_no", "n_pieces", "start_char", "end_char", "n_tokens", "piece"])
+            yield pd.DataFrame(out, columns=names)
 
     schema = f"`{key}` {dict(df.dtypes)[key]}, piece_no int, n_pieces int, start_char bigint, end_char bigint, n_tokens bigint, piece string"
     return df.select(key, text, *([cells] if cells else [])).mapInPandas(run, schema)
