@@ -200,7 +200,11 @@ def template_map(lines: DataFrame) -> DataFrame:
     routed = counted.withColumn("_n", F.size(tokens)).withColumn("_lead", F.array_join(F.slice(tokens, 1, DEPTH), " "))
     leaves = routed.groupBy("_n", "_lead").agg(F.ceil(F.count(F.lit(1)) / LEAF).alias("_parts"))
     part = F.pmod(F.xxhash64(F.lit(3), "masked"), "_parts").alias("_part")
-    return routed.join(leaves, ["_n", "_lead"]).select("*", part).groupBy("_n", "_lead", "_part").applyInPandas(lambda pdf: _leaf(pdf), _MAP)
+    keys = ["_n", "_lead", "_part"]
+    parts = routed.join(leaves, ["_n", "_lead"]).select("*", part)
+    # in a number of tasks of its own: the few bytes of masked lines would be put into one, but each leaf takes its time
+    tasks = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return parts.repartition(tasks, *keys).groupBy(*keys).applyInPandas(_leaf, _MAP)
 
 
 def masked_lines(lines: DataFrame) -> DataFrame:
